@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import media
+from tallyframe.llm import bpe_prefix, media, token_spans
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media_columns": media.op1_media_columns,
+        "op2_token_counts": token_spans.op2_token_counts,
+        "op6_bpe_prefix": bpe_prefix.op6_bpe_prefix,
     }
 
 
