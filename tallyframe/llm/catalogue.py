@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import bpe_prefix, media, token_spans
+from tallyframe.llm import bpe_prefix, line_dedup, media, packing, token_spans
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,8 +14,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_media_columns": media.op1_media_columns,
         "op2_token_counts": token_spans.op2_token_counts,
         "op6_bpe_prefix": bpe_prefix.op6_bpe_prefix,
+        "op7_line_dedup": line_dedup.op7_line_dedup,
+        "op8_packing": packing.op8_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op7_line_dedup": line_dedup.OP7_SQL,
+    }
