@@ -127,16 +127,30 @@ def combinations(size: int, depth: int) -> list[tuple[int, ...]]:
     return out
 
 
-def non_negative_least_squares(a: np.ndarray, b: np.ndarray, steps: int = 2000) -> np.ndarray:
-    """x >= 0 that (nearly) minimizes |a x - b|, by accelerated projected gradients."""
-    x = y = np.zeros(a.shape[1])
-    v = np.ones(a.shape[1])
+def non_negative_least_squares(classes: np.ndarray, scale: np.ndarray, target: np.ndarray, steps: int = 1500) -> np.ndarray:
+    """x >= 0 that (nearly) minimizes |scale * (a x) - target|, by accelerated projected gradients.
+
+    ``a`` counts each class in each combination; it is given by ``classes``, a row of class places for each
+    combination (filled up with len(target)), so that a step costs as much as there are entries.
+    """
+    n, depth = classes.shape
+    weight = np.append(scale, 0.0)
+    flat = classes.ravel()
+
+    def forward(x: np.ndarray) -> np.ndarray:
+        return np.bincount(flat, np.repeat(x, depth), len(target) + 1)[:-1] * scale
+
+    def back(r: np.ndarray) -> np.ndarray:
+        return (weight * np.append(r, 0.0))[classes].sum(1)
+
+    v = np.ones(n)
     for _ in range(50):
-        v = a.T @ (a @ v)
+        v = back(forward(v))
         v /= np.linalg.norm(v)
-    rate, t = 1 / (np.linalg.norm(a @ v) ** 2 * 1.05), 1.0
+    rate, t = 1 / (np.linalg.norm(forward(v)) ** 2 * 1.05), 1.0
+    x = y = np.zeros(n)
     for _ in range(steps):
-        new = np.maximum(0, y - rate * (a.T @ (a @ y - b)))
+        new = np.maximum(0, y - rate * back(forward(y) - target))
         if (y - new) @ (new - x) > 0:
             t = 1.0
         after = (1 + (1 + 4 * t * t) ** 0.5) / 2
@@ -151,12 +165,9 @@ def plan_patterns(histogram: np.ndarray, depth: int = 3) -> list[tuple[tuple[int
     choices = [c for c in combinations(size, depth) if all(left[k] for k in c)]
     out: list[tuple[tuple[int, ...], int]] = []
     if choices:
-        a = np.zeros((size, len(choices)))
-        for j, c in enumerate(choices):
-            for k in c:
-                a[k - 1, j] += 1
+        classes = np.array([[k - 1 for k in c] + [size] * (depth - len(c)) for c in choices])
         scale = 1 / np.sqrt(np.maximum(1, np.asarray(histogram, float)))
-        x = non_negative_least_squares(a * scale[:, None], np.asarray(histogram, float) * scale)
+        x = non_negative_least_squares(classes, scale, np.asarray(histogram, float) * scale)
         for j in np.argsort(-x, kind="stable"):
             c = choices[j]
             n = min([round(float(x[j])), *(left[k] // c.count(k) for k in set(c))])
