@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import bpe_prefix, line_dedup, media, packing, token_spans
+from tallyframe.llm import bpe_prefix, line_dedup, media, packing, token_spans, url_trees
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_bpe_prefix": bpe_prefix.op6_bpe_prefix,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_packing": packing.op8_packing,
+        "op9_url_trees": url_trees.op9_url_trees,
     }
 
 
