@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import bpe_prefix, line_dedup, media, packing, token_spans, url_trees
+from tallyframe.llm import bpe_prefix, line_dedup, media, packing, token_spans, url_trees, warc_index
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,10 +17,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_packing": packing.op8_packing,
         "op9_url_trees": url_trees.op9_url_trees,
+        "op10_warc_index": warc_index.op10_warc_index,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op7_line_dedup": line_dedup.OP7_SQL,
+        "op10_warc_index": warc_index.OP10_SQL,
     }
