@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import bpe_prefix, line_dedup, media, packing, token_spans, toxicity, url_trees, warc_index
+from tallyframe.llm import ann_bits, bpe_prefix, line_dedup, media, packing, token_spans, toxicity, url_trees, warc_index
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_media_columns": media.op1_media_columns,
         "op2_token_counts": token_spans.op2_token_counts,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op5_ann_bits": ann_bits.op5_ann_bits,
         "op6_bpe_prefix": bpe_prefix.op6_bpe_prefix,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_packing": packing.op8_packing,
