@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import ann_bits, bpe_prefix, line_dedup, media, packing, token_spans, toxicity, url_trees, warc_index
+from tallyframe.llm import ann_bits, bpe_prefix, jaccard_join, line_dedup, media, packing, token_spans, toxicity, url_trees, warc_index
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media_columns": media.op1_media_columns,
         "op2_token_counts": token_spans.op2_token_counts,
+        "op3_jaccard_join": jaccard_join.op3_jaccard_join,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_ann_bits": ann_bits.op5_ann_bits,
         "op6_bpe_prefix": bpe_prefix.op6_bpe_prefix,
