@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled (nnPU) learning in numpy.
 
-Confirmed toxic texts (P) and texts without regard to any label (U) train a linear classifier over the presence
-of character n-grams. Its risk is ``prior * R_P+ + max(0, R_U- - prior * R_P-)``: what U says about clean texts,
+Confirmed toxic texts (P) and texts without regard to any label (U) train a linear classifier over how
+many different words hold a character n-gram (at least 1, 2, 3 or 5: one feature each). Its risk is ``prior * R_P+ + max(0, R_U- - prior * R_P-)``: what U says about clean texts,
 corrected by the share of toxic ones in U; where the corrected term falls below zero, only it is pushed back up.
 
 Training rows are bounded samples by the hash of the document id (``max_positives``, ``max_unlabelled``); the
@@ -15,8 +15,9 @@ text every score is the smoothed prior; an empty table gives no rows.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,10 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.storage import slices
 
-SIZES = (3, 4, 5, 6)
+LEVELS = (1, 2, 3, 5)
+HEADS = range(3, 10)
+INNER = (4, 6)
+WORD = re.compile(r"\w+")
 CACHED = 400_000
 #: Log-likelihood gain that an n-gram must show, so that few positives don't make features of chance.
 EVIDENCE = 12.0
@@ -34,8 +38,13 @@ PURITY = 0.6
 
 
 def grams(run: str) -> set[str]:
-    """Character n-grams of one run of non-space characters; the run itself if it is shorter."""
-    return {run[i : i + n] for n in SIZES for i in range(len(run) - n + 1)} or {run}
+    """Of each word in a run of non-space characters: itself, its beginnings (marked ^) and inner n-grams."""
+    out = set()
+    for word in WORD.findall(run) or [run]:
+        out.add(f"^{word}$")
+        out.update([f"^{word[:n]}" for n in HEADS if n < len(word)])
+        out.update([word[i : i + n] for n in INNER for i in range(len(word) - n + 1)])
+    return out
 
 
 def nnpu_fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -61,11 +70,15 @@ def nnpu_fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
 
 
 class ToxicityModel:
-    """Chosen n-grams with weights, and a bias."""
-
-    def __init__(self, weights: dict[str, float], bias: float) -> None:
-        self.ids = {g: i for i, g in enumerate(weights)}
-        self.weights = np.array(list(weights.values()), float)
+    """Chosen (n-gram, level) features with weights, and a bias."""
+
+    def __init__(self, weights: dict[tuple[str, int], float], bias: float) -> None:
+        self.ids = {g: i for i, g in enumerate(dict.fromkeys(g for g, _ in weights))}
+        by_level = np.zeros((len(self.ids), len(LEVELS)))
+        for (g, level), w in weights.items():
+            by_level[self.ids[g], level] = w
+        #: What n words with the n-gram add, for n from 0 to the last level.
+        self.adds = [[0.0] + [float(by_level[i, [k for k, n in enumerate(LEVELS) if n <= count]].sum()) for count in range(1, LEVELS[-1] + 1)] for i in range(len(self.ids))]
         self.bias = bias
         self.known: dict[str, tuple[int, ...]] = {}
 
@@ -81,37 +94,38 @@ class ToxicityModel:
         return got
 
     def score(self, text: str | None) -> float:
-        known, present = self.known, set()
-        for run in (text or "").lower().split():
+        known, counts = self.known, Counter()
+        for run in set((text or "").lower().split()):
             got = known.get(run)
-            present.update(self.found(run) if got is None else got)
-        g = self.bias + (float(self.weights[sorted(present)].sum()) if present else 0.0)
+            if got is None:
+                got = self.found(run)
+            if got:
+                counts.update(got)
+        g = self.bias + sum([self.adds[i][min(counts[i], LEVELS[-1])] for i in sorted(counts)])
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, g))))
 
 
-def _gram_sets(rows: list[list[str]]) -> tuple[list[set[int]], dict[str, int]]:
-    """Each row's n-grams by number, and the numbers."""
-    ids: dict[str, int] = {}
-    by_run: dict[str, tuple[int, ...]] = {}
-    sets = []
-    for runs in rows:
-        own: set[int] = set()
-        for run in runs:
-            got = by_run.get(run)
-            if got is None:
-                got = tuple([ids.setdefault(g, len(ids)) for g in grams(run)])
-                by_run[run] = got
-            own.update(got)
-        sets.append(own)
-    return sets, ids
+def _levels(runs: str, grams_of: dict[str, tuple[int, ...]], number: Callable[[str], int | None]) -> list[int]:
+    """The (n-gram, level) features of a text's distinct runs, as number * len(LEVELS) + level; other n-grams have no number."""
+    counts: Counter[int] = Counter()
+    for run in runs.split("\n"):
+        got = grams_of.get(run)
+        if got is None:
+            got = grams_of[run] = tuple([i for g in grams(run) if (i := number(g)) is not None])
+        counts.update(got)
+    return [i * len(LEVELS) + k for i, n in counts.items() for k, level in enumerate(LEVELS) if n >= level]
 
 
-def fit(positive: list[list[str]], unlabelled: list[list[str]], prior: float, n_features: int = 1200) -> ToxicityModel:
-    """Train from the distinct runs of each text. Features: the n-grams whose share in P exceeds that in U the most."""
+def fit(positive: list[str], unlabelled: list[str], prior: float, n_features: int = 1200) -> ToxicityModel:
+    """Train from the distinct runs of each text, joined by line ends. Features: those whose share in P exceeds that in U the most."""
     if not positive or not unlabelled:
         return ToxicityModel({}, math.log(prior / (1 - prior)))
-    sets, ids = _gram_sets(positive + unlabelled)
-    in_p, in_u = Counter(i for s in sets[: len(positive)] for i in s), Counter(i for s in sets[len(positive) :] for i in s)
+    ids: dict[str, int] = {}
+    known: dict[str, tuple[int, ...]] = {}
+    in_p = Counter(i for t in positive for i in _levels(t, known, lambda g: ids.setdefault(g, len(ids))))
+    ids = {g: i for g, i in ids.items() if in_p[i * len(LEVELS)] >= 3}  # n-grams that can't be chosen are not counted in U
+    known = {}
+    in_u = Counter(i for t in unlabelled for i in _levels(t, known, ids.get))
     n_p, n_u = len(positive), len(unlabelled)
 
     def gain(i: int) -> float:
@@ -120,16 +134,18 @@ def fit(positive: list[list[str]], unlabelled: list[list[str]], prior: float, n_
 
     good = sorted((i for i, n in in_p.items() if n >= 3 and prior * n * n_u >= PURITY * in_u[i] * n_p and n_p * gain(i) >= EVIDENCE), key=lambda i: (-gain(i), i))[:n_features]
     column = {i: j for j, i in enumerate(good)}
-    x = np.zeros((len(sets), len(good)), np.uint8)
-    for r, s in enumerate(sets):
-        x[r, [column[i] for i in s if i in column]] = 1
+    chosen = {i // len(LEVELS) for i in good}
+    ids, known = {g: i for g, i in ids.items() if i in chosen}, {}
+    x = np.zeros((n_p + n_u, len(good)), np.uint8)
+    for r, text in enumerate([*positive, *unlabelled]):
+        x[r, [column[i] for i in _levels(text, known, ids.get) if i in column]] = 1
     w, bias = nnpu_fit(x[:n_p], x[n_p:], prior)
-    names = {i: g for g, i in ids.items() if i in column}
-    return ToxicityModel({names[i]: float(w[j]) for i, j in column.items()}, bias)
+    names = {i: g for g, i in ids.items()}
+    return ToxicityModel({(names[i // len(LEVELS)], i % len(LEVELS)): float(w[j]) for i, j in column.items()}, bias)
 
 
-def _runs_of(docs: DataFrame, ids: DataFrame) -> list[list[str]]:
-    """The distinct lower-case runs of the texts of ``ids``, a bounded table."""
+def _runs_of(docs: DataFrame, ids: DataFrame) -> list[str]:
+    """The distinct lower-case runs of the texts of ``ids``, a bounded table; those of a text are joined by line ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -137,7 +153,7 @@ def _runs_of(docs: DataFrame, ids: DataFrame) -> list[list[str]]:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(joined, pa.string())], ["doc_id", "runs"])
 
     rows = docs.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(run, "doc_id long, runs string").collect()
-    return [r["runs"].split("\n") if r["runs"] else [] for r in sorted(rows, key=lambda r: (r["doc_id"], r["runs"]))]
+    return [r["runs"] for r in sorted(rows, key=lambda r: (r["doc_id"], r["runs"]))]
 
 
 def sample_ids(ids: DataFrame, most: int, seed: int) -> list[tuple[int]]:
