@@ -149,10 +149,11 @@ def coalesce_ranges(spans: list[tuple[int, int]], max_gap: int = MAX_GAP, max_re
     return out
 
 
-def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
+def read_records(index: DataFrame, payloads: bool = True, task_bytes: int = 32 << 20) -> DataFrame:
     """Parse the records of the selected index rows: page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to.
 
-    A task gets index rows sorted by file and offset (range partitioning keeps neighbours together). With
+    A task gets index rows for about ``task_bytes`` of archives, sorted by file and offset (range partitioning keeps
+    neighbours together; their number follows what they point at, not the size of the index). With
     ``payloads=False`` the payload is read and checked but not returned.
     """
     folder_of = index.select("folder", "file", "offset", "length")
@@ -187,7 +188,9 @@ def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
         if source:
             source.close()
 
-    ordered = folder_of.repartitionByRange(F.col("file"), F.col("offset")).sortWithinPartitions("file", "offset")
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    n_tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-total // task_bytes))
+    ordered = folder_of.repartitionByRange(n_tasks, F.col("file"), F.col("offset")).sortWithinPartitions("file", "offset")
     return ordered.mapInArrow(run, schema)
 
 
