@@ -18,13 +18,14 @@ counts once for it; a document whose lines all go keeps the empty text; an empty
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallyframe.llm.storage import materialize, slices
 
@@ -34,6 +35,7 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 GAMMA = 2.0
 SHARD_KEYS = 1 << 16
 BROADCAST_LIMIT = 64 << 20
+Dropped = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 def line_key(line: bytes) -> bytes:
@@ -161,116 +163,132 @@ def shard_of(h: np.ndarray, n_shards: int) -> np.ndarray:
     return ((h >> np.uint64(40)) % np.uint64(n_shards)).astype(np.int64)
 
 
-def _drop(batch: pa.RecordBatch, dropped_of, min_chars: int, texts: bool) -> pa.RecordBatch:
-    """dropped_of(hashes of all lines, index of each line's document) -> mask."""
-    raws = [r or b"" for r in batch.column(1).to_pylist()]
-    lines = [r.split(b"\n") for r in raws]
+def cut_lines(raws: list[bytes | None], dropped_of: Dropped, min_chars: int) -> tuple[list[int], list[int], list[bytes]]:
+    """Lines, dropped lines and what is kept of each text. dropped_of: (hashes of all lines, index of each line's text) -> mask."""
+    lines = [(r or b"").split(b"\n") for r in raws]
     keys = [[line_key(x) for x in ls] for ls in lines]
-    flat = np.array([key_hash(k) if long_enough(k, min_chars) else 0 for ks in keys for k in ks], np.int64)
     eligible = np.array([long_enough(k, min_chars) for ks in keys for k in ks], bool)
+    flat = np.array([key_hash(k) for ks in keys for k in ks], np.int64)
     owner = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
     gone = dropped_of(flat, owner) & eligible
-    out: list[list] = [[], [], []]
-    at = 0
+    dropped, kept, at = [], [], 0
     for ls in lines:
         mask = gone[at : at + len(ls)]
         at += len(ls)
-        kept = b"\n".join([x for x, g in zip(ls, mask, strict=True) if not g]) if mask.any() else b"\n".join(ls)
-        out[0].append(len(ls))
-        out[1].append(int(mask.sum()))
-        out[2].append(kept if texts else hashlib.sha256(kept).hexdigest())
-    kind = pa.binary() if texts else pa.string()
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], kind)], ["doc_id", "n_lines", "n_dropped", "kept"])
-
-
-def dedup_lines(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    min_docs: int = 10,
-    min_chars: int = 1,
-    broadcast_limit: int = BROADCAST_LIMIT,
-    digest: bool = False,
-) -> DataFrame:
+        dropped.append(int(mask.sum()))
+        kept.append(b"\n".join([x for x, g in zip(ls, mask, strict=True) if not g]))
+    return [len(x) for x in lines], dropped, kept
+
+
+class LineIndex:
+    """The stored shards of the frequent lines of ``docs``, and the two ways to probe them."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_chars: int, broadcast_limit: int) -> None:
+        self.id_col, self.text_col, self.min_docs, self.min_chars = id_col, text_col, min_docs, min_chars
+        frequent = materialize(count_lines(docs, id_col, text_col, min_chars).where(F.col("docs") >= min_docs), "line-counts")
+        self.n_shards = max(1, -(-frequent.count() // SHARD_KEYS))
+        self.shards = materialize(build_shards(frequent, self.n_shards), "line-index")
+        self.small = (self.shards.agg(F.sum(F.length("index"))).first()[0] or 0) <= broadcast_limit
+
+    def over(self, rows: DataFrame, make: Callable[[pa.RecordBatch, tuple], pa.RecordBatch], schema: str | StructType) -> DataFrame:
+        """Map batches of ``rows`` with ``make(batch, cut_lines(...))``; rows hold the id and the text."""
+        names, text_at = rows.columns, rows.columns.index(self.text_col)
+        min_docs, min_chars, n_shards = self.min_docs, self.min_chars, self.n_shards
+
+        def raw(batch: pa.RecordBatch) -> list[bytes | None]:
+            return batch.column(text_at).cast(pa.binary()).to_pylist()
+
+        if self.small:
+            blobs = rows.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["index"]) for r in self.shards.collect()})  # its size is checked
+
+            def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                index = {s: PerfectHash.from_bytes(b) for s, b in blobs.value.items()}
+
+                def dropped(flat: np.ndarray, owner: np.ndarray) -> np.ndarray:
+                    h = flat.view(np.uint64)
+                    gone, shard = np.zeros(len(h), bool), shard_of(h, n_shards)
+                    for s, part in index.items():
+                        mine = np.flatnonzero(shard == s)
+                        gone[mine] = part.count_of(h[mine]) >= min_docs
+                    return gone
+
+                for batch in slices(batches):
+                    yield make(batch, cut_lines(raw(batch), dropped, min_chars))
+
+            return rows.mapInArrow(probe, schema)
+
+        lists = self.hits(rows).groupBy("of_doc").agg(F.collect_list("h").alias("gone_lines"))
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                sets = [set(x or ()) for x in batch.column(len(names)).to_pylist()]
+
+                def dropped(flat: np.ndarray, owner: np.ndarray, sets=sets) -> np.ndarray:
+                    return np.array([h in sets[o] for h, o in zip(flat.tolist(), owner.tolist(), strict=True)], bool)
+
+                yield make(batch.select(names), cut_lines(raw(batch), dropped, min_chars))
+
+        met = rows.join(lists, F.col(self.id_col).cast("long").eqNullSafe(F.col("of_doc")), "left")
+        return met.select(*[rows[c] for c in names], "gone_lines").mapInArrow(cut, schema)
+
+    def hits(self, rows: DataFrame) -> DataFrame:
+        """(of_doc, h) of the frequent lines of each document, found at the shards.
+
+        For an index above the broadcast limit: a document's distinct hashes go to salted copies of their shards, by
+        document, so that one line that a third of all documents hold does not meet in one task.
+        """
+        n_shards, min_docs, min_chars = self.n_shards, self.min_docs, self.min_chars
+        salts = max(16, rows.count() // (n_shards * 20_000))
+
+        def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                ids, got = [], []
+                for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    own = {key_hash(k) for k in map(line_key, (raw or b"").split(b"\n")) if long_enough(k, min_chars)}
+                    ids += [doc_id] * len(own)
+                    got += own
+                h = np.array(got, np.int64)
+                cell = shard_of(h.view(np.uint64), n_shards) * salts + np.array([(i or 0) % salts for i in ids], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(h), pa.array(cell)], ["of_doc", "h", "cell"])
+
+        def probe(_: tuple, asked: pa.Table, copy: pa.Table) -> pa.Table:
+            if not copy.num_rows or not asked.num_rows:
+                return pa.table({"of_doc": pa.array([], pa.int64()), "h": pa.array([], pa.int64())})
+            h = asked.column("h").to_numpy()
+            hit = PerfectHash.from_bytes(copy.column("index")[0].as_py()).count_of(h.view(np.uint64)) >= min_docs
+            return pa.table({"of_doc": asked.column("of_doc").filter(pa.array(hit)), "h": pa.array(h[hit])})
+
+        asked = _documents(rows, self.id_col, self.text_col).mapInArrow(hashes, "of_doc long, h long, cell long")
+        copies = self.shards.select(F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "shard", "index").select((F.col("shard") * salts + F.col("salt")).cast("long").alias("cell"), "index")
+        return asked.groupBy("cell").cogroup(copies.groupBy("cell")).applyInArrow(probe, "of_doc long, h long")
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, broadcast_limit: int = BROADCAST_LIMIT, digest: bool = False) -> DataFrame:
     """doc_id, n_lines, n_dropped and ``kept``: the text without the lines that at least ``min_docs`` documents share.
 
     ``digest`` returns the kept text's SHA-256 instead of the text.
     """
-    spark = docs.sparkSession
-    frequent = materialize(count_lines(docs, id_col, text_col, min_chars).where(F.col("docs") >= min_docs), "line-counts")
-    n_keys = frequent.count()
-    n_shards = max(1, -(-n_keys // SHARD_KEYS))
-    shards = materialize(build_shards(frequent, n_shards), "line-index")
-    size = shards.agg(F.sum(F.length("index"))).first()[0] or 0
-    kind = "string" if digest else "binary"
-    schema = f"doc_id long, n_lines long, n_dropped long, kept {kind}"
-    if size <= broadcast_limit:
-        blobs = spark.sparkContext.broadcast({r["shard"]: bytes(r["index"]) for r in shards.collect()})
-
-        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = {s: PerfectHash.from_bytes(b) for s, b in blobs.value.items()}
-
-            def dropped(flat: np.ndarray, owner: np.ndarray) -> np.ndarray:
-                h = flat.view(np.uint64)
-                gone, shard = np.zeros(len(h), bool), shard_of(h, n_shards)
-                for s, part in index.items():
-                    mine = np.flatnonzero(shard == s) if n_shards > 1 else np.arange(len(h))
-                    gone[mine] = part.count_of(h[mine]) >= min_docs
-                return gone
+    index = LineIndex(docs, id_col, text_col, min_docs, min_chars, broadcast_limit)
 
-            for batch in slices(batches):
-                yield _drop(batch, dropped, min_chars, not digest)
+    def make(batch: pa.RecordBatch, cut: tuple) -> pa.RecordBatch:
+        lines, dropped, kept = cut
+        last = pa.array([hashlib.sha256(k).hexdigest() for k in kept] if digest else [k.decode() for k in kept], pa.string())
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), last], ["doc_id", "n_lines", "n_dropped", "kept"])
 
-        out = _documents(docs, id_col, text_col).mapInArrow(probe, schema)
-    else:
-        out = _probe_at_shards(docs, shards, id_col, text_col, min_docs, min_chars, n_shards, digest, schema)
-    return out if digest else out.withColumn("kept", F.col("kept").cast("string"))
+    slim = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col))
+    return index.over(slim, make, "doc_id long, n_lines long, n_dropped long, kept string")
 
 
-def _probe_at_shards(docs: DataFrame, shards: DataFrame, id_col: str, text_col: str, min_docs: int, min_chars: int, n_shards: int, digest: bool, schema: str) -> DataFrame:
-    """The way for an index above the broadcast limit: (document, hash) rows go to salted copies of their shard.
+def replace_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
+    """``docs`` with all its rows and columns, the shared lines gone from the text; a null text stays null."""
+    index = LineIndex(docs, id_col, text_col, min_docs, min_chars, broadcast_limit)
+    at = docs.columns.index(text_col)
 
-    A document's distinct hashes are spread over ``salts`` copies of each shard by document, so that one line that
-    a third of all documents hold does not meet in one task; what is dropped returns as one list for each document.
-    """
-    salts = max(16, docs.count() // (n_shards * 20_000))
-
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            ids, got = [], []
-            for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = {key_hash(k) for k in map(line_key, (raw or b"").split(b"\n")) if long_enough(k, min_chars)}
-                ids += [doc_id] * len(own)
-                got += own
-            h = np.array(got, np.int64)
-            cell = shard_of(h.view(np.uint64), n_shards) * salts + np.array([(i or 0) % salts for i in ids], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(h), pa.array(cell)], ["doc_id", "h", "cell"])
-
-    def probe(_: tuple, rows: pa.Table, right: pa.Table) -> pa.Table:
-        if not right.num_rows or not rows.num_rows:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "h": pa.array([], pa.int64())})
-        index = PerfectHash.from_bytes(right.column("index")[0].as_py())
-        h = rows.column("h").to_numpy()
-        hit = index.count_of(h.view(np.uint64)) >= min_docs
-        return pa.table({"doc_id": rows.column("doc_id").filter(pa.array(hit)), "h": pa.array(h[hit])})
-
-    slim = _documents(docs, id_col, text_col)
-    asked = slim.mapInArrow(hashes, "doc_id long, h long, cell long")
-    copies = shards.select(F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "shard", "index").select((F.col("shard") * salts + F.col("salt")).cast("long").alias("cell"), "index")
-    hits = asked.groupBy("cell").cogroup(copies.groupBy("cell")).applyInArrow(probe, "doc_id long, h long")
-    lists = hits.groupBy("doc_id").agg(F.collect_list("h").alias("gone"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            lists_of = [set(x or ()) for x in batch.column(2).to_pylist()]
-
-            def dropped(flat: np.ndarray, owner: np.ndarray) -> np.ndarray:
-                return np.array([h in lists_of[o] for h, o in zip(flat.tolist(), owner.tolist(), strict=True)], bool)
-
-            yield _drop(batch, dropped, min_chars, not digest)
-
-    found = lists.withColumnRenamed("doc_id", "of_doc")
-    return slim.join(found, F.col("doc_id").eqNullSafe(F.col("of_doc")), "left").select("doc_id", "raw", "gone").mapInArrow(cut, schema)
+    def make(batch: pa.RecordBatch, cut: tuple) -> pa.RecordBatch:
+        kept = [None if not t.is_valid else k.decode() for t, k in zip(batch.column(at), cut[2], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(kept, batch.schema.field(at).type) if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
+
+    return index.over(docs, make, docs.schema)
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
