@@ -4,8 +4,8 @@ Every vector is divided by its norm, rotated by one random orthogonal matrix, an
 coordinates (packed bits) plus two scalars: its norm and the inner product of the unit vector with its code. A
 query is rotated too and rounded to ``planes`` bits a coordinate, so that its inner product with a code is a sum
 of popcounts. Dividing by the second scalar makes that an unbiased estimate of the true inner product, and the
-scalar also bounds its error. A vector is reranked, with the exact inner product in double precision, unless its
-upper bound lies below the lower bound of the query's k-th best.
+scalar also bounds its error. The k best estimates are reranked with exact inner products in double precision, and
+then every vector whose upper bound reaches the worst of these.
 
 Queries go out in blocks of ``block`` rows (a bounded broadcast); each block passes over all rows once, every task
 returns its best k for each query of the block, and these are merged by query. Exact copies of a vector share one
@@ -49,20 +49,22 @@ class BitCodes:
         self.norm = np.linalg.norm(vectors, axis=1)
         unit = (vectors / self.norm[:, None]) @ turn
         self.code = pack_signs(unit)
+        self.words = np.ascontiguousarray(self.code.T)  # a row for each 64 coordinates
         self.ones = np.bitwise_count(self.code).sum(1).astype(np.float32)
         self.along = np.abs(unit).sum(1) / np.sqrt(self.dim)
         self.spread = np.sqrt(np.maximum(0, 1 - self.along**2)) / self.along / np.sqrt(max(1, self.dim - 1))
 
-    def bounds(self, query: np.ndarray, turn: np.ndarray, planes: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    def bounds(self, query: np.ndarray, turn: np.ndarray, planes: int = 4) -> tuple[np.ndarray, np.ndarray]:
         """Estimated inner products of one query with all rows, and the half-width of the error bound."""
         q = query @ turn
         low, high = q.min(), q.max()
         step = (high - low) / (2**planes - 1) or 1.0
         whole = np.rint((q - low) / step).astype(np.int64)
-        weighted = np.zeros(len(self.code), np.float32)
+        weighted = np.zeros(len(self.code), np.int32)
         for b in range(planes):
             plane = pack_signs(((whole >> b) & 1)[None, :])[0]
-            weighted += np.float32(1 << b) * np.bitwise_count(self.code & plane).sum(1, dtype=np.uint16)
+            for word, mask in zip(self.words, plane, strict=True):
+                weighted += np.left_shift(np.bitwise_count(word & mask), b, dtype=np.int32)
         # sum of sign_i * q_i with sign_i = 2 * bit_i - 1 and q_i = low + step * whole_i
         signed = 2 * (step * weighted + low * self.ones) - q_sum(low, step, whole)
         size = np.linalg.norm(query)
@@ -78,7 +80,7 @@ def q_sum(low: float, step: float, whole: np.ndarray) -> float:
 
 def exact_products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Inner products in double precision, each row summed in the same order whatever stands around it."""
-    return (vectors.astype(np.float64) * query.astype(np.float64)).sum(1)
+    return (vectors * query).sum(1)
 
 
 def _clean(ids: pa.Array, vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,20 +109,33 @@ def _first_copies(ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndar
 
 
 def best_of(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, turn: np.ndarray) -> list[tuple[int, int, float]]:
-    """(query id, id, inner product) of each query's k best among the rows, found by codes and reranked exactly."""
+    """(query id, id, inner product) of each query's k best among the rows, found by codes and reranked exactly.
+
+    The rows with the k largest estimates are reranked first; their worst exact product is a floor that every other
+    row's upper bound must reach to be reranked too.
+    """
     if not len(ids):
         return []
     codes, out = BitCodes(vectors, turn), []
-    for query_id, query in zip(query_ids, queries, strict=True):
+    at = {}
+    for i, own in enumerate(ids.tolist()):
+        at.setdefault(own, []).append(i)
+    for query_id, query in zip(query_ids.tolist(), queries, strict=True):
         estimate, slack = codes.bounds(query, turn)
-        lower = estimate - slack
-        lower[ids == query_id] = -np.inf
-        n = min(k, len(ids))
-        floor = np.partition(lower, len(lower) - n)[len(lower) - n]
-        near = np.flatnonzero((estimate + slack >= floor) & (ids != query_id))
+        upper = estimate + slack
+        own = at.get(query_id, [])
+        estimate[own], upper[own] = -np.inf, -np.inf
+        n = min(k, len(ids) - len(own))
+        if not n:
+            continue
+        first = np.argpartition(estimate, len(estimate) - n)[len(estimate) - n :]
+        floor = exact_products(vectors[first], query).min()
+        hopeful = upper >= floor
+        hopeful[first] = True
+        near = np.flatnonzero(hopeful)
         score = exact_products(vectors[near], query)
         top = np.lexsort((ids[near], -score))[:k]
-        out += [(int(query_id), int(ids[near[j]]), float(score[j])) for j in top]
+        out += zip([query_id] * len(top), ids[near[top]].tolist(), score[top].tolist(), strict=True)
     return out
 
 
