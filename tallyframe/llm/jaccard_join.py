@@ -12,10 +12,11 @@ Every document becomes a set of shingles (64-bit hashes of n words). Two sets li
 - The boundary between the two is where enumerating costs more rows than parts do (``light_limit``).
 
 What meets in a list is only a candidate; every link is verified on the whole sets. Components do not need all
-links: candidates are first verified against the smallest member of their lists; lists whose members then still
-belong to several components are verified pair by pair, short ones as rows, long ones in blocks of ``BLOCK``
-members whose intersections are counted at once and of which only a spanning forest is returned. So no link
-between different texts is lost and no group is expanded into all its pairs.
+links: every set is first verified against the smallest member of most of its lists. Lists whose members then still
+belong to several components are open. Open lists that overlap closely are put together into one cluster where that
+costs less than going through each of them. Members of a cluster or list are verified pair by pair, few of them as
+rows, many in blocks of ``BLOCK`` members whose intersections are counted at once and of which only a spanning
+forest is returned. So no link between different texts is lost and no group is expanded into all its pairs.
 
 Defined cases: words are runs of anything but ``[\\x20\\x09-\\x0D]``, A-Z lower-cased; with fewer words than n the
 whole sequence is one shingle; null or empty texts, or texts without words, have an empty set and link with
@@ -43,9 +44,9 @@ from tallyframe.llm.storage import materialize, slices
 CACHED = 500_000
 #: Rows that a part costs, in rows that a subset costs: its list is longer and is scanned.
 SCAN_COST = 4
-SHORT_LIST = 6
-BLOCK = 384
-BROADCAST_IDS = 1_000_000
+SHORT_LIST = 4
+BLOCK = 512
+BROADCAST_IDS = 500_000
 SALTS = 16
 
 
@@ -72,8 +73,8 @@ def shingle_set(raw: bytes | None, n: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         out = np.full(len(h) - width + 1, width, np.uint64)
         for i in range(width):
-            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - width + 1 + i], 3)
-    return np.unique(out)
+            out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - width + 1 + i]
+    return np.unique(mix(out, 3))
 
 
 def set_key(shingles: np.ndarray) -> int:
@@ -253,19 +254,23 @@ def stored_sets(texts: DataFrame, sizes: DataFrame, wanted: DataFrame, n: int) -
     """(key, shingles) of the wanted keys, from one document each. Few ids are broadcast, many are joined."""
     ids = sizes.join(wanted.select("key").distinct(), "key").groupBy("key").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     ids = materialize(ids, "set-ids")
-    few = ids.count() <= BROADCAST_IDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [shingle_set(r, n) for r in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "shingles"])
 
-    chosen = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").where(F.length("raw") > 0)
-    return materialize(chosen.select("doc_id", "raw").mapInArrow(run, "key long, shingles binary").dropDuplicates(["key"]), "sets")
+    chosen = texts.join(_small(ids), "doc_id", "left_semi").where(F.length("raw") > 0)
+    return materialize(chosen.select("doc_id", "raw").mapInArrow(run, "key long, shingles binary"), "sets")
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """``rows`` (a stored table of ids), to be broadcast if its size allows; else it is joined over a shuffle."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
 
 
 def verified(pairs: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
-    """Those of (a, b) that link."""
+    """Those of (a, b), a stored table, that link. The sets of a travel to those of b once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2048):
@@ -273,16 +278,36 @@ def verified(pairs: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
             hit = pa.array([links(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), scheme) for x, y in zip(left, right, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(hit), batch.column(1).filter(hit)], ["a", "b"])
 
-    left = sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    left = sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")).join(_small(pairs), "a")
+    ends = materialize(pairs.select("b").distinct(), "pair-ends")
+    right = sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")).join(_small(ends), "b", "left_semi")
+    return left.join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
 
+def _open_lists(lists: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
+    """(list, key, low, label, members): entries of the lists whose members belong to two components or more.
 
-def _open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """(list, key, label, members): entries of the lists whose members belong to two components or more."""
-    named = lists.select("list", "key").join(labels.withColumnRenamed("node", "key"), "key", "left").select("list", "key", F.coalesce("label", "key").alias("label"))
+    Lists of two members that were verified already are left out.
+    """
+    named = lists.join(labels.withColumnRenamed("node", "key"), "key", "left").select("list", "key", "low", F.coalesce("label", "key").alias("label"))
     several = named.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo < hi").select("list", "members")
-    return named.join(several, "list")
+    entries = materialize(named.join(several, "list"), "open-lists")
+    done = entries.where("members = 2 AND key <> low").join(tested.select(F.col("a").alias("key"), F.col("b").alias("low")), ["key", "low"], "left_semi").select("list")
+    return entries.join(done, "list", "left_anti")
+
+
+def _clustered(entries: DataFrame) -> DataFrame:
+    """(list, key, label, members) with closely overlapping lists put together; the least number of pairs decides."""
+    entries = materialize(entries, "entries")
+    clusters = connected_components(entries.select(F.col("key").alias("a"), F.col("low").alias("b")))
+    named = entries.join(clusters.select(F.col("node").alias("key"), F.col("label").alias("cluster")), "key")
+    members = named.select("cluster", "key", "label").distinct()
+    pairs_of_lists = named.groupBy("cluster").agg(F.sum("members").alias("list_pairs"))
+    sized = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("members")).join(pairs_of_lists, "cluster")
+    sized = sized.withColumn("tight", F.col("members") * F.col("members") <= 4 * F.col("list_pairs"))
+    whole = members.join(sized.where("tight").select("cluster", "members"), "cluster").select(F.col("cluster").alias("list"), "key", "label", "members")
+    apart = named.join(sized.where("NOT tight").select("cluster"), "cluster", "left_semi").select("list", "key", "label", "members")
+    return whole.unionByName(apart)
 
 
 def _block_links(entries: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
@@ -305,16 +330,15 @@ def link_components(texts: DataFrame, sizes: DataFrame, n: int, scheme: Scheme)
     lists = materialize(inverted_lists(texts, n, scheme), "lists")
     sets = stored_sets(texts, sizes, lists, n)
     votes = lists.where("key <> low").groupBy(F.col("key").alias("a"), F.col("low").alias("b")).count()
-    best = Window.partitionBy("a").orderBy(F.desc("count"), "b")
-    first = materialize(votes.withColumn("nth", F.row_number().over(best)).where("nth <= 2").select("a", "b"), "pairs")
+    first = materialize(votes.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b")), "pairs")
     sure = materialize(verified(first, sets, scheme), "verified")
     labels = connected_components(sure)
-    open_lists = materialize(_open_lists(lists, labels), "open-lists")
-    short = open_lists.where(F.col("members") <= SHORT_LIST)
-    other = short.select("list", F.col("key").alias("b"), F.col("label").alias("lb"))
-    pairs = short.select("list", F.col("key").alias("a"), F.col("label").alias("la")).join(other, "list").where("a > b AND la <> lb").select("a", "b").distinct()
-    pairs = pairs.join(first, ["a", "b"], "left_anti")
-    more = verified(pairs, sets, scheme).unionByName(_block_links(open_lists.where(F.col("members") > SHORT_LIST), sets, scheme))
+    entries = materialize(_clustered(_open_lists(lists, labels, first)), "clusters")
+    few = entries.where(F.col("members") <= SHORT_LIST)
+    other = few.select("list", F.col("key").alias("b"), F.col("label").alias("lb"))
+    pairs = few.select("list", F.col("key").alias("a"), F.col("label").alias("la")).join(other, "list").where("a > b AND la <> lb").select("a", "b").distinct()
+    pairs = materialize(pairs.join(first, ["a", "b"], "left_anti"), "pairs")
+    more = verified(pairs, sets, scheme).unionByName(_block_links(entries.where(F.col("members") > SHORT_LIST), sets, scheme))
     more = materialize(more, "verified")
     return labels if more.isEmpty() else connected_components(sure.unionByName(more))
 
