@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ("metric_queries", "grading_queries", "resample_queries", "pairwise_queries")
+_MODULES = ("metric_queries", "grading_queries", "resample_queries", "pairwise_queries", "caseset_queries")
 
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
