@@ -86,7 +86,7 @@ def violations(cases: DataFrame) -> DataFrame:
 def gate_statistics(cases: DataFrame, duplicate_groups: int = 0, near_pairs: int = 0) -> DataFrame:
     """One row with all counts that the gate's rules read."""
     s = cases.where(~F.col("smoke_only"))
-    cell = s.groupBy("category", "difficulty").agg(F.count(F.lit(1)).alias("n"), F.count_if(non_surface()).alias("ns")).cache()
+    cell = s.groupBy("category", "difficulty").agg(F.count(F.lit(1)).alias("n"), F.count_if(non_surface()).alias("ns"))
     by_category = cell.where("category IS NOT NULL").groupBy("category").agg(F.sum("n").alias("n"), F.sum("ns").alias("ns"), *[F.sum(F.when(F.col("difficulty") == d, F.col("n")).otherwise(0)).alias(d) for d in DIFFICULTIES])
     eligible = F.col("n") >= MIN_CATEGORY
     per_category = by_category.agg(
