@@ -1,0 +1,89 @@
+"""Commands on case files: validate (summary, gate, manifest), plan and verify. Exit codes: 0 fine, 2 blocked."""
+
+from __future__ import annotations
+
+import argparse
+import json
+import os
+import sys
+
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+from tallyframe.operators import casesets, fingerprints, grading, planning
+from tallyframe.sources import jsonl
+
+
+def _session() -> SparkSession:
+    return SparkSession.builder.appName("tallyframe").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+
+
+def validate(args: argparse.Namespace) -> int:
+    spark = _session()
+    cases = jsonl.read_cases(spark, args.cases)
+    cases = cases.withColumns({"tier": grading.tier(cases), "checks": grading.configured_checks(cases), "fp": fingerprints.content_fingerprint(F.col("task"), F.col("constraints"))})
+    problems = [r.asDict() for r in jsonl.case_problems(cases).unionByName(casesets.violations(cases).select(F.col("case_index").alias("line"), F.col("rule").alias("problem"))).orderBy("line").collect()]
+    duplicates = casesets.exact_duplicates(cases.where(~F.col("smoke_only")), "fp").first()
+    stats = casesets.gate_statistics(cases, duplicates["groups"])
+    findings = [r.asDict() for r in casesets.gate_findings(stats, args.intended_use, "sha256" if args.manifest else None, bool(args.manifest)).orderBy("severity", "ordinal").collect()]
+    blocked = any(f["severity"] == "blocker" for f in findings) and args.gate
+    if args.manifest and not blocked and not problems:
+        rows = fingerprints.manifest_rows(cases.withColumn("case_json", F.col("raw")))
+        jsonl.write_json(args.manifest, {"algorithm": "sha256", "intendedUse": args.intended_use, "rows": [r.asDict() for r in rows.orderBy("case_index").collect()]}, (args.cases,))
+    print(json.dumps({"cases": cases.count(), "problems": problems, "findings": findings if args.gate else []}))
+    return 2 if blocked or problems else 0
+
+
+def plan(args: argparse.Namespace) -> int:
+    spark = _session()
+    budget = spark.createDataFrame([(0, args.max_tokens, 2, 1, 1, 0)], "request long, max_tokens long, max_candidates int, max_repairs int, prompt_tokens long, max_cost long")
+    prices = jsonl.read_prices(spark, args.prices)
+    n = jsonl.read_cases(spark, args.cases).count() * args.trials
+    calls = planning.planned_calls(budget, planning.call_shapes(spark))
+    rows = planning.preflight(calls, prices.withColumnRenamed("model", "role"), n)
+    breaches = planning.guard(rows, args.max_attempts, None)
+    print(json.dumps({"plan": [r.asDict() for r in rows.orderBy("mode", "stage").collect()], "breaches": breaches}))
+    return 2 if breaches else 0
+
+
+def verify(args: argparse.Namespace) -> int:
+    """Manifest rows against the cases."""
+    spark = _session()
+    manifest = jsonl.read_manifest(args.manifest)
+    cases = jsonl.read_cases(spark, args.cases)
+    cases = cases.withColumns({"tier": grading.tier(cases), "case_json": F.col("raw")})
+    was = spark.createDataFrame([(r["public_id"], r["row_digest"]) for r in manifest["rows"]], "public_id string, row_digest string")
+    found = [r.asDict() for r in fingerprints.locate_mismatches(was, fingerprints.manifest_rows(cases)).orderBy("public_id").collect()]
+    print(json.dumps({"mismatches": found}))
+    return 2 if found else 0
+
+
+def main(argv: list[str] | None = None) -> int:
+    parser = argparse.ArgumentParser(prog="tallyframe", description=__doc__)
+    commands = parser.add_subparsers(required=True)
+    one = commands.add_parser("validate-cases")
+    one.add_argument("cases")
+    one.add_argument("--gate", action="store_true")
+    one.add_argument("--intended-use", default="development", choices=["development", "holdout", "public_example"])
+    one.add_argument("--manifest")
+    one.set_defaults(run=validate)
+    two = commands.add_parser("plan")
+    two.add_argument("cases")
+    two.add_argument("prices")
+    two.add_argument("--trials", type=int, default=1)
+    two.add_argument("--max-tokens", type=int, default=4000)
+    two.add_argument("--max-attempts", type=int)
+    two.set_defaults(run=plan)
+    three = commands.add_parser("verify-manifest")
+    three.add_argument("cases")
+    three.add_argument("manifest")
+    three.set_defaults(run=verify)
+    args = parser.parse_args(argv)
+    for path in (args.cases,):
+        if not os.path.exists(path):
+            parser.error(f"no such file: {path}")
+    return args.run(args)
+
+
+if __name__ == "__main__":
+    sys.exit(main())
