@@ -69,14 +69,14 @@ def _number(spark, d):
 
 
 def _citations(spark, d):
-    n = table(spark, d, "nation").crossJoin(F.broadcast(table(spark, d, "region")))
-    body = F.concat(F.col("n_name"), F.lit(" grew [S"), F.col("n_regionkey").cast("string"), F.lit("]. "), F.col("r_name"), F.lit(" fell [S"), F.col("r_regionkey").cast("string"), F.when(F.col("n_nationkey") % 5 == 0, F.lit("")).otherwise(F.lit("].")))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), "s_name", (F.col("s_nationkey") % 5).alias("x"), (F.col("s_suppkey") % 4).alias("y"))
+    body = F.concat(F.col("s_name"), F.lit(" grew [S"), F.col("x").cast("string"), F.lit("]. It fell [S"), F.col("y").cast("string"), F.when(F.col("k") % 7 == 0, F.lit("")).otherwise(F.lit("].")))
     spec = {"allowedSourceIds": ["S0", "S1", "S2"], "requiredSourceIds": ["S1"], "minCitedSources": 2}
-    rows = G.grade(n.select((F.col("n_nationkey") * 10 + F.col("r_regionkey")).cast("long").alias("case_index"), body.alias("answer")).withColumn("citation_spec", F.lit(json.dumps(spec))))
+    rows = G.grade(s.select(F.col("k").alias("case_index"), body.alias("answer")).withColumn("citation_spec", F.lit(json.dumps(spec))))
     return rows.select("case_index", "passed", F.concat_ws(",", F.transform("checks", lambda c: F.concat(c["name"], F.lit("="), c["passed"].cast("string")))).alias("checks"))
 
 
-CITATIONS_SQL = """WITH t AS (SELECT CAST(n_nationkey * 10 + r_regionkey AS BIGINT) AS case_index, n_nationkey % 5 = 0 AS bad, n_regionkey AS x, r_regionkey AS y FROM nation, region),
+CITATIONS_SQL = """WITH t AS (SELECT s_suppkey AS case_index, s_suppkey % 7 = 0 AS bad, s_nationkey % 5 AS x, s_suppkey % 4 AS y FROM supplier),
 c AS (SELECT case_index, NOT bad AND x <= 2 AND y <= 2 AS ok, x = 1 OR (NOT bad AND y = 1) AS req, (x <= 2)::INT + (NOT bad AND y <= 2 AND y <> x)::INT >= 2 AS enough FROM t)
 SELECT case_index, ok AND req AND enough AS passed, 'citation_allowed_sources=' || ok || ',citation_required_source=' || req || ',citation_min_sources=' || enough AS checks FROM c"""
 
