@@ -162,3 +162,34 @@ def test_manifest_binding(spark):
     assert FP.binding({"algorithm": "sha256", "digest": digest, "intendedUse": "holdout"}, digest, False) == "sha256_holdout_rejected"
     assert FP.binding({"algorithm": "hmac-sha256", "digest": digest}, digest, False) == "hmac_key_required"
     assert FP.binding({"algorithm": "sha256", "digest": "0"}, digest, False) == "digest_mismatch"
+
+
+def test_metrics_do_not_depend_on_row_order(spark, configs):
+    """Permuting stored rows changes nothing while (case, trial, config) is unique."""
+    import random
+
+    rand = random.Random(4)
+    rows = [(c, t, k, "completed" if rand.random() < 0.8 else "failed", None, rand.random() < 0.5, c % 5 == 0, rand.randrange(99), rand.randrange(999)) for c in range(12) for t in range(2) for k in CONFIGS if rand.random() < 0.9]
+    one, two = attempts(spark, rows), attempts(spark, rand.sample(rows, len(rows)))
+    assert sorted(map(tuple, M.scorecard(one, configs).collect())) == sorted(map(tuple, M.scorecard(two, configs).collect()))
+    pairs = lambda a: sorted(map(tuple, M.paired_comparison(M.paired_outcomes(a, "direct", CONFIGS[1:])).collect()))
+    assert pairs(one) == pairs(two)
+
+
+def test_grader_rules():
+    from tallyframe.functions import structured as S
+
+    assert S.schema_problems({"type": "object", "additionalProperties": False, "properties": {"__proto__": {}}}) == ["bad_properties"]
+    assert S.schema_problems({"enum": []}) == ["bad_enum"] and S.schema_problems({"minimum": 2, "maximum": 1}) == ["bad_bounds"]
+
+
+def test_report_verifier_finds_changes(spark, golden, configs):
+    from tallyframe.operators import verifier as R
+
+    cases = golden.select("case_index", "smoke_only", "category").distinct().withColumns({"tier": F.lit("mixed"), "difficulty": F.lit("easy")})
+    report = R.build(golden, cases, configs)
+    assert R.verify(report, report.findings, CONFIGS).count() == 0
+    report.metrics = report.metrics.withColumn("wins", F.col("wins") + 1)
+    assert {r["code"] for r in R.verify(report, report.findings, CONFIGS).collect()} == {"case_metrics_mismatch"}
+    report.outcomes = report.outcomes.withColumn("secret", F.lit("x"))
+    assert [tuple(r) for r in R.verify(report, report.findings, CONFIGS).collect()] == [("outcomes_columns", "secret")]
