@@ -5,18 +5,23 @@ Every document becomes a set of shingles (64-bit hashes of n words). Two sets li
 
 - Light sets (few shingles) enumerate the subsets of the fixed size that both sets of a pair must share; sets that
   share a subset meet in its inverted list.
-- Heavy sets are looked up in inverted lists. A list of single shingles would hold every document with a widely
-  shared passage, so a list's key is a part: shingles are dealt to ``m`` parts by hash, where sets in the same size
-  class that link differ in fewer than ``m`` shingles, so that at least one part is equal. Parts of fewer than
-  three shingles say little; ``spare`` parts more than needed allow a set to leave out as many of them.
-- The boundary between the two is where enumerating costs more rows than parts do (``light_limit``).
-
-What meets in a list is only a candidate; every link is verified on the whole sets. Components do not need all
-links: every set is first verified against the smallest member of most of its lists. Lists whose members then still
-belong to several components are open. Open lists that overlap closely are put together into one cluster where that
-costs less than going through each of them. Members of a cluster or list are verified pair by pair, few of them as
-rows, many in blocks of ``BLOCK`` members whose intersections are counted at once and of which only a spanning
-forest is returned. So no link between different texts is lost and no group is expanded into all its pairs.
+- Heavy sets are looked up in inverted lists. Middling ones (up to ``MIDDLE`` shingles) enter the lists of single
+  shingles: of the first ones in a fixed random order, as many as it takes for sets that link to share three lists.
+- For larger ones, a list of a single shingle would hold every document with a widely shared passage, so a list's key
+  is a part: shingles are dealt to ``m`` parts by hash, where sets in the same size class that link differ in fewer
+  than ``m`` shingles, so that parts are equal. There are more parts than that needs: ``spare`` ones, as many of which a
+  set may leave out for holding too few shingles to say much (a set that has more of these enters them all), and
+  ``extra`` ones, so that sets that link share at least ``1 + extra`` lists; sets that share fewer can't link.
+- The boundary between light and heavy is where enumerating costs more rows than parts do (``light_limit``).
+
+What meets in enough lists is only a candidate; every link is verified on the whole sets. Members of short lists
+meet pair by pair, and their shared lists are counted before any set is read. Members of long lists (a pair that
+shares one is left to it) are first verified against the smallest member of most of their lists, since components
+do not need all links. Long lists whose members then still belong to several components are open. Open lists that
+overlap closely are put together into one cluster where that costs less than going through each of them. Members
+of a cluster or list are verified in blocks of ``BLOCK_BYTES`` whose intersections are counted at once and of which
+only a spanning forest is returned. So no link between different texts is lost and no group is expanded into all its
+pairs.
 
 Defined cases: words are runs of anything but ``[\\x20\\x09-\\x0D]``, A-Z lower-cased; with fewer words than n the
 whole sequence is one shingle; null or empty texts, or texts without words, have an empty set and link with
@@ -29,7 +34,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 from itertools import combinations
-from math import comb
+from math import ceil, comb, exp, factorial, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +44,15 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.components import connected_components, spanning_forest
 from tallyframe.llm.line_dedup import mix
-from tallyframe.llm.storage import materialize, slices
+from tallyframe.llm.storage import claim_cache, materialize, slices
 
-CACHED = 500_000
+CACHED = 250_000
 #: Rows that a part costs, in rows that a subset costs: its list is longer and is scanned.
 SCAN_COST = 4
-SHORT_LIST = 4
-BLOCK = 512
+SHORT_LIST = 16
+MIDDLE, MIDDLE_NEED = 64, 3
+BLOCK_BYTES = 2 << 20
+COLUMNS = 8192
 BROADCAST_IDS = 500_000
 SALTS = 16
 
@@ -110,8 +117,8 @@ class Scheme:
     def light_limit(self) -> int:
         return _light_limit(self)
 
-    def classes(self, size: int) -> list[tuple[int, int, int]]:
-        """(class, parts, spare) for which a set gives parts: its own size class, and the next if it can link into it."""
+    def classes(self, size: int) -> list[tuple[int, int, int, int, int]]:
+        """(class, parts, spare, extra, least) for which a set gives parts: its own size class, and the next if it can link into it."""
         return _classes(self, size)
 
 
@@ -126,44 +133,58 @@ def _light_limit(scheme: Scheme) -> int:
 
 @cache
 def _class_starts(scheme: Scheme, up_to: int) -> list[int]:
-    starts = [scheme.light_limit + 1]
+    starts = [max(scheme.light_limit, MIDDLE) + 1]
     while starts[-1] <= up_to:
         starts.append(scheme.partner_max(starts[-1]) + 1)
     return starts
 
 
 @cache
-def _classes(scheme: Scheme, size: int) -> list[tuple[int, int, int]]:
+def _classes(scheme: Scheme, size: int) -> list[tuple[int, int, int, int, int]]:
     starts = _class_starts(scheme, 1 << (scheme.partner_max(size) + 1).bit_length())
     out = []
     for k, start in enumerate(starts[:-1]):
         end = starts[k + 1] - 1
         if scheme.partner_max(size) >= start and size <= end:
+            smallest = scheme.overlap(start)
             differ = scheme.differ(end)
-            spare = 1 + differ // 16
-            out.append((k, differ + 1 + spare, spare))
+            extra = differ // 8
+            most = 1 + (differ + 1 + extra) // 3
+            for least in (3, 2, 1):  # the shingles below which a part is left out, as many as parts of this size allow
+                spare = 1
+                for _ in range(20):
+                    mean = smallest / (differ + 1 + extra + spare)
+                    weak = (differ + 1 + extra + spare) * exp(-mean) * sum(mean**i / factorial(i) for i in range(least))
+                    spare = min(most, 1 + ceil(weak + 4 * sqrt(weak)))
+                if spare < most // 2:
+                    break
+            out.append((k, differ + 1 + extra + spare, spare, extra, least))
     return out
 
 
-def list_keys(shingles: np.ndarray, scheme: Scheme) -> np.ndarray:
-    """The inverted lists in which a set is entered."""
-    size, keys = len(shingles), []
+def list_keys(shingles: np.ndarray, scheme: Scheme) -> list[tuple[int, np.ndarray]]:
+    """(shared lists that a link needs, keys of the inverted lists in which a set is entered)."""
+    size, out = len(shingles), []
     with np.errstate(over="ignore"):
         spread = mix(shingles, 17)
         if size <= scheme.light_limit:
-            total = spread.sum()
+            total, keys = spread.sum(), []
             for c in scheme.subsets(size):
                 away = [total - sum((spread[i] for i in left), np.uint64(0)) for left in combinations(range(size), size - c)]
                 keys.append(mix(np.array(away, np.uint64), 1000 + c))
-        for k, parts, spare in scheme.classes(size):
+            out.append((1, np.unique(np.concatenate(keys))))
+        if size <= MIDDLE and scheme.partner_max(size) > scheme.light_limit:
+            order = np.sort(mix(shingles, 77))
+            out.append((MIDDLE_NEED, mix(order[: size - scheme.overlap(size) + MIDDLE_NEED], 3000)))
+        for k, parts, spare, extra, least in scheme.classes(size):
             part = (mix(shingles, 31 + k) % np.uint64(parts)).astype(np.int64)
             held = np.bincount(part, minlength=parts)
             sums = np.zeros(parts, np.uint64)
             np.add.at(sums, part, spread)
-            weak = held < 3
-            chosen = ~weak if weak.sum() <= spare else np.ones(parts, bool)
-            keys.append(mix(sums[chosen] + np.flatnonzero(chosen).astype(np.uint64), 2000 + k))
-    return np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+            weak = held < least
+            chosen = np.flatnonzero(~weak) if weak.sum() <= spare else np.arange(parts)
+            out.append((1 + extra, mix(sums[chosen] + chosen.astype(np.uint64), 2000 + k)))
+    return out
 
 
 def links(a: np.ndarray, b: np.ndarray, scheme: Scheme) -> bool:
@@ -178,9 +199,15 @@ def linked_forest(ids: list[int], sets: list[np.ndarray], groups: list[int], sch
     owner = np.repeat(np.arange(len(sets)), sizes)
     shared = count[place] > 1
     number = np.cumsum(count > 1) - 1
-    table = np.zeros((len(sets), int((count > 1).sum())), np.float32)
-    table[owner[shared], number[place[shared]]] = 1
-    both = table @ table.T
+    row, column = owner[shared], number[place[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for first in range(0, int(number[-1]) + 1 if len(number) else 0, COLUMNS):  # so many shared shingles at a time
+        a, b = np.searchsorted(column, [first, first + COLUMNS])
+        table = np.zeros((len(sets), COLUMNS), np.float32)
+        table[row[a:b], column[a:b] - first] = 1
+        both += table @ table.T
     near = scheme.den * both >= scheme.num * (sizes[:, None] + sizes[None, :] - both) - 1e-3
     x, y = np.nonzero(np.triu(near & (both > 0), 1))
     labels = np.array(groups, np.int64)
@@ -215,7 +242,8 @@ def document_sets(texts: DataFrame, n: int) -> DataFrame:
     """(doc_id, n_shingles, key) of every document; key is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1024):
+        claim_cache("shingles", _WORDS.clear)
+        for batch in slices(batches, 256):
             sets = [shingle_set(r, n) for r in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n_shingles", "key"])
 
@@ -223,15 +251,17 @@ def document_sets(texts: DataFrame, n: int) -> DataFrame:
 
 
 def inverted_lists(texts: DataFrame, n: int, scheme: Scheme) -> DataFrame:
-    """(list, key, low): entries of all lists with two different sets or more; low is the smallest key of the list.
+    """(list, key, need, low, members): entries of all lists with two different sets or more.
 
-    Of equal sets in a task only the first is entered, so the rows of a group of copies don't grow with its size.
+    low is the smallest key of the list; need is how many lists two sets of it must share to link. Of equal sets in a
+    task only the first is entered, so the rows of a group of copies don't grow with its size.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_cache("shingles", _WORDS.clear)
         seen: set[int] = set()
         for batch in slices(batches):
-            lists, keys = [], []
+            lists, keys, needs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
             for raw in batch.column(1).to_pylist():
                 s = shingle_set(raw, n)
                 if not len(s) or (key := set_key(s)) in seen:
@@ -239,15 +269,23 @@ def inverted_lists(texts: DataFrame, n: int, scheme: Scheme) -> DataFrame:
                 seen.add(key)
                 if len(seen) > CACHED:
                     seen.clear()
-                lists.append(list_keys(s, scheme))
-                keys.append(np.full(len(lists[-1]), key, np.int64))
-            flat = np.concatenate(lists) if lists else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], ["list", "key"])
+                for need, own in list_keys(s, scheme):
+                    lists.append(own)
+                    keys.append(np.full(len(own), key, np.int64))
+                    needs.append(np.full(len(own), need, np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(needs))], ["list", "key", "need"])
 
-    entries = texts.mapInArrow(run, "list long, key long")
+    entries = texts.mapInArrow(run, "list long, key long, need int").repartition("list").dropDuplicates(["list", "key"])
     whole = Window.partitionBy("list")
-    met = entries.withColumn("low", F.min("key").over(whole)).withColumn("high", F.max("key").over(whole)).where("low < high")
-    return met.select("list", "key", "low").distinct()
+    return entries.withColumns({"low": F.min("key").over(whole), "members": F.count(F.lit(1)).over(whole)}).where("members > 1")
+
+
+def counted_pairs(short: DataFrame) -> DataFrame:
+    """(a, b), a > b: pairs that share as many short lists as a link needs."""
+    groups = short.groupBy("list", "need").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    heads = groups.select("need", "keys", F.posexplode("keys").alias("at", "b"))
+    met = heads.select("need", "b", F.explode(F.slice("keys", F.col("at") + 2, F.size("keys"))).alias("a"))
+    return met.groupBy("a", "b", "need").count().where("count >= need").select("a", "b").distinct()
 
 
 def stored_sets(texts: DataFrame, sizes: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -284,36 +322,30 @@ def verified(pairs: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
     return left.join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _open_lists(lists: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
-    """(list, key, low, label, members): entries of the lists whose members belong to two components or more.
+def _open_members(long: DataFrame, stars: DataFrame, labels: DataFrame) -> DataFrame:
+    """(list, key, label): members of open lists, with closely overlapping lists put together into clusters.
 
-    Lists of two members that were verified already are left out.
+    ``stars`` are the distinct (key, smallest member) pairs of the lists; they connect the same keys as the lists do. A
+    cluster whose members all have one label is done. Where going through a cluster's pairs costs less than going
+    through its lists' pairs, the cluster stands for its lists, and no list entry is read again.
     """
-    named = lists.join(labels.withColumnRenamed("node", "key"), "key", "left").select("list", "key", "low", F.coalesce("label", "key").alias("label"))
-    several = named.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo < hi").select("list", "members")
-    entries = materialize(named.join(several, "list"), "open-lists")
-    done = entries.where("members = 2 AND key <> low").join(tested.select(F.col("a").alias("key"), F.col("b").alias("low")), ["key", "low"], "left_semi").select("list")
-    return entries.join(done, "list", "left_anti")
-
-
-def _clustered(entries: DataFrame) -> DataFrame:
-    """(list, key, label, members) with closely overlapping lists put together; the least number of pairs decides."""
-    entries = materialize(entries, "entries")
-    clusters = connected_components(entries.select(F.col("key").alias("a"), F.col("low").alias("b")))
-    named = entries.join(clusters.select(F.col("node").alias("key"), F.col("label").alias("cluster")), "key")
-    members = named.select("cluster", "key", "label").distinct()
-    pairs_of_lists = named.groupBy("cluster").agg(F.sum("members").alias("list_pairs"))
-    sized = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("members")).join(pairs_of_lists, "cluster")
-    sized = sized.withColumn("tight", F.col("members") * F.col("members") <= 4 * F.col("list_pairs"))
-    whole = members.join(sized.where("tight").select("cluster", "members"), "cluster").select(F.col("cluster").alias("list"), "key", "label", "members")
-    apart = named.join(sized.where("NOT tight").select("cluster"), "cluster", "left_semi").select("list", "key", "label", "members")
-    return whole.unionByName(apart)
+    clusters = connected_components(stars).select(F.col("node").alias("key"), F.col("label").alias("cluster"))
+    per_key = long.groupBy("key").agg(F.sum("members").alias("pairs"))
+    known = labels.select(F.col("node").alias("key"), "label")
+    named = materialize(per_key.join(clusters, "key").join(known, "key", "left").select("key", "cluster", "pairs", F.coalesce("label", "key").alias("label")), "clusters")
+    sized = named.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("pairs").alias("pairs"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    sized = sized.select("cluster", (F.col("n") * F.col("n") <= 4 * F.col("pairs")).alias("tight"))
+    members = materialize(named.join(sized, "cluster").select("cluster", "tight", "key", "label"), "members")
+    entries = long.select("list", "key").join(members.where("NOT tight").select("key", "label"), "key")
+    several = entries.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("list")
+    return members.where("tight").select(F.col("cluster").alias("list"), "key", "label").unionByName(entries.join(several, "list", "left_semi"))
 
 
 def _block_links(entries: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
-    """Links between components in long lists: every two blocks of a list meet in one group of bounded size."""
-    nth = F.row_number().over(Window.partitionBy("list").orderBy("key")) - 1
-    blocked = entries.withColumn("block", F.floor(nth / BLOCK).cast("int")).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    """Links between components in long lists: every two blocks of a list meet in one group of bounded bytes."""
+    sized = entries.join(sets.select("key", F.length("shingles").alias("bytes")), "key")
+    so_far = F.sum("bytes").over(Window.partitionBy("list").orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
+    blocked = sized.withColumn("block", F.floor(so_far / BLOCK_BYTES).cast("int")).withColumn("blocks", F.max("block").over(Window.partitionBy("list")) + 1)
     met = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("list", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "key", "label")
 
@@ -328,18 +360,17 @@ def _block_links(entries: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFra
 def link_components(texts: DataFrame, sizes: DataFrame, n: int, scheme: Scheme) -> DataFrame:
     """(node, label) of the sets that link with another set."""
     lists = materialize(inverted_lists(texts, n, scheme), "lists")
-    sets = stored_sets(texts, sizes, lists, n)
-    votes = lists.where("key <> low").groupBy(F.col("key").alias("a"), F.col("low").alias("b")).count()
-    first = materialize(votes.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b")), "pairs")
-    sure = materialize(verified(first, sets, scheme), "verified")
+    pairs = materialize(counted_pairs(lists.where(F.col("members") <= SHORT_LIST)), "pairs")
+    long = lists.where(F.col("members") > SHORT_LIST)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("key"))
+    sets = stored_sets(texts, sizes, ends.unionByName(long.select("key")), n)
+    votes = materialize(long.where("key <> low").groupBy(F.col("key").alias("a"), F.col("low").alias("b")).count(), "votes")
+    first = votes.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
+    tested = materialize(pairs.unionByName(first).distinct(), "pairs")
+    sure = materialize(verified(tested, sets, scheme), "verified")
     labels = connected_components(sure)
-    entries = materialize(_clustered(_open_lists(lists, labels, first)), "clusters")
-    few = entries.where(F.col("members") <= SHORT_LIST)
-    other = few.select("list", F.col("key").alias("b"), F.col("label").alias("lb"))
-    pairs = few.select("list", F.col("key").alias("a"), F.col("label").alias("la")).join(other, "list").where("a > b AND la <> lb").select("a", "b").distinct()
-    pairs = materialize(pairs.join(first, ["a", "b"], "left_anti"), "pairs")
-    more = verified(pairs, sets, scheme).unionByName(_block_links(entries.where(F.col("members") > SHORT_LIST), sets, scheme))
-    more = materialize(more, "verified")
+    entries = _open_members(long, votes.select("a", "b"), labels)
+    more = materialize(_block_links(entries, sets, scheme), "verified")
     return labels if more.isEmpty() else connected_components(sure.unionByName(more))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -42,3 +42,16 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+
+
+_LIVE: dict[Hashable, Callable[[], object]] = {}
+
+
+def claim_cache(owner: Hashable, clear: Callable[[], object]) -> None:
+    """Called at the start of a task whose function keeps a cache between tasks: empties all other owners' caches.
+
+    Python workers outlive their tasks, so the caches of all stages that a worker has seen would add up.
+    """
+    for other in [o for o in _LIVE if o != owner]:
+        _LIVE.pop(other)()
+    _LIVE[owner] = clear

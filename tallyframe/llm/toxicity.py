@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.storage import slices
+from tallyframe.llm.storage import claim_cache, slices
 
 LEVELS = (1, 2, 3, 5)
 HEADS = range(3, 10)
 INNER = (4, 6)
 WORD = re.compile(r"\w+")
-CACHED = 400_000
+CACHED = 200_000
 #: Log-likelihood gain that an n-gram must show, so that few positives don't make features of chance.
 EVIDENCE = 12.0
 #: Least share of toxic texts among those that hold an n-gram, as estimated from P, U and the prior.
@@ -185,6 +185,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = shared.value
+        claim_cache(("toxicity", id(judge)), judge.known.clear)
         for batch in slices(batches):
             scores = [judge.score(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
@@ -199,6 +200,7 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text", th
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = shared.value
+        claim_cache(("toxicity", id(judge)), judge.known.clear)
         for batch in slices(batches):
             yield batch.filter(pa.array([judge.score(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
