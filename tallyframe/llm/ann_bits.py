@@ -11,9 +11,10 @@ Queries go out in blocks of ``block`` rows (a bounded broadcast); each block pas
 returns its best k for each query of the block, and these are merged by query. Exact copies of a vector share one
 code: of a group of copies only the k + 1 smallest ids can be found, and only these are kept.
 
-Defined cases: null vectors, zero vectors and vectors with null or non-finite components, or of another
-dimension than most of the first rows have, take no part, neither as query nor as candidate; a query's own row is no candidate; a
-repeated id counts as often as it occurs; with fewer candidates than k all are returned; ties go to the smaller id.
+Defined cases: null vectors, zero vectors and vectors with null or non-finite components, or of another dimension
+than most queries have, take no part, neither as query nor as candidate; rows with a query's own id are no candidates
+for it; other repeated ids count as often as they occur; with fewer candidates than k all are returned; ties go to
+the smaller id.
 """
 
 from __future__ import annotations

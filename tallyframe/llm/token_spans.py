@@ -109,7 +109,7 @@ def attribute_tokens(
                 ids = np.asarray(encoding.encode_ordinary(raw.decode()), np.int64)
                 bounds = np.concatenate([[0], np.cumsum([len(p) for _, p in pieces])])
                 counts = allocate(np.cumsum(widths[ids]) if len(ids) else np.zeros(0, np.int64), bounds, rule)
-                chars = _char_at(raw)[bounds] if len(raw) != sum(map(len, (v for _, v in present))) + len(field_break) * (len(present) - 1) else bounds
+                chars = bounds if raw.isascii() else _char_at(raw)[bounds]
                 out[0] += [doc_id] * len(pieces)
                 out[1] += range(len(pieces))
                 out[2] += [n for n, _ in pieces]
