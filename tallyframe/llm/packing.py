@@ -18,19 +18,30 @@ the window.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from struct import Struct
+from struct import pack as to_bytes
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.storage import materialize, slices
+from tallyframe.llm.bpe_prefix import byte_alphabet
+from tallyframe.llm.storage import claim_cache, materialize, slices
 
 VOCABULARY = "word_bpe_49k.json"
-CACHED = 600_000
+CACHED = 900_000
+GLUED = re.compile(r"(?:[^\w\s]|_)[.,]")
+#: Little-endian unsigned 32-bit packers of so many ids.
+PACKED = [Struct(f"<{n}I").pack for n in range(16)]
+#: Words on which the model alone must agree with the whole tokenizer before it is asked alone.
+PROBES = ("a", "the", "oftionnten", "straße", "éèêçñóíäöüß", "ª", "µm", "zzzzzzzzzzzzzzzzz", "don", "s", "re")
+#: Marks that often follow a word; no apostrophe, which begins endings of its own.
+MARKS = ".,;:!?*$%#&|-)]}>"
 #: Characters that str.split() takes for space and the vocabulary's normalizer doesn't.
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
 
@@ -39,7 +50,7 @@ class WordEncoder:
     """Ids of whole texts as little-endian bytes, for a vocabulary that drops white space and joins no words over it.
 
     Each run of non-space characters is encoded by the tokenizers library once and then answered from a bounded
-    cache (cleared when full). Texts with special tokens or unusual control characters are encoded whole.
+    cache (cleared when full); plain words go to its model without the steps around it. Texts with special tokens or unusual control characters are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -50,34 +61,77 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.known: dict[str, bytes] = {}
+        self.letters = dict(enumerate(byte_alphabet()))
+        self.direct = all(self._word(w) == self._whole(w) for w in PROBES)
+
+    def _word(self, word: str) -> bytes:
+        """Ids of one lower-case Latin-1 word straight from the model: there is nothing to normalize or to split."""
+        text = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.tokenizer.model.tokenize(text)]
+        return to_bytes(f"<{len(ids)}I", *ids)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _plain(self, run: str) -> bool:
+        return self.direct and run.isalpha() and run.islower() and (run.isascii() or max(run) < "\u0100")
 
     @staticmethod
     def _runs(text: str) -> list[str] | None:
         if "<|" in text or any(c in text for c in NOT_SPACE):
             return None
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
+        if not text.isascii() and max(text) > "\xff":
             return text.split()
-        return text.lower().split()  # without combining marks, lower case is the same before and after normalization
+        text = text.lower()  # without combining marks, lower case is the same before and after normalization
+        if not GLUED.search(text):  # a full stop or comma after a letter, digit or space begins a token of its own
+            text = text.replace(".", " .").replace(",", " ,")
+        return text.split()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        runs = [self._runs(t) for t in texts]
+    def _learn(self, new: set[str]) -> None:
+        """Ids of unknown runs. A letter and a mark after it are never one token, so a run's marks are encoded apart."""
         known = self.known
-        new = list({w for r in runs if r is not None for w in r if w not in known})
-        if len(known) + len(new) > CACHED:
+        if len(known) + 2 * len(new) > CACHED:
             known.clear()
-            new = list({w for r in runs if r is not None for w in r})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[word] = np.array(got.ids, "<u4").tobytes()
-        out = []
-        for text, words in zip(texts, runs, strict=True):
+        cut, parts = [], set()
+        for run in new:
+            head = run.rstrip(MARKS)
+            if len(head) != len(run) and head[-1:].lower().isalpha():
+                marks = run[len(head) :]
+                cut.append((run, head, marks))
+                parts.add(head)
+                parts.add(marks)
+            else:
+                parts.add(run)
+        whole, direct, tokenize = [], self.direct, self.tokenizer.model.tokenize
+        for run in parts:
+            if run in known:
+                continue
+            if direct and run.isascii() and run.isalpha() and run.islower():
+                ids = [t.id for t in tokenize(run)]
+                known[run] = PACKED[len(ids)](*ids) if len(ids) < len(PACKED) else to_bytes(f"<{len(ids)}I", *ids)
+            elif self._plain(run):
+                known[run] = self._word(run)
+            else:
+                whole.append(run)
+        for at in range(0, len(whole), 4096):
+            part = whole[at : at + 4096]
+            for run, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                known[run] = to_bytes(f"<{len(got)}I", *got.ids)
+        for run, head, marks in cut:
+            known[run] = known[head] + known[marks]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        runs = [self._runs(t) for t in texts]
+        found = [None if r is None else list(map(self.known.get, r)) for r in runs]
+        new = {w for r, f in zip(runs, found, strict=True) if f is not None and None in f for w, ids in zip(r, f, strict=True) if ids is None}
+        if new:
+            self._learn(new)
+        out, known = [], self.known
+        for text, words, ids in zip(texts, runs, found, strict=True):
             if words is None:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+                out.append(self._whole(text))
             else:
-                out.append(b"".join([known[w] for w in words]))
+                out.append(b"".join(ids if None not in ids else [known[w] if i is None else i for w, i in zip(words, ids, strict=True)]))
         return out
 
 
@@ -95,6 +149,7 @@ def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_cache(("packing", path), _encoder.cache_clear)
         encoder = _encoder(path)
         for batch in slices(batches, 128):
             rows = []
