@@ -285,7 +285,7 @@ def test_perfect_hash():
 def test_packing_covers_every_token(spark):
     tokenizer = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     rand = random.Random(8)
-    texts = [*ODD, "<|startoftext|> Hi", "İstanbul ΣΑΣ J̌ x\x1cy", "don't!!! 's (a) b-c. d,", *[" ".join(rand.choice(["alpha", "Beta,", "gamma's", "5th", "δ"]) for _ in range(rand.randint(1, 900))) for _ in range(40)]]
+    texts = [*ODD, "<|startoftext|> Hi", "İstanbul ΣΑΣ J̌ x\x1cy", "don't!!! 's (a) b-c. d,", "a. b,c 5.5 .x ,y", "a.. b., c_. \"q.\" ². ª,", "end...", "ßİ, x", *[" ".join(rand.choice(["alpha", "Beta,", "gamma's", "5th", "δ"]) for _ in range(rand.randint(1, 900))) for _ in range(40)]]
     rows = packing.pack_documents(documents(spark, texts), window=256).collect()
     for i, t in enumerate(texts):
         ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
