@@ -125,7 +125,7 @@ def _cited_claims(spark, d):
 
 QUERIES = {
     "grade_exact": (lambda s, d: _one(s, d, exact=F.lit("x")), _list_sql("exact", ["a = 'x'"])),
-    "grade_exact_normalized": (lambda s, d: _one(s, d, exact_normalized=F.concat(F.lit(" "), F.upper("answer"), F.lit("\t"))), None),
+    "grade_exact_normalized": (lambda s, d: _one(s, d, exact_normalized=F.when(F.col("case_index") % 3 == 0, "other").otherwise(F.concat(F.lit(" "), F.col("answer"), F.lit("\t")))), _list_sql("exact_normalized", ["doc_id % 3 <> 0"])),
     "normalized_text": (
         lambda s, d: table(s, d, "documents").select("doc_id", F.md5(T.normalize_text(F.coalesce("text", F.lit("")))).alias("digest")),
         f"SELECT doc_id, md5({NORM.format(chr(99) + 'oalesce(text, chr(32))')}) AS digest FROM documents",
