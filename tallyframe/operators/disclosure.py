@@ -37,7 +37,7 @@ def category_breakdown(attempts: DataFrame, cases: DataFrame) -> DataFrame:
     labels = category_labels(cases)
     shown = suppression(cases).where("reason IS NULL")
     rates = attempts.where(scored()).groupBy("category", "config_id").agg(F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("passed")).alias("passes"))
-    rows = rates.join(F.broadcast(labels), "category").join(F.broadcast(shown))
+    rows = rates.join(labels, "category").join(F.broadcast(shown))
     return rows.select("label", "config_id", "scored_cases", "attempts", round_half_up(ratio_or_null(F.col("passes"), F.col("attempts")), 4).alias("task_pass_rate"), (F.col("scored_cases") >= CLAIM_CATEGORY).alias("claim_floor_met"))
 
 

@@ -50,7 +50,7 @@ def mode_estimates(calls: DataFrame, prices: DataFrame, budgets: DataFrame) -> D
 
     Prices: role, prompt_price, completion_price (null: missing). A mode with a missing price has no estimate.
     """
-    priced = calls.join(F.broadcast(prices), "role", "left").join(budgets.select("request", "prompt_tokens"), "request")
+    priced = calls.join(prices, "role", "left").join(budgets.select("request", "prompt_tokens"), "request")
     cost = F.col("max_output_tokens") * F.col("completion_price") + F.when(F.col("prompt_known"), F.col("prompt_tokens") * F.col("prompt_price")).otherwise(0)
     missing = F.count_if(F.col("completion_price").isNull() | F.col("prompt_price").isNull())
     return priced.groupBy("request", "mode").agg(F.sum(cost).alias("cost"), (missing > 0).alias("missing")).withColumn("cost", F.when(~F.col("missing"), F.col("cost")))
@@ -73,7 +73,7 @@ def auto_mode(estimates: DataFrame, budgets: DataFrame) -> DataFrame:
 
 def preflight(calls: DataFrame, prices: DataFrame, case_trials: int) -> DataFrame:
     """Planned attempts, token ceilings and completion cost by configuration and stage, with totals (nulls as ``all``)."""
-    priced = calls.join(F.broadcast(prices), "role")
+    priced = calls.join(prices, "role")
     sums = priced.rollup("mode", "stage").agg((F.count(F.lit(1)) * case_trials).alias("attempts"), (F.sum("max_output_tokens") * case_trials).alias("max_tokens"), (F.sum(F.col("max_output_tokens") * F.col("completion_price")) * case_trials).alias("completion_cost"))
     return sums.withColumns({"mode": F.coalesce("mode", F.lit("all")), "stage": F.coalesce("stage", F.lit("all"))})
 
@@ -94,7 +94,7 @@ def usage_violations(usage: DataFrame, prices: DataFrame) -> DataFrame:
 
     Usage: call, model, planned_model, status, input_tokens, output_tokens, max_output_tokens, cost, latency_ms.
     """
-    known = usage.join(F.broadcast(prices.select(F.col("model").alias("planned_model"), "prompt_price", "completion_price")), "planned_model", "left")
+    known = usage.join(prices.select(F.col("model").alias("planned_model"), "prompt_price", "completion_price"), "planned_model", "left")
     bad = lambda c: c.isNull() | F.isnan(c.cast("double"))
     c = F.col
     rules = {
