@@ -27,10 +27,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.storage import slices
+from tallyframe.llm.storage import claim_cache, slices
 
 VOCABULARY = "byte_bpe_50k.json"
 CACHED = 400_000
+CACHED_CHUNKS = 600_000
 #: The byte-level pattern, and the code points of the Unicode property White_Space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -157,7 +158,7 @@ class PrefixBpe:
             ids += got
         made = (",".join(map(str, ids)), self.decode_bytes(ids), len(ids))
         if len(chunk) <= 64:
-            if len(self.chunks) >= CACHED:
+            if len(self.chunks) >= CACHED_CHUNKS:
                 self.chunks.clear()
             self.chunks[chunk] = made
         return made
@@ -196,6 +197,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     path = vocabulary_path or public_tokenizers.path(VOCABULARY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_cache(("bpe", path), load.cache_clear)
         bpe = load(path)
         for batch in slices(batches, 128):
             ids = [bpe.encode(t or "") for t in batch.column(1).to_pylist()]
@@ -211,6 +213,7 @@ def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ids_col: str =
     path = vocabulary_path or public_tokenizers.path(VOCABULARY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_cache(("bpe", path), load.cache_clear)
         bpe = load(path)
         for batch in slices(batches, 128):
             texts = [bpe.decode(i or []) for i in batch.column(1).to_pylist()]
@@ -226,6 +229,7 @@ def digest_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     path = vocabulary_path or public_tokenizers.path(VOCABULARY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_cache(("bpe", path), load.cache_clear)
         bpe = load(path)
         for batch in slices(batches, 128):
             counts, ids_sha, text_sha = [], [], []
