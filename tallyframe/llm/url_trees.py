@@ -1,10 +1,10 @@
 """URL filters: host and path rules, and gradient-boosted trees on lexical features for the other URLs.
 
-The trees (numpy, histogram splits, logistic loss) are trained from labelled URLs: a bounded sample
-(``max_training_rows``, a parameter; rows with the smallest hashes of each label) of the URLs that carry a
-label. In ``op9_url_trees`` the labels are what the rules say. Features: lengths, depth, digit ratio, entropy,
-parameter counts, and suffix statistics (how often the last host label and the first path part were blocked
-among the labelled URLs, smoothed).
+The trees (numpy, histogram splits, logistic loss) are fitted on a bounded sample (``max_training_rows``, a
+parameter; rows with the smallest hashes of each label) of the URLs that carry a label, weighted so that the labels
+have the shares that they have among all labelled URLs. In ``op9_url_trees`` the labels are what the rules say.
+Features: lengths, depth, digit ratio, entropy, parameter counts, and suffix statistics (how often the last host label
+and the first path part were blocked among all labelled URLs, smoothed). The prior, too, is that of all labelled URLs.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, fits no rule and is judged by
 the trees on empty features; with no labelled URL, or with one label only, the score is the smoothed share of
@@ -34,6 +34,8 @@ RULES = [
 ]
 FEATURES = ("url_length", "host_length", "path_length", "host_labels", "path_depth", "digit_ratio", "host_digit_ratio", "entropy", "parameters", "query_length", "fragment", "hyphens", "upper_ratio", "secure", "suffix_blocked", "first_part_blocked")
 BINS = 64
+#: Labelled URLs, of all there are, from which a part has statistics of its own.
+LEAST_SEEN = 5
 
 
 def split_url(url: str | None) -> tuple[str, str, str]:
@@ -80,6 +82,16 @@ def lexical(url: str | None, host: str, path: str, tail: str) -> list[float]:
     ]
 
 
+def count_parts(split: list[tuple[str, str, str]], labels: list[int]) -> list[dict[str, tuple[float, float]]]:
+    """For each of the two kinds of parts: part -> (rows, blocked rows)."""
+    out: list[dict[str, tuple[float, float]]] = [{}, {}]
+    for (host, path, _), label in zip(split, labels, strict=True):
+        for table, part in zip(out, parts_of(host, path), strict=True):
+            n, blocked = table.get(part, (0.0, 0.0))
+            table[part] = n + 1, blocked + label
+    return out
+
+
 class BoostedTrees:
     """Depth-limited regression trees on binned features, added up in log odds."""
 
@@ -90,8 +102,8 @@ class BoostedTrees:
     def _bins(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, j], "right") for j, e in enumerate(self.edges)], 1)
 
-    def fit(self, x: np.ndarray, label: np.ndarray) -> BoostedTrees:
-        share = (label.sum() + 0.5) / (len(label) + 1)
+    def fit(self, x: np.ndarray, label: np.ndarray, share: float, weight: np.ndarray) -> BoostedTrees:
+        """``share`` is that of label 1 from which the trees start, ``weight`` what each row counts."""
         self.base = math.log(share / (1 - share))
         if len(np.unique(label)) < 2:
             return self
@@ -100,7 +112,7 @@ class BoostedTrees:
         log_odds = np.full(len(label), self.base)
         for _ in range(self.rounds):
             p = 1 / (1 + np.exp(-log_odds))
-            gradient, curve = label - p, p * (1 - p)
+            gradient, curve = weight * (label - p), weight * p * (1 - p)
             node = np.zeros(len(label), np.int64)
             tree = []
             for _ in range(self.depth):
@@ -141,19 +153,23 @@ class BoostedTrees:
 
 
 class UrlModel:
-    """Suffix statistics and trees, trained from (url, label) pairs; label 1 means block."""
+    """Suffix statistics and trees, trained from (url, label) pairs; label 1 means block.
 
-    def __init__(self, urls: list[str | None], labels: list[int]) -> None:
+    Where the pairs are a sample, ``counts`` (label -> rows) and ``stats`` (for each kind of part, part -> rows and
+    blocked rows) are those of all labelled URLs.
+    """
+
+    def __init__(self, urls: list[str | None], labels: list[int], counts: dict[int, int] | None = None, stats: list[dict[str, tuple[float, float]]] | None = None) -> None:
         split = [split_url(u) for u in urls]
         y = np.array(labels, float)
-        self.prior = (y.sum() + 0.5) / (len(y) + 1)
-        self.stats: list[dict[str, tuple[float, float]]] = [{}, {}]
-        for (host, path, _), label in zip(split, labels, strict=True):
-            for table, part in zip(self.stats, parts_of(host, path), strict=True):
-                n, blocked = table.get(part, (0.0, 0.0))
-                table[part] = n + 1, blocked + label
-        self.stats = [{k: v for k, v in t.items() if v[0] >= 5} for t in self.stats]
-        self.trees = BoostedTrees().fit(self._matrix(urls, split), y)
+        held = Counter(labels)
+        counts = counts or held
+        total = sum(counts.values())
+        self.prior = (counts.get(1, 0) + 0.5) / (total + 1)
+        stats = count_parts(split, labels) if stats is None else stats
+        self.stats = [{k: v for k, v in t.items() if v[0] >= LEAST_SEEN} for t in stats]
+        weight = np.array([counts[v] / total * len(labels) / held[v] for v in labels], float)
+        self.trees = BoostedTrees().fit(self._matrix(urls, split), y, self.prior, weight)
 
     def _matrix(self, urls: list[str | None], split: list[tuple[str, str, str]]) -> np.ndarray:
         rows = []
@@ -183,10 +199,28 @@ def labelled_by_rules(pages: DataFrame, url_col: str = "url", rules: list[tuple[
     return pages.select(F.col(url_col).alias("url")).mapInArrow(run, "url string, label int")
 
 
+def part_statistics(labelled: DataFrame) -> list[dict[str, tuple[float, float]]]:
+    """``count_parts`` over all rows of (url, label); only parts seen often enough come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 4096):
+            found = count_parts([split_url(u) for u in batch.column(0).to_pylist()], batch.column(1).to_pylist())
+            rows = [(kind, part, n, blocked) for kind, table in enumerate(found) for part, (n, blocked) in table.items()]
+            kinds, parts, seen, blocked = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(parts, pa.string()), pa.array(seen, pa.float64()), pa.array(blocked, pa.float64())], ["kind", "part", "n", "blocked"])
+
+    counted = labelled.select("url", "label").mapInArrow(run, "kind int, part string, n double, blocked double")
+    out: list[dict[str, tuple[float, float]]] = [{}, {}]
+    for r in counted.groupBy("kind", "part").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked")).where(F.col("n") >= LEAST_SEEN).collect():
+        out[r["kind"]][r["part"]] = r["n"], r["blocked"]
+    return out
+
+
 def train(labelled: DataFrame, max_training_rows: int = 20_000) -> UrlModel:
-    """Fit on at most ``max_training_rows`` of (url, label): half for each label, those with the smallest URL hashes.
+    """A model of all rows of (url, label), its trees fitted on at most ``max_training_rows`` of them.
 
-    Only rows whose hash lies below a bound that about 1.2 times as many meet come to the driver.
+    These are at most half for each label, those with the smallest URL hashes. Only rows whose hash lies below a bound
+    that about 1.2 times as many meet come to the driver.
     """
     urls: list[str | None] = []
     labels: list[int] = []
@@ -199,13 +233,13 @@ def train(labelled: DataFrame, max_training_rows: int = 20_000) -> UrlModel:
         rows = sorted(near.select("h", "url").collect())[:most]
         urls += [r["url"] for r in rows]
         labels += [label] * len(rows)
-    return UrlModel(urls, labels)
+    return UrlModel(urls, labels, counts, part_statistics(labelled))
 
 
 def judge_urls(pages: DataFrame, model: UrlModel, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str, str]] | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict and the trees' score of every URL; a rule's verdict stands."""
     chosen = rules or RULES
-    shared = pages.sparkSession.sparkContext.broadcast(model)  # bounded by the training rows
+    shared = pages.sparkSession.sparkContext.broadcast(model)  # grows with the parts that are seen often enough
     names = ["page_id", "host", "path", "rule", "verdict", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -342,6 +342,17 @@ def test_url_trees_learn_lexical_rules():
     assert np.mean((scores >= 0.5) == np.array(labels[600:])) > 0.98
 
 
+def test_url_model_counts_all_labelled_urls(spark):
+    """The sample that the trees are fitted on bounds neither the label shares nor the suffix statistics."""
+    rows = [(f"http://h{i}.{'org' if i % 5 else 'net'}/p{i % 120}/x", int(i % 10 > 0)) for i in range(1000)]
+    model = url_trees.train(spark.createDataFrame(rows, "url string, label int"), max_training_rows=100)
+    want = url_trees.count_parts([url_trees.split_url(u) for u, _ in rows], [y for _, y in rows])
+    assert model.stats == want and len(want[1]) == 120
+    assert model.prior == (900 + 0.5) / (1000 + 1)
+    scores = model.score(*zip(*[(u, url_trees.split_url(u)) for u, _ in rows], strict=True))
+    assert abs(scores.mean() - 0.9) < 0.05
+
+
 def test_warc_round_trip(spark):
     html = [None, "", "<p>é</p>", "<p>é</p>", "x\r\n\r\ny" * 2000, "<p>é</p>"]
     pages = spark.createDataFrame([(i, f"http://h/{i}\n" if i else None, h, "z") for i, h in enumerate(html)] + [(None, "u", "lone", "z")], "page_id long, url string, html string, digest string")
