@@ -23,6 +23,10 @@ of a cluster or list are verified in blocks of ``BLOCK_BYTES`` whose intersectio
 only a spanning forest is returned. So no link between different texts is lost and no group is expanded into all its
 pairs.
 
+With links counted, no label settles a list or cluster beforehand: every pair of its members is verified, in blocks that
+return a forest and a sum for each member. A pair is counted in one place only: in its cluster, or else in the first of
+the long lists that it shares, or else, when it shares none, among the pairs of short lists.
+
 Defined cases: words are runs of anything but ``[\\x20\\x09-\\x0D]``, A-Z lower-cased; with fewer words than n the
 whole sequence is one shingle; null or empty texts, or texts without words, have an empty set and link with
 nothing; repeated rows are equal sets; an empty table gives no rows.
@@ -50,6 +54,10 @@ CACHED = 250_000
 #: Rows that a part costs, in rows that a subset costs: its list is longer and is scanned.
 SCAN_COST = 4
 SHORT_LIST = 16
+#: Bytes that a row of a counted block takes besides its set; bounds a block's rows, and with them its matrix of pairs.
+ROW_BYTES = 1024
+#: A counted cluster is gone through as a whole if its pairs are at most so many times those of its lists.
+TIGHT = 4
 MIDDLE, MIDDLE_NEED = 64, 3
 BLOCK_BYTES = 2 << 20
 COLUMNS = 8192
@@ -234,6 +242,52 @@ def _forest_pairs(x: np.ndarray, y: np.ndarray, labels: np.ndarray) -> list[tupl
     return out
 
 
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each of the left sets shares with each of the right ones."""
+    sizes = [np.array([len(v) for v in side], np.int64) for side in (left, right)]
+    values, place = np.unique(np.concatenate([np.zeros(0, np.uint64), *left, *right]), return_inverse=True)
+    places = place[: sizes[0].sum()], place[sizes[0].sum() :]
+    held = [np.bincount(at, minlength=len(values)) > 0 for at in places]
+    common = held[0] & held[1]
+    number = np.cumsum(common) - 1
+    owners = [np.repeat(np.arange(len(n)), n) for n in sizes]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, int(common.sum()), COLUMNS):  # so many shared values at a time
+        tables = []
+        for side, at, owner in zip((left, right), places, owners, strict=True):
+            inside = common[at] & (number[at] >= first) & (number[at] < first + COLUMNS)
+            table = np.zeros((len(side), COLUMNS), np.float32)
+            table[owner[inside], number[at[inside]] - first] = 1
+            tables.append(table)
+        out += tables[0] @ tables[1].T
+    return out.astype(np.float64)
+
+
+def counted_links(left: list[tuple], right: list[tuple] | None, here: int, scheme: Scheme) -> tuple[list[tuple[int, int]], dict[int, int]]:
+    """A forest of the links between two blocks (right None: in one block), and for each key the copies it links with.
+
+    Rows are (key, copies, set, lists). Pairs that share a list smaller than ``here`` are counted there, not here.
+    """
+    own = right is None
+    right = left if own else right
+    both = shared_counts([r[2] for r in left], [r[2] for r in right])
+    sizes = [np.array([len(r[2]) for r in side], float) for side in (left, right)]
+    near = (both > 0) & (scheme.den * both >= scheme.num * (sizes[0][:, None] + sizes[1][None, :] - both))
+    if own:
+        np.fill_diagonal(near, False)
+    x, y = np.nonzero(np.triu(near) if own else near)
+    keys = [r[0] for r in left] + ([] if own else [r[0] for r in right])
+    shift = 0 if own else len(left)
+    forest = [(keys[i], keys[j]) for i, j in _forest_pairs(x, y + shift, np.arange(len(keys)))]
+    before = [[r[3][r[3] < here].view(np.uint64) for r in side] for side in (left, right)]
+    near &= shared_counts(*before) == 0
+    copies = [np.array([r[1] for r in side], np.int64) for side in (left, right)]
+    sums = dict(zip([r[0] for r in left], (near @ copies[1]).tolist(), strict=True))
+    if not own:
+        sums |= dict(zip([r[0] for r in right], (near.T @ copies[0]).tolist(), strict=True))
+    return forest, {k: v for k, v in sums.items() if v}
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("raw"))
 
@@ -374,18 +428,94 @@ def link_components(texts: DataFrame, sizes: DataFrame, n: int, scheme: Scheme)
     return labels if more.isEmpty() else connected_components(sure.unionByName(more))
 
 
+def _counted_members(long: DataFrame, copies: DataFrame) -> DataFrame:
+    """(key, cluster, tight, lists, copies) of every member of a long list.
+
+    Clusters are as in ``_open_members``, but none is done beforehand. lists are the key's long lists where its cluster
+    isn't tight, so that the lists' pairs are gone through; else they are empty.
+    """
+    stars = materialize(long.where("key <> low").select(F.col("key").alias("a"), F.col("low").alias("b")).distinct(), "stars")
+    clusters = connected_components(stars).select(F.col("node").alias("key"), F.col("label").alias("cluster"))
+    per_key = long.groupBy("key").agg(F.sum("members").alias("pairs"), F.array_sort(F.collect_list("list")).alias("lists"))
+    named = materialize(per_key.join(clusters, "key").join(copies, "key"), "clusters")
+    sized = named.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("pairs").alias("pairs"))
+    sized = materialize(sized.select("cluster", (F.col("n") * F.col("n") <= TIGHT * F.col("pairs")).alias("tight")), "sizes")
+    rows = named.join(_small(sized), "cluster")
+    return materialize(rows.select("key", "cluster", "tight", F.when(F.col("tight"), F.array().cast("array<long>")).otherwise(F.col("lists")).alias("lists"), "copies"), "members")
+
+
+def _block_counts(members: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
+    """(a, b, links) over clusters and lists: links of a forest (links null), and what a key links with (b null)."""
+    tight = members.where("tight").select(F.col("cluster").alias("list"), "key", "lists", "copies", "tight")
+    entries = tight.unionByName(members.where("NOT tight").select(F.explode("lists").alias("list"), "key", "lists", "copies", "tight"))
+    sized = materialize(entries.join(sets.select("key", F.length("shingles").alias("bytes")).distinct(), "key"), "entries")
+    dealt = sized.groupBy("list", "tight").agg(F.ceil(F.sum(F.col("bytes") + F.lit(ROW_BYTES)) / F.lit(BLOCK_BYTES)).alias("blocks"))
+    blocked = sized.join(_small(materialize(dealt, "blocks")), ["list", "tight"]).withColumn("block", F.pmod(F.xxhash64("key"), "blocks"))
+    met = blocked.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = met.select("list", "tight", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "key", "copies", "lists")
+
+    def run(batch: pa.Table) -> pa.Table:
+        columns = [batch.column(c).to_pylist() for c in ("key", "block", "copies", "shingles", "lists")]
+        rows = {k: (b, (k, c, np.frombuffer(s, np.uint64), np.array(ls, np.int64))) for k, b, c, s, ls in zip(*columns, strict=True)}
+        x, y = batch.column("x")[0].as_py(), batch.column("y")[0].as_py()
+        left = [r for b, r in sorted(rows.values(), key=lambda v: v[1][0]) if b == x]
+        right = [r for b, r in sorted(rows.values(), key=lambda v: v[1][0]) if b == y]
+        forest, sums = counted_links(left, None if x == y else right, batch.column("list")[0].as_py(), scheme)
+        a, b = [p[0] for p in forest] + list(sums), [p[1] for p in forest] + [None] * len(sums)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "links": pa.array([None] * len(forest) + list(sums.values()), pa.int64())})
+
+    return met.join(sets, "key").groupBy("list", "tight", "x", "y").applyInArrow(run, "a long, b long, links long")
+
+
+def link_counts(texts: DataFrame, sizes: DataFrame, copies: DataFrame, n: int, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
+    """(node, label) as ``link_components`` gives them, and (key, links): the documents with other sets that a set links with.
+
+    ``copies`` has (key, copies) of all sets.
+    """
+    lists = materialize(inverted_lists(texts, n, scheme), "lists")
+    pairs = materialize(counted_pairs(lists.where(F.col("members") <= SHORT_LIST)), "pairs")
+    long = lists.where(F.col("members") > SHORT_LIST)
+    sets = stored_sets(texts, sizes, pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(long.select("key")), n)
+    members = _counted_members(long, copies)
+    sure = materialize(verified(pairs, sets, scheme).distinct(), "verified")
+    blocks = materialize(_block_counts(members, sets, scheme), "verified")
+    places = [members.select(F.col("key").alias(k), *[F.col(c).alias(c + k) for c in ("cluster", "tight", "lists")]) for k in ("a", "b")]
+    placed = sure.join(places[0], "a", "left").join(places[1], "b", "left")
+    elsewhere = F.expr("clustera = clusterb AND (tighta OR arrays_overlap(listsa, listsb))")
+    left = placed.where(~F.coalesce(elsewhere, F.lit(False))).select("a", "b")
+    ends = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    apart = ends.join(copies.withColumnRenamed("key", "b"), "b").select(F.col("a").alias("key"), F.col("copies").alias("links"))
+    links = apart.unionByName(blocks.where("b IS NULL").select(F.col("a").alias("key"), "links")).groupBy("key").agg(F.sum("links").alias("links"))
+    return connected_components(sure.unionByName(blocks.where("b IS NOT NULL").select("a", "b"))), links
+
+
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """``jaccard_classes`` with n_links, the number of other documents that a document links with."""
+    return _classes_of(docs, id_col, text_col, n, Scheme(num, den), counted=True)
+
+
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id that links reach, of every document."""
-    scheme, texts = Scheme(num, den), _texts(docs, id_col, text_col)
+    return _classes_of(docs, id_col, text_col, n, Scheme(num, den), counted=False)
+
+
+def _classes_of(docs: DataFrame, id_col: str, text_col: str, n: int, scheme: Scheme, counted: bool) -> DataFrame:
+    texts = _texts(docs, id_col, text_col)
     sizes = materialize(document_sets(texts, n), "set-sizes")
     nodes = sizes.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    labels = link_components(texts, sizes, n, scheme)
-    named = materialize(nodes.join(labels.withColumnRenamed("node", "key"), "key", "left"), "nodes")
+    own = F.col("copies") - 1
+    if counted:
+        labels, links = link_counts(texts, sizes, materialize(nodes.select("key", "copies"), "copies"), n, scheme)
+        nodes, own = nodes.join(links, "key", "left"), own + F.coalesce("links", F.lit(0))
+    else:
+        labels = link_components(texts, sizes, n, scheme)
+    named = materialize(nodes.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("n_links", own), "nodes")
     lowest = named.where("label IS NOT NULL").groupBy("label").agg(F.min("first").alias("lowest"))
-    moved = named.join(lowest, "label", "left").where("label IS NOT NULL OR copies > 1").select("key", F.coalesce("lowest", "first").alias("component_id"))
-    spread = moved.select("key", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    moved = named.join(lowest, "label", "left").where("label IS NOT NULL OR copies > 1").select("key", F.coalesce("lowest", "first").alias("component_id"), "n_links")
+    spread = moved.select("key", "component_id", "n_links", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = sizes.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    return salted.join(spread, ["key", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    rows = salted.join(spread, ["key", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return rows if counted else rows.drop("n_links")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
@@ -397,5 +527,5 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    """Classes of documents whose 3-word shingle sets reach a Jaccard similarity of 0.9: one row each."""
-    return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=3, num=90, den=100)
+    """Classes and link counts of documents whose 3-word shingle sets reach a Jaccard similarity of 0.9: one row each."""
+    return jaccard_links(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=3, num=90, den=100)

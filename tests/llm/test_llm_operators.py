@@ -157,6 +157,43 @@ def test_long_lists_of_loose_copies(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: root(i) for i in range(60)}
 
 
+@pytest.mark.parametrize("n,num,den,tight", [(3, 90, 100, 4), (3, 90, 100, 0), (1, 1, 2, 0)])
+def test_link_counts_equal_brute_force(spark, monkeypatch, n, num, den, tight):
+    """Groups of loose copies with exact ones among them, in several blocks: each link is counted once at each end."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", 40_000)
+    monkeypatch.setattr(jaccard_join, "TIGHT", tight)
+    rand, texts = random.Random(7), [None, "", "a b", "A  b"]
+    for size in (8, 30, 120):
+        base = [f"b{size}x{i}" for i in range(size)]
+        for k in range(60):
+            copy = list(base)
+            for _ in range(k % (1 + size // 8)):
+                copy[rand.randrange(size)] = f"c{rand.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    sets = [set(zip(*[w[i:] for i in range(min(n, len(w)))], strict=False)) for w in [(t or "").lower().split() for t in texts]]
+    linked = lambda a, b: bool(a & b) and den * len(a & b) >= num * len(a | b)
+    want = {i: sum(linked(a, b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)}
+    got = jaccard_join.jaccard_links(documents(spark, texts), n=n, num=num, den=den).collect()
+    assert {r["doc_id"]: r["n_links"] for r in got} == want and max(want.values()) > 20
+
+
+@pytest.mark.parametrize("tight", [4, 0])
+def test_link_counts_along_a_chain(spark, monkeypatch, tight):
+    """Sliding windows of 40 words: lists overlap in one long chain, where a pair shares several long lists."""
+    monkeypatch.setattr(jaccard_join, "TIGHT", tight)
+    texts = [" ".join(f"w{j}" for j in range(k, k + 40)) for k in range(600)]
+    got = jaccard_join.jaccard_links(documents(spark, [*texts, texts[5]]), n=3, num=1, den=2).collect()
+    reach = max(s for s in range(38) if 2 * (38 - s) >= 38 + s)
+    want = {k: sum(abs(k - j) <= reach for j in range(600)) - 1 + (abs(k - 5) <= reach) for k in range(600)}
+    assert {r["doc_id"]: r["n_links"] for r in got} == want | {600: want[5]}
+    assert {r["component_id"] for r in got} == {0}
+
+
+def test_no_link_counts(spark):
+    assert jaccard_join.jaccard_links(documents(spark, ["a b c d", "e f g h"])).where("n_links <> 0").count() == 0
+    assert jaccard_join.jaccard_links(documents(spark, ["a"]).limit(0)).count() == 0
+
+
 def test_no_links_and_empty_tables(spark):
     assert jaccard_join.jaccard_classes(documents(spark, ["a b c d", "e f g h"])).where("component_id <> doc_id").count() == 0
     assert jaccard_join.jaccard_classes(documents(spark, ["a"]).limit(0)).count() == 0
