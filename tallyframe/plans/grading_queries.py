@@ -82,10 +82,10 @@ SELECT case_index, ok AND req AND enough AS passed, 'citation_allowed_sources='
 
 
 def _verdict_texts(spark, d):
-    t = table(spark, d, "documents").select("doc_id", F.left(F.coalesce("text", F.lit("")), F.lit(40)).alias("head"))
+    t = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     pick = F.col("doc_id") % 8
     texts = [" A ", "B) clear", "The better response is B", "Response A is better than B", "a", "tie", "a good answer"]
-    out = F.col("head")
+    out = F.col("text")
     for i, x in enumerate(texts):
         out = F.when(pick == i, F.lit(x)).otherwise(out)
     return t.select("doc_id", out.alias("answer"))

@@ -11,6 +11,7 @@ from tallyframe.operators import metrics as M
 from tallyframe.operators import pairwise as W
 from tallyframe.operators import planning as L
 from tallyframe.operators import resample as R
+from tallyframe.plans import grading_queries as GQ
 
 ATTEMPT = "case_index long, trial_index long, config_id string, event_id long, status string, failure_status string, passed boolean, degraded boolean, smoke_only boolean, cost_micro long, latency_ms long, category string"
 CONFIGS = ["direct", "self_review", "repeated", "fusion"]
@@ -193,3 +194,11 @@ def test_report_verifier_finds_changes(spark, golden, configs):
     assert {r["code"] for r in R.verify(report, report.findings, CONFIGS).collect()} == {"case_metrics_mismatch"}
     report.outcomes = report.outcomes.withColumn("secret", F.lit("x"))
     assert [tuple(r) for r in R.verify(report, report.findings, CONFIGS).collect()] == [("outcomes_columns", "secret")]
+
+
+def test_verdict_queries_read_whole_texts(spark, tmp_path):
+    texts = {7: "x" * 60 + " then B, and so B", 15: "first A " + "y" * 60 + " then B", 23: "z" * 60 + " tie", 31: None}
+    spark.createDataFrame([*texts.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {name: {r["doc_id"]: r["verdict"] for r in GQ.QUERIES[name][0](spark, str(tmp_path)).collect()} for name in ("verdict_parse_ab", "verdict_parse_tie")}
+    assert got["verdict_parse_ab"] == {7: "B", 15: None, 23: None, 31: None}
+    assert got["verdict_parse_tie"] == {7: "B", 15: "A", 23: "TIE", 31: "TIE"}
