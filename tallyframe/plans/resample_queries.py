@@ -10,6 +10,9 @@ from tallyframe.operators import resample as R
 from tallyframe.plans import proxy as P
 from tallyframe.plans.metric_queries import PAIRS_SQL
 
+#: Resamples of the queries: the reference's default, and the least it publishes intervals for.
+RESAMPLES = 500
+#: Resamples of the SQL twins, which walk the stream by recursion.
 SAMPLES = 60
 
 
@@ -35,7 +38,7 @@ def _complete(s, d):
 
 
 def _delta(s, d):
-    return R.bootstrap_pass_delta(_pairs(s, d), P.attempts(s, d), SAMPLES)
+    return R.bootstrap_pass_delta(_pairs(s, d), P.attempts(s, d), RESAMPLES)
 
 
 DELTA_SQL = f"""{WITH}, pc AS (SELECT case_index, config_id, count(*) AS paired, sum(target_passed::INT - base_passed::INT) AS net FROM pairs WHERE base_passed IS NOT NULL AND target_passed IS NOT NULL GROUP BY ALL),
@@ -49,22 +52,22 @@ QUERIES = {
         "SELECT p_partkey, CAST(list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(p_brand, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295) AS BIGINT) AS seed FROM part",
     ),
     "resample_index": (
-        lambda s, d: R.resample_index(s, R.numbered_cases(P.attempts(s, d)).count(), SAMPLES),
+        lambda s, d: R.resample_index(s, R.numbered_cases(P.attempts(s, d)).count(), RESAMPLES),
         f"{WITH} SELECT sample, ordinal, times FROM ix",
     ),
     "boot_pass_rate": (
-        lambda s, d: R.bootstrap_pass_rate(P.attempts(s, d), _complete(s, d), SAMPLES),
+        lambda s, d: R.bootstrap_pass_rate(P.attempts(s, d), _complete(s, d), RESAMPLES),
         f"""{WITH}, pc AS (SELECT case_index, config_id, count(*) AS n, count(*) FILTER (WHERE passed) AS p FROM attempts WHERE NOT smoke_only GROUP BY ALL),
 r AS (SELECT sample, config_id, CAST(sum(p * times) AS BIGINT) / nullif(CAST(sum(n * times) AS BIGINT), 0) AS v FROM ix JOIN sc USING (ordinal) JOIN pc USING (case_index) GROUP BY ALL)
 SELECT config_id, {LOW} AS low, {HIGH} AS high FROM r GROUP BY config_id""",
     ),
     "boot_pass_rate_gated": (
-        lambda s, d: R.bootstrap_pass_rate(P.attempts(s, d), M.coverage(P.attempts(s, d), P.configs(s)), 2),
+        lambda s, d: R.bootstrap_pass_rate(P.attempts(s, d), M.coverage(P.attempts(s, d), P.configs(s)), RESAMPLES),
         "SELECT config_id, CAST(NULL AS DOUBLE) AS low, CAST(NULL AS DOUBLE) AS high FROM (VALUES ('direct'), ('self_review'), ('repeated'), ('fusion')) t(config_id)",
     ),
     "boot_pass_delta": (_delta, f"{DELTA_SQL} SELECT * FROM b"),
     "boot_cost_per_pass": (
-        lambda s, d: R.bootstrap_cost_per_pass(P.attempts(s, d), SAMPLES),
+        lambda s, d: R.bootstrap_cost_per_pass(P.attempts(s, d), RESAMPLES),
         f"""{WITH}, pc AS (SELECT case_index, config_id, sum(cost_micro) AS c, count(*) FILTER (WHERE passed) AS p FROM attempts WHERE NOT smoke_only GROUP BY ALL),
 r AS (SELECT sample, config_id, CAST(sum(c * times) AS BIGINT) / nullif(CAST(sum(p * times) AS BIGINT), 0) AS v FROM ix JOIN sc USING (ordinal) JOIN pc USING (case_index) GROUP BY ALL)
 SELECT config_id, {LOW} AS low, {HIGH} AS high, {SAMPLES} - count(v) AS zero_pass_samples, ({SAMPLES} - count(v)) / {SAMPLES} AS undefined_rate FROM r GROUP BY config_id""",

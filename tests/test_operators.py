@@ -12,6 +12,8 @@ from tallyframe.operators import pairwise as W
 from tallyframe.operators import planning as L
 from tallyframe.operators import resample as R
 from tallyframe.plans import grading_queries as GQ
+from tallyframe.plans import proxy as P
+from tallyframe.plans import resample_queries as RQ
 
 ATTEMPT = "case_index long, trial_index long, config_id string, event_id long, status string, failure_status string, passed boolean, degraded boolean, smoke_only boolean, cost_micro long, latency_ms long, category string"
 CONFIGS = ["direct", "self_review", "repeated", "fusion"]
@@ -202,3 +204,32 @@ def test_verdict_queries_read_whole_texts(spark, tmp_path):
     got = {name: {r["doc_id"]: r["verdict"] for r in GQ.QUERIES[name][0](spark, str(tmp_path)).collect()} for name in ("verdict_parse_ab", "verdict_parse_tie")}
     assert got["verdict_parse_ab"] == {7: "B", 15: None, 23: None, 31: None}
     assert got["verdict_parse_tie"] == {7: "B", 15: "A", 23: "TIE", 31: "TIE"}
+
+
+def test_bootstrap_queries_take_500_resamples(spark):
+    """Against a walk of the whole stream on the smallest tables; a gate that is met lets the interval through."""
+    d = "/root/testdata/sf0.001"
+    rows = [r for r in P.attempts(spark, d).collect() if not r["smoke_only"]]
+    cases, state, samples = sorted({r["case_index"] for r in rows}), RQ.rng.BOOTSTRAP_SEED, []
+    for _ in range(500):
+        drawn = []
+        for _ in cases:
+            state = (state * RQ.rng.MULTIPLIER + RQ.rng.INCREMENT) % 2**32
+            drawn.append(int(state / 2**32 * len(cases)))
+        samples.append(drawn)
+    index = {(r["sample"], r["ordinal"]): r["times"] for r in RQ.QUERIES["resample_index"][0](spark, d).collect()}
+    assert index == {(i, k): drawn.count(k) for i, drawn in enumerate(samples) for k in set(drawn)}
+    want, free = {}, {}
+    for config in CONFIGS:
+        own = {c: [r for r in rows if r["case_index"] == c and r["config_id"] == config] for c in cases}
+        n, p, cost = ([f(own[c]) for c in cases] for f in (len, lambda v: sum(r["passed"] for r in v), lambda v: sum(r["cost_micro"] or 0 for r in v)))
+        sums = [[sum(v[k] for k in drawn) for v in (n, p, cost)] for drawn in samples]
+        rates, costs = sorted(b / a for a, b, _ in sums if a), sorted(c / b for _, b, c in sums if b)
+        want[config] = tuple(rates[int((len(rates) - 1) * q)] for q in (0.025, 0.975))
+        free[config] = 500 - len(costs)
+    got = {r["config_id"]: (r["low"], r["high"]) for r in RQ.QUERIES["boot_pass_rate"][0](spark, d).collect()}
+    assert got == {c: pytest.approx(v) for c, v in want.items()}
+    assert {r["config_id"]: r["zero_pass_samples"] for r in RQ.QUERIES["boot_cost_per_pass"][0](spark, d).collect()} == free
+    gate = P.configs(spark).select("config_id", (F.col("config_id") == "direct").alias("complete"))
+    gated = {r["config_id"]: (r["low"], r["high"]) for r in R.bootstrap_pass_rate(P.attempts(spark, d), gate, RQ.RESAMPLES).collect()}
+    assert gated["direct"] == pytest.approx(want["direct"]) and gated["fusion"] == (None, None)
