@@ -5,15 +5,18 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Hashable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``. Where that is unset, a temporary one in local mode (tests); a cluster is refused."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tallyframe-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -23,14 +26,37 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: a lineage cut that survives lost executors."""
+#: The stored tables of each open ``scratch`` block.
+_OPEN: list[list[str]] = []
+
+
+def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: a lineage cut that survives lost executors.
+
+    Inside a ``scratch`` block the table goes with the block; with ``keep`` it goes with the block around that, if any.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, label)
+    own = _OPEN[: -1 if keep else None]
+    if own:
+        own[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside the block are removed at its end. What the block returns must not read them: store it with ``keep``."""
+    paths: list[str] = []
+    _OPEN.append(paths)
+    try:
+        yield
+    finally:
+        _OPEN.pop()
+        for path in paths:
+            drop_path(spark, path)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a folder that no returned DataFrame reads."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
