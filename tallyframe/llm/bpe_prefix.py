@@ -6,11 +6,14 @@ tokens that end there, longest first, and the first one that is compatible with
 before it is stored. Following the stored tokens back from the end gives the ids. Two tokens are compatible if
 encoding their joined text gives these two again; that is decided by undoing merges at the seam.
 
-Words come from the byte-level pre-tokenizer pattern. Repeated chunks and words are answered from bounded caches
-(cleared when full; they change no result). Strings of added special tokens in a text become their ids, as in
-the tokenizers library.
-
-Defined cases: null text is the empty text: no ids, and the hash of the empty string twice.
+Words come from the byte-level pre-tokenizer pattern. Which code points are letters, numbers and white space is asked of
+the library's own pre-tokenizer (once, on the driver), since Unicode tables differ between versions. Repeated chunks and
+words are answered from bounded caches (cleared when full; they change no result). Strings of added special tokens in a
+text become their ids, as in the tokenizers library.
+
+Defined cases: null text is the empty text: no ids, and the hash of the empty string twice; repeated rows give equal rows;
+a run of any length without a space is one word, encoded in time and memory in proportion to it; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -23,7 +26,6 @@ from functools import cache
 
 import ahocorasick
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +34,38 @@ from tallyframe.llm.storage import claim_cache, slices
 VOCABULARY = "byte_bpe_50k.json"
 CACHED = 400_000
 CACHED_CHUNKS = 600_000
-#: The byte-level pattern, and the code points of the Unicode property White_Space.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Fixed value: the byte-level pattern, with places for the classes of letters (L), numbers (N) and white space (S).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
+
+
+def _ranges(points: list[int]) -> str:
+    """The body of a character class that holds these rising code points."""
+    out, first = [], 0
+    for i in range(1, len(points) + 1):
+        if i == len(points) or points[i] != points[i - 1] + 1:
+            out.append(f"\\U{points[first]:08x}-\\U{points[i - 1]:08x}")
+            first = i
+    return "".join(out)
+
+
+@cache
+def character_classes() -> dict[str, str]:
+    """Letters, numbers and white space as the library's pre-tokenizer has them.
+
+    A character belongs to a class if it stays in one word with a known member before it; what joins none of them is white
+    space. Blocks whose characters all belong to one class are settled by one question.
+    """
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    words = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
+    members = {"L": "a", "N": "1", "other": "!"}
+    found: dict[str, list[int]] = {"L": [], "N": [], "other": [], "S": []}
+    for low in [*range(0, 0xD800, 256), *range(0xE000, 0x110000, 256)]:
+        block = range(low, low + 256)
+        whole = next((k for k, m in members.items() if len(words(m + "".join(map(chr, block)))) == 1), None)
+        for c in block:
+            found[whole or next((k for k, m in members.items() if len(words(m + chr(c))) == 1), "S")].append(c)
+    return {k: _ranges(found[k]) for k in "LNS"}
 
 
 def byte_alphabet() -> list[str]:
@@ -47,7 +78,8 @@ def byte_alphabet() -> list[str]:
 class PrefixBpe:
     """Encoder and decoder for a byte-level BPE file of the tokenizers library."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, classes: dict[str, str] | None = None) -> None:
+        classes = classes or character_classes()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.vocab: dict[str, int] = spec["model"]["vocab"]
@@ -74,9 +106,9 @@ class PrefixBpe:
             if token not in self.added and self.stable(i):
                 self.automaton.add_word(token, (len(token), i))
         self.automaton.make_automaton()
-        self.word = regex.compile(PATTERN.replace(r"\s", f"[{SPACE}]").replace(r"[^[", "[^").replace(r"]\p{L}\p{N}]", r"\p{L}\p{N}]").replace(r"\S", f"[^{SPACE}]"))
+        self.word = re.compile(PATTERN.format(**classes))
         #: Runs of words without space between them; a word never crosses these bounds.
-        self.chunk = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+        self.chunk = re.compile(" ?[^{S}]+|[{S}]+(?![^{S}])|[{S}]+".format(**classes))
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
     def stable(self, token: int) -> bool:
@@ -184,21 +216,25 @@ class PrefixBpe:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
-@cache
-def load(path: str) -> PrefixBpe:
+_LOADED: dict[str, PrefixBpe] = {}
+
+
+def load(path: str, classes: dict[str, str]) -> PrefixBpe:
     """One encoder for each Python worker."""
-    return PrefixBpe(path)
+    if path not in _LOADED:
+        _LOADED[path] = PrefixBpe(path, classes)
+    return _LOADED[path]
 
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str | None = None) -> DataFrame:
     """doc_id and the ids of each whole text."""
     import public_tokenizers
 
-    path = vocabulary_path or public_tokenizers.path(VOCABULARY)
+    path, classes = vocabulary_path or public_tokenizers.path(VOCABULARY), character_classes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim_cache(("bpe", path), load.cache_clear)
-        bpe = load(path)
+        claim_cache(("bpe", path), _LOADED.clear)
+        bpe = load(path, classes)
         for batch in slices(batches, 128):
             ids = [bpe.encode(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
@@ -210,11 +246,11 @@ def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ids_col: str =
     """doc_id and the text of each id list; null ids give the empty text."""
     import public_tokenizers
 
-    path = vocabulary_path or public_tokenizers.path(VOCABULARY)
+    path, classes = vocabulary_path or public_tokenizers.path(VOCABULARY), character_classes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim_cache(("bpe", path), load.cache_clear)
-        bpe = load(path)
+        claim_cache(("bpe", path), _LOADED.clear)
+        bpe = load(path, classes)
         for batch in slices(batches, 128):
             texts = [bpe.decode(i or []) for i in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
@@ -226,11 +262,11 @@ def digest_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """Encode, decode the ids, and return doc_id, n_tokens, ids_sha256 and decoded_sha256."""
     import public_tokenizers
 
-    path = vocabulary_path or public_tokenizers.path(VOCABULARY)
+    path, classes = vocabulary_path or public_tokenizers.path(VOCABULARY), character_classes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim_cache(("bpe", path), load.cache_clear)
-        bpe = load(path)
+        claim_cache(("bpe", path), _LOADED.clear)
+        bpe = load(path, classes)
         for batch in slices(batches, 128):
             counts, ids_sha, text_sha = [], [], []
             for text in batch.column(1).to_pylist():
