@@ -11,12 +11,16 @@ crosses a boundary is allocated by an explicit rule:
 In every rule the counts of a document's sections add up to its token count.
 
 Defined cases: a null or empty text has one empty section without tokens; a null field is left out; sections of
-no characters get no tokens (under ``start`` and ``majority`` a token at their place belongs to the next section).
+no characters get no tokens (under ``start`` and ``majority`` a token at their place belongs to the next section); repeated
+rows are counted one by one; an empty table gives no rows. Texts of any length are encoded whole: runs of white space
+of LONG_SPACE characters or more are words of their own for the pattern, and go to the encoder without it, since its
+regular expression takes stack in proportion to a run.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -29,6 +33,8 @@ from tallyframe.llm.storage import slices
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 RULES = ("start", "majority", "split")
+LONG_SPACE = 4096
+SPACE_RUN = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_SPACE)
 
 
 @cache
@@ -44,6 +50,21 @@ def _encoder(path: str, pattern: str):
     return tiktoken.Encoding("sections", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), widths
 
 
+def encode_whole(encoding, text: str, byte_level: bool = True) -> list[int]:
+    """Ids of a text of any length.
+
+    The byte-level pattern takes a run of white space as one word, but for its last character where something follows it;
+    so long runs are cut out there and encoded by themselves. Other patterns get the text as it is.
+    """
+    out, at = [], 0
+    for run in SPACE_RUN.finditer(text) if byte_level else ():
+        stop = run.end() - (run.end() < len(text))
+        out += encoding.encode_ordinary(text[at : run.start()])
+        out += encoding._core_bpe.encode_single_piece(text[run.start() : stop].encode())
+        at = stop
+    return out + encoding.encode_ordinary(text[at:])
+
+
 def allocate(token_ends: np.ndarray, bounds: np.ndarray, rule: str) -> np.ndarray:
     """Tokens of each section. token_ends: rising byte ends of tokens; bounds: rising byte bounds of the sections, from 0 to the end."""
     sections = len(bounds) - 1
@@ -88,7 +109,7 @@ def attribute_tokens(
     if rule not in RULES:
         raise ValueError(f"rule is none of {RULES}")
     path, split = vocabulary_path or public_tokenizers.path(VOCABULARY), pattern or public_tokenizers.PATTERN
-    names = list(field_cols)
+    names, byte_level = list(field_cols), split == public_tokenizers.PATTERN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding, widths = _encoder(path, split)
@@ -106,7 +127,7 @@ def attribute_tokens(
                         cut.append(parts[-1])
                     pieces += [(name, p.encode()) for p in cut]
                 raw = b"".join(p for _, p in pieces)
-                ids = np.asarray(encoding.encode_ordinary(raw.decode()), np.int64)
+                ids = np.asarray(encode_whole(encoding, raw.decode(), byte_level), np.int64)
                 bounds = np.concatenate([[0], np.cumsum([len(p) for _, p in pieces])])
                 counts = allocate(np.cumsum(widths[ids]) if len(ids) else np.zeros(0, np.int64), bounds, rule)
                 chars = bounds if raw.isascii() else _char_at(raw)[bounds]
