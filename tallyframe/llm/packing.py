@@ -11,8 +11,8 @@
    share is spread over many tasks.
 
 Defined cases: a null or empty text is the end id alone; equal documents get pieces of their own; an empty table
-gives no rows. A sequence shorter than the window is padded to the next power of two (``padded``), at most
-the window.
+gives no rows; repeated rows are packed one by one. A sequence is padded to the window (``padded``), but for one whose
+length is itself a power of two, which stays as it is.
 """
 
 from __future__ import annotations
@@ -284,7 +284,7 @@ def pack(pieces: DataFrame, window: int = 2048, step: int = 8, depth: int = 3, b
     so_far = inside.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     filled = F.sum("length").over(inside)
     return placed.select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.coalesce(F.sum("length").over(so_far), F.lit(0)).alias("offset"), F.least(F.lit(window), F.pow(F.lit(2.0), F.ceil(F.log2(filled)))).cast("long").alias("padded")
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.coalesce(F.sum("length").over(so_far), F.lit(0)).alias("offset"), F.when(filled.bitwiseAND(filled - 1) == 0, filled).otherwise(F.lit(window)).cast("long").alias("padded")
     )
 
 
