@@ -1,18 +1,22 @@
 """Line dedup: lines that many documents share are dropped by probing a sharded minimal perfect hash.
 
-1. Every document gives its distinct line keys as 64-bit hashes; they are counted (with partial sums before the
-   shuffle), which gives in how many documents each key occurs.
-2. Hashes with at least ``min_docs`` documents are dealt to shards by their upper bits. Each shard becomes one
-   minimal perfect hash (levels of bit arrays; the rank of a hash's bit is its slot) with two compact arrays: a
-   32-bit fingerprint (other bits of the mixed hash) and a 32-bit count for each slot. A hash that was never
-   indexed misses all levels or, but for one in 2^32, fails the fingerprint.
-3. Documents probe the arrays; no line is joined. While all shards take at most ``broadcast_limit`` bytes
-   (checked), they go to every task. Above that, documents' hashes travel to the shards instead, and the dropped
-   ones back to the documents.
+1. Every document gives its distinct line keys as 64-bit hashes, stored as (h, doc_id, bucket). A hash counts the
+   distinct ids that hold it.
+2. All distinct hashes are dealt to shards by their upper bits. Each shard becomes one minimal perfect hash (levels of
+   bit arrays; the rank of a hash's bit is its slot) with two compact arrays: a 32-bit fingerprint (other bits of the
+   mixed hash) and a 32-bit count for each slot.
+3. Documents probe the arrays; no line is joined. Documents are dealt to buckets of bounded size by hash; a bucket's
+   distinct hashes go to the shards, so a line that a third of all documents hold costs a row for each bucket. Every
+   hash that is asked for was indexed, so its slot is its own and the count array decides. The dropped hashes go back
+   to their buckets, ahead of the documents, which stream past them.
+
+Nothing is broadcast or collected but totals, and there is one way at every size.
 
 Keys: all of ``[\\x20\\x09-\\x0D]`` stripped at both ends, A-Z lower-cased. Keys shorter than ``min_chars`` code
-points are never dropped. Defined cases: null text is one empty line, kept; a line that a document repeats
-counts once for it; a document whose lines all go keeps the empty text; an empty table gives no rows.
+points are never dropped. Defined cases: null text is one empty line, kept; a line that a document repeats counts once
+for it; rows with equal ids are one document in the counts, and each of them is cut; rows without id are cut, too, but
+count for nothing; a document whose lines all go keeps the empty text; an empty table gives no rows. Two lines are
+taken for equal if their 64-bit hashes are.
 """
 
 from __future__ import annotations
@@ -27,15 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tallyframe.llm.storage import materialize, slices
+from tallyframe.llm.storage import materialize, scratch, slices
 
 STRIP = b" \t\n\x0b\x0c\r"
 SEED = 42
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 GAMMA = 2.0
-SHARD_KEYS = 1 << 16
-BROADCAST_LIMIT = 64 << 20
-Dropped = Callable[[np.ndarray, np.ndarray], np.ndarray]
+#: Hashes and probes of a shard, documents and bytes of a bucket, on average.
+SHARD_KEYS, SHARD_PROBES = 1 << 16, 1 << 21
+BUCKET_ROWS, BUCKET_BYTES = 2048, 8 << 20
+Dropped = Callable[[np.ndarray], np.ndarray]
 
 
 def line_key(line: bytes) -> bytes:
@@ -123,54 +128,53 @@ def fingerprint(hashes: np.ndarray) -> np.ndarray:
     return (mix(hashes, 0x7FFF) >> np.uint64(32)).astype(np.uint32)
 
 
-def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("raw"))
-
-
 def long_enough(key: bytes, min_chars: int) -> bool:
     return len(key) >= min_chars and (len(key) >= 4 * min_chars or sum((b & 0xC0) != 0x80 for b in key) >= min_chars)
 
 
-def count_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 1) -> DataFrame:
-    """(h, docs): in how many documents each line key occurs. Each batch is summed before it goes on."""
+def line_hashes(rows: DataFrame, min_chars: int = 1) -> DataFrame:
+    """(h, doc_id, bucket) of (doc_id, raw, bucket): the distinct line keys of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             got: list[int] = []
-            for part in slices(iter([batch])):
-                for raw in part.column(1).to_pylist():
-                    keys = {line_key(x) for x in (raw or b"").split(b"\n")}
-                    got += [key_hash(k) for k in keys if long_enough(k, min_chars)]
-            h, n = np.unique(np.array(got, np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n, pa.int64())], ["h", "docs"])
+            sizes = []
+            for raw in batch.column(1).to_pylist():
+                keys = {line_key(x) for x in (raw or b"").split(b"\n")}
+                own = [key_hash(k) for k in keys if long_enough(k, min_chars)]
+                got += own
+                sizes.append(len(own))
+            owner = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64()), batch.column(0).take(owner), batch.column(2).take(owner)], ["h", "doc_id", "bucket"])
+
+    return rows.select("doc_id", "raw", "bucket").mapInArrow(run, "h long, doc_id long, bucket int")
 
-    return _documents(docs, id_col, text_col).mapInArrow(run, "h long, docs long").groupBy("h").agg(F.sum("docs").alias("docs"))
 
+def count_lines(hashes: DataFrame) -> DataFrame:
+    """(h, docs): how many distinct ids hold each line key; 0 where only rows without id do."""
+    pairs = hashes.select("h", "doc_id").distinct()
+    return pairs.groupBy("h").agg(F.count("doc_id").alias("docs"))
 
-def build_shards(frequent: DataFrame, n_shards: int) -> DataFrame:
-    """(shard, index): one serialized PerfectHash for each shard of (h, docs); shards hold about SHARD_KEYS hashes."""
+
+def build_shards(counts: DataFrame, n_shards: int) -> DataFrame:
+    """(shard, index): one serialized PerfectHash for each shard of (h, docs)."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         h = table.column("h").to_numpy().astype(np.int64).view(np.uint64)
         index = PerfectHash.build(h, table.column("docs").to_numpy())
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "index": pa.array([index.to_bytes()], pa.binary())})
 
-    sharded = frequent.select("h", "docs", F.pmod(F.shiftrightunsigned("h", 40), F.lit(n_shards)).cast("int").alias("shard"))
+    sharded = counts.select("h", "docs", F.pmod(F.shiftrightunsigned("h", 40), F.lit(n_shards)).cast("int").alias("shard"))
     return sharded.groupBy("shard").applyInArrow(run, "shard int, index binary")
 
 
-def shard_of(h: np.ndarray, n_shards: int) -> np.ndarray:
-    return ((h >> np.uint64(40)) % np.uint64(n_shards)).astype(np.int64)
-
-
 def cut_lines(raws: list[bytes | None], dropped_of: Dropped, min_chars: int) -> tuple[list[int], list[int], list[bytes]]:
-    """Lines, dropped lines and what is kept of each text. dropped_of: (hashes of all lines, index of each line's text) -> mask."""
+    """Lines, dropped lines and what is kept of each text. dropped_of: hashes of all lines -> mask."""
     lines = [(r or b"").split(b"\n") for r in raws]
     keys = [[line_key(x) for x in ls] for ls in lines]
     eligible = np.array([long_enough(k, min_chars) for ks in keys for k in ks], bool)
     flat = np.array([key_hash(k) for ks in keys for k in ks], np.int64)
-    owner = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
-    gone = dropped_of(flat, owner) & eligible
+    gone = dropped_of(flat) & eligible
     dropped, kept, at = [], [], 0
     for ls in lines:
         mask = gone[at : at + len(ls)]
@@ -180,95 +184,75 @@ def cut_lines(raws: list[bytes | None], dropped_of: Dropped, min_chars: int) ->
     return [len(x) for x in lines], dropped, kept
 
 
-class LineIndex:
-    """The stored shards of the frequent lines of ``docs``, and the two ways to probe them."""
-
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_chars: int, broadcast_limit: int) -> None:
-        self.id_col, self.text_col, self.min_docs, self.min_chars = id_col, text_col, min_docs, min_chars
-        frequent = materialize(count_lines(docs, id_col, text_col, min_chars).where(F.col("docs") >= min_docs), "line-counts")
-        self.n_shards = max(1, -(-frequent.count() // SHARD_KEYS))
-        self.shards = materialize(build_shards(frequent, self.n_shards), "line-index")
-        self.small = (self.shards.agg(F.sum(F.length("index"))).first()[0] or 0) <= broadcast_limit
-
-    def over(self, rows: DataFrame, make: Callable[[pa.RecordBatch, tuple], pa.RecordBatch], schema: str | StructType) -> DataFrame:
-        """Map batches of ``rows`` with ``make(batch, cut_lines(...))``; rows hold the id and the text."""
-        names, text_at = rows.columns, rows.columns.index(self.text_col)
-        min_docs, min_chars, n_shards = self.min_docs, self.min_chars, self.n_shards
-
-        def raw(batch: pa.RecordBatch) -> list[bytes | None]:
-            return batch.column(text_at).cast(pa.binary()).to_pylist()
-
-        if self.small:
-            blobs = rows.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["index"]) for r in self.shards.collect()})  # its size is checked
-
-            def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                index = {s: PerfectHash.from_bytes(b) for s, b in blobs.value.items()}
+def probe_shards(asked: DataFrame, shards: DataFrame, n_shards: int, min_docs: int) -> DataFrame:
+    """(bucket, h) of the asked (bucket, h) whose count reaches ``min_docs``."""
 
-                def dropped(flat: np.ndarray, owner: np.ndarray) -> np.ndarray:
-                    h = flat.view(np.uint64)
-                    gone, shard = np.zeros(len(h), bool), shard_of(h, n_shards)
-                    for s, part in index.items():
-                        mine = np.flatnonzero(shard == s)
-                        gone[mine] = part.count_of(h[mine]) >= min_docs
-                    return gone
+    def run(_: tuple, rows: pa.Table, index: pa.Table) -> pa.Table:
+        h = rows.column("h").to_numpy()
+        if not len(h):
+            return pa.table({"bucket": pa.array([], pa.int32()), "h": pa.array([], pa.int64())})
+        hit = PerfectHash.from_bytes(index.column("index")[0].as_py()).count_of(h.view(np.uint64)) >= min_docs
+        return pa.table({"bucket": rows.column("bucket").filter(pa.array(hit)), "h": pa.array(h[hit])})
 
-                for batch in slices(batches):
-                    yield make(batch, cut_lines(raw(batch), dropped, min_chars))
+    dealt = asked.select("bucket", "h", F.pmod(F.shiftrightunsigned("h", 40), F.lit(n_shards)).cast("int").alias("shard"))
+    return dealt.groupBy("shard").cogroup(shards.groupBy("shard")).applyInArrow(run, "bucket int, h long")
 
-            return rows.mapInArrow(probe, schema)
 
-        lists = self.hits(rows).groupBy("of_doc").agg(F.collect_list("h").alias("gone_lines"))
+def cut_rows(rows: DataFrame, text_col: str, make: Callable[[pa.RecordBatch, tuple], pa.RecordBatch], schema: str | StructType, bucket, hits: DataFrame, min_chars: int) -> DataFrame:
+    """Map batches of ``rows`` with ``make(batch, cut_lines(...))``. A bucket's dropped hashes stand before its rows, which stream."""
+    names = rows.columns
+    own = [f"_{i}" for i in range(len(names))]
+    text_at = names.index(text_col)
+    lists = hits.groupBy("bucket").agg(F.collect_list("h").alias("gone")).select("bucket", F.lit(0).alias("turn"), "gone")
+    dealt = rows.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(names, own, strict=True)], bucket.alias("bucket"), F.lit(1).alias("turn"))
+    both = dealt.unionByName(lists, allowMissingColumns=True).repartition("bucket").sortWithinPartitions("bucket", "turn")
 
-        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches):
-                sets = [set(x or ()) for x in batch.column(len(names)).to_pylist()]
-
-                def dropped(flat: np.ndarray, owner: np.ndarray, sets=sets) -> np.ndarray:
-                    return np.array([h in sets[o] for h, o in zip(flat.tolist(), owner.tolist(), strict=True)], bool)
-
-                yield make(batch.select(names), cut_lines(raw(batch), dropped, min_chars))
-
-        met = rows.join(lists, F.col(self.id_col).cast("long").eqNullSafe(F.col("of_doc")), "left")
-        return met.select(*[rows[c] for c in names], "gone_lines").mapInArrow(cut, schema)
-
-    def hits(self, rows: DataFrame) -> DataFrame:
-        """(of_doc, h) of the frequent lines of each document, found at the shards.
-
-        For an index above the broadcast limit: a document's distinct hashes go to salted copies of their shards, by
-        document, so that one line that a third of all documents hold does not meet in one task.
-        """
-        n_shards, min_docs, min_chars = self.n_shards, self.min_docs, self.min_chars
-        salts = max(16, rows.count() // (n_shards * 20_000))
-
-        def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches):
-                ids, got = [], []
-                for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    own = {key_hash(k) for k in map(line_key, (raw or b"").split(b"\n")) if long_enough(k, min_chars)}
-                    ids += [doc_id] * len(own)
-                    got += own
-                h = np.array(got, np.int64)
-                cell = shard_of(h.view(np.uint64), n_shards) * salts + np.array([(i or 0) % salts for i in ids], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(h), pa.array(cell)], ["of_doc", "h", "cell"])
-
-        def probe(_: tuple, asked: pa.Table, copy: pa.Table) -> pa.Table:
-            if not copy.num_rows or not asked.num_rows:
-                return pa.table({"of_doc": pa.array([], pa.int64()), "h": pa.array([], pa.int64())})
-            h = asked.column("h").to_numpy()
-            hit = PerfectHash.from_bytes(copy.column("index")[0].as_py()).count_of(h.view(np.uint64)) >= min_docs
-            return pa.table({"of_doc": asked.column("of_doc").filter(pa.array(hit)), "h": pa.array(h[hit])})
-
-        asked = _documents(rows, self.id_col, self.text_col).mapInArrow(hashes, "of_doc long, h long, cell long")
-        copies = self.shards.select(F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "shard", "index").select((F.col("shard") * salts + F.col("salt")).cast("long").alias("cell"), "index")
-        return asked.groupBy("cell").cogroup(copies.groupBy("cell")).applyInArrow(probe, "of_doc long, h long")
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, broadcast_limit: int = BROADCAST_LIMIT, digest: bool = False) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, gone = None, np.zeros(0, np.int64)
+        for batch in slices(batches):
+            bucket, turn = batch.column(len(own)).to_numpy(), batch.column(len(own) + 1).to_numpy()
+            starts = np.flatnonzero((np.diff(bucket, prepend=bucket[:1]) != 0) | (turn == 0) | (np.diff(turn, prepend=turn[:1]) != 0))
+            for first, after in zip([0, *starts.tolist()], [*starts.tolist(), len(bucket)], strict=True):
+                if first == after:
+                    continue
+                if turn[first] == 0:
+                    at, gone = bucket[first], np.sort(batch.column(len(own) + 2)[first].values.to_numpy())
+                    continue
+                if at != bucket[first]:
+                    at, gone = bucket[first], np.zeros(0, np.int64)
+                part = batch.slice(first, after - first)
+                part = pa.RecordBatch.from_arrays(part.columns[: len(own)], names)
+
+                def dropped(flat: np.ndarray, gone: np.ndarray = gone) -> np.ndarray:
+                    if not len(gone):
+                        return np.zeros(len(flat), bool)
+                    return gone[np.minimum(np.searchsorted(gone, flat), len(gone) - 1)] == flat
+
+                yield make(part, cut_lines(part.column(text_at).cast(pa.binary()).to_pylist(), dropped, min_chars))
+
+    return both.select(*own, "bucket", "turn", "gone").mapInArrow(run, schema)
+
+
+def _dedup(rows: DataFrame, id_col: str, text_col: str, min_docs: int, min_chars: int, make: Callable[[pa.RecordBatch, tuple], pa.RecordBatch], schema: str | StructType) -> DataFrame:
+    doc_id, raw = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("binary")
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(raw)), F.lit(0))).first()
+    n_buckets = 1 + max(n // BUCKET_ROWS, size // BUCKET_BYTES)
+    bucket = F.pmod(F.xxhash64(doc_id, raw), F.lit(n_buckets)).cast("int")
+    with scratch(rows.sparkSession):
+        hashes = materialize(line_hashes(rows.select(doc_id.alias("doc_id"), raw.alias("raw"), bucket.alias("bucket")), min_chars), "line-hashes")
+        counts = materialize(count_lines(hashes), "line-counts")
+        asked = materialize(hashes.select("bucket", "h").distinct(), "line-probes")
+        n_shards = 1 + max(counts.count() // SHARD_KEYS, asked.count() // SHARD_PROBES)
+        shards = materialize(build_shards(counts, n_shards), "line-index")
+        hits = materialize(probe_shards(asked, shards, n_shards, min_docs), "line-hits", keep=True)
+    return cut_rows(rows, text_col, make, schema, bucket, hits, min_chars)
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, digest: bool = False) -> DataFrame:
     """doc_id, n_lines, n_dropped and ``kept``: the text without the lines that at least ``min_docs`` documents share.
 
     ``digest`` returns the kept text's SHA-256 instead of the text.
     """
-    index = LineIndex(docs, id_col, text_col, min_docs, min_chars, broadcast_limit)
 
     def make(batch: pa.RecordBatch, cut: tuple) -> pa.RecordBatch:
         lines, dropped, kept = cut
@@ -276,19 +260,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), last], ["doc_id", "n_lines", "n_dropped", "kept"])
 
     slim = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col))
-    return index.over(slim, make, "doc_id long, n_lines long, n_dropped long, kept string")
+    return _dedup(slim, id_col, text_col, min_docs, min_chars, make, "doc_id long, n_lines long, n_dropped long, kept string")
 
 
-def replace_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
+def replace_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """``docs`` with all its rows and columns, the shared lines gone from the text; a null text stays null."""
-    index = LineIndex(docs, id_col, text_col, min_docs, min_chars, broadcast_limit)
     at = docs.columns.index(text_col)
 
     def make(batch: pa.RecordBatch, cut: tuple) -> pa.RecordBatch:
         kept = [None if not t.is_valid else k.decode() for t, k in zip(batch.column(at), cut[2], strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(kept, batch.schema.field(at).type) if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
 
-    return index.over(docs, make, docs.schema)
+    return _dedup(docs, id_col, text_col, min_docs, min_chars, make, docs.schema)
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:

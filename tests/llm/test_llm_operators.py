@@ -296,18 +296,36 @@ def dedup_by_hand(texts, min_docs):
     return out
 
 
-@pytest.mark.parametrize("limit", [1 << 20, 0])
-def test_line_dedup_equals_brute_force(spark, limit):
+@pytest.mark.parametrize("bucket_rows", [2048, 7])
+def test_line_dedup_equals_brute_force(spark, monkeypatch, bucket_rows):
+    monkeypatch.setattr(line_dedup, "BUCKET_ROWS", bucket_rows)
     rand = random.Random(6)
     pool = ["Shared line", " shared LINE\t", "Ärger", "ärger", "", "  ", "x", *[f"own {i}" for i in range(200)]]
     texts = [None, "", *["\n".join(rand.choice(pool) for _ in range(rand.randint(1, 12))) for _ in range(120)]]
     docs = documents(spark, texts)
-    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept"]) for r in line_dedup.dedup_lines(docs, broadcast_limit=limit).collect()}
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept"]) for r in line_dedup.dedup_lines(docs).collect()}
     assert got == dict(enumerate(dedup_by_hand(texts, 10)))
-    whole = line_dedup.replace_texts(docs, broadcast_limit=limit)
+    whole = line_dedup.replace_texts(docs)
     assert whole.columns == docs.columns
     assert {r["doc_id"]: r["text"] for r in whole.collect()} == {i: None if texts[i] is None else k[2] for i, k in got.items()}
-    assert line_dedup.dedup_lines(docs.limit(0), broadcast_limit=limit).count() == 0
+    assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_line_dedup_counts_ids(spark):
+    """Rows with equal ids are one document, rows without id none; both are cut like others."""
+    rows = [(7, "hot\nown a")] * 10 + [(None, "free\nshared")] * 12 + [(i, "shared\nx") for i in range(20, 30)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 32
+    assert {r["kept"] for r in got if r["doc_id"] == 7} == {"hot\nown a"}
+    assert {r["kept"] for r in got if r["doc_id"] is None} == {"free"} and {r["kept"] for r in got if (r["doc_id"] or 0) >= 20} == {""}
+
+
+def test_line_dedup_on_a_million_lines(spark):
+    """All distinct lines are indexed, in several shards; only the shared ones go."""
+    n = 1_000_000
+    docs = spark.range(1000).selectExpr("id AS doc_id", f"concat_ws('\n', transform(sequence(0, {n // 1000 - 1}), i -> concat('line ', id * 1000 + i)), concat('pair ', id % 90)) AS text")
+    total = line_dedup.dedup_lines(docs).agg(F.sum("n_lines"), F.sum("n_dropped"), F.min("n_dropped")).first()
+    assert tuple(total) == (n + 1000, 1000, 1)
 
 
 def test_perfect_hash():
@@ -418,3 +436,67 @@ def test_ranges_are_coalesced():
 
 def test_materialized_tables_stay(spark):
     assert materialize(spark.range(3), "x").count() == 3
+
+
+def test_prefix_bpe_splits_every_code_point_like_the_library():
+    """Letters, numbers and white space are those of the library, not of another Unicode version."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    words = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
+    bpe = bpe_prefix.PrefixBpe(P.path("byte_bpe_50k.json"))
+    for low in range(0, 0x110000, 512):
+        text = "".join(f"{c}'s a{c}1{c}!{c} {c}" for c in map(chr, range(low, low + 512)) if not "\ud800" <= c <= "\udfff")
+        got, at = [], 0
+        for chunk in bpe.chunk.findall(text):
+            for word in bpe.word.findall(chunk):
+                got.append((at, at + len(word)))
+                at += len(word)
+        assert got == [span for _, span in words(text)], hex(low)
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for t in ("֋'s", "՘'s", "౜'s", "\U0003fc3f's"):
+        assert bpe.encode(t) == tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_long_runs_are_encoded(spark):
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    rand = random.Random(4)
+    encoding, _ = token_spans._encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    pieces = ["a b", " ", "  ", " " * 4095, " " * 4096, " " * 5000, " \n" * 3000, "\t" * 4096, "x", "　" * 4200, "!!", " 's "]
+    for _ in range(60):
+        t = "".join(rand.choice(pieces) for _ in range(8))
+        assert token_spans.encode_whole(encoding, t) == tokenizer.encode(t, add_special_tokens=False).ids
+    long = [" " * 5_000_000 + "x", "a" * 1_000_000, "\n" * 1_000_000 + "y"]
+    rows = token_spans.attribute_tokens(documents(spark, long)).groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in rows} == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) for i, t in enumerate(long)}
+
+
+@pytest.mark.parametrize("rule", token_spans.RULES)
+def test_token_counts_equal_brute_force(spark, rule):
+    """Per section, by walking through the library's own offsets character by character."""
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rand = random.Random(12)
+    texts = ["".join(rand.choice(["ab", " the", "\n", "\n\n", "x\n", "...", " 12", "  "]) for _ in range(60)) for _ in range(25)]
+    rows = token_spans.attribute_tokens(documents(spark, texts), rule=rule).collect()
+    for i, t in enumerate(texts):
+        own = sorted((r["section"], r["start_char"], r["end_char"], r["n_tokens"]) for r in rows if r["doc_id"] == i)
+        section_of = [next(s for s, a, b, _ in own if a <= c < b) for c in range(len(t))]
+        want = [0.0] * len(own)
+        for a, b in tokenizer.encode(t, add_special_tokens=False).offsets:
+            held = [section_of[c] for c in range(a, b)]
+            if rule == "start":
+                want[held[0]] += 1
+            elif rule == "majority":
+                want[min(set(held), key=lambda s: (-held.count(s), s))] += 1
+            else:
+                for s in held:
+                    want[s] += 1 / len(held)
+        assert [x[3] for x in own] == pytest.approx(want)
+
+
+def test_padding_is_the_window_or_a_power_of_two(spark):
+    texts = ["x " * n for n in (255, 63, 99, 700)]  # with the end id: 256, 64, 100, 701 tokens
+    rows = packing.pack_documents(documents(spark, texts), window=256).collect()
+    for s in {r["sequence_id"] for r in rows}:
+        filled = sum(r["length"] for r in rows if r["sequence_id"] == s)
+        assert {r["padded"] for r in rows if r["sequence_id"] == s} == {filled if filled & (filled - 1) == 0 else 256}
