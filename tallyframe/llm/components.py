@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.storage import materialize
+from tallyframe.llm.storage import materialize, scratch
 
 
 def spanning_forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -42,6 +42,11 @@ def connected_components(links: DataFrame) -> DataFrame:
     followed once more, and links between the hooked-to nodes go to the next round, until none is left. A round
     shortens chains at least by half; its tables are stored in the shared folder.
     """
+    with scratch(links.sparkSession):
+        return _rounds(links)
+
+
+def _rounds(links: DataFrame) -> DataFrame:
     edges = materialize(links.select("a", "b").where("a <> b").mapInArrow(_thin, "a long, b long"), "links")
     steps: list[DataFrame] = []
     while not edges.isEmpty():
@@ -59,4 +64,4 @@ def connected_components(links: DataFrame) -> DataFrame:
     for step in steps[1:]:
         later = step.select(F.col("a").alias("label"), "to")
         labels = labels.join(later, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-    return materialize(labels, "components")
+    return materialize(labels, "components", keep=True)

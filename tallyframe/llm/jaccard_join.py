@@ -27,9 +27,13 @@ With links counted, no label settles a list or cluster beforehand: every pair of
 return a forest and a sum for each member. A pair is counted in one place only: in its cluster, or else in the first of
 the long lists that it shares, or else, when it shares none, among the pairs of short lists.
 
+Sets are computed once and stored. A list that many sets of a task enter is hot: its entries are dealt by set, too, and
+a mark goes to the list itself, so that its other members learn of it; hot lists are counted with partial aggregates.
+
 Defined cases: words are runs of anything but ``[\\x20\\x09-\\x0D]``, A-Z lower-cased; with fewer words than n the
 whole sequence is one shingle; null or empty texts, or texts without words, have an empty set and link with
-nothing; repeated rows are equal sets; an empty table gives no rows.
+nothing; rows without id, or with equal ids, are documents like others: they link and connect, and component_id is the
+smallest id there is (null where no row of a class has one); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,12 +47,14 @@ from math import ceil, comb, exp, factorial, sqrt
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tallyframe.llm.components import connected_components, spanning_forest
 from tallyframe.llm.line_dedup import mix
-from tallyframe.llm.storage import claim_cache, materialize, slices
+from tallyframe.llm.storage import claim_cache, materialize, scratch, slices
 
 CACHED = 250_000
 #: Rows that a part costs, in rows that a subset costs: its list is longer and is scanned.
@@ -63,6 +69,8 @@ BLOCK_BYTES = 2 << 20
 COLUMNS = 8192
 BROADCAST_IDS = 500_000
 SALTS = 16
+#: A list is hot in a task from HOT entries on; they are counted in COUNTERS places by hash and dealt over HOT_SALTS.
+HOT, COUNTERS, HOT_SALTS = 64, 1 << 18, 1024
 
 
 class _WordHashes(dict):
@@ -293,45 +301,72 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def document_sets(texts: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, key) of every document; key is null for an empty set."""
+    """(row, doc_id, n_shingles, key, shingles) of every row; key is null for an empty set.
+
+    Store the result: ``row`` is a number of its own only there. Of equal sets in a task only the first has its shingles.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim_cache("shingles", _WORDS.clear)
+        row, seen = TaskContext.get().partitionId() << 40, set()
         for batch in slices(batches, 256):
             sets = [shingle_set(r, n) for r in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n_shingles", "key"])
+            keys = [set_key(s) if len(s) else None for s in sets]
+            stored = []
+            for key, s in zip(keys, sets, strict=True):
+                stored.append(None if key is None or key in seen else s.tobytes())
+                seen.add(key)
+            if len(seen) > CACHED:
+                seen.clear()
+            rows = pa.array(np.arange(row, row + len(sets)))
+            row += len(sets)
+            yield pa.RecordBatch.from_arrays([rows, batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(stored, pa.binary())], ["row", "doc_id", "n_shingles", "key", "shingles"])
 
-    return texts.mapInArrow(run, "doc_id long, n_shingles long, key long")
+    return texts.mapInArrow(run, "row long, doc_id long, n_shingles long, key long, shingles binary")
 
 
-def inverted_lists(texts: DataFrame, n: int, scheme: Scheme) -> DataFrame:
+def inverted_lists(sets: DataFrame, scheme: Scheme) -> DataFrame:
     """(list, key, need, low, members): entries of all lists with two different sets or more.
 
-    low is the smallest key of the list; need is how many lists two sets of it must share to link. Of equal sets in a
-    task only the first is entered, so the rows of a group of copies don't grow with its size.
+    low is the smallest key of the list; need is how many lists two sets of it must share to link.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim_cache("shingles", _WORDS.clear)
         seen: set[int] = set()
+        counts, total = np.zeros(COUNTERS, np.int64), 0
         for batch in slices(batches):
             lists, keys, needs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-            for raw in batch.column(1).to_pylist():
-                s = shingle_set(raw, n)
-                if not len(s) or (key := set_key(s)) in seen:
+            for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if key in seen:
                     continue
                 seen.add(key)
                 if len(seen) > CACHED:
                     seen.clear()
-                for need, own in list_keys(s, scheme):
+                for need, own in list_keys(np.frombuffer(raw, np.uint64), scheme):
                     lists.append(own)
                     keys.append(np.full(len(own), key, np.int64))
                     needs.append(np.full(len(own), need, np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(needs))], ["list", "key", "need"])
-
-    entries = texts.mapInArrow(run, "list long, key long, need int").repartition("list").dropDuplicates(["list", "key"])
-    whole = Window.partitionBy("list")
-    return entries.withColumns({"low": F.min("key").over(whole), "members": F.count(F.lit(1)).over(whole)}).where("members > 1")
+            place, key, need = np.concatenate(lists), np.concatenate(keys), np.concatenate(needs)
+            at = (place % np.uint64(COUNTERS)).astype(np.int64)
+            counts += np.bincount(at, minlength=COUNTERS)
+            total += len(at)
+            hot = counts[at] >= HOT + 4 * total // COUNTERS
+            salt = np.where(hot, 1 + (mix(key.view(np.uint64), 5) % np.uint64(HOT_SALTS)).astype(np.int32), 0).astype(np.int32)
+            _, first = np.unique(place[hot], return_index=True)
+            marks = np.flatnonzero(hot)[first]
+            columns = [pa.array(np.concatenate([place, place[marks]]).view(np.int64)), pa.array(np.append(salt, np.zeros(len(marks), np.int32)))]
+            columns += [pa.concat_arrays([pa.array(key), pa.nulls(len(marks), pa.int64())]), pa.array(np.concatenate([need, need[marks]]))]
+            yield pa.RecordBatch.from_arrays(columns, ["list", "salt", "key", "need"])
+
+    entries = sets.select("key", "shingles").mapInArrow(run, "list long, salt int, key long, need int")
+    whole = Window.partitionBy("list", "salt")
+    rated = entries.repartition("list", "salt").dropDuplicates(["list", "salt", "key"]).withColumns({"low": F.min("key").over(whole), "members": F.count("key").over(whole), "marked": F.count(F.lit(1)).over(whole)})
+    rated = rated.withColumn("hot", F.expr("salt > 0 OR marked > members")).where("key IS NOT NULL AND (members > 1 OR hot)")
+    stored = materialize(rated.select("list", "key", "need", "low", "members", "hot"), "lists")
+    hot = materialize(stored.where("hot").select("list", "key", "need").dropDuplicates(["list", "key"]), "hot-entries")
+    sums = materialize(hot.groupBy("list").agg(F.min("key").alias("low"), F.count(F.lit(1)).alias("members")).where("members > 1"), "hot-lists")
+    joined = materialize(hot.join(_small(sums), "list").select("list", "key", "need", "low", "members"), "hot-lists")
+    return stored.where("NOT hot").drop("hot").unionByName(joined)
 
 
 def counted_pairs(short: DataFrame) -> DataFrame:
@@ -342,18 +377,11 @@ def counted_pairs(short: DataFrame) -> DataFrame:
     return met.groupBy("a", "b", "need").count().where("count >= need").select("a", "b").distinct()
 
 
-def stored_sets(texts: DataFrame, sizes: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(key, shingles) of the wanted keys, from one document each. Few ids are broadcast, many are joined."""
-    ids = sizes.join(wanted.select("key").distinct(), "key").groupBy("key").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    ids = materialize(ids, "set-ids")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = [shingle_set(r, n) for r in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "shingles"])
-
-    chosen = texts.join(_small(ids), "doc_id", "left_semi").where(F.length("raw") > 0)
-    return materialize(chosen.select("doc_id", "raw").mapInArrow(run, "key long, shingles binary"), "sets")
+def wanted_sets(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, shingles) of the wanted keys, from one stored row each. Few row numbers are broadcast, many are joined."""
+    rows = sets.select("row", "key").join(wanted.select("key").distinct(), "key").groupBy("key").agg(F.min("row").alias("row")).select("row")
+    rows = materialize(rows, "set-rows")
+    return materialize(sets.join(_small(rows), "row", "left_semi").select("key", "shingles"), "sets")
 
 
 def _small(rows: DataFrame) -> DataFrame:
@@ -391,33 +419,38 @@ def _open_members(long: DataFrame, stars: DataFrame, labels: DataFrame) -> DataF
     sized = sized.select("cluster", (F.col("n") * F.col("n") <= 4 * F.col("pairs")).alias("tight"))
     members = materialize(named.join(sized, "cluster").select("cluster", "tight", "key", "label"), "members")
     entries = long.select("list", "key").join(members.where("NOT tight").select("key", "label"), "key")
-    several = entries.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("list")
-    return members.where("tight").select(F.col("cluster").alias("list"), "key", "label").unionByName(entries.join(several, "list", "left_semi"))
+    several = materialize(entries.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("list"), "open-lists")
+    return members.where("tight").select(F.col("cluster").alias("list"), "key", "label").unionByName(entries.join(_small(several), "list", "left_semi"))
+
+
+def _dealt_blocks(entries: DataFrame, sets: DataFrame, by: list[str]) -> DataFrame:
+    """The entries of each list, dealt by a hash of their keys to blocks of about ``BLOCK_BYTES``; once for each block that theirs meets: x <= y."""
+    sized = materialize(entries.join(sets.select("key", F.length("shingles").alias("bytes")), "key"), "entries")
+    dealt = sized.groupBy(by).agg(F.ceil(F.sum(F.col("bytes") + F.lit(ROW_BYTES)) / F.lit(BLOCK_BYTES)).alias("blocks"))
+    blocked = sized.drop("bytes").join(_small(materialize(dealt, "blocks")), by).withColumn("block", F.pmod(F.xxhash64("key"), "blocks"))
+    met = blocked.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return met.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}).drop("blocks", "other")
 
 
 def _block_links(entries: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
     """Links between components in long lists: every two blocks of a list meet in one group of bounded bytes."""
-    sized = entries.join(sets.select("key", F.length("shingles").alias("bytes")), "key")
-    so_far = F.sum("bytes").over(Window.partitionBy("list").orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
-    blocked = sized.withColumn("block", F.floor(so_far / BLOCK_BYTES).cast("int")).withColumn("blocks", F.max("block").over(Window.partitionBy("list")) + 1)
-    met = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("list", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "key", "label")
 
     def run(batch: pa.Table) -> pa.Table:
         rows = sorted({(k, g, s) for k, g, s in zip(batch.column("key").to_pylist(), batch.column("label").to_pylist(), batch.column("shingles").to_pylist(), strict=True)})
         found = linked_forest([r[0] for r in rows], [np.frombuffer(r[2], np.uint64) for r in rows], [r[1] for r in rows], scheme)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
+    met = _dealt_blocks(entries, sets, ["list"]).select("list", "x", "y", "key", "label")
     return met.join(sets, "key").groupBy("list", "x", "y").applyInArrow(run, "a long, b long")
 
 
-def link_components(texts: DataFrame, sizes: DataFrame, n: int, scheme: Scheme) -> DataFrame:
-    """(node, label) of the sets that link with another set."""
-    lists = materialize(inverted_lists(texts, n, scheme), "lists")
+def link_components(stored: DataFrame, scheme: Scheme) -> DataFrame:
+    """(node, label) of the sets that link with another set; ``stored`` are the stored ``document_sets`` that have shingles."""
+    lists = inverted_lists(stored, scheme)
     pairs = materialize(counted_pairs(lists.where(F.col("members") <= SHORT_LIST)), "pairs")
     long = lists.where(F.col("members") > SHORT_LIST)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key"))
-    sets = stored_sets(texts, sizes, ends.unionByName(long.select("key")), n)
+    sets = wanted_sets(stored, ends.unionByName(long.select("key")))
     votes = materialize(long.where("key <> low").groupBy(F.col("key").alias("a"), F.col("low").alias("b")).count(), "votes")
     first = votes.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
     tested = materialize(pairs.unionByName(first).distinct(), "pairs")
@@ -448,11 +481,7 @@ def _block_counts(members: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFr
     """(a, b, links) over clusters and lists: links of a forest (links null), and what a key links with (b null)."""
     tight = members.where("tight").select(F.col("cluster").alias("list"), "key", "lists", "copies", "tight")
     entries = tight.unionByName(members.where("NOT tight").select(F.explode("lists").alias("list"), "key", "lists", "copies", "tight"))
-    sized = materialize(entries.join(sets.select("key", F.length("shingles").alias("bytes")).distinct(), "key"), "entries")
-    dealt = sized.groupBy("list", "tight").agg(F.ceil(F.sum(F.col("bytes") + F.lit(ROW_BYTES)) / F.lit(BLOCK_BYTES)).alias("blocks"))
-    blocked = sized.join(_small(materialize(dealt, "blocks")), ["list", "tight"]).withColumn("block", F.pmod(F.xxhash64("key"), "blocks"))
-    met = blocked.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    met = met.select("list", "tight", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "key", "copies", "lists")
+    met = _dealt_blocks(entries, sets, ["list", "tight"]).select("list", "tight", "x", "y", "block", "key", "copies", "lists")
 
     def run(batch: pa.Table) -> pa.Table:
         columns = [batch.column(c).to_pylist() for c in ("key", "block", "copies", "shingles", "lists")]
@@ -467,15 +496,15 @@ def _block_counts(members: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFr
     return met.join(sets, "key").groupBy("list", "tight", "x", "y").applyInArrow(run, "a long, b long, links long")
 
 
-def link_counts(texts: DataFrame, sizes: DataFrame, copies: DataFrame, n: int, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
+def link_counts(stored: DataFrame, copies: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
     """(node, label) as ``link_components`` gives them, and (key, links): the documents with other sets that a set links with.
 
     ``copies`` has (key, copies) of all sets.
     """
-    lists = materialize(inverted_lists(texts, n, scheme), "lists")
+    lists = inverted_lists(stored, scheme)
     pairs = materialize(counted_pairs(lists.where(F.col("members") <= SHORT_LIST)), "pairs")
     long = lists.where(F.col("members") > SHORT_LIST)
-    sets = stored_sets(texts, sizes, pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(long.select("key")), n)
+    sets = wanted_sets(stored, pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(long.select("key")))
     members = _counted_members(long, copies)
     sure = materialize(verified(pairs, sets, scheme).distinct(), "verified")
     blocks = materialize(_block_counts(members, sets, scheme), "verified")
@@ -499,31 +528,75 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _classes_of(docs, id_col, text_col, n, Scheme(num, den), counted=False)
 
 
+def _classed(texts: DataFrame, n: int, scheme: Scheme, counted: bool) -> tuple[DataFrame, DataFrame]:
+    """Two stored tables: (doc_id, n_shingles, key) of every row, and (key, class, component_id, n_links) of the sets that link or have copies."""
+    with scratch(texts.sparkSession):
+        sets = materialize(document_sets(texts, n), "document-sets")
+        stored = sets.where("shingles IS NOT NULL")
+        nodes = sets.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+        own = F.col("copies") - 1
+        if counted:
+            labels, links = link_counts(stored, materialize(nodes.select("key", "copies"), "copies"), scheme)
+            nodes, own = nodes.join(links, "key", "left"), own + F.coalesce("links", F.lit(0))
+        else:
+            labels = link_components(stored, scheme)
+        named = materialize(nodes.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("n_links", own), "nodes")
+        lowest = named.where("label IS NOT NULL").groupBy("label").agg(F.min("first").alias("lowest"))
+        moved = named.join(lowest, "label", "left").where("label IS NOT NULL OR copies > 1")
+        moved = materialize(moved.select("key", F.coalesce("label", "key").alias("class"), F.coalesce("lowest", "first").alias("component_id"), "n_links"), "classes", keep=True)
+        sizes = materialize(sets.select("doc_id", "n_shingles", "key"), "set-sizes", keep=True)
+    return sizes, moved
+
+
 def _classes_of(docs: DataFrame, id_col: str, text_col: str, n: int, scheme: Scheme, counted: bool) -> DataFrame:
-    texts = _texts(docs, id_col, text_col)
-    sizes = materialize(document_sets(texts, n), "set-sizes")
-    nodes = sizes.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    own = F.col("copies") - 1
-    if counted:
-        labels, links = link_counts(texts, sizes, materialize(nodes.select("key", "copies"), "copies"), n, scheme)
-        nodes, own = nodes.join(links, "key", "left"), own + F.coalesce("links", F.lit(0))
-    else:
-        labels = link_components(texts, sizes, n, scheme)
-    named = materialize(nodes.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("n_links", own), "nodes")
-    lowest = named.where("label IS NOT NULL").groupBy("label").agg(F.min("first").alias("lowest"))
-    moved = named.join(lowest, "label", "left").where("label IS NOT NULL OR copies > 1").select("key", F.coalesce("lowest", "first").alias("component_id"), "n_links")
-    spread = moved.select("key", "component_id", "n_links", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = sizes.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    rows = salted.join(spread, ["key", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    sizes, moved = _classed(_texts(docs, id_col, text_col), n, scheme, counted)
+    rows = _salted_join(sizes, moved).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return rows if counted else rows.drop("n_links")
 
 
+def _salted_join(sizes: DataFrame, moved: DataFrame) -> DataFrame:
+    """Rows with what is known of their keys, if anything; the copies of one text are spread over SALTS parts."""
+    spread = moved.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return sizes.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(spread, ["key", "salt"], "left")
+
+
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """The rows of ``docs``, all columns, that are the first of their component. Rows without id stay."""
-    classes = jaccard_classes(docs, id_col, text_col, n, num, den)
-    gone = materialize(classes.where("component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct(), "near-copies")
-    few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, id_col, "left_anti").select(docs.columns)
+    """The rows of ``docs``, all columns, that are the first of their component. Rows without id stay.
+
+    Of rows with equal ids in one component, one stays at most; rows with equal ids and empty texts link with nothing, so
+    they stay.
+    """
+    spark = docs.sparkSession
+    with scratch(spark):
+        sizes, moved = _classed(_texts(docs, id_col, text_col), n, Scheme(num, den), counted=False)
+        repeated = materialize(sizes.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids", keep=True)
+        gone = _salted_join(sizes, moved).where("component_id <> doc_id").select("doc_id").unionByName(repeated)
+        gone = materialize(gone.distinct(), "near-copies", keep=True)
+        moved = materialize(moved, "classes", keep=True)
+    out = docs.join(_small(gone.withColumnRenamed("doc_id", id_col)), id_col, "left_anti").select(docs.columns)
+    return out if repeated.isEmpty() else out.unionByName(_one_of_each_id(docs, repeated, moved, id_col, text_col, n))
+
+
+def _one_of_each_id(docs: DataFrame, repeated: DataFrame, moved: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """The rows of repeated ids that stay: of each id and class one, where the class has no smaller id."""
+    names = docs.columns
+    own = [f"_{i}" for i in range(len(names))]
+    doc_id, text = (f"_{names.index(c)}" for c in (id_col, text_col))
+    rows = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(names, own, strict=True)])
+    rows = rows.join(_small(repeated.select(F.col("doc_id").alias(doc_id))), doc_id, "left_semi").select(own)
+    at = own.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [shingle_set(r, n) for r in batch.column(at).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())], [*own, "key"])
+
+    keyed = rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("key", LongType())]))
+    kept = keyed.join(moved, "key", "left").where(F.coalesce(F.col("component_id") == F.col(doc_id).cast("long"), F.lit(True)))
+    whole = F.struct(*own)
+    one = kept.where("key IS NOT NULL").groupBy(doc_id, F.coalesce("class", "key").alias("class")).agg(F.min_by(whole, F.xxhash64(text)).alias("row"))
+    rest = kept.where("key IS NULL").select(whole.alias("row"))
+    return one.select("row").unionByName(rest).select(*[F.col(f"row.{o}").alias(c) for o, c in zip(own, names, strict=True)])
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -500,3 +500,40 @@ def test_padding_is_the_window_or_a_power_of_two(spark):
     for s in {r["sequence_id"] for r in rows}:
         filled = sum(r["length"] for r in rows if r["sequence_id"] == s)
         assert {r["padded"] for r in rows if r["sequence_id"] == s} == {filled if filled & (filled - 1) == 0 else 256}
+
+
+def test_links_through_rows_without_id(spark):
+    """A text that only rows without id hold connects its neighbours."""
+    words = [f"w{i}" for i in range(24)]
+    bridge = [*words[:-2], "x1", "x2"]
+    far = ["y1", "y2", *bridge[2:]]
+    rows = [(9, " ".join(words)), (None, " ".join(bridge)), (1, " ".join(far)), (5, "alone here with six own words")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_classes(table).collect()}
+    assert got == {9: 1, None: 1, 1: 1, 5: 5}
+    assert {r["doc_id"]: r["n_links"] for r in jaccard_join.jaccard_links(table).collect()} == {9: 1, None: 2, 1: 1, 5: 0}
+
+
+def test_one_row_of_repeated_ids_stays(spark):
+    t, other = "a b c d e f g", "h i j k l m n"
+    rows = [(3, t), (3, t), (4, t), (5, other), (3, other), (3, other), (6, None), (6, None), (None, t), (7, "x")]
+    kept = jaccard_join.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == [(0, t), (3, t), (3, other), (6, ""), (6, ""), (7, "x")]
+
+
+@pytest.mark.parametrize("hot", [2, 10**9])
+def test_hot_lists_give_the_same_classes(spark, monkeypatch, hot):
+    monkeypatch.setattr(jaccard_join, "HOT", hot)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 0)
+    rand = random.Random(19)
+    base = [f"b{i}" for i in range(30)]
+    texts = []
+    for k in range(90):
+        copy = list(base)
+        for _ in range(k % 4):
+            copy[rand.randrange(30)] = f"c{rand.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    sets = [set(zip(*[t.split()[i:] for i in range(3)], strict=False)) for t in texts]
+    want = {i: sum(10 * len(a & b) >= 9 * len(a | b) for j, b in enumerate(sets) if i != j) for i, a in enumerate(sets)}
+    got = jaccard_join.jaccard_links(documents(spark, texts).repartition(3), n=3, num=90, den=100).collect()
+    assert {r["doc_id"]: r["n_links"] for r in got} == want
