@@ -1,15 +1,20 @@
 """Toxicity by non-negative positive-unlabelled (nnPU) learning in numpy.
 
 Confirmed toxic texts (P) and texts without regard to any label (U) train a linear classifier over how
-many different words hold a character n-gram (at least 1, 2, 3 or 5: one feature each). Its risk is ``prior * R_P+ + max(0, R_U- - prior * R_P-)``: what U says about clean texts,
-corrected by the share of toxic ones in U; where the corrected term falls below zero, only it is pushed back up.
+many different words hold a character n-gram (at least 1, 2, 3 or 5: one feature each). Its risk is
+``prior * R_P+ + max(0, R_U- - prior * R_P-)``: what U says about clean texts, corrected by the share of toxic ones in U;
+where the corrected term falls below zero, only it is pushed back up.
 
-Training rows are bounded samples by the hash of the document id (``max_positives``, ``max_unlabelled``); the
-class prior is the share of toxic rows among all labels that may be learned from. Scoring reads every whole text.
+Features are counted on executors: n-grams of all confirmed texts with partial sums, those that may tell P from U over
+all documents. Only the order in which n-grams are shortlisted comes from a sample. The classifier is fitted on bounded
+samples of the labelled rows by the hash of their id: at most ``max_positives`` confirmed ones and ``max_unlabelled``
+whose label is not read. The class prior is the share of toxic rows among all labels that may be learned from, that is
+of those that U is drawn from. Only the 0/1 features of sampled rows come to the driver, as bits. Scoring reads every
+whole text.
 
 Defined cases: a null or empty text has no n-grams and scores the bias; an unlabelled id and a label without
-document are skipped; several labels of one document count as toxic if one says so; without a confirmed toxic
-text every score is the smoothed prior; an empty table gives no rows.
+document are skipped; several labels of one document count as toxic if one says so; rows with equal ids are texts of their
+own; without a confirmed toxic text every score is the smoothed prior; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,20 +22,25 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.storage import claim_cache, slices
+from tallyframe.llm.storage import claim_cache, materialize, scratch, slices
 
 LEVELS = (1, 2, 3, 5)
 HEADS = range(3, 10)
 INNER = (4, 6)
 WORD = re.compile(r"\w+")
-CACHED = 200_000
+CACHED = 300_000
+#: N-grams of confirmed texts that are counted over all documents; a feature is chosen among these.
+SHORTLIST = 20_000
+#: N-grams that a task counts before it hands its sums on.
+HELD = 400_000
 #: Log-likelihood gain that an n-gram must show, so that few positives don't make features of chance.
 EVIDENCE = 12.0
 #: Least share of toxic texts among those that hold an n-gram, as estimated from P, U and the prior.
@@ -47,45 +57,48 @@ def grams(run: str) -> set[str]:
     return out
 
 
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different 0/1 rows, with the share of rows that each stands for; its last column is the bias."""
+    bits, count = np.unique(np.packbits(rows.astype(bool), axis=1), axis=0, return_counts=True)
+    x = np.unpackbits(bits, axis=1, count=rows.shape[1]).astype(np.float64)
+    return np.hstack([x, np.ones((len(x), 1))]), count / max(1, len(rows))
+
+
+def nnpu_risk(w: np.ndarray, p: tuple[np.ndarray, np.ndarray], u: tuple[np.ndarray, np.ndarray], prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """(positive part, corrected clean part, their gradients) at weights w; p and u are rows and their shares. Logistic loss."""
+    gp, gu = p[0] @ w, u[0] @ w
+    sp, su = 1 / (1 + np.exp(-gp)), 1 / (1 + np.exp(-gu))
+    wrong = prior * (p[1] @ np.logaddexp(0, -gp))
+    clean = u[1] @ np.logaddexp(0, gu) - prior * (p[1] @ np.logaddexp(0, gp))
+    return wrong, clean, prior * ((p[1] * (sp - 1)) @ p[0]), (u[1] * su) @ u[0] - prior * ((p[1] * sp) @ p[0])
+
+
 def nnpu_fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear classifier; rows are 0/1 features. Logistic loss, full batches, Adam."""
-    p, u = positive.astype(np.float32), unlabelled.astype(np.float32)
-    w = np.zeros(p.shape[1] + 1, np.float32)
+    """Weights and bias of a linear classifier; rows are 0/1 features. Full batches, Adam; below zero only the clean part is pushed back."""
+    p, u = _distinct(positive), _distinct(unlabelled)
+    w = np.zeros(p[0].shape[1])
     w[-1] = math.log(prior / (1 - prior))
     mean, square = np.zeros_like(w), np.zeros_like(w)
-
-    def gradient(x: np.ndarray, per_row: np.ndarray) -> np.ndarray:
-        return np.append(per_row @ x, per_row.sum()) / max(1, len(x))
-
     for step in range(1, steps + 1):
-        gp, gu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
-        sp, su = 1 / (1 + np.exp(-gp)), 1 / (1 + np.exp(-gu))
-        corrected = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        clean = gradient(u, su) - prior * gradient(p, sp)
-        g = prior * gradient(p, sp - 1) + clean if corrected >= 0 else -clean
+        _, corrected, wrong, clean = nnpu_risk(w, p, u, prior)
+        g = wrong + clean if corrected >= 0 else -clean
         g[:-1] += decay * w[:-1]
         mean, square = 0.9 * mean + 0.1 * g, 0.999 * square + 0.001 * g * g
         w -= rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
     return w[:-1], float(w[-1])
 
 
-class ToxicityModel:
-    """Chosen (n-gram, level) features with weights, and a bias."""
+class GramCounter:
+    """How many different runs of a text hold each of the known n-grams. Runs are remembered (a bounded cache, cleared when full)."""
 
-    def __init__(self, weights: dict[tuple[str, int], float], bias: float) -> None:
-        self.ids = {g: i for i, g in enumerate(dict.fromkeys(g for g, _ in weights))}
-        by_level = np.zeros((len(self.ids), len(LEVELS)))
-        for (g, level), w in weights.items():
-            by_level[self.ids[g], level] = w
-        #: What n words with the n-gram add, for n from 0 to the last level.
-        self.adds = [[0.0] + [float(by_level[i, [k for k, n in enumerate(LEVELS) if n <= count]].sum()) for count in range(1, LEVELS[-1] + 1)] for i in range(len(self.ids))]
-        self.bias = bias
+    def __init__(self, names: list[str]) -> None:
+        self.ids = {g: i for i, g in enumerate(names)}
         self.known: dict[str, tuple[int, ...]] = {}
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"known": {}}
 
-    def found(self, run: str) -> tuple[int, ...]:
+    def learn(self, run: str) -> tuple[int, ...]:
         got = tuple(sorted({self.ids[g] for g in grams(run) if g in self.ids}))
         if len(run) <= 64:
             if len(self.known) >= CACHED:
@@ -93,90 +106,192 @@ class ToxicityModel:
             self.known[run] = got
         return got
 
+    def counts(self, text: str | None) -> Counter[int]:
+        runs = set((text or "").lower().split())
+        got = list(map(self.known.get, runs))
+        if None in got:
+            got = [self.learn(r) if g is None else g for r, g in zip(runs, got, strict=True)]
+        return Counter(chain.from_iterable(got))
+
+
+class ToxicityModel:
+    """Chosen (n-gram, level) features with weights, and a bias."""
+
+    def __init__(self, weights: dict[tuple[str, int], float], bias: float) -> None:
+        names = list(dict.fromkeys(g for g, _ in weights))
+        self.counter, self.bias = GramCounter(names), bias
+        by_level = np.zeros((len(names), len(LEVELS)))
+        for (g, level), w in weights.items():
+            by_level[self.counter.ids[g], level] = w
+        #: What n words with the n-gram add, for n from 0 to the last level.
+        self.adds = [[0.0] + [float(by_level[i, [k for k, n in enumerate(LEVELS) if n <= count]].sum()) for count in range(1, LEVELS[-1] + 1)] for i in range(len(names))]
+
     def score(self, text: str | None) -> float:
-        known, counts = self.known, Counter()
-        for run in set((text or "").lower().split()):
-            got = known.get(run)
-            if got is None:
-                got = self.found(run)
-            if got:
-                counts.update(got)
+        counts = self.counter.counts(text)
         g = self.bias + sum([self.adds[i][min(counts[i], LEVELS[-1])] for i in sorted(counts)])
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, g))))
 
 
-def _levels(runs: str, grams_of: dict[str, tuple[int, ...]], number: Callable[[str], int | None]) -> list[int]:
-    """The (n-gram, level) features of a text's distinct runs, as number * len(LEVELS) + level; other n-grams have no number."""
-    counts: Counter[int] = Counter()
-    for run in runs.split("\n"):
-        got = grams_of.get(run)
-        if got is None:
-            got = grams_of[run] = tuple([i for g in grams(run) if (i := number(g)) is not None])
-        counts.update(got)
-    return [i * len(LEVELS) + k for i, n in counts.items() for k, level in enumerate(LEVELS) if n >= level]
-
-
-def fit(positive: list[str], unlabelled: list[str], prior: float, n_features: int = 1200) -> ToxicityModel:
-    """Train from the distinct runs of each text, joined by line ends. Features: those whose share in P exceeds that in U the most."""
-    if not positive or not unlabelled:
-        return ToxicityModel({}, math.log(prior / (1 - prior)))
-    ids: dict[str, int] = {}
-    known: dict[str, tuple[int, ...]] = {}
-    in_p = Counter(i for t in positive for i in _levels(t, known, lambda g: ids.setdefault(g, len(ids))))
-    ids = {g: i for g, i in ids.items() if in_p[i * len(LEVELS)] >= 3}  # n-grams that can't be chosen are not counted in U
-    known = {}
-    in_u = Counter(i for t in unlabelled for i in _levels(t, known, ids.get))
-    n_p, n_u = len(positive), len(unlabelled)
-
-    def gain(i: int) -> float:
-        a, b = (in_p[i] + 0.5) / (n_p + 1), (in_u[i] + 0.5) / (n_u + 1)
-        return a * math.log(a / b)
-
-    good = sorted((i for i, n in in_p.items() if n >= 3 and prior * n * n_u >= PURITY * in_u[i] * n_p and n_p * gain(i) >= EVIDENCE), key=lambda i: (-gain(i), i))[:n_features]
-    column = {i: j for j, i in enumerate(good)}
-    chosen = {i // len(LEVELS) for i in good}
-    ids, known = {g: i for g, i in ids.items() if i in chosen}, {}
-    x = np.zeros((n_p + n_u, len(good)), np.uint8)
-    for r, text in enumerate([*positive, *unlabelled]):
-        x[r, [column[i] for i in _levels(text, known, ids.get) if i in column]] = 1
-    w, bias = nnpu_fit(x[:n_p], x[n_p:], prior)
-    names = {i: g for g, i in ids.items()}
-    return ToxicityModel({(names[i // len(LEVELS)], i % len(LEVELS)): float(w[j]) for i, j in column.items()}, bias)
-
-
-def _runs_of(docs: DataFrame, ids: DataFrame) -> list[str]:
-    """The distinct lower-case runs of the texts of ``ids``, a bounded table; those of a text are joined by line ends."""
+COUNTS = [f"n{k}" for k in range(len(LEVELS))]
+GRAM_SCHEMA = "gram string, " + ", ".join(f"{c} long" for c in COUNTS)
+
+
+def count_grams(texts: DataFrame) -> DataFrame:
+    """(gram, n0, n1, ...): texts in which at least LEVELS[k] different runs hold each n-gram, of all n-grams of (text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_cache("grams", dict)
+        known: dict[str, tuple[str, ...]] = {}
+        sums: list[Counter[str]] = [Counter() for _ in LEVELS]
+
+        def hand_on() -> pa.RecordBatch:
+            names = list(sums[0])
+            out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array([c[g] for g in names], pa.int64()) for c in sums]], ["gram", *COUNTS])
+            for c in sums:
+                c.clear()
+            return out
+
         for batch in slices(batches):
-            joined = ["\n".join(dict.fromkeys((t or "").lower().split())) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(joined, pa.string())], ["doc_id", "runs"])
+            for text in batch.column(0).to_pylist():
+                counts: Counter[str] = Counter()
+                for r in set((text or "").lower().split()):
+                    got = known.get(r)
+                    if got is None:
+                        got = tuple(grams(r))
+                        if len(known) >= CACHED // 4:
+                            known.clear()
+                        known[r] = got
+                    counts.update(got)
+                sums[0].update(counts.keys())
+                several = [(g, n) for g, n in counts.items() if n > 1]
+                for c, level in zip(sums[1:], LEVELS[1:], strict=True):
+                    c.update([g for g, n in several if n >= level])
+            if len(sums[0]) > HELD:
+                yield hand_on()
+        yield hand_on()
+
+    return texts.select("text").mapInArrow(run, GRAM_SCHEMA).groupBy("gram").agg(*[F.sum(c).alias(c) for c in COUNTS])
+
+
+def count_known(texts: DataFrame, names: list[str]) -> np.ndarray:
+    """``count_grams`` of the named n-grams alone: a row for each name. Tasks return sums, and these are added before they are collected."""
+    shared = texts.sparkSession.sparkContext.broadcast(GramCounter(names))  # at most SHORTLIST n-grams
+    size = len(names)
 
-    rows = docs.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(run, "doc_id long, runs string").collect()
-    return [r["runs"] for r in sorted(rows, key=lambda r: (r["doc_id"], r["runs"]))]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = shared.value
+        claim_cache(("toxicity", id(counter)), counter.known.clear)
+        sums = np.zeros((len(LEVELS), size), np.int64)
+        for batch in slices(batches):
+            found = [counter.counts(t) for t in batch.column(0).to_pylist()]
+            at = np.fromiter(chain.from_iterable(found), np.int64)
+            n = np.fromiter(chain.from_iterable([c.values() for c in found]), np.int64)
+            for k, level in enumerate(LEVELS):
+                sums[k] += np.bincount(at[n >= level], minlength=size)
+        some = np.flatnonzero(sums[0])
+        yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(s[some]) for s in sums]], ["i", *COUNTS])
+
+    out = np.zeros((size, len(LEVELS)), np.int64)
+    counted = texts.select("text").mapInArrow(run, "i long, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("i").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    for r in counted.collect():
+        out[r["i"]] = [r[c] for c in COUNTS]
+    return out
 
 
-def sample_ids(ids: DataFrame, most: int, seed: int) -> list[tuple[int]]:
-    """At most ``most`` ids: those whose hash lies below a bound that about 1.2 times as many meet, smallest first."""
+def feature_rows(texts: DataFrame, features: list[tuple[str, int]]) -> np.ndarray:
+    """A row of 0/1 features for each of a bounded number of texts, sorted; packed bits come to the driver."""
+    names = list(dict.fromkeys(g for g, _ in features))
+    shared = texts.sparkSession.sparkContext.broadcast((GramCounter(names), features))  # the chosen features
+    place = {g: i for i, g in enumerate(names)}
+    grams_at, levels_at = np.array([place[g] for g, _ in features], np.int64), np.array([LEVELS[k] for _, k in features])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = shared.value[0]
+        claim_cache(("toxicity", id(counter)), counter.known.clear)
+        for batch in slices(batches):
+            out = []
+            for text in batch.column(0).to_pylist():
+                held = np.zeros(len(names), np.int64)
+                found = counter.counts(text)
+                held[list(found)] = list(found.values())
+                out.append(np.packbits(held[grams_at] >= levels_at).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["bits"])
+
+    rows = sorted(bytes(r["bits"]) for r in texts.select("text").mapInArrow(run, "bits binary").collect())
+    packed = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -(-len(features) // 8))
+    return np.unpackbits(packed, axis=1, count=len(features))
+
+
+def sample_ids(ids: DataFrame, most: int, seed: int) -> DataFrame:
+    """At most ``most`` of the distinct ids: those whose hash lies below a bound that about 1.2 times as many meet, smallest first."""
     bound = min(1.0, 1.2 * most / max(1, ids.count()))
     salted = F.xxhash64(F.lit(seed), "doc_id")
     near = ids.select("doc_id", salted.alias("h")).where(F.lit(bound >= 1) | (F.abs(F.col("h") / 2.0**63) < bound)).collect()
-    return [(r["doc_id"],) for r in sorted(near, key=lambda r: (r["h"], r["doc_id"]))[:most]]
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positives: int = 3000, max_unlabelled: int = 6000, seed: int = 7) -> ToxicityModel:
-    """Train on at most ``max_positives`` confirmed toxic and ``max_unlabelled`` other-wise unread rows of ``docs``.
+    chosen = [(r["doc_id"],) for r in sorted(near, key=lambda r: (r["h"], r["doc_id"]))[:most]]
+    return ids.sparkSession.createDataFrame(chosen, "doc_id long")
+
+
+def _gain(in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int, prior: float, evidence: float) -> np.ndarray:
+    """What a feature tells: the log-likelihood that it adds for a text of P; -1 where it says too little."""
+    a, b = (in_p + 0.5) / (n_p + 1), (in_u + 0.5) / (n_u + 1)
+    gain = a * np.log(a / b)
+    pure = prior * in_p * n_u >= PURITY * in_u * n_p
+    return np.where((in_p >= 3) & pure & (n_p * gain >= evidence), gain, -1.0)
+
+
+def shortlist(counted: DataFrame, sample: DataFrame, n_p: int, n_u: int, most: int) -> tuple[list[str], np.ndarray]:
+    """The n-grams whose share in P exceeds that in a sample of U the most, at most about ``most``, with their counts in P."""
+    other = sample.select("gram", *[F.col(c).alias(f"u_{c}") for c in COUNTS])
+    both = counted.where("n0 >= 3").join(other, "gram", "left").fillna(0)
+    gains = []
+    for c in COUNTS:
+        a, b = (F.col(c) + 0.5) / (n_p + 1), (F.col(f"u_{c}") + 0.5) / (n_u + 1)
+        gains.append(F.when(F.col(c) >= 3, a * F.log(a / b)).otherwise(-1.0))
+    rated = materialize(both.select("gram", *COUNTS, F.greatest(*gains).alias("gain")).where(F.col("gain") > 0), "gram-gains")
+    steps = rated.groupBy(F.floor(F.log2("gain") * 64).cast("int").alias("step")).count().orderBy(F.desc("step")).collect()  # some hundred rows
+    total, least = 0, None
+    for r in steps:
+        total += r["count"]
+        if total > most and least is not None:
+            break
+        least = r["step"]
+    rows = rated.where(F.floor(F.log2("gain") * 64) >= least).collect() if least is not None else []
+    rows.sort(key=lambda r: r["gram"])
+    return [r["gram"] for r in rows], np.array([[r[c] for c in COUNTS] for r in rows], np.int64).reshape(len(rows), len(LEVELS))
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positives: int = 3000, max_unlabelled: int = 6000, n_features: int = 1200, seed: int = 7) -> ToxicityModel:
+    """Train on all of ``docs`` and ``labels``; the gradient sees at most ``max_positives`` and ``max_unlabelled`` labelled rows.
 
     ``labels`` holds only rows that may be learned from.
     """
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
     total, toxic = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     prior = min(0.5, (toxic + 1) / (total + 2))
-    confirmed = known.where("toxic = 1").join(slim.select("doc_id"), "doc_id", "left_semi").select("doc_id").distinct()
-    pick = lambda ids, most: docs.sparkSession.createDataFrame(sample_ids(ids, most, seed), "doc_id long")
-    positive, others = pick(confirmed, max_positives), pick(slim.select("doc_id"), max_unlabelled)
-    return fit(_runs_of(slim, positive), _runs_of(slim, others), prior)
+    nothing = ToxicityModel({}, math.log(prior / (1 - prior)))
+    with scratch(docs.sparkSession):
+        labelled = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(slim.select("doc_id").distinct(), "doc_id", "left_semi")
+        labelled = materialize(labelled, "labelled-ids")
+        confirmed = labelled.where("toxic = 1").select("doc_id")
+        if confirmed.isEmpty():
+            return nothing
+        positive = materialize(slim.join(confirmed, "doc_id", "left_semi"), "confirmed")
+        chosen = sample_ids(labelled.select("doc_id"), max_unlabelled, seed)
+        unlabelled = materialize(slim.join(F.broadcast(chosen), "doc_id", "left_semi"), "unlabelled")  # at most max_unlabelled ids
+        n_p, n_u, n_s = positive.count(), slim.count(), unlabelled.count()
+        names, in_p = shortlist(count_grams(positive), count_grams(unlabelled), n_p, n_s, SHORTLIST)
+        if not names:
+            return nothing
+        gain = _gain(in_p, count_known(slim, names), n_p, n_u, prior, EVIDENCE)
+        order = np.lexsort((np.arange(gain.size), -gain.ravel()))[:n_features]
+        features = [(names[i // len(LEVELS)], int(i % len(LEVELS))) for i in order if gain.ravel()[i] > 0]
+        if not features:
+            return nothing
+        few = sample_ids(confirmed, max_positives, seed)
+        x_p = feature_rows(positive.join(F.broadcast(few), "doc_id", "left_semi"), features)  # at most max_positives ids
+        w, bias = nnpu_fit(x_p, feature_rows(unlabelled, features), prior)
+    return ToxicityModel({f: float(v) for f, v in zip(features, w, strict=True)}, bias)
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,7 +300,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = shared.value
-        claim_cache(("toxicity", id(judge)), judge.known.clear)
+        claim_cache(("toxicity", id(judge)), judge.counter.known.clear)
         for batch in slices(batches):
             scores = [judge.score(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
@@ -200,7 +315,7 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text", th
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = shared.value
-        claim_cache(("toxicity", id(judge)), judge.known.clear)
+        claim_cache(("toxicity", id(judge)), judge.counter.known.clear)
         for batch in slices(batches):
             yield batch.filter(pa.array([judge.score(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
