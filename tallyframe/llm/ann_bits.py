@@ -7,14 +7,16 @@ of popcounts. Dividing by the second scalar makes that an unbiased estimate of t
 scalar also bounds its error. The k best estimates are reranked with exact inner products in double precision, and
 then every vector whose upper bound reaches the worst of these.
 
-Queries go out in blocks of ``block`` rows (a bounded broadcast); each block passes over all rows once, every task
-returns its best k for each query of the block, and these are merged by query. Exact copies of a vector share one
-code: of a group of copies only the k + 1 smallest ids can be found, and only these are kept.
+The index is a stored table: rows are dealt evenly to parts, and a part is one row with the ids, vectors, codes and
+scalars of about ``part_rows`` vectors. Queries are dealt to blocks of about ``block_rows``. Every cell of a part and a block is
+a row of one join and a piece of one job: it gives the block's k best in that part, and these are merged by query. Exact
+copies of a vector share one code: of a group of copies only the k + 1 smallest ids can be found, and only these are kept
+in a part.
 
 Defined cases: null vectors, zero vectors and vectors with null or non-finite components, or of another dimension
 than most queries have, take no part, neither as query nor as candidate; rows with a query's own id are no candidates
 for it; other repeated ids count as often as they occur; with fewer candidates than k all are returned; ties go to
-the smaller id.
+the smaller id; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,11 +25,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.llm.storage import materialize, scratch
+
 #: Half-width of the error bound in standard deviations. At 3 a true neighbour is missed about once in a thousand.
 EPSILON = 3.0
+#: Tasks of the one job over all cells; with more cells a task takes several.
+MAX_TASKS = 100_000
 
 
 def rotation(dim: int, seed: int = 11) -> np.ndarray:
@@ -43,18 +51,21 @@ def pack_signs(x: np.ndarray) -> np.ndarray:
 
 
 class BitCodes:
-    """Codes and scalars of the rows of ``vectors`` (no zero rows)."""
+    """Codes and scalars: packed signs, the norm, and the unit vector's inner product with its code."""
 
-    def __init__(self, vectors: np.ndarray, turn: np.ndarray) -> None:
-        self.dim = vectors.shape[1]
-        self.norm = np.linalg.norm(vectors, axis=1)
-        unit = (vectors / self.norm[:, None]) @ turn
-        self.code = pack_signs(unit)
+    def __init__(self, dim: int, code: np.ndarray, norm: np.ndarray, along: np.ndarray) -> None:
+        self.dim, self.code, self.norm, self.along = dim, code, norm, along
         self.words = np.ascontiguousarray(self.code.T)  # a row for each 64 coordinates
         self.ones = np.bitwise_count(self.code).sum(1).astype(np.float32)
-        self.along = np.abs(unit).sum(1) / np.sqrt(self.dim)
         self.spread = np.sqrt(np.maximum(0, 1 - self.along**2)) / self.along / np.sqrt(max(1, self.dim - 1))
 
+    @classmethod
+    def build(cls, vectors: np.ndarray, turn: np.ndarray) -> BitCodes:
+        """Codes of the rows of ``vectors`` (no zero rows)."""
+        norm = np.linalg.norm(vectors, axis=1)
+        unit = (vectors / norm[:, None]) @ turn
+        return cls(vectors.shape[1], pack_signs(unit), norm, np.abs(unit).sum(1) / np.sqrt(vectors.shape[1]))
+
     def bounds(self, query: np.ndarray, turn: np.ndarray, planes: int = 4) -> tuple[np.ndarray, np.ndarray]:
         """Estimated inner products of one query with all rows, and the half-width of the error bound."""
         q = query @ turn
@@ -84,14 +95,12 @@ def exact_products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     return (vectors * query).sum(1)
 
 
-def _clean(ids: pa.Array, vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and vectors (float64) of the rows that take part."""
-    keep_ids, keep = [], []
-    for i, v in zip(ids.to_pylist(), vectors.to_pylist(), strict=True):
-        if i is not None and v is not None and len(v) == dim and None not in v:
-            keep_ids.append(i)
-            keep.append(v)
-    out_ids, out = np.array(keep_ids, np.int64), np.array(keep, np.float64).reshape(len(keep), dim)
+def _clean(ids: pa.Array, vectors: pa.ListArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors (float64) of the rows that take part; null components become non-finite ones on the way."""
+    fits = pc.and_(ids.is_valid(), pc.fill_null(pc.equal(pc.list_value_length(vectors), dim), False))
+    kept = vectors.filter(fits)
+    out_ids = ids.filter(fits).to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.asarray(kept.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(kept), dim)
     fine = np.isfinite(out).all(1) & (out != 0).any(1)
     return out_ids[fine], out[fine]
 
@@ -109,7 +118,7 @@ def _first_copies(ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndar
     return ids[kept], vectors[kept]
 
 
-def best_of(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, turn: np.ndarray) -> list[tuple[int, int, float]]:
+def best_of(ids: np.ndarray, vectors: np.ndarray, codes: BitCodes, query_ids: np.ndarray, queries: np.ndarray, k: int, turn: np.ndarray) -> list[tuple[int, int, float]]:
     """(query id, id, inner product) of each query's k best among the rows, found by codes and reranked exactly.
 
     The rows with the k largest estimates are reranked first; their worst exact product is a floor that every other
@@ -117,8 +126,7 @@ def best_of(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries
     """
     if not len(ids):
         return []
-    codes, out = BitCodes(vectors, turn), []
-    at = {}
+    out, at = [], {}
     for i, own in enumerate(ids.tolist()):
         at.setdefault(own, []).append(i)
     for query_id, query in zip(query_ids.tolist(), queries, strict=True):
@@ -140,62 +148,75 @@ def best_of(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries
     return out
 
 
+def _gathered(rows: DataFrame, parts: int, dim: int, make, schema: str) -> DataFrame:
+    """One row ``make(part, ids, vectors)`` for each part of (vec_id, v), dealt evenly; store it, parts are numbered by their tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [_clean(b.column(0), b.column(1), dim) for b in batches]
+        if sum(len(h[0]) for h in held):
+            row = make(TaskContext.get().partitionId(), np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+            yield pa.RecordBatch.from_pylist([row])
+
+    return rows.repartition(parts).mapInArrow(run, schema)
+
+
+CODES = "part int, ids binary, vectors binary, code binary, norm binary, along binary"
+
+
+def build_index(rows: DataFrame, dim: int, k: int, part_rows: int = 16384) -> DataFrame:
+    """The stored code table of (vec_id, v): a row for each part, with arrays as bytes."""
+    turn = rotation(dim)
+
+    def make(part: int, ids: np.ndarray, vectors: np.ndarray) -> dict:
+        ids, vectors = _first_copies(ids, vectors, k)
+        codes = BitCodes.build(vectors, turn)
+        return {"part": np.int32(part), "ids": ids.tobytes(), "vectors": vectors.tobytes(), "code": codes.code.tobytes(), "norm": codes.norm.tobytes(), "along": codes.along.tobytes()}
+
+    return materialize(_gathered(rows, 1 + rows.count() // part_rows, dim, make, CODES), "codes")
+
+
 def search(
     rows: DataFrame,
     query_rows: DataFrame,
     k: int = 20,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
-    block: int = 4096,
-    chunk: int = 16384,
+    block_rows: int = 2048,
+    part_rows: int = 16384,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of ``rows`` with the largest inner products for each row of ``query_rows``.
 
-    Both tables have ``id_col`` and ``vector_col``; a task holds ``chunk`` vectors at a time.
+    Both tables have ``id_col`` and ``vector_col``. A task holds one part and one block at a time.
     """
     spark = rows.sparkSession
     slim = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     asked = query_rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
     common = asked.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    schema = "query_id long, vec_id long, score double"
     if common is None or common["dim"] < 1:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = common["dim"]
-    turn = rotation(dim)
-    n_blocks = -(-asked.count() // block)
-    found = None
-    for part in range(n_blocks):
-        own = asked if n_blocks == 1 else asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == part)
-        table = own.select("vec_id", "v").toArrow()  # about ``block`` rows
-        shared = spark.sparkContext.broadcast(_clean(table.column(0).combine_chunks(), table.column(1).combine_chunks(), dim))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            query_ids, queries = shared.value
-            held: list[tuple[np.ndarray, np.ndarray]] = []
-            best: dict[int, list[tuple[float, int]]] = {}
-
-            def settle() -> None:
-                ids, vectors = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-                held.clear()
-                ids, vectors = _first_copies(ids, vectors, k)
-                for query_id, vec_id, score in best_of(ids, vectors, query_ids, queries, k, turn):
-                    best.setdefault(query_id, []).append((-score, vec_id))
-                for query_id, rows_of in best.items():
-                    if len(rows_of) > k:
-                        best[query_id] = sorted(rows_of)[:k]
-
-            for batch in batches:
-                for at in range(0, batch.num_rows, chunk):
-                    held.append(_clean(batch.column(0).slice(at, chunk), batch.column(1).slice(at, chunk), dim))
-                    if sum(len(h[0]) for h in held) >= chunk:
-                        settle()
-            if held:
-                settle()
-            flat = [(q, i, -s) for q, rows_of in best.items() for s, i in rows_of]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in flat], pa.int64()), pa.array([f[1] for f in flat], pa.int64()), pa.array([f[2] for f in flat], pa.float64())], ["query_id", "vec_id", "score"])
-
-        best = slim.mapInArrow(run, schema)
-        found = best if found is None else found.unionByName(best)
+    turn, words = rotation(dim), -(-dim // 64)
+
+    def pack(block: int, ids: np.ndarray, vectors: np.ndarray) -> dict:
+        return {"block": np.int32(block), "query_ids": ids.tobytes(), "queries": vectors.tobytes()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, vectors, code, norm, along, query_ids, queries = (c[i].as_py() for c in batch.columns)
+                read = np.frombuffer
+                codes = BitCodes(dim, read(code, np.uint64).reshape(-1, words), read(norm), read(along))
+                found = best_of(read(ids, np.int64), read(vectors).reshape(-1, dim), codes, read(query_ids, np.int64), read(queries).reshape(-1, dim), k, turn)
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64())], ["query_id", "vec_id", "score"])
+
+    with scratch(spark):
+        codes = build_index(slim, dim, k, part_rows)
+        blocks = materialize(_gathered(asked, 1 + asked.count() // block_rows, dim, pack, "block int, query_ids binary, queries binary"), "queries")
+        ends = [t.agg(F.coalesce(F.max(c), F.lit(-1))).first()[0] for t, c in ((codes, "part"), (blocks, "block"))]
+        to = lambda last: F.explode(F.sequence(F.lit(0), F.lit(last))) if last >= 0 else F.lit(0)
+        cells = codes.withColumn("block", to(ends[1])).join(blocks.withColumn("part", to(ends[0])), ["part", "block"])
+        dealt = cells.repartition(max(1, min(MAX_TASKS, (ends[0] + 1) * (ends[1] + 1))))
+        found = materialize(dealt.select("ids", "vectors", "code", "norm", "along", "query_ids", "queries").mapInArrow(run, "query_id long, vec_id long, score double"), "found", keep=True)
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(nearest).cast("int")).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
