@@ -1,14 +1,17 @@
 """URL filters: host and path rules, and gradient-boosted trees on lexical features for the other URLs.
 
 The trees (numpy, histogram splits, logistic loss) are fitted on a bounded sample (``max_training_rows``, a
-parameter; rows with the smallest hashes of each label) of the URLs that carry a label, weighted so that the labels
-have the shares that they have among all labelled URLs. In ``op9_url_trees`` the labels are what the rules say.
-Features: lengths, depth, digit ratio, entropy, parameter counts, and suffix statistics (how often the last host label
-and the first path part were blocked among all labelled URLs, smoothed). The prior, too, is that of all labelled URLs.
+parameter; those with the smallest hashes of each label) of the different URLs that carry a label. A URL counts as often
+as it occurs, and the labels have the shares that they have among all labelled rows. In ``op9_url_trees`` the labels are
+what the rules say. Features: lengths, depth, digit ratio, entropy, parameter counts, and suffix statistics (how often
+the last host label and the first path part were blocked among all labelled rows, smoothed). For a URL that the trees
+are fitted on, these statistics leave out its own fold of FOLDS, so that no label predicts itself. The prior is that of
+all labelled rows.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, fits no rule and is judged by
 the trees on empty features; with no labelled URL, or with one label only, the score is the smoothed share of
-``block``; a score of 0.5 or more is ``block``.
+``block``; a score of 0.5 or more is ``block``; a URL that many rows share is one training row with their weight; rows without
+label are not learned from; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.storage import slices
+from tallyframe.llm.storage import materialize, scratch, slices
 
 #: The contract's rules as (verdict, host, path).
 RULES = [
@@ -36,6 +40,7 @@ FEATURES = ("url_length", "host_length", "path_length", "host_labels", "path_dep
 BINS = 64
 #: Labelled URLs, of all there are, from which a part has statistics of its own.
 LEAST_SEEN = 5
+FOLDS = 5
 
 
 def split_url(url: str | None) -> tuple[str, str, str]:
@@ -82,13 +87,22 @@ def lexical(url: str | None, host: str, path: str, tail: str) -> list[float]:
     ]
 
 
-def count_parts(split: list[tuple[str, str, str]], labels: list[int]) -> list[dict[str, tuple[float, float]]]:
-    """For each of the two kinds of parts: part -> (rows, blocked rows)."""
-    out: list[dict[str, tuple[float, float]]] = [{}, {}]
-    for (host, path, _), label in zip(split, labels, strict=True):
+def fold_of(url: str | None) -> int:
+    return xxhash.xxh64_intdigest((url or "").encode(), 9) % FOLDS
+
+
+PartCounts = dict[str, np.ndarray]
+
+
+def count_parts(urls: list[str | None], labels: list[int], counts: list[int] | None = None) -> list[PartCounts]:
+    """For each of the two kinds of parts: part -> (rows, blocked rows) in each fold."""
+    out: list[PartCounts] = [{}, {}]
+    for url, label, n in zip(urls, labels, counts or [1] * len(urls), strict=True):
+        host, path, _ = split_url(url)
         for table, part in zip(out, parts_of(host, path), strict=True):
-            n, blocked = table.get(part, (0.0, 0.0))
-            table[part] = n + 1, blocked + label
+            if part not in table:
+                table[part] = np.zeros((2, FOLDS))
+            table[part][:, fold_of(url)] += n, n * label
     return out
 
 
@@ -123,9 +137,10 @@ class BoostedTrees:
                     cell = node * (BINS + 1) + bins[:, j]
                     g = np.bincount(cell, gradient, width * (BINS + 1)).reshape(width, -1).cumsum(1)
                     h = np.bincount(cell, curve, width * (BINS + 1)).reshape(width, -1).cumsum(1)
+                    n = np.bincount(cell, weight, width * (BINS + 1)).reshape(width, -1).cumsum(1)
                     total_g, total_h = g[:, -1:], h[:, -1:]
                     gain = g**2 / (h + 1) + (total_g - g) ** 2 / (total_h - h + 1) - total_g**2 / (total_h + 1)
-                    gain[(h < self.least) | (total_h - h < self.least)] = 0
+                    gain[(n < self.least) | (n[:, -1:] - n < self.least)] = 0
                     at = gain.argmax(1)
                     top = gain[np.arange(width), at]
                     better = top > best
@@ -153,29 +168,32 @@ class BoostedTrees:
 
 
 class UrlModel:
-    """Suffix statistics and trees, trained from (url, label) pairs; label 1 means block.
+    """Suffix statistics and trees, trained from different URLs with a label and a count each; label 1 means block.
 
-    Where the pairs are a sample, ``counts`` (label -> rows) and ``stats`` (for each kind of part, part -> rows and
-    blocked rows) are those of all labelled URLs.
+    Where these are a sample, ``totals`` (label -> rows) and ``stats`` (as ``count_parts`` gives them) are those of all
+    labelled rows.
     """
 
-    def __init__(self, urls: list[str | None], labels: list[int], counts: dict[int, int] | None = None, stats: list[dict[str, tuple[float, float]]] | None = None) -> None:
-        split = [split_url(u) for u in urls]
-        y = np.array(labels, float)
-        held = Counter(labels)
-        counts = counts or held
-        total = sum(counts.values())
-        self.prior = (counts.get(1, 0) + 0.5) / (total + 1)
-        stats = count_parts(split, labels) if stats is None else stats
-        self.stats = [{k: v for k, v in t.items() if v[0] >= LEAST_SEEN} for t in stats]
-        weight = np.array([counts[v] / total * len(labels) / held[v] for v in labels], float)
-        self.trees = BoostedTrees().fit(self._matrix(urls, split), y, self.prior, weight)
-
-    def _matrix(self, urls: list[str | None], split: list[tuple[str, str, str]]) -> np.ndarray:
-        rows = []
-        for url, (host, path, tail) in zip(urls, split, strict=True):
-            known = [t.get(p, (0.0, 0.0)) for t, p in zip(self.stats, parts_of(host, path), strict=True)]
-            rows.append([*lexical(url, host, path, tail), *[(b + 5 * self.prior) / (n + 5) for n, b in known]])
+    def __init__(self, urls: list[str | None], labels: list[int], counts: list[int] | None = None, totals: dict[int, int] | None = None, stats: list[PartCounts] | None = None) -> None:
+        counts = counts or [1] * len(urls)
+        held = {v: sum(n for n, y in zip(counts, labels, strict=True) if y == v) for v in set(labels)}
+        totals = totals or held
+        total = sum(totals.values())
+        self.prior = (totals.get(1, 0) + 0.5) / (total + 1)
+        self.stats = [{k: v for k, v in t.items() if v[0].sum() >= LEAST_SEEN} for t in stats or count_parts(urls, labels, counts)]
+        scale = max((labels.count(y) / totals[y] for y in held), default=1.0)  # a URL of the scarcer label counts about 1
+        weight = np.array([n * totals[y] / held[y] * scale for n, y in zip(counts, labels, strict=True)], float)
+        x = self._matrix(urls, [split_url(u) for u in urls], [fold_of(u) for u in urls])
+        self.trees = BoostedTrees().fit(x, np.array(labels, float), self.prior, weight)
+        self.stats = [{k: v.sum(1, keepdims=True) for k, v in t.items()} for t in self.stats]
+
+    def _matrix(self, urls: list[str | None], split: list[tuple[str, str, str]], folds: list[int] | None = None) -> np.ndarray:
+        """Features of each URL; with ``folds``, a URL's statistics leave its own fold out."""
+        rows, nothing = [], np.zeros((2, FOLDS))
+        for i, (url, (host, path, tail)) in enumerate(zip(urls, split, strict=True)):
+            known = [t.get(p, nothing) for t, p in zip(self.stats, parts_of(host, path), strict=True)]
+            sums = [v.sum(1) - (v[:, folds[i]] if folds else 0) for v in known]
+            rows.append([*lexical(url, host, path, tail), *[(b + 5 * self.prior) / (n + 5) for n, b in sums]])
         return np.array(rows, float).reshape(len(rows), len(FEATURES))
 
     def score(self, urls: list[str | None], split: list[tuple[str, str, str]]) -> np.ndarray:
@@ -199,41 +217,47 @@ def labelled_by_rules(pages: DataFrame, url_col: str = "url", rules: list[tuple[
     return pages.select(F.col(url_col).alias("url")).mapInArrow(run, "url string, label int")
 
 
-def part_statistics(labelled: DataFrame) -> list[dict[str, tuple[float, float]]]:
-    """``count_parts`` over all rows of (url, label); only parts seen often enough come to the driver."""
+def part_statistics(counted: DataFrame) -> list[PartCounts]:
+    """``count_parts`` over all rows of (url, label, n); only parts seen often enough come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4096):
-            found = count_parts([split_url(u) for u in batch.column(0).to_pylist()], batch.column(1).to_pylist())
-            rows = [(kind, part, n, blocked) for kind, table in enumerate(found) for part, (n, blocked) in table.items()]
+            found = count_parts(*[c.to_pylist() for c in batch.columns])
+            rows = [(kind, part, v[0].tolist(), v[1].tolist()) for kind, table in enumerate(found) for part, v in table.items()]
             kinds, parts, seen, blocked = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(parts, pa.string()), pa.array(seen, pa.float64()), pa.array(blocked, pa.float64())], ["kind", "part", "n", "blocked"])
-
-    counted = labelled.select("url", "label").mapInArrow(run, "kind int, part string, n double, blocked double")
-    out: list[dict[str, tuple[float, float]]] = [{}, {}]
-    for r in counted.groupBy("kind", "part").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked")).where(F.col("n") >= LEAST_SEEN).collect():
-        out[r["kind"]][r["part"]] = r["n"], r["blocked"]
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(parts, pa.string()), pa.array(seen, pa.list_(pa.float64())), pa.array(blocked, pa.list_(pa.float64()))], ["kind", "part", "n", "blocked"])
+
+    sums = counted.select("url", "label", "n").mapInArrow(run, "kind int, part string, n array<double>, blocked array<double>")
+    folds = lambda c: F.array(*[F.sum(F.col(c)[i]) for i in range(FOLDS)]).alias(c)
+    often = F.aggregate("n", F.lit(0.0), lambda a, x: a + x) >= LEAST_SEEN
+    out: list[PartCounts] = [{}, {}]
+    for r in sums.groupBy("kind", "part").agg(folds("n"), folds("blocked")).where(often).collect():
+        out[r["kind"]][r["part"]] = np.array([r["n"], r["blocked"]])
     return out
 
 
 def train(labelled: DataFrame, max_training_rows: int = 20_000) -> UrlModel:
-    """A model of all rows of (url, label), its trees fitted on at most ``max_training_rows`` of them.
+    """A model of all rows of (url, label), its trees fitted on at most ``max_training_rows`` different URLs of them.
 
-    These are at most half for each label, those with the smallest URL hashes. Only rows whose hash lies below a bound
-    that about 1.2 times as many meet come to the driver.
+    These are at most half for each label, those with the smallest hashes. Only URLs whose hash lies below a bound that
+    about 1.2 times as many meet come to the driver.
     """
     urls: list[str | None] = []
     labels: list[int] = []
+    counts: list[int] = []
     most = max_training_rows // 2
-    counts = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
-    hashed = labelled.select("url", "label", F.xxhash64("url").alias("h"))
-    for label in (0, 1):
-        bound = 1.2 * most / max(1, counts.get(label, 0))
-        near = hashed.where((F.col("label") == label) & (F.lit(bound >= 1) | (F.abs(F.col("h") / 2.0**63) < bound)))
-        rows = sorted(near.select("h", "url").collect())[:most]
-        urls += [r["url"] for r in rows]
-        labels += [label] * len(rows)
-    return UrlModel(urls, labels, counts, part_statistics(labelled))
+    with scratch(labelled.sparkSession):
+        counted = materialize(labelled.where("label IS NOT NULL").groupBy("url", "label").agg(F.count(F.lit(1)).alias("n")), "labelled-urls")
+        sizes = {r["label"]: (r["rows"], r["urls"]) for r in counted.groupBy("label").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("urls")).collect()}
+        hashed = counted.select("url", "label", "n", F.xxhash64("url").alias("h"))
+        for label in (0, 1):
+            bound = 1.2 * most / max(1, sizes.get(label, (0, 0))[1])
+            near = hashed.where((F.col("label") == label) & (F.lit(bound >= 1) | (F.abs(F.col("h") / 2.0**63) < bound)))
+            rows = sorted(near.select("h", "url", "n").collect(), key=lambda r: (r["h"], r["url"] or ""))[:most]
+            urls += [r["url"] for r in rows]
+            labels += [label] * len(rows)
+            counts += [r["n"] for r in rows]
+        return UrlModel(urls, labels, counts, {v: n for v, (n, _) in sizes.items()}, part_statistics(counted))
 
 
 def judge_urls(pages: DataFrame, model: UrlModel, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str, str]] | None = None) -> DataFrame:
