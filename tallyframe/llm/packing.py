@@ -290,7 +290,7 @@ def pack(pieces: DataFrame, window: int = 2048, step: int = 8, depth: int = 3, b
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, end_id: int = 1, vocabulary_path: str | None = None, step: int = 8, depth: int = 3) -> DataFrame:
     """Encode, cut and pack: one row for each piece."""
-    return pack(materialize(cut_documents(docs, id_col, text_col, window, end_id, vocabulary_path), "pieces"), window, step, depth)
+    return pack(materialize(cut_documents(docs, id_col, text_col, window, end_id, vocabulary_path), "pieces", keep=True), window, step, depth)
 
 
 def op8_packing(spark, sf_dir: str) -> DataFrame:

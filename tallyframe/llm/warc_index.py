@@ -28,9 +28,11 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.storage import fresh_path, materialize
+from tallyframe.llm.storage import fresh_path, materialize, scratch
 
 SALTS = 16
+#: Digests with their page ids (28 bytes each) that go to every task.
+BROADCAST_DIGESTS = 500_000
 #: The profile of a revisit record, and the date that all records carry (archives are then reproducible).
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
@@ -86,19 +88,22 @@ def parse_record(member: bytes) -> dict:
     return {"page_id": page_of(fields, "WARC-Record-ID"), "url": fields["WARC-Target-URI"], "payload": payload, "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": page_of(fields, "WARC-Refers-To")}
 
 
-def link_equal_payloads(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_payload: int = 0) -> DataFrame:
+def link_equal_payloads(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_payload: int = 0, broadcast_digests: int = BROADCAST_DIGESTS) -> DataFrame:
     """(page_id, url, html, refers_to): the largest page id with the same payload, null for that page itself.
 
-    Groups are found on digests with partial maxima before the shuffle; only digests of groups with two pages or
-    more go on, and these are spread over SALTS copies, so that a payload that a third of all pages hold does not
-    meet in one task.
+    Groups are found on digests with partial maxima before the shuffle, and only digests of groups with two ids or more
+    go on: to every task while there are at most ``broadcast_digests``; else they are spread over SALTS copies, so that
+    a payload that a third of all pages hold does not meet in one task, and the pages are shuffled.
     """
     slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("html"))
     keyed = slim.withColumn("digest", F.when(F.length("html") >= min_payload, F.unhex(F.sha1("html"))))
-    groups = keyed.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = groups.select("digest", "last", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(copies, ["digest", "salt"], "left")
+    groups = keyed.where("digest IS NOT NULL AND page_id IS NOT NULL").groupBy("digest").agg(F.max("page_id").alias("last"), F.min("page_id").alias("first")).where("first < last").select("digest", "last")
+    groups = materialize(groups, "digests")
+    if groups.count() <= broadcast_digests:
+        joined = keyed.join(F.broadcast(groups), "digest", "left")
+    else:
+        copies = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(copies, ["digest", "salt"], "left")
     return joined.select("page_id", "url", "html", F.when(F.col("last") != F.col("page_id"), F.col("last")).alias("refers_to"))
 
 
@@ -135,7 +140,7 @@ def write_archives(linked: DataFrame, label: str = "warc") -> DataFrame:
                 sink.close()
 
     index = linked.select("page_id", "url", "html", "refers_to").mapInArrow(run, "file string, offset long, length long, url string, payload_digest string, record_type string, page_id long")
-    return materialize(index.withColumn("folder", F.lit(folder)), f"{label}-index")
+    return materialize(index.withColumn("folder", F.lit(folder)), f"{label}-index", keep=True)
 
 
 def coalesce_ranges(spans: list[tuple[int, int]], max_gap: int = MAX_GAP, max_read: int = MAX_READ) -> list[tuple[int, int]]:
@@ -196,7 +201,8 @@ def read_records(index: DataFrame, payloads: bool = True, task_bytes: int = 32 <
 
 def op10_warc_index(spark, sf_dir: str) -> DataFrame:
     """All pages written as WARC records and read back through the index: one row each."""
-    index = write_archives(link_equal_payloads(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    with scratch(spark):
+        index = write_archives(link_equal_payloads(spark.read.parquet(f"{sf_dir}/pages.parquet")))
     return read_records(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -240,6 +241,52 @@ def test_toxicity_without_positives(spark):
     assert {round(r["score"], 3) for r in toxicity.score_documents(docs, model).collect()} == {round((0 + 1) / (1 + 2), 3)}
 
 
+def test_toxicity_defined_cases(spark):
+    texts, labels = toxic_fixture(100)
+    docs = documents(spark, texts)
+    known = spark.createDataFrame(list(enumerate(labels)) * 2, "doc_id long, toxic int")
+    model = toxicity.train(docs.unionByName(docs.where("doc_id = 1")).withColumn("gram", F.lit("x")), known)
+    assert model.score("a vilest cursed hatewordy text") > model.score("a text") and model.score(None) == model.score("")
+    empty = toxicity.train(docs.limit(0), known)
+    assert toxicity.score_documents(docs.limit(0), empty).count() == 0 and toxicity.train(docs, known.limit(0)).score("x") == 0.5
+
+
+def test_gram_counts_equal_brute_force(spark):
+    texts = [*toxic_fixture(40)[0], None, "", "x " * 5000, "abcdefgh abcdefgx abcdefgy abcdefgz abcdefgw"]
+    docs = documents(spark, texts).repartition(3)
+    want = {}
+    for t in texts:
+        held = {}
+        for run in set((t or "").lower().split()):
+            for g in toxicity.grams(run):
+                held[g] = held.get(g, 0) + 1
+        for g, n in held.items():
+            row = want.setdefault(g, [0] * len(toxicity.LEVELS))
+            for k, level in enumerate(toxicity.LEVELS):
+                row[k] += n >= level
+    got = {r["gram"]: list(r)[1:] for r in toxicity.count_grams(docs).collect()}
+    assert got == want and got["abcd"][-1] == 1
+    names = sorted(want)[::3]
+    assert toxicity.count_known(docs, names).tolist() == [want[g] for g in names]
+
+
+def test_nnpu_gradient_is_that_of_the_risk():
+    """Finite differences of both parts, above and below zero."""
+    rand = np.random.default_rng(5)
+    p = toxicity._distinct((rand.random((40, 5)) < 0.9).astype(np.uint8))
+    u = toxicity._distinct((rand.random((90, 5)) < 0.1).astype(np.uint8))
+    below = 0
+    for _ in range(20):
+        w = rand.standard_normal(6) * 3
+        wrong, clean, g_wrong, g_clean = toxicity.nnpu_risk(w, p, u, 0.4)
+        below += clean < 0
+        for i in range(6):
+            step = np.eye(6)[i] * 1e-5
+            up, down = toxicity.nnpu_risk(w + step, p, u, 0.4), toxicity.nnpu_risk(w - step, p, u, 0.4)
+            assert (up[0] - down[0]) / 2e-5 == pytest.approx(g_wrong[i], abs=1e-6) and (up[1] - down[1]) / 2e-5 == pytest.approx(g_clean[i], abs=1e-6)
+    assert 0 < below < 20
+
+
 def test_nnpu_separates():
     rand = np.random.default_rng(1)
     p = (rand.random((200, 6)) < [0.9, 0.5, 0.5, 0.5, 0.5, 0.5]).astype(np.uint8)
@@ -266,7 +313,7 @@ def test_nearest_neighbours_equal_brute_force(spark):
     assert hits / total >= 0.99
     few = ann_bits.search(table.where("vec_id < 5"), table.where("vec_id = 0"), k=20)
     assert few.count() == 4
-    blocks = ann_bits.search(table, table.where("vec_id % 20 = 0"), k=20, block=10)
+    blocks = ann_bits.search(table, table.where("vec_id % 20 = 0"), k=20, block_rows=10, part_rows=150)
     assert sorted(map(tuple, blocks.collect())) == sorted(map(tuple, found))
     assert ann_bits.search(table.limit(0), table.limit(0)).count() == 0
 
@@ -274,7 +321,7 @@ def test_nearest_neighbours_equal_brute_force(spark):
 def test_estimates_lie_within_their_bounds():
     rand = np.random.default_rng(4)
     v, turn = rand.standard_normal((2000, 64)), ann_bits.rotation(64)
-    codes = ann_bits.BitCodes(v, turn)
+    codes = ann_bits.BitCodes.build(v, turn)
     inside = []
     for q in rand.standard_normal((20, 64)):
         estimate, slack = codes.bounds(q, turn)
@@ -401,13 +448,50 @@ def test_url_model_counts_all_labelled_urls(spark):
     """The sample that the trees are fitted on bounds neither the label shares nor the suffix statistics."""
     rows = [(f"http://h{i}.{'org' if i % 5 else 'net'}/p{i % 120}/x", int(i % 10 > 0)) for i in range(1000)]
     model = url_trees.train(spark.createDataFrame(rows, "url string, label int"), max_training_rows=100)
-    want = url_trees.count_parts([url_trees.split_url(u) for u, _ in rows], [y for _, y in rows])
-    assert model.stats == want and len(want[1]) == 120
+    want = url_trees.count_parts([u for u, _ in rows], [y for _, y in rows])
+    assert [{k: v[:, 0].tolist() for k, v in t.items()} for t in model.stats] == [{k: v.sum(1).tolist() for k, v in t.items()} for t in want] and len(want[1]) == 120
     assert model.prior == (900 + 0.5) / (1000 + 1)
     scores = model.score(*zip(*[(u, url_trees.split_url(u)) for u, _ in rows], strict=True))
     assert abs(scores.mean() - 0.9) < 0.05
 
 
+def test_url_that_many_rows_share(spark):
+    """A frequent URL is one training row with its weight, taken or not by its hash like any other."""
+    rows = [("http://a.com/x", 0)] * 3000 + [(f"http://b{i}.net/es/{i}", 1) for i in range(5)] + [(None, 0), ("http://c.com/", None)]
+    model = url_trees.train(spark.createDataFrame(rows, "url string, label int"), max_training_rows=8)
+    assert model.prior == (5 + 0.5) / (3006 + 1)
+    judged = lambda u: model.score([u], [url_trees.split_url(u)])[0]
+    assert judged("http://a.com/x") < 0.1 < 0.5 < judged("http://b7.net/es/9")
+
+
+def test_rules_equal_brute_force(spark):
+    """Rules over many URLs against regular expressions, and held-out accuracy of the trees on what the rules say."""
+    rand = random.Random(21)
+    hosts = ["example.com", "www.example.com", "a.www.example.com", "x.net", "net", "com", "y.org", "EXAMPLE.com", "notexample.com"]
+    urls = [f"http{rand.choice(['', 's'])}://{rand.choice(hosts)}{rand.choice(['', '/', '/en/', '/en', '/es/a', '/fr/', '/EN/'])}{rand.choice(['', '?q=/es/', '#/en/', 'x/y'])}" for _ in range(800)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = [("allow", r"(.*\.)?com", "/", "com/"), ("block", r"(.*\.)?example\.com", "/en/", "example.com/en/"), ("allow", r"(.*\.)?www\.example\.com", "/en/", "www.example.com/en/"), ("block", r"(.*\.)?net", "/es/", "net/es/"), ("block", r"(.*\.)?net", "/fr/", "net/fr/")]
+    model = url_trees.train(url_trees.labelled_by_rules(pages.where("page_id % 5 > 0")))
+    right = []
+    for r in url_trees.judge_urls(pages, model).collect():
+        host, path = re.fullmatch(r"[^:]*://([^/?#]*)([^?#]*).*", urls[r["page_id"]]).groups()
+        fits = [(name, verdict) for verdict, h, p, name in rules if re.fullmatch(h, host.lower()) and path.startswith(p)]
+        best = max(fits, key=lambda f: len(f[0]), default=(None, None))
+        assert (r["host"], r["path"], r["rule"]) == (host.lower(), path, best[0])
+        if best[0]:
+            assert r["verdict"] == best[1]
+            right += [(r["score"] >= 0.5) == (best[1] == "block")] if r["page_id"] % 5 == 0 else []
+    assert len(right) > 50 and sum(right) / len(right) > 0.9
+
+
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_equal_payloads_either_way(spark, most):
+    rows = [(i, "u", "p" if i % 3 else f"own {i}") for i in range(60)] + [(None, "u", "p")]
+    linked = warc_index.link_equal_payloads(spark.createDataFrame(rows, "page_id long, url string, html string"), broadcast_digests=most)
+    got = {r["page_id"]: r["refers_to"] for r in linked.collect()}
+    assert got == {i: 59 if i % 3 and i != 59 else None for i in range(60)} | {None: None}
+
+
 def test_warc_round_trip(spark):
     html = [None, "", "<p>é</p>", "<p>é</p>", "x\r\n\r\ny" * 2000, "<p>é</p>"]
     pages = spark.createDataFrame([(i, f"http://h/{i}\n" if i else None, h, "z") for i, h in enumerate(html)] + [(None, "u", "lone", "z")], "page_id long, url string, html string, digest string")
