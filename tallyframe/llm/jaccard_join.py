@@ -332,6 +332,7 @@ def inverted_lists(sets: DataFrame, scheme: Scheme) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_cache("lists", dict)
         seen: set[int] = set()
         counts, total = np.zeros(COUNTERS, np.int64), 0
         for batch in slices(batches):

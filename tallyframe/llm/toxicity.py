@@ -25,6 +25,7 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,6 +42,8 @@ CACHED = 300_000
 SHORTLIST = 20_000
 #: N-grams that a task counts before it hands its sums on.
 HELD = 400_000
+#: Ids of confirmed texts that go to every task; more are joined over a shuffle.
+BROADCAST_IDS = 500_000
 #: Log-likelihood gain that an n-gram must show, so that few positives don't make features of chance.
 EVIDENCE = 12.0
 #: Least share of toxic texts among those that hold an n-gram, as estimated from P, U and the prior.
@@ -48,11 +51,11 @@ PURITY = 0.6
 
 
 def grams(run: str) -> set[str]:
-    """Of each word in a run of non-space characters: itself, its beginnings (marked ^) and inner n-grams."""
+    """Of each word in a run of non-space characters: itself between blanks, its beginnings after a blank, and inner n-grams."""
     out = set()
     for word in WORD.findall(run) or [run]:
-        out.add(f"^{word}$")
-        out.update([f"^{word[:n]}" for n in HEADS if n < len(word)])
+        out.add(f" {word} ")
+        out.update([f" {word[:n]}" for n in HEADS if n <= len(word)])
         out.update([word[i : i + n] for n in INNER for i in range(len(word) - n + 1)])
     return out
 
@@ -89,17 +92,28 @@ def nnpu_fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
 
 
 class GramCounter:
-    """How many different runs of a text hold each of the known n-grams. Runs are remembered (a bounded cache, cleared when full)."""
+    """How many different runs of a text hold each of the known n-grams. Runs are remembered (a bounded cache, cleared when full).
+
+    An n-gram of a run is found as a part of its words, each between blanks, by one automaton over all known n-grams.
+    """
 
     def __init__(self, names: list[str]) -> None:
-        self.ids = {g: i for i, g in enumerate(names)}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.__setstate__({"ids": {g: i for i, g in enumerate(names)}})
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}}
+        return {"ids": self.ids}
+
+    def __setstate__(self, state: dict) -> None:
+        self.ids: dict[str, int] = state["ids"]
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.automaton = ahocorasick.Automaton()
+        for g, i in self.ids.items():
+            self.automaton.add_word(g, i)
+        self.automaton.make_automaton()
 
     def learn(self, run: str) -> tuple[int, ...]:
-        got = tuple(sorted({self.ids[g] for g in grams(run) if g in self.ids}))
+        words = "  ".join(WORD.findall(run)) or run
+        got = tuple(sorted({i for _, i in self.automaton.iter(f" {words} ")})) if self.ids else ()
         if len(run) <= 64:
             if len(self.known) >= CACHED:
                 self.known.clear()
@@ -276,7 +290,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         confirmed = labelled.where("toxic = 1").select("doc_id")
         if confirmed.isEmpty():
             return nothing
-        positive = materialize(slim.join(confirmed, "doc_id", "left_semi"), "confirmed")
+        few = confirmed.count() <= BROADCAST_IDS
+        positive = materialize(slim.join(F.broadcast(confirmed) if few else confirmed, "doc_id", "left_semi"), "confirmed")
         chosen = sample_ids(labelled.select("doc_id"), max_unlabelled, seed)
         unlabelled = materialize(slim.join(F.broadcast(chosen), "doc_id", "left_semi"), "unlabelled")  # at most max_unlabelled ids
         n_p, n_u, n_s = positive.count(), slim.count(), unlabelled.count()
@@ -288,8 +303,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         features = [(names[i // len(LEVELS)], int(i % len(LEVELS))) for i in order if gain.ravel()[i] > 0]
         if not features:
             return nothing
-        few = sample_ids(confirmed, max_positives, seed)
-        x_p = feature_rows(positive.join(F.broadcast(few), "doc_id", "left_semi"), features)  # at most max_positives ids
+        seen = sample_ids(confirmed, max_positives, seed)
+        x_p = feature_rows(positive.join(F.broadcast(seen), "doc_id", "left_semi"), features)  # at most max_positives ids
         w, bias = nnpu_fit(x_p, feature_rows(unlabelled, features), prior)
     return ToxicityModel({f: float(v) for f, v in zip(features, w, strict=True)}, bias)
 
