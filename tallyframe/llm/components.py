@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.storage import materialize, scratch
 
+BROADCAST_ROWS = 200_000
+
 
 def spanning_forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """(node, root) for each node that isn't its tree's smallest one: as many links as connect the same nodes."""
@@ -35,6 +37,11 @@ def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in forest], pa.int64()), pa.array([r for _, r in forest], pa.int64())], ["a", "b"])
 
 
+def broadcast_few(rows: DataFrame) -> DataFrame:
+    """``rows`` of two longs (of a stored table), broadcast if there are at most BROADCAST_ROWS; else joined over a shuffle."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, label) of every node of (a, b), two longs; the label is the same for all nodes of a component, and one of them.
 
@@ -51,13 +58,17 @@ def _rounds(links: DataFrame) -> DataFrame:
     steps: list[DataFrame] = []
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("to"))
-        after = hook.select(F.col("a").alias("to"), F.col("to").alias("next"))
-        step = materialize(hook.join(after, "to").select("a", F.col("next").alias("to")), "hooks")
+        hook = materialize(both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("to")), "hooks")
+        # nodes that hook to themselves change nothing; what many nodes hook to is mostly such a node
+        after = broadcast_few(hook.where("a <> to").select(F.col("a").alias("to"), F.col("to").alias("next")))
+        step = materialize(hook.join(after, "to", "left").select("a", F.coalesce("next", "to").alias("to")), "hooks")
         steps.append(step)
-        left = edges.join(step.select("a", F.col("to").alias("ta")), "a").select("ta", "b")
-        moved = left.join(step.select(F.col("a").alias("b"), F.col("to").alias("tb")), "b").select(F.col("ta").alias("a"), F.col("tb").alias("b")).where("a <> b")
-        edges = materialize(moved.mapInArrow(_thin, "a long, b long"), "links")
+        moves = step.where("a <> to")
+        moved = edges
+        for c in ("a", "b"):
+            side = broadcast_few(moves.select(F.col("a").alias(c), F.col("to").alias("t")))
+            moved = moved.join(side, c, "left").withColumn(c, F.coalesce("t", c)).drop("t")
+        edges = materialize(moved.select("a", "b").where("a <> b").mapInArrow(_thin, "a long, b long"), "links")
     if not steps:
         return links.sparkSession.createDataFrame([], "node long, label long")
     labels = steps[0].select(F.col("a").alias("node"), F.col("to").alias("label"))

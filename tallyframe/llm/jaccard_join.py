@@ -71,6 +71,8 @@ BROADCAST_IDS = 500_000
 SALTS = 16
 #: A list is hot in a task from HOT entries on; they are counted in COUNTERS places by hash and dealt over HOT_SALTS.
 HOT, COUNTERS, HOT_SALTS = 64, 1 << 18, 1024
+#: Above the shared lists that any link needs.
+NEEDS = 1 << 20
 
 
 class _WordHashes(dict):
@@ -355,13 +357,13 @@ def inverted_lists(sets: DataFrame, scheme: Scheme) -> DataFrame:
             salt = np.where(hot, 1 + (mix(key.view(np.uint64), 5) % np.uint64(HOT_SALTS)).astype(np.int32), 0).astype(np.int32)
             _, first = np.unique(place[hot], return_index=True)
             marks = np.flatnonzero(hot)[first]
-            columns = [pa.array(np.concatenate([place, place[marks]]).view(np.int64)), pa.array(np.append(salt, np.zeros(len(marks), np.int32)))]
-            columns += [pa.concat_arrays([pa.array(key), pa.nulls(len(marks), pa.int64())]), pa.array(np.concatenate([need, need[marks]]))]
-            yield pa.RecordBatch.from_arrays(columns, ["list", "salt", "key", "need"])
+            columns = [pa.array(np.concatenate([place, place[marks]]).view(np.int64)), pa.concat_arrays([pa.array(key), pa.nulls(len(marks), pa.int64())])]
+            columns += [pa.array(np.concatenate([salt * NEEDS + need, need[marks]]).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["list", "key", "salted"])
 
-    entries = sets.select("key", "shingles").mapInArrow(run, "list long, salt int, key long, need int")
-    whole = Window.partitionBy("list", "salt")
-    rated = entries.repartition("list", "salt").dropDuplicates(["list", "salt", "key"]).withColumns({"low": F.min("key").over(whole), "members": F.count("key").over(whole), "marked": F.count(F.lit(1)).over(whole)})
+    entries = sets.select("key", "shingles").mapInArrow(run, "list long, key long, salted int")  # salt and need in one column: this is what is shuffled
+    whole = Window.partitionBy("list", "salted")
+    rated = entries.repartition("list", "salted").dropDuplicates(["list", "salted", "key"]).withColumns({"salt": F.expr(f"salted DIV {NEEDS}"), "need": F.expr(f"salted % {NEEDS}").cast("int")}).withColumns({"low": F.min("key").over(whole), "members": F.count("key").over(whole), "marked": F.count(F.lit(1)).over(whole)})
     rated = rated.withColumn("hot", F.expr("salt > 0 OR marked > members")).where("key IS NOT NULL AND (members > 1 OR hot)")
     stored = materialize(rated.select("list", "key", "need", "low", "members", "hot"), "lists")
     hot = materialize(stored.where("hot").select("list", "key", "need").dropDuplicates(["list", "key"]), "hot-entries")
@@ -420,15 +422,16 @@ def _open_members(long: DataFrame, stars: DataFrame, labels: DataFrame) -> DataF
     sized = sized.select("cluster", (F.col("n") * F.col("n") <= 4 * F.col("pairs")).alias("tight"))
     members = materialize(named.join(sized, "cluster").select("cluster", "tight", "key", "label"), "members")
     entries = long.select("list", "key").join(members.where("NOT tight").select("key", "label"), "key")
-    several = materialize(entries.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("list"), "open-lists")
-    return members.where("tight").select(F.col("cluster").alias("list"), "key", "label").unionByName(entries.join(_small(several), "list", "left_semi"))
+    several = entries.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("list")
+    return members.where("tight").select(F.col("cluster").alias("list"), "key", "label").unionByName(entries.join(several, "list", "left_semi"))
 
 
 def _dealt_blocks(entries: DataFrame, sets: DataFrame, by: list[str]) -> DataFrame:
     """The entries of each list, dealt by a hash of their keys to blocks of about ``BLOCK_BYTES``; once for each block that theirs meets: x <= y."""
     sized = materialize(entries.join(sets.select("key", F.length("shingles").alias("bytes")), "key"), "entries")
-    dealt = sized.groupBy(by).agg(F.ceil(F.sum(F.col("bytes") + F.lit(ROW_BYTES)) / F.lit(BLOCK_BYTES)).alias("blocks"))
-    blocked = sized.drop("bytes").join(_small(materialize(dealt, "blocks")), by).withColumn("block", F.pmod(F.xxhash64("key"), "blocks"))
+    dealt = sized.groupBy(by).agg(F.ceil(F.sum(F.col("bytes") + F.lit(ROW_BYTES)) / F.lit(BLOCK_BYTES)).alias("blocks")).where("blocks > 1")
+    blocked = sized.drop("bytes").join(_small(materialize(dealt, "blocks")), by, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    blocked = blocked.withColumn("block", F.pmod(F.xxhash64("key"), "blocks"))
     met = blocked.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     return met.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}).drop("blocks", "other")
 

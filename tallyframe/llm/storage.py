@@ -11,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``. Where that is unset, a temporary one in local mode (tests); a cluster is refused."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -40,7 +43,12 @@ def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     own = _OPEN[: -1 if keep else None]
     if own:
         own[-1].append(path)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")  # the job's shuffle files go once its table is written
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
