@@ -94,7 +94,7 @@ def _verdict_texts(spark, d):
 def _verdict_sql(expr: str, name: str) -> str:
     cases_ = " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate([" A ", "B) clear", "The better response is B", "Response A is better than B", "a", "tie", "a good answer"]))
     strip = f"regexp_replace(x, '^{_SP}+|{_SP}+$', '', 'g')"
-    return f"WITH v AS (SELECT doc_id, CASE doc_id % 8 {cases_} ELSE left(coalesce(text, ''), 40) END AS x FROM documents), s AS (SELECT doc_id, {strip} AS t FROM v) SELECT doc_id, {expr} AS {name} FROM s"
+    return f"WITH v AS (SELECT doc_id, CASE doc_id % 8 {cases_} ELSE coalesce(text, '') END AS x FROM documents), s AS (SELECT doc_id, {strip} AS t FROM v) SELECT doc_id, {expr} AS {name} FROM s"
 
 
 def _redacted(spark, d):
