@@ -12,8 +12,8 @@ from tallyframe.plans.metric_queries import PAIRS_SQL
 
 #: Resamples of the queries: the reference's default, and the least it publishes intervals for.
 RESAMPLES = 500
-#: Resamples of the SQL twins, which walk the stream by recursion.
-SAMPLES = 60
+#: Resamples of the SQL twins, which walk the stream by recursion: as many.
+SAMPLES = RESAMPLES
 
 
 def _stream_sql(n: str) -> str:
