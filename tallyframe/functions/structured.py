@@ -24,6 +24,8 @@ SCHEMA_DEPTH, SCHEMA_NODES, SCHEMA_PROPERTIES, SCHEMA_ENUM = 10, 200, 100, 50
 CITATION_ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9._:-]{0,63}")
 CLAIM_WINDOW = 160
 PATH = re.compile(r"[A-Za-z_][A-Za-z0-9_-]*(?:\[\d+\])*(?:\.[A-Za-z_][A-Za-z0-9_-]*(?:\[\d+\])*)*")
+#: Fixed value: what may stand around a JSON answer.
+OUTER_SPACE = "\t\n\v\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 UNSAFE_KEYS = ("__proto__", "prototype", "constructor")
 
 
@@ -60,7 +62,7 @@ def _typed(function: Callable, frame: bool) -> Callable:
 
 
 def parse_json(text: str | None) -> tuple[bool, str | None, Any]:
-    """(valid, reason, value): strict JSON, the last of equal keys wins, within the bounds on nodes, depth and strings."""
+    """(valid, reason, value): strict JSON, the last of equal keys wins, within the bounds on nodes, depth, strings and finite numbers."""
     if text is None:
         return False, "json_parse_failed", None
 
@@ -68,14 +70,14 @@ def parse_json(text: str | None) -> tuple[bool, str | None, Any]:
         raise ValueError("not a JSON number")
 
     try:
-        value = json.loads(text.strip(" \t\r\n"), parse_constant=reject)
+        value = json.loads(text.strip(OUTER_SPACE), parse_constant=reject, parse_int=lambda s: int(s) if len(s) <= 308 else float(s))
     except (ValueError, RecursionError):
         return False, "json_parse_failed", None
     nodes, stack = 0, [(value, 0)]
     while stack:
         item, depth = stack.pop()
         nodes += 1
-        if nodes > MAX_NODES or depth > MAX_DEPTH or isinstance(item, str) and len(item) > MAX_STRING:
+        if nodes > MAX_NODES or depth > MAX_DEPTH or isinstance(item, str) and len(item) > MAX_STRING or isinstance(item, float) and not math.isfinite(item):
             return False, "json_too_large", None
         if isinstance(item, dict):
             stack += [(x, depth + 1) for x in item.values()]

@@ -6,6 +6,9 @@ JSON and citation graders are JSON texts and run in Arrow-batched UDFs; everythi
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,16 +77,20 @@ def choice_checks(answer: Column, expected: Column, allowed: Column) -> list[Col
 
 
 def grade(rows: DataFrame, answer_col: str = "answer") -> DataFrame:
-    """``rows`` with checks and passed. Smoke cases pass; an answer that is too long, or no check at all, fails."""
+    """``rows`` with checks and passed. Smoke cases pass; an answer that is too long, or no check at all, fails.
+
+    Python runs only for JSON and citation graders whose column is given.
+    """
+    given = set(rows.columns)
     for name, kind in GRADER_COLUMNS.items():
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast(kind))
     c, a = F.col, F.col(answer_col)
-    rows = rows.withColumn("_json", structured.json_checks()(a, c("json_spec"))) if "json_spec" in rows.columns else rows
-    rows = rows.withColumn("_cited", structured.citation_checks()(a, c("citation_spec")))
-    value, reason = extract_number(a, c("number_regex"))
-    wants_number = c("number_expected").isNotNull() | c("number_min").isNotNull() | c("number_max").isNotNull()
     none = F.array().cast(f"array<{CHECK_TYPE}>")
+    rows = rows.withColumn("_json", F.coalesce(structured.json_checks()(a, c("json_spec")).cast(f"array<{CHECK_TYPE}>"), none) if "json_spec" in given else none)
+    rows = rows.withColumn("_cited", F.coalesce(structured.citation_checks()(a, c("citation_spec")).cast(f"array<{CHECK_TYPE}>"), none) if "citation_spec" in given else none)
+    value, reason = extract_number(a, c("number_regex") if "number_regex" in given else None)
+    wants_number = c("number_expected").isNotNull() | c("number_min").isNotNull() | c("number_max").isNotNull()
     parts = [
         _only(c("exact").isNotNull(), check("exact", a == c("exact"))),
         _only(c("exact_normalized").isNotNull(), check("exact_normalized", normalize_text(a) == normalize_text(c("exact_normalized")))),
@@ -94,12 +101,12 @@ def grade(rows: DataFrame, answer_col: str = "answer") -> DataFrame:
         _only(c("min_length").isNotNull(), check("min_length", F.length(a) >= c("min_length"))),
         _only(c("max_length").isNotNull(), check("max_length", F.length(a) <= c("max_length"))),
         _only(c("choice_expected").isNotNull(), *choice_checks(a, c("choice_expected"), c("choice_allowed"))),
-        F.coalesce(c("_json").cast(f"array<{CHECK_TYPE}>"), none),
+        c("_json"),
         _only(wants_number & reason.isNotNull(), check("number_found", F.lit(False), reason)),
         _only(wants_number & reason.isNull() & c("number_expected").isNotNull(), check("number_expected", F.abs(value - c("number_expected")) <= F.coalesce(c("number_tolerance"), F.lit(0.0)), "absolute_tolerance")),
         _only(wants_number & reason.isNull() & c("number_min").isNotNull(), check("number_min", value >= c("number_min"))),
         _only(wants_number & reason.isNull() & c("number_max").isNotNull(), check("number_max", value <= c("number_max"))),
-        F.coalesce(c("_cited").cast(f"array<{CHECK_TYPE}>"), none),
+        c("_cited"),
     ]
     configured = F.concat(*parts)
     checks = (
@@ -127,7 +134,7 @@ def public_checks(graded: DataFrame) -> DataFrame:
 
 
 def configured_checks(rows: DataFrame) -> Column:
-    """How many checks a grader configures (containsAny counts once, a choice twice, citations 1 + required + minimum + claims)."""
+    """How many checks a grader configures (containsAny counts once, a choice twice, JSON each path and rule, citations 1 + required + minimum + claims)."""
     have = lambda n: F.coalesce(F.col(n).isNotNull().cast("int"), F.lit(0))
     many = lambda n: F.coalesce(F.size(n), F.lit(0)) if n in rows.columns else F.lit(0)
     total = F.lit(0)
@@ -137,13 +144,36 @@ def configured_checks(rows: DataFrame) -> Column:
         total = total + F.greatest(many(n), F.lit(0))
     if "contains_any" in rows.columns:
         total = total + (F.coalesce(F.size("contains_any"), F.lit(0)) > 0).cast("int")
-    return total + (have("choice_expected") * 2 if "choice_expected" in rows.columns else F.lit(0))
+    if "choice_expected" in rows.columns:
+        total = total + have("choice_expected") * 2
+    if "json_spec" in rows.columns:
+        total = total + _json_check_count(F.from_json("json_spec", JSON_SPEC))
+    if "citation_spec" in rows.columns:
+        spec = F.from_json("citation_spec", CITATION_SPEC)
+        cited = 1 + _length(spec["requiredSourceIds"]) + spec["minCitedSources"].isNotNull().cast("int") + _length(spec["requiredClaims"])
+        total = total + F.when(F.col("citation_spec").isNotNull(), cited).otherwise(0)
+    return total
+
+
+#: What is counted of a JSON and of a citation grader; values are not looked into.
+JSON_SPEC = "requireValid boolean, requiredPaths array<string>, equals map<string,string>, includes map<string,string>, arrayMinLength map<string,string>, schemaSubset string"
+CITATION_SPEC = "requiredSourceIds array<string>, minCitedSources int, requiredClaims array<string>"
+
+
+def _length(x: Column) -> Column:
+    return F.greatest(F.coalesce(F.size(x), F.lit(0)), F.lit(0))
+
+
+def _json_check_count(spec: Column) -> Column:
+    lists = [_length(spec[n]) for n in ("requiredPaths", "equals", "includes", "arrayMinLength")]
+    return sum(lists, F.coalesce(spec["requireValid"], F.lit(False)).cast("int") + spec["schemaSubset"].isNotNull().cast("int"))
 
 
 def tier(rows: DataFrame) -> Column:
     """smoke_only, ungraded, mixed, structured_or_exact or surface_text, by the graders that a case has."""
-    there = lambda names: F.greatest(F.lit(False), *[F.col(n).isNotNull() for n in names if n in rows.columns])
+    any_of = lambda conds: reduce(or_, conds, F.lit(False))
+    there = lambda names: any_of([F.col(n).isNotNull() for n in names if n in rows.columns])
     exact = there(["exact", "exact_normalized", "choice_expected", "json_spec", "number_expected", "number_min", "number_max", "citation_spec"])
     filled = [F.coalesce(F.size(n), F.lit(0)) > 0 for n in ("must_include", "contains_any", "must_not_include", "regex") if n in rows.columns]
-    surface = F.greatest(there(["min_length", "max_length"]), F.lit(False), *filled)
+    surface = there(["min_length", "max_length"]) | any_of(filled)
     return F.when(F.col("smoke_only"), "smoke_only").when(exact & surface, "mixed").when(exact, "structured_or_exact").when(surface, "surface_text").otherwise("ungraded")
