@@ -10,6 +10,7 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.functions import structured
 from tallyframe.operators import casesets, fingerprints, grading, planning
 from tallyframe.sources import jsonl
 
@@ -21,10 +22,12 @@ def _session() -> SparkSession:
 def validate(args: argparse.Namespace) -> int:
     spark = _session()
     cases = jsonl.read_cases(spark, args.cases)
-    cases = cases.withColumns({"tier": grading.tier(cases), "checks": grading.configured_checks(cases), "fp": fingerprints.content_fingerprint(F.col("task"), F.col("constraints"))})
+    cases = cases.withColumns({"tier": grading.tier(cases), "checks": grading.configured_checks(cases), "fp": fingerprints.content_fingerprint(F.col("task"), F.col("constraints"), F.col("smoke_only"), F.struct(*[c for c in grading.GRADER_COLUMNS if c in cases.columns and c != "smoke_only"]))})
     problems = [r.asDict() for r in jsonl.case_problems(cases).unionByName(casesets.violations(cases).select(F.col("case_index").alias("line"), F.col("rule").alias("problem"))).orderBy("line").collect()]
     duplicates = casesets.exact_duplicates(cases.where(~F.col("smoke_only")), "fp").first()
-    stats = casesets.gate_statistics(cases, duplicates["groups"])
+    texts = cases.where(~F.col("smoke_only")).groupBy("task").agg(F.min("case_index").alias("id"))
+    near = casesets.near_duplicate_pairs(texts.select("id", structured.words()("task").alias("tokens"))).count()
+    stats = casesets.gate_statistics(cases, duplicates["groups"], near)
     findings = [r.asDict() for r in casesets.gate_findings(stats, args.intended_use, "sha256" if args.manifest else None, bool(args.manifest)).orderBy("severity", "ordinal").collect()]
     blocked = any(f["severity"] == "blocker" for f in findings) and args.gate
     if args.manifest and not blocked and not problems:

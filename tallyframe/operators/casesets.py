@@ -56,7 +56,9 @@ def near_duplicate_pairs(tokens: DataFrame, num: int = NEAR_NUM, den: int = NEAR
     right = entries.select(F.col("id").alias("b"), F.col("k").alias("kb"), "token")
     near = (F.col("ka") * den >= F.col("kb") * num) & (F.col("kb") * den >= F.col("ka") * num)
     met = left.join(right, "token").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
-    ta, tb = sized.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), sized.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
+    # from ``ordered`` like the entries: all of them read one shuffle, and the sets are not made again
+    whole = ordered.select("id", F.transform("o", lambda x: x["token"]).alias("t"))
+    ta, tb = whole.select(F.col("id").alias("a"), F.col("t").alias("ta")), whole.select(F.col("id").alias("b"), F.col("t").alias("tb"))
     both = met.join(ta, "a").join(tb, "b")
     shared = F.size(F.array_intersect("ta", "tb"))
     scored = both.select("a", "b", shared.alias("shared"), (F.size("ta") + F.size("tb") - shared).alias("total"))

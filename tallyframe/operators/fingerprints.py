@@ -16,9 +16,11 @@ def case_digests(cases: DataFrame, json_col: str = "case_json") -> DataFrame:
     return cases.withColumn("canonical", S.canonical()(F.col(json_col))).select("case_index", F.sha2("canonical", 256).alias("canonical_sha256"))
 
 
-def content_fingerprint(task: Column, constraints: Column) -> Column:
-    """What a model sees: ids, categories and difficulties don't count."""
-    return F.sha2(F.to_json(F.struct(constraints.alias("constraints"), task.alias("task"))), 256)
+def content_fingerprint(task: Column, constraints: Column, smoke_only: Column | None = None, grader: Column | None = None) -> Column:
+    """What a model sees and how it is graded: ids, categories and difficulties don't count."""
+    parts = [constraints.alias("constraints"), task.alias("task")]
+    parts += [c.alias(n) for c, n in ((smoke_only, "smoke_only"), (grader, "grader")) if c is not None]
+    return F.sha2(F.to_json(F.struct(*parts)), 256)
 
 
 def set_digest(digests: DataFrame, parts: int = 4096) -> str:

@@ -31,6 +31,15 @@ def _count(cond: Column) -> Column:
     return F.coalesce(F.count_if(cond), F.lit(0))
 
 
+def latency_ranks(attempts: DataFrame) -> DataFrame:
+    """(config_id, p50, p95): nearest-rank latencies of completed attempts, from counts of each different latency."""
+    counts = attempts.where(done() & F.col("latency_ms").isNotNull()).groupBy("config_id", "latency_ms").agg(F.count(F.lit(1)).alias("n"))
+    own = Window.partitionBy("config_id")
+    upto = counts.withColumns({"upto": F.sum("n").over(own.orderBy("latency_ms")), "total": F.sum("n").over(own)})
+    at = lambda p: F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * p), F.col("latency_ms")))
+    return upto.groupBy("config_id").agg(at(0.5).alias("p50"), at(0.95).alias("p95"))
+
+
 def scorecard(attempts: DataFrame, configs: DataFrame) -> DataFrame:
     """All metrics of each configuration in one aggregation; configurations without attempts appear with zeros and nulls.
 
@@ -44,15 +53,13 @@ def scorecard(attempts: DataFrame, configs: DataFrame) -> DataFrame:
         _count(scored() & F.col("passed")).alias("passes"),
         F.sum(F.when(scored(), cost)).alias("scored_cost"),
         F.sum(cost).alias("total_cost_micro"),
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY CASE WHEN status = 'completed' THEN latency_ms END)").alias("p50"),
-        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY CASE WHEN status = 'completed' THEN latency_ms END)").alias("p95"),
         *[_count(F.col("failure_status") == s).alias(f"n_{s}") for s in ("timeout", "provider_error", "invalid_output", "budget_exhausted")],
         _count(done() & F.col("degraded")).alias("n_degraded"),
         _count(~scored()).alias("smoke_n"),
         _count(~scored() & done()).alias("smoke_done"),
     )
     zero = ["n", "scored_n", "passes", "total_cost_micro", "n_timeout", "n_provider_error", "n_invalid_output", "n_budget_exhausted", "n_degraded", "smoke_n", "smoke_done"]
-    s = configs.select("config_id").join(stats, "config_id", "left").na.fill(0, zero)
+    s = configs.select("config_id").join(stats, "config_id", "left").na.fill(0, zero).join(latency_ranks(attempts), "config_id", "left")
     c = F.col
     return s.select(
         "config_id", c("scored_n").alias("scored_attempt_n"), ratio_or_null(c("passes"), c("scored_n")).alias("task_pass_rate"),

@@ -49,10 +49,11 @@ def round_pairs(pool: DataFrame, group: str, round_index: int) -> DataFrame:
 def tournament(pool: DataFrame, group: str, most: int, better) -> tuple[DataFrame, DataFrame]:
     """Single elimination in every group at once: (winners, matches of all rounds).
 
-    ``most`` bounds the pool of a group, so the number of rounds is known when the plan is made. ``better(a, b)`` gives
-    the winner's column from the struct columns of both sides; where it gives null, a wins.
+    The largest pool, measured first, says how many rounds there are; ``most`` is the size that is expected at least.
+    ``better(a, b)`` gives the winner's column from the struct columns of both sides; where it gives null, a wins.
     """
     played, index = None, 0
+    most = max(most, 2, 1 + (pool.agg(F.max("place")).first()[0] or 0))
     while 1 << index < most:
         matches = round_pairs(pool, group, index).withColumn("round", F.lit(index))
         rows = matches.where("b IS NOT NULL").withColumn("winner", F.coalesce(better(F.col("a"), F.col("b")), F.col("a")))

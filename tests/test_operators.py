@@ -233,3 +233,47 @@ def test_bootstrap_queries_take_500_resamples(spark):
     gate = P.configs(spark).select("config_id", (F.col("config_id") == "direct").alias("complete"))
     gated = {r["config_id"]: (r["low"], r["high"]) for r in R.bootstrap_pass_rate(P.attempts(spark, d), gate, RQ.RESAMPLES).collect()}
     assert gated["direct"] == pytest.approx(want["direct"]) and gated["fusion"] == (None, None)
+
+
+def test_check_counts_of_json_and_citation_graders(spark):
+    spec = '{"requireValid": true, "requiredPaths": ["a", "b"], "equals": {"c": 1}, "includes": {"d": "x"}, "arrayMinLength": {"e": 2}, "schemaSubset": {"type": "object"}}'
+    cited = '{"allowedSourceIds": ["S1"], "requiredSourceIds": ["S1"], "minCitedSources": 1, "requiredClaims": [{"text": "t", "sourceId": "S1"}]}'
+    rows = spark.createDataFrame([(0, spec, cited), (1, '{"requireValid": false}', '{"allowedSourceIds": []}'), (2, None, None)], "case_index long, json_spec string, citation_spec string")
+    assert [r[0] for r in rows.orderBy("case_index").select(G.configured_checks(rows)).collect()] == [11, 1, 0]
+
+
+def test_tier_with_few_columns(spark):
+    rows = spark.createDataFrame([(False, "x"), (False, None), (True, "x")], "smoke_only boolean, exact string")
+    assert [r[0] for r in rows.select(G.tier(rows)).collect()] == ["structured_or_exact", "ungraded", "smoke_only"]
+    rows = spark.createDataFrame([(False, ["x"]), (False, [])], "smoke_only boolean, must_include array<string>")
+    assert [r[0] for r in rows.select(G.tier(rows)).collect()] == ["surface_text", "ungraded"]
+
+
+def test_grading_without_json_stays_in_the_jvm(spark):
+    rows = spark.createDataFrame([(0, "a b")], "case_index long, answer string").withColumn("must_include", F.array(F.lit("a")))
+    plan = G.grade(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and G.grade(rows).first()["passed"]
+
+
+def test_a_tournament_larger_than_expected_is_played_out(spark):
+    pool = spark.createDataFrame([(0, i, i) for i in range(13)], "grp int, place int, entry int")
+    winner, played = W.tournament(pool, "grp", 4, lambda a, b: F.greatest(a, b))
+    assert [r["winner"] for r in winner.collect()] == [12] and played.count() == 12
+
+
+def test_latency_ranks(spark):
+    rows = spark.createDataFrame([("a", "completed", x) for x in (5, 1, 1, 9, 7)] + [("a", "failed", 99), ("a", "completed", None)], "config_id string, status string, latency_ms long")
+    assert [tuple(r) for r in M.latency_ranks(rows).collect()] == [("a", 5, 9)]
+
+
+def test_graded_json_bounds():
+    from tallyframe.functions.structured import parse_json
+
+    assert parse_json('{"k":1e999}')[:2] == (False, "json_too_large") and parse_json("[" + "9" * 5000 + "]")[:2] == (False, "json_too_large")
+    assert parse_json(" {}﻿")[0] and not parse_json("{} x")[0] and parse_json("12345678901234567890") == (True, None, 12345678901234567890)
+
+
+def test_fingerprints_tell_graders_apart(spark):
+    rows = spark.createDataFrame([("t", ["c"], False, "x"), ("t", ["c"], False, "y"), ("t", ["c"], True, "x"), ("t", ["c"], False, "x")], "task string, constraints array<string>, smoke_only boolean, exact string")
+    got = [r[0] for r in rows.select(FP.content_fingerprint(F.col("task"), F.col("constraints"), F.col("smoke_only"), F.struct("exact"))).collect()]
+    assert len(set(got)) == 3 and got[0] == got[3]
