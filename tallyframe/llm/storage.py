@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: A job's shuffle files go once its table is written, and the Arrow batches of its tasks stay small.
+WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,12 +44,14 @@ def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     own = _OPEN[: -1 if keep else None]
     if own:
         own[-1].append(path)
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")  # the job's shuffle files go once its table is written
+    before = {name: spark.conf.get(name) for name in WHILE_WRITING}
     try:
+        for name, value in WHILE_WRITING.items():
+            spark.conf.set(name, value)
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
