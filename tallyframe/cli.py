@@ -1,4 +1,4 @@
-"""Commands on case files: validate (summary, gate, manifest), plan and verify. Exit codes: 0 fine, 2 blocked."""
+"""Commands on case files: validate (summary, gate, manifest), evaluate, plan and verify. Exit codes: 0 fine, 2 blocked."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.functions import structured
-from tallyframe.operators import casesets, fingerprints, grading, planning
+from tallyframe.operators import casesets, evaluation, fingerprints, grading, planning
 from tallyframe.sources import jsonl
 
 
@@ -37,6 +37,24 @@ def validate(args: argparse.Namespace) -> int:
     return 2 if blocked or problems else 0
 
 
+def evaluate(args: argparse.Namespace) -> int:
+    """Grades recorded answers; blocked while a scheduled run has no answer or an answer no scheduled run."""
+    spark = _session()
+    names = args.configs.split(",")
+    configs = spark.createDataFrame([(c, i) for i, c in enumerate(names)], "config_id string, config_order int")
+    cases = jsonl.read_cases(spark, args.cases)
+    responses = jsonl.read_responses(spark, args.responses, cases)
+    attempts = evaluation.evaluate(cases, responses, configs, args.trials).persist()
+    found = evaluation.report(attempts, configs, names[0], args.bootstrap_samples)
+    tables = {name: [r.asDict() for r in table.orderBy(*table.columns[:2]).collect()] for name, table in vars(found).items()}
+    gaps = {"unanswered": evaluation.unanswered(cases, responses, configs, args.trials).count(), "unexpected": evaluation.unexpected(cases, responses, configs, args.trials).count()}
+    attempts.unpersist()
+    if args.out:
+        jsonl.write_json(args.out, tables | gaps, (args.cases, args.responses))
+    print(json.dumps({"scorecard": tables["scorecard"], **gaps}))
+    return 2 if any(gaps.values()) else 0
+
+
 def plan(args: argparse.Namespace) -> int:
     spark = _session()
     budget = spark.createDataFrame([(0, args.max_tokens, 2, 1, 1, 0)], "request long, max_tokens long, max_candidates int, max_repairs int, prompt_tokens long, max_cost long")
@@ -81,6 +99,14 @@ def main(argv: list[str] | None = None) -> int:
     three.add_argument("cases")
     three.add_argument("manifest")
     three.set_defaults(run=verify)
+    four = commands.add_parser("evaluate")
+    four.add_argument("cases")
+    four.add_argument("responses")
+    four.add_argument("--configs", default="direct,self_review,repeated,fusion")
+    four.add_argument("--trials", type=int, default=1)
+    four.add_argument("--bootstrap-samples", type=int, default=500)
+    four.add_argument("--out")
+    four.set_defaults(run=evaluate)
     args = parser.parse_args(argv)
     for path in (args.cases,):
         if not os.path.exists(path):

@@ -12,6 +12,7 @@ GRADER = """struct<exact:string,exactNormalized:string,mustInclude:array<string>
 minLength:int,maxLength:int,choice:struct<expected:string,allowed:array<string>>,number:struct<expected:double,tolerance:double,min:double,max:double,extractionRegex:string>>"""
 CASE = f"id string, task string, constraints array<string>, category string, difficulty string, smokeOnly boolean, grader {GRADER}"
 CASE_KEYS = ["id", "task", "constraints", "category", "difficulty", "smokeOnly", "grader"]
+RESPONSE = "id string, trialIndex long, configId string, answer string, failureStatus string, degraded boolean, costUsd double, latencyMs long"
 PRICE = "modelId string, name string, provider string, supportedParameters array<string>, promptPriceUsdPerToken double, completionPriceUsdPerToken double, fetchedAt string, source string"
 
 
@@ -52,6 +53,20 @@ def case_problems(cases: DataFrame) -> DataFrame:
     return cases.select("line", problem.alias("problem")).where("problem IS NOT NULL")
 
 
+def read_responses(spark: SparkSession, path: str, cases: DataFrame) -> DataFrame:
+    """Recorded answers as ``evaluation`` takes them, by the ids of ``cases``; event_id is the order of files and lines.
+
+    Lines are numbered as in case files, one task a file; many answers belong in Parquet with an event_id of their own.
+    """
+    lines = read_lines(spark, path).withColumn("r", F.from_json("raw", RESPONSE, {"mode": "PERMISSIVE"}))
+    numbered = lines.select("r.*", (F.row_number().over(Window.orderBy("file", "line")) - 1).cast("long").alias("event_id"))
+    micro = F.floor(F.coalesce("costUsd", F.lit(0.0)) * 1_000_000 + 0.5).cast("long")
+    return numbered.join(cases.select("id", "case_index"), "id").select(
+        "case_index", F.coalesce("trialIndex", F.lit(0)).alias("trial_index"), F.col("configId").alias("config_id"), "event_id", "answer", F.col("failureStatus").alias("failure_status"),
+        F.coalesce("degraded", F.lit(False)).alias("degraded"), micro.alias("cost_micro"), F.coalesce("latencyMs", F.lit(0)).alias("latency_ms"),
+    )
+
+
 def read_prices(spark: SparkSession, path: str) -> DataFrame:
     """Price entries: model, prompt_price, completion_price, fetched_at; duplicates and non-positive prices are refused."""
     rows = spark.read.schema(PRICE).json(path, multiLine=True)
