@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 #: White space as the Unicode property has it (plus U+FEFF), for regular expressions.
 SPACE = r"[\t-\r    -     　﻿]"
@@ -35,8 +36,26 @@ def token_estimate(text: Column) -> Column:
 def redact(text: Column) -> Column:
     """Keys, bearer tokens and key assignments replaced. The patterns are fixed values."""
     out = F.regexp_replace(text, r"sk-or-v1-[A-Za-z0-9_-]+", "[REDACTED]")
-    out = F.regexp_replace(out, r"(?i)Bearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [REDACTED]")
-    return F.regexp_replace(out, r"(?i)([A-Z]+_API_KEY\s*=\s*)\S+", "$1[REDACTED]")
+    out = F.regexp_replace(out, rf"(?i)Bearer{SPACE}+[A-Za-z0-9._~+/=-]+", "Bearer [REDACTED]")
+    return F.regexp_replace(out, rf"(?i)(OPENROUTER_API_KEY{SPACE}*={SPACE}*)[^{SPACE[1:]}+", "$1[REDACTED]")
+
+
+def redact_nested(value: Column, kind: DataType) -> Column:
+    """``redact`` on every string of a value of type ``kind``, at any depth; keys of maps and names of fields stay."""
+    if isinstance(kind, StringType):
+        return redact(value)
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: redact_nested(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(value, lambda _, x: redact_nested(x, kind.valueType))
+    if isinstance(kind, StructType):
+        return F.when(value.isNotNull(), F.struct(*[redact_nested(value[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    return value
+
+
+def redact_table(rows: DataFrame) -> DataFrame:
+    """Every column redacted by its type."""
+    return rows.select(*[redact_nested(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in rows.schema.fields])
 
 
 def scrub(text: Column, terms: list[str], mask: str = "[MODEL_REDACTED]") -> Column:

@@ -98,9 +98,18 @@ def _verdict_sql(expr: str, name: str) -> str:
 
 
 def _redacted(spark, d):
-    t = table(spark, d, "documents").select("doc_id", "source")
-    body = F.concat(F.lit("key sk-or-v1-"), F.col("doc_id").cast("string"), F.lit("_x and bearer  tok."), F.col("source"), F.lit("/9 end SERVICE_API_KEY = "), F.col("source"), F.lit("! done"))
-    return t.select("doc_id", T.redact(body).alias("redacted"))
+    """Made-up secrets before and after the whole text; one row carries them in nested columns, too."""
+    t = table(spark, d, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
+    key = F.concat(F.lit("key sk-or-v1-"), F.col("doc_id").cast("string"), F.lit("_x and bearer  tok."), F.col("source"), F.lit("/9 end "))
+    body = F.concat(key, F.col("text"), F.lit(" OPENROUTER_API_KEY = "), F.col("source"), F.lit("! done OTHER_API_KEY = kept"))
+    nested = T.redact_table(t.select("doc_id", body.alias("text"), F.struct(F.array(key).alias("list"), F.create_map(F.lit("Bearer k"), key).alias("map")).alias("deep")))
+    return nested.select("doc_id", F.md5("text").alias("digest"), F.right("text", F.lit(60)).alias("tail"), F.to_json("deep").alias("deep"))
+
+
+_REDACT_SQL = f"regexp_replace(regexp_replace(regexp_replace({{0}}, 'sk-or-v1-[A-Za-z0-9_-]+', '[REDACTED]', 'g'), 'bearer{_SP}+[A-Za-z0-9._~+/=-]+', 'Bearer [REDACTED]', 'gi'), '(OPENROUTER_API_KEY{_SP}*={_SP}*)[^{_SP[1:]}+', '\\1[REDACTED]', 'gi')"
+REDACTED_SQL = f"""WITH t AS (SELECT doc_id, 'key sk-or-v1-' || doc_id || '_x and bearer  tok.' || source || '/9 end ' || coalesce(text, '') || ' OPENROUTER_API_KEY = ' || source || '! done OTHER_API_KEY = kept' AS body FROM documents),
+r AS (SELECT doc_id, {_REDACT_SQL.format('body')} AS x FROM t)
+SELECT doc_id, md5(x) AS digest, right(x, 60) AS tail, '{{"list":["key [REDACTED] and Bearer [REDACTED] end "],"map":{{"Bearer k":"key [REDACTED] and Bearer [REDACTED] end "}}}}' AS deep FROM r"""
 
 
 def _configured(spark, d):
@@ -166,7 +175,7 @@ SELECT doc_id AS case_index, CASE WHEN smoke THEN 'smoke_only' WHEN x AND y THEN
         _verdict_sql("CASE WHEN t = 'A' OR t LIKE 'A.%' OR t LIKE 'A)%' OR upper(t) = 'A' THEN 'A' WHEN t = 'B' OR t LIKE 'B.%' OR t LIKE 'B)%' OR upper(t) = 'B' THEN 'B' WHEN len(list_distinct(regexp_extract_all(t, '\\b([AB])\\b', 1))) = 1 THEN regexp_extract(t, '\\b([AB])\\b', 1) END", "verdict"),
     ),
     "verdict_parse_tie": (lambda s, d: _verdict_texts(s, d).select("doc_id", T.verdict_tie(F.col("answer")).alias("verdict")), _verdict_sql("coalesce(nullif(regexp_extract(upper(t), '\\b(A|B|TIE)\\b', 1), ''), 'TIE')", "verdict")),
-    "redacted_text": (_redacted, "SELECT doc_id, 'key [REDACTED] and Bearer [REDACTED] end SERVICE_API_KEY = [REDACTED] done' AS redacted FROM documents"),
+    "redacted_text": (_redacted, REDACTED_SQL),
     "model_scrub": (
         lambda s, d: table(s, d, "documents").select("doc_id", F.md5(T.scrub(F.coalesce("text", F.lit("")), ["the", "Tion"])).alias("digest")),
         "SELECT doc_id, md5(regexp_replace(regexp_replace(coalesce(text, ''), 'tion', '[MODEL_REDACTED]', 'gi'), 'the', '[MODEL_REDACTED]', 'gi')) AS digest FROM documents",

@@ -67,8 +67,15 @@ def test_half_up_goes_to_positive_infinity(spark):
 
 
 def test_redaction(spark):
-    got = one(spark, T.redact(F.lit("sk-or-v1-abc_D Bearer  x.y/z MY_API_KEY = q1 end")))
-    assert got == "[REDACTED] Bearer [REDACTED] MY_API_KEY = [REDACTED] end"
+    got = one(spark, T.redact(F.lit("sk-or-v1-abc_D Bearer  x.y/z openrouter_api_key = q1\u00a0end OTHER_API_KEY = q2")))
+    assert got == "[REDACTED] Bearer [REDACTED] openrouter_api_key = [REDACTED]\u00a0end OTHER_API_KEY = q2"
+
+
+def test_redaction_of_nested_values(spark):
+    rows = spark.createDataFrame([(1, {"sk-or-v1-k": ["sk-or-v1-v", None]}, ("Bearer t", 2)), (2, None, None)], "n int, m map<string,array<string>>, s struct<x:string,y:int>")
+    got = T.redact_table(rows.toDF("a.b", "m", "s")).collect()
+    assert got[0]["m"] == {"sk-or-v1-k": ["[REDACTED]", None]} and tuple(got[0]["s"]) == ("Bearer [REDACTED]", 2)
+    assert got[1]["m"] is None and got[1]["s"] is None and got[1]["a.b"] == 2
 
 
 def test_citation_matrix():
