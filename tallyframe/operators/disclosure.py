@@ -81,18 +81,62 @@ def consistency(published: DataFrame, recomputed: DataFrame, keys: list[str], va
     return both.select(*keys, same.alias("consistent"))
 
 
-def report_gate(stats: DataFrame, configs: list[str]) -> DataFrame:
-    """(ordinal, code): blockers of a public report, in their fixed order.
+def category_evidence(cases: DataFrame) -> DataFrame:
+    """One row: public categories and how many lack scored cases (30) or, of the others, non-surface graders (5); nulls while suppressed."""
+    evidence = F.count_if(F.col("tier").isin("structured_or_exact", "mixed"))
+    each = cases.where(scored() & F.col("category").isNotNull()).groupBy("category").agg(F.count(F.lit(1)).alias("n"), evidence.alias("ns"))
+    c = F.col
+    counts = each.agg(F.count(F.lit(1)).alias("categories"), F.count_if(c("n") < CLAIM_CATEGORY).alias("small_categories"), F.count_if((c("n") >= CLAIM_CATEGORY) & (c("ns") < MIN_CATEGORY)).alias("surface_categories"))
+    return counts.join(suppression(cases)).select("categories", "small_categories", "surface_categories", c("reason").isNotNull().alias("suppressed_categories"))
+
+
+def disclosure_blockers(binding: dict, case_gate: dict) -> list[str]:
+    """Codes for what a report discloses of its manifest binding and of its case set's gate. Codes and values are fixed."""
+    out = []
+    status = binding.get("status")
+    if status == "not_provided":
+        out.append("case_manifest_binding_missing")
+    elif status != "private_report_bound":
+        out.append("case_manifest_binding_malformed")
+    else:
+        if binding.get("intendedUse") != "holdout":
+            out.append("case_manifest_not_holdout")
+        if (binding.get("hashAlgorithm"), binding.get("privacyClass")) != ("hmac-sha256", "private_audit_hmac_sha256"):
+            out.append("case_manifest_not_private_audit_hmac")
+    wanted = {"target": "public_cost_performance", "scope": "case_set_only", "overallClaimStatus": "external_evidence_required", "detailDisclosure": "omitted"}
+    status = case_gate.get("status")
+    if status == "not_provided":
+        out.append("case_set_claim_gate_missing")
+    elif status not in ("private_report_constraints_met", "private_report_blocked") or any(case_gate.get(k) != v for k, v in wanted.items()):
+        out.append("case_set_claim_gate_malformed")
+    elif status == "private_report_blocked":
+        out.append("case_set_claim_gate_blocked")
+    return out
+
+
+def report_gate(stats: DataFrame, configs: list[str], disclosed: list[str] | None = None) -> DataFrame:
+    """(severity, ordinal, code): blockers and warnings of a public report, in their fixed order, after those of ``disclosed``.
 
     ``stats``: one row for each configuration that was run: config_id, scored_attempts, pass_rate, complete, pass_low,
-    delta_low, cost_low, unpaired, paired, scored_trials, scored_cases, small_categories, suppressed_categories,
-    non_surface_cases, costs_suppressed.
+    delta_low, delta_high, cost_low, unpaired, paired, and for all the same scored_trials, scored_cases, categories,
+    small_categories, surface_categories, suppressed_categories, non_surface_cases, costs_suppressed.
     """
     any_ = lambda cond: F.coalesce(F.bool_or(cond), F.lit(False))
     c = F.col
     one = lambda name, cond: F.coalesce(F.bool_or((c("config_id") == name) & cond), F.lit(False))
-    rules: list[tuple[str, Column]] = [(f"missing_{x}_config", ~one(x, F.lit(True))) for x in configs]
-    rules += [("too_few_scored_cases", any_(c("scored_cases") < 100)), ("category_evidence_unavailable", any_(c("suppressed_categories"))), ("category_underpowered", any_(c("small_categories") > 0)), ("insufficient_non_surface_grader_evidence", any_(c("non_surface_cases") < 5))]
+    ran = {x: one(x, F.lit(True)) for x in configs}
+    shown = ~any_(c("suppressed_categories"))
+    some = shown & any_(c("categories") > 0)
+    rules: list[tuple[str, Column]] = [(code, F.lit(True)) for code in disclosed or []]
+    rules += [(f"missing_{x}_config", ~ran[x]) for x in configs]
+    rules += [
+        ("too_few_scored_cases", any_(c("scored_cases") < 100)),
+        ("category_evidence_unavailable", ~shown),
+        ("category_evidence_empty", shown & ~some),
+        ("category_underpowered", some & any_(c("small_categories") > 0)),
+        ("category_non_surface_grader_evidence_underpowered", some & any_(c("surface_categories") > 0)),
+        ("insufficient_non_surface_grader_evidence", any_(c("non_surface_cases") < MIN_CATEGORY)),
+    ]
     for x in configs:
         rules += [
             (f"{x}_scored_attempts_unavailable", one(x, F.coalesce(c("scored_attempts") <= 0, F.lit(True)))),
@@ -100,12 +144,20 @@ def report_gate(stats: DataFrame, configs: list[str]) -> DataFrame:
             (f"{x}_task_pass_rate_unavailable", one(x, c("pass_rate").isNull())),
             (f"{x}_task_pass_rate_interval_unavailable", one(x, c("pass_low").isNull())),
         ]
+    both = ran.get("direct", F.lit(False)) & ran.get("fusion", F.lit(False))
+    unpaired = one("fusion", F.coalesce(c("paired"), F.lit(0)) == 0)
+    suppressed = any_(c("costs_suppressed"))
     rules += [
-        ("fusion_pairing_unavailable", one("fusion", c("paired") == 0)),
-        ("fusion_pairing_incomplete", one("fusion", (c("unpaired") > 0) | (c("paired") != c("scored_trials")))),
-        ("fusion_pass_rate_delta_interval_unavailable", one("fusion", c("delta_low").isNull())),
-        ("cost_latency_suppressed", any_(c("costs_suppressed"))),
-        *[(f"{x}_cost_per_pass_interval_unavailable", one(x, c("cost_low").isNull())) for x in configs],
+        ("fusion_pairing_unavailable", both & unpaired),
+        ("fusion_pairing_incomplete", both & ~unpaired & one("fusion", (c("unpaired") > 0) | (c("paired") != c("scored_trials")))),
+        ("fusion_pass_rate_delta_interval_unavailable", both & one("fusion", c("delta_low").isNull())),
+        ("cost_latency_suppressed", suppressed),
+        *[(f"{x}_cost_per_pass_interval_unavailable", ~suppressed & one(x, c("cost_low").isNull())) for x in configs],
+    ]
+    warnings = [
+        ("public_projection_with_private_attestations", F.lit(True)),
+        ("fusion_advantage_not_established", ran.get("fusion", F.lit(False)) & ~one("fusion", F.coalesce(c("delta_low") > 0, F.lit(False)))),
     ]
-    fired = stats.agg(F.array_compact(F.array(*[F.when(cond, F.struct(F.lit(i).alias("ordinal"), F.lit(code).alias("code"))) for i, (code, cond) in enumerate(rules)])).alias("f"))
+    rows = [F.when(cond, F.struct(F.lit(kind).alias("severity"), F.lit(i).alias("ordinal"), F.lit(code).alias("code"))) for kind, found in (("blocker", rules), ("warning", warnings)) for i, (code, cond) in enumerate(found)]
+    fired = stats.agg(F.array_compact(F.array(*rows)).alias("f"))
     return fired.select(F.explode("f").alias("f")).select("f.*")

@@ -89,6 +89,28 @@ def bootstrap_cost_per_pass(attempts: DataFrame, samples: int) -> DataFrame:
     return got.select("config_id", F.when(enough, F.col("low")).alias("low"), F.when(enough, F.col("high")).alias("high"), (F.lit(samples) - F.col("defined")).cast("long").alias("zero_pass_samples"), ratio(F.lit(samples) - F.col("defined"), F.lit(samples)).alias("undefined_rate"))
 
 
+def bootstrap_all(attempts: DataFrame, pairs: DataFrame, coverage: DataFrame, baseline: str, samples: int) -> DataFrame:
+    """All intervals of each configuration from one pass: per-case sums of rates, pairs and costs meet the index table once.
+
+    pass_* are null unless every scored trial has exactly one attempt, delta_* unless that holds for the baseline too,
+    cost_* (millionths) unless half the samples have a pass. zero_pass_samples counts those without.
+    """
+    c = F.col
+    own = attempts.where(scored()).groupBy("case_index", "config_id").agg(F.count(F.lit(1)).alias("attempts"), F.count_if(c("passed")).alias("passes"), F.sum(F.coalesce("cost_micro", F.lit(0))).alias("cost"))
+    both = pairs.where("base_passed IS NOT NULL AND target_passed IS NOT NULL")
+    paired = both.groupBy("case_index", "config_id").agg(F.count(F.lit(1)).alias("paired"), F.sum(c("target_passed").cast("int") - c("base_passed").cast("int")).alias("net"))
+    sums = ["attempts", "passes", "cost", "paired", "net"]
+    per_case = own.join(paired, ["case_index", "config_id"], "left").na.fill(0, sums)
+    drawn = _resampled(per_case, numbered_cases(attempts), samples, sums)
+    rates = {"pass": ("passes", "attempts"), "delta": ("net", "paired"), "cost": ("cost", "passes")}
+    listed = drawn.groupBy("config_id").agg(*[F.collect_list(ratio_or_null(c(part), c(whole))).alias(name) for name, (part, whole) in rates.items()])
+    whole = coverage.select("config_id", "complete", F.max(F.when(c("config_id") == baseline, c("complete"))).over(Window.partitionBy()).alias("base_complete"))  # a row for each configuration
+    defined = F.coalesce(F.size("cost"), F.lit(0))
+    shown = {"pass": c("complete"), "delta": c("complete") & c("base_complete") & (c("config_id") != baseline), "cost": (defined > 0) & (defined >= samples / 2)}
+    bounds = [F.when(shown[name], lower_quantile(c(name), at)).alias(f"{name}_{end}") for name in rates for end, at in (("low", 0.025), ("high", 0.975))]
+    return whole.join(listed, "config_id", "left").select("config_id", *bounds, (F.lit(samples) - defined).cast("long").alias("zero_pass_samples"))
+
+
 def net_win_interval(outcomes: list[int], samples: int = 2000, seed: int = 987654321) -> tuple[float, float]:
     """Bounds of the net win rate over outcomes of -1, 0 and 1; the 31-bit stream is sequential, so this runs on the driver.
 

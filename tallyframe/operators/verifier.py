@@ -1,7 +1,7 @@
 """Public reports: built from attempts by allowlist, and verified by recomputing aggregates and the gate from rows.
 
-A report is a few tables: outcomes (a row for each public attempt), metrics (a row for each configuration) and the
-gate's findings. Verification never trusts an aggregate: it recomputes each from the outcomes.
+A report is a few tables: outcomes (a row for each public attempt), metrics and intervals (a row for each
+configuration) and the gate's findings. Verification never trusts an aggregate: it recomputes each from the outcomes.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.operators import disclosure as D
 from tallyframe.operators import metrics as M
+from tallyframe.operators import resample as B
 from tallyframe.operators.casesets import tier_profile
 
 #: Columns that a public report may show.
@@ -24,6 +25,7 @@ METRIC_COLUMNS = ("config_id", "scored_attempts", "passes", "task_pass_rate", "p
 class PublicReport:
     outcomes: DataFrame
     metrics: DataFrame
+    intervals: DataFrame
     findings: DataFrame
 
 
@@ -37,26 +39,26 @@ def metrics_of(outcomes: DataFrame, configs: list[str]) -> DataFrame:
     return counts.join(paired, "config_id", "left").withColumn("task_pass_rate", rate).select(*METRIC_COLUMNS)
 
 
-def gate_of(metrics: DataFrame, cases: DataFrame, coverage: DataFrame, configs: list[str]) -> DataFrame:
-    """Blockers of the report's gate from its own metrics, case tiers and coverage."""
-    profile = tier_profile(cases).select((F.col("n_structured_or_exact") + F.col("n_mixed")).alias("non_surface_cases"), F.col("cases").alias("scored_cases"))
-    small = cases.where(M.scored() & F.col("category").isNotNull()).groupBy("category").count().agg(F.count_if(F.col("count") < D.CLAIM_CATEGORY).alias("small_categories"))
-    stats = metrics.join(coverage.select("config_id", "complete"), "config_id", "left").join(profile).join(small)
-    stats = stats.withColumns(
-        {
-            "pass_rate": F.col("task_pass_rate"), "pass_low": F.col("task_pass_rate"), "delta_low": F.when(F.col("unpaired_n") == 0, F.lit(0.0)), "cost_low": F.when(F.col("passes") > 0, F.lit(0.0)),
-            "paired": F.col("paired_n"), "unpaired": F.col("unpaired_n"), "scored_trials": F.col("paired_n") + F.col("unpaired_n"), "suppressed_categories": F.lit(False), "costs_suppressed": F.col("scored_cases") < D.MIN_COST_CASES,
-            "complete": F.coalesce("complete", F.lit(False)),
-        }
-    )
-    return D.report_gate(stats, configs)
+def gate_of(metrics: DataFrame, intervals: DataFrame, cases: DataFrame, coverage: DataFrame, configs: list[str], disclosed: list[str] | None = None) -> DataFrame:
+    """The report's gate from its own metrics and intervals, case tiers and coverage. A configuration without scored attempts wasn't run."""
+    c = F.col
+    profile = tier_profile(cases).select((c("n_structured_or_exact") + c("n_mixed")).alias("non_surface_cases"), c("cases").alias("scored_cases"))
+    trials = coverage.agg(F.coalesce(F.max("expected"), F.lit(0)).alias("scored_trials"))
+    of_all = profile.join(trials).join(D.category_evidence(cases))
+    stats = metrics.join(coverage.select("config_id", "complete"), "config_id", "left").join(intervals, "config_id", "left").join(of_all)
+    named = {"scored_attempts": c("scored_attempts"), "pass_rate": c("task_pass_rate"), "paired": c("paired_n"), "unpaired": c("unpaired_n"), "costs_suppressed": c("scored_cases") < D.MIN_COST_CASES, "complete": F.coalesce("complete", F.lit(False))}
+    return D.report_gate(stats.withColumns(named), configs, disclosed)
 
 
-def build(attempts: DataFrame, cases: DataFrame, configs_table: DataFrame) -> PublicReport:
+def build(attempts: DataFrame, cases: DataFrame, configs_table: DataFrame, samples: int = 500, disclosed: list[str] | None = None) -> PublicReport:
+    """Everything is read from ``attempts`` several times: store it first if it is costly."""
     configs = [r["config_id"] for r in configs_table.orderBy("config_order").collect()]
     outcomes = D.public_outcomes(attempts).join(attempts.select(F.format_string("case_%04d", F.col("case_index") + 1).alias("public_id"), "smoke_only").distinct(), "public_id").select(*OUTCOME_COLUMNS)
     metrics = metrics_of(outcomes, configs)
-    return PublicReport(outcomes, metrics, gate_of(metrics, cases, M.coverage(attempts, configs_table), configs))
+    coverage = M.coverage(attempts, configs_table)
+    pairs = M.paired_outcomes(attempts, "direct", [c for c in configs if c != "direct"])
+    intervals = B.bootstrap_all(attempts, pairs, coverage, "direct", samples)
+    return PublicReport(outcomes, metrics, intervals, gate_of(metrics, intervals, cases, coverage, configs, disclosed))
 
 
 def verify(report: PublicReport, recomputed_gate: DataFrame, configs: list[str]) -> DataFrame:

@@ -34,16 +34,6 @@ def _consistency(s, d):
     return D.consistency(published, values(a), ["case_index", "config_id"], ["n", "passes"])
 
 
-def _gate(s, d):
-    stats = _card(s, d).select(
-        "config_id", F.col("scored_attempt_n").alias("scored_attempts"), F.col("task_pass_rate").alias("pass_rate"), F.lit(False).alias("complete"), F.lit(None).cast("double").alias("pass_low"), F.lit(None).cast("double").alias("delta_low"), F.lit(0.1).alias("cost_low"),
-        F.lit(5).alias("unpaired"), F.lit(10).alias("paired"), F.lit(15).alias("scored_trials"), F.lit(120).alias("scored_cases"), F.lit(1).alias("small_categories"), F.lit(False).alias("suppressed_categories"), F.lit(40).alias("non_surface_cases"), F.lit(False).alias("costs_suppressed"),
-    )
-    return D.report_gate(stats, list(P.CONFIGS)).select("code")
-
-
-_GATE_CODES = ["category_underpowered", "fusion_pairing_incomplete", "fusion_pass_rate_delta_interval_unavailable", *[f"{c}_{x}" for c in P.CONFIGS for x in ("scored_attempt_coverage_incomplete", "task_pass_rate_interval_unavailable")]]
-
 QUERIES = {
     "category_breakdown": (
         lambda s, d: D.category_breakdown(P.attempts(s, d), P.cases(s, d)),
@@ -77,7 +67,6 @@ UNION ALL SELECT config_id, NULL, NULL, NULL, NULL, true FROM card""",
         _consistency,
         f"WITH {P.ATTEMPTS_SQL} SELECT DISTINCT case_index, config_id, case_index % 13 <> 0 AS consistent FROM attempts WHERE NOT smoke_only",
     ),
-    "public_gate_findings": (_gate, "SELECT code FROM (VALUES " + ", ".join(f"('{c}')" for c in _GATE_CODES) + ") t(code)"),
     "case_digests": (lambda s, d: FP.case_digests(_case_json(s, d)), f"WITH {P.CASES_SQL} SELECT case_index, sha256({CASE_JSON_SQL}) AS canonical_sha256 FROM cases"),
     "manifest_rows": (
         lambda s, d: FP.manifest_rows(_case_json(s, d), labels=True),

@@ -277,3 +277,61 @@ def test_fingerprints_tell_graders_apart(spark):
     rows = spark.createDataFrame([("t", ["c"], False, "x"), ("t", ["c"], False, "y"), ("t", ["c"], True, "x"), ("t", ["c"], False, "x")], "task string, constraints array<string>, smoke_only boolean, exact string")
     got = [r[0] for r in rows.select(FP.content_fingerprint(F.col("task"), F.col("constraints"), F.col("smoke_only"), F.struct("exact"))).collect()]
     assert len(set(got)) == 3 and got[0] == got[3]
+
+
+def test_all_intervals_at_once_equal_the_single_ones(spark, configs):
+    import random
+
+    rand = random.Random(9)
+    rows = attempts(spark, [(c, t, k, "completed", None, rand.random() < 0.4, c % 6 == 0, rand.randrange(99), 1) for c in range(14) for t in range(2) for k in CONFIGS if (c, t, k) != (3, 1, "repeated")])
+    pairs, cover = M.paired_outcomes(rows, "direct", CONFIGS[1:]), M.coverage(rows, configs)
+    got = {r["config_id"]: r for r in R.bootstrap_all(rows, pairs, cover, "direct", 60).collect()}
+    rate = {r["config_id"]: r for r in R.bootstrap_pass_rate(rows, cover, 60).collect()}
+    delta = {r["config_id"]: r for r in R.bootstrap_pass_delta(pairs, rows, 60).collect()}
+    cost = {r["config_id"]: r for r in R.bootstrap_cost_per_pass(rows, 60).collect()}
+    for k in CONFIGS:
+        assert (got[k]["pass_low"], got[k]["pass_high"]) == (rate[k]["low"], rate[k]["high"])
+        assert (got[k]["cost_low"], got[k]["cost_high"], got[k]["zero_pass_samples"]) == (cost[k]["low"], cost[k]["high"], cost[k]["zero_pass_samples"])
+        if k in ("self_review", "fusion"):
+            assert (got[k]["delta_low"], got[k]["delta_high"]) == (delta[k]["low"], delta[k]["high"])
+        else:
+            assert got[k]["delta_low"] is None
+    assert got["repeated"]["pass_low"] is None and got["repeated"]["cost_low"] is not None
+
+
+GOOD = {"scored_attempts": 120, "pass_rate": 0.5, "complete": True, "pass_low": 0.4, "delta_low": 0.1, "cost_low": 1.0, "unpaired": 0, "paired": 120, "scored_trials": 120, "scored_cases": 120, "categories": 4, "small_categories": 0, "surface_categories": 0, "suppressed_categories": False, "non_surface_cases": 60, "costs_suppressed": False}
+STATS = "config_id string, scored_attempts long, pass_rate double, complete boolean, pass_low double, delta_low double, cost_low double, unpaired long, paired long, scored_trials long, scored_cases long, categories long, small_categories long, surface_categories long, suppressed_categories boolean, non_surface_cases long, costs_suppressed boolean"
+
+
+@pytest.mark.parametrize(
+    ("change", "only", "want"),
+    [
+        ({}, None, []),
+        ({"scored_cases": 99}, None, ["too_few_scored_cases"]),
+        ({"suppressed_categories": True, "small_categories": 2}, None, ["category_evidence_unavailable"]),
+        ({"categories": 0}, None, ["category_evidence_empty"]),
+        ({"small_categories": 1, "surface_categories": 1}, None, ["category_underpowered", "category_non_surface_grader_evidence_underpowered"]),
+        ({"non_surface_cases": 4}, None, ["insufficient_non_surface_grader_evidence"]),
+        ({"scored_attempts": 0, "pass_rate": None, "pass_low": None}, "repeated", ["repeated_scored_attempts_unavailable", "repeated_task_pass_rate_unavailable", "repeated_task_pass_rate_interval_unavailable"]),
+        ({"complete": False}, "direct", ["direct_scored_attempt_coverage_incomplete"]),
+        ({"paired": 0, "unpaired": 120}, "fusion", ["fusion_pairing_unavailable"]),
+        ({"paired": 110, "unpaired": 10}, "fusion", ["fusion_pairing_incomplete"]),
+        ({"delta_low": None}, "fusion", ["fusion_pass_rate_delta_interval_unavailable", "fusion_advantage_not_established"]),
+        ({"costs_suppressed": True, "cost_low": None}, None, ["cost_latency_suppressed"]),
+        ({"cost_low": None}, "self_review", ["self_review_cost_per_pass_interval_unavailable"]),
+    ],
+)
+def test_each_rule_of_the_report_gate(spark, change, only, want):
+    rows = [tuple(({"config_id": k} | GOOD | (change if only in (None, k) else {})).values()) for k in CONFIGS]
+    found = D.report_gate(spark.createDataFrame(rows, STATS), CONFIGS).orderBy("severity", "ordinal").collect()
+    assert [r["code"] for r in found if r["code"] != "public_projection_with_private_attestations"] == want
+
+
+def test_gate_of_missing_configurations_and_disclosures(spark):
+    rows = [tuple(({"config_id": k} | GOOD).values()) for k in ("direct", "repeated")]
+    found = D.report_gate(spark.createDataFrame(rows, STATS), CONFIGS, D.disclosure_blockers({}, {"status": "not_provided"})).orderBy("severity", "ordinal").collect()
+    assert [r["code"] for r in found if r["severity"] == "blocker"] == ["case_manifest_binding_malformed", "case_set_claim_gate_missing", "missing_self_review_config", "missing_fusion_config"]
+    fine = {"status": "private_report_bound", "intendedUse": "holdout", "hashAlgorithm": "hmac-sha256", "privacyClass": "private_audit_hmac_sha256"}
+    gate = {"status": "private_report_constraints_met", "target": "public_cost_performance", "scope": "case_set_only", "overallClaimStatus": "external_evidence_required", "detailDisclosure": "omitted"}
+    assert D.disclosure_blockers(fine, gate) == []
+    assert D.disclosure_blockers(fine | {"intendedUse": "dev"}, gate | {"scope": "x"}) == ["case_manifest_not_holdout", "case_set_claim_gate_malformed"]
