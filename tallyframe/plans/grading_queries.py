@@ -68,6 +68,19 @@ def _number(spark, d):
     return rows
 
 
+def _number_checks(spark, d):
+    """Number graders through ``grade``: no number, one found by a pattern, and bounds around it."""
+    i = F.col("o_orderkey")
+    text = F.when(i % 5 == 0, F.lit("none")).otherwise(F.concat(F.lit("v1 total="), F.floor("o_totalprice").cast("string")))
+    o = table(spark, d, "orders").select(i.alias("case_index"), text.alias("answer"))
+    rows = G.grade(o.withColumns({"number_expected": F.lit(150000.0), "number_tolerance": F.lit(50000.0), "number_min": F.lit(1000.0), "number_max": F.when(F.col("case_index") % 3 == 0, F.lit(180000.0)), "number_regex": F.lit("total=([0-9]+)")}))
+    return rows.select("case_index", "passed", F.concat_ws(",", F.transform("checks", lambda c: F.concat(c["name"], F.lit("="), c["passed"].cast("string"), F.lit("/"), F.coalesce(c["details"], F.lit(""))))).alias("checks"))
+
+
+NUMBER_SQL = """WITH t AS (SELECT o_orderkey AS k, floor(o_totalprice) AS v FROM orders), c AS (SELECT k, k % 5 = 0 AS gone, v BETWEEN 100000 AND 200000 AS near, v >= 1000 AS low, k % 3 <> 0 OR v <= 180000 AS high FROM t)
+SELECT k AS case_index, NOT gone AND near AND low AND high AS passed, CASE WHEN gone THEN 'number_found=false/number_not_found' ELSE 'number_expected=' || near || '/absolute_tolerance,number_min=' || low || '/' || CASE WHEN k % 3 = 0 THEN ',number_max=' || high || '/' ELSE '' END END AS checks FROM c"""
+
+
 def _citations(spark, d):
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), "s_name", (F.col("s_nationkey") % 5).alias("x"), (F.col("s_suppkey") % 4).alias("y"))
     body = F.concat(F.col("s_name"), F.lit(" grew [S"), F.col("x").cast("string"), F.lit("]. It fell [S"), F.col("y").cast("string"), F.when(F.col("k") % 7 == 0, F.lit("")).otherwise(F.lit("].")))
@@ -150,6 +163,7 @@ QUERIES = {
 || CASE WHEN lower(o_orderpriority) = '1-urgent' THEN ',choice_expected=ok' WHEN lower(o_orderpriority) IN ('2-high', '3-medium') THEN ',choice_expected=wrong_choice' ELSE ',choice_expected=choice_not_allowed' END AS checks FROM orders""",
     ),
     "grade_number": (_number, "SELECT o_orderkey AS case_index, CAST(floor(o_totalprice) AS DOUBLE) AS value, CAST(NULL AS VARCHAR) AS reason, abs(floor(o_totalprice) - 150000) <= 50000 AS expected_ok, floor(o_totalprice) >= 1000 AS min_ok FROM orders"),
+    "grade_number_checks": (_number_checks, NUMBER_SQL),
     "grade_json_paths": (
         _json_grades,
         "WITH t AS (SELECT event_id, CAST(regexp_extract(props, '\"k\": *(-?[0-9]+)', 1) AS INT) AS k FROM events) SELECT event_id AS case_index, false AS passed, 'json_valid=true,json_required_path=true,json_required_path=false,json_equals=' || (k = 8) || ',json_schema_subset=' || (k BETWEEN 0 AND 99) AS checks FROM t",

@@ -107,4 +107,19 @@ QUERIES = {
         lambda s, d: P.table(s, d, "documents").select("doc_id", F.greatest(F.lit(1), F.ceil(F.length(F.coalesce("text", F.lit(""))) / 4)).cast("long").alias("tokens")),
         "SELECT doc_id, CAST(greatest(1, ceil(length(coalesce(text, '')) / 4)) AS BIGINT) AS tokens FROM documents",
     ),
+    "usage_costs": (
+        lambda s, d: P.table(s, d, "lineitem").select(
+            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("call"),
+            L.usage_cost((F.col("l_orderkey") % 23).cast("long"), (F.col("l_linenumber") * 300).cast("long"), F.lit(50), F.lit(200), F.when(F.col("l_orderkey") % 37 != 0, F.floor(F.col("l_quantity")) * 10000).cast("long")).alias("cost"),
+        ),
+        "SELECT l_orderkey * 10 + l_linenumber AS call, CASE WHEN l_orderkey % 23 > 0 THEN CAST(greatest(l_orderkey % 23 * 50 + l_linenumber * 60000, CASE WHEN l_orderkey % 37 <> 0 THEN floor(l_quantity) * 10000 ELSE 0 END) AS BIGINT) END AS cost FROM lineitem",
+    ),
+    "stale_prices": (
+        lambda s, d: L.stale_prices(P.table(s, d, "orders").select(F.col("o_orderkey").alias("model"), (F.col("o_orderkey") % 5).alias("prompt_price"), F.lit(1).alias("completion_price"), F.when(F.col("o_orderkey") % 7 == 0, "long ago").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")).alias("fetched_at")), "1996-01-01T00:00:00", 24 * 365),
+        "SELECT o_orderkey AS model, CASE WHEN o_orderkey % 5 = 0 THEN 'not_positive' ELSE 'stale' END AS problem FROM orders WHERE o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 OR CAST(o_orderdate AS TIMESTAMP) < TIMESTAMP '1996-01-01 00:00:00' - INTERVAL 365 DAY",
+    ),
+    "failed_call_usage": (
+        lambda s, d: L.failed_call_violations(P.table(s, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("call"))),
+        "SELECT l_orderkey AS call FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey HAVING count(*) > 1",
+    ),
 }
