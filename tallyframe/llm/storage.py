@@ -30,6 +30,19 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """These session settings inside the block."""
+    before = {name: spark.conf.get(name) for name in values}
+    try:
+        for name, value in values.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 #: The stored tables of each open ``scratch`` block.
 _OPEN: list[list[str]] = []
 
@@ -44,14 +57,8 @@ def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     own = _OPEN[: -1 if keep else None]
     if own:
         own[-1].append(path)
-    before = {name: spark.conf.get(name) for name in WHILE_WRITING}
-    try:
-        for name, value in WHILE_WRITING.items():
-            spark.conf.set(name, value)
+    with settings(spark, WHILE_WRITING):
         df.write.parquet(path)
-    finally:
-        for name, value in before.items():
-            spark.conf.set(name, value)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -31,17 +31,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.storage import claim_cache, materialize, scratch, slices
+from tallyframe.llm.storage import WHILE_WRITING, claim_cache, materialize, scratch, settings, slices
 
 LEVELS = (1, 2, 3, 5)
 HEADS = range(3, 10)
 INNER = (4, 6)
 WORD = re.compile(r"\w+")
-CACHED = 300_000
+#: Runs whose n-grams a worker remembers.
+CACHED = 100_000
 #: N-grams of confirmed texts that are counted over all documents; a feature is chosen among these.
 SHORTLIST = 20_000
 #: N-grams that a task counts before it hands its sums on.
-HELD = 400_000
+HELD = 100_000
 #: Ids of confirmed texts that go to every task; more are joined over a shuffle.
 BROADCAST_IDS = 500_000
 #: Log-likelihood gain that an n-gram must show, so that few positives don't make features of chance.
@@ -180,8 +181,8 @@ def count_grams(texts: DataFrame) -> DataFrame:
                 several = [(g, n) for g, n in counts.items() if n > 1]
                 for c, level in zip(sums[1:], LEVELS[1:], strict=True):
                     c.update([g for g, n in several if n >= level])
-            if len(sums[0]) > HELD:
-                yield hand_on()
+                if len(sums[0]) > HELD:
+                    yield hand_on()
         yield hand_on()
 
     return texts.select("text").mapInArrow(run, GRAM_SCHEMA).groupBy("gram").agg(*[F.sum(c).alias(c) for c in COUNTS])
@@ -284,7 +285,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     total, toxic = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     prior = min(0.5, (toxic + 1) / (total + 2))
     nothing = ToxicityModel({}, math.log(prior / (1 - prior)))
-    with scratch(docs.sparkSession):
+    with scratch(docs.sparkSession), settings(docs.sparkSession, WHILE_WRITING):
         labelled = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(slim.select("doc_id").distinct(), "doc_id", "left_semi")
         labelled = materialize(labelled, "labelled-ids")
         confirmed = labelled.where("toxic = 1").select("doc_id")
