@@ -76,12 +76,14 @@ NEEDS = 1 << 20
 
 
 class _WordHashes(dict):
-    """Word -> 64-bit hash, bounded."""
+    """Word -> 64-bit hash, bounded: words of up to 64 bytes are remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) >= CACHED:
+                self.clear()
+            self[word] = h
         return h
 
 

@@ -11,7 +11,8 @@
    share is spread over many tasks.
 
 Defined cases: a null or empty text is the end id alone; equal documents get pieces of their own; an empty table
-gives no rows; repeated rows are packed one by one. A sequence is padded to the window (``padded``), but for one whose
+gives no rows; repeated rows are packed one by one; long texts
+are encoded whole, and runs without a space in them aren't remembered. A sequence is padded to the window (``padded``), but for one whose
 length is itself a power of two, which stays as it is.
 """
 
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 from functools import cache
 from struct import Struct
 from struct import pack as to_bytes
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,8 @@ from tallyframe.llm.storage import claim_cache, materialize, slices
 
 VOCABULARY = "word_bpe_49k.json"
 CACHED = 900_000
+#: Longer runs of non-space characters aren't remembered.
+LONG = 64
 GLUED = re.compile(r"(?:[^\w\s]|_)[.,]")
 #: Little-endian unsigned 32-bit packers of so many ids.
 PACKED = [Struct(f"<{n}I").pack for n in range(16)]
@@ -87,15 +91,16 @@ class WordEncoder:
             text = text.replace(".", " .").replace(",", " ,")
         return text.split()
 
-    def _learn(self, new: set[str]) -> None:
-        """Ids of unknown runs. A letter and a mark after it are never one token, so a run's marks are encoded apart."""
-        known = self.known
-        if len(known) + 2 * len(new) > CACHED:
-            known.clear()
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of unknown runs. A letter and a mark after it are never one token, so a run's marks are encoded apart.
+
+        Some letters normalize to a letter with a combining mark; that and a mark after it can be one token.
+        """
+        known, found = self.known, {}
         cut, parts = [], set()
         for run in new:
             head = run.rstrip(MARKS)
-            if len(head) != len(run) and head[-1:].lower().isalpha():
+            if len(head) != len(run) and normalize("NFC", head[-1:].lower())[-1:].isalpha():
                 marks = run[len(head) :]
                 cut.append((run, head, marks))
                 parts.add(head)
@@ -105,33 +110,36 @@ class WordEncoder:
         whole, direct, tokenize = [], self.direct, self.tokenizer.model.tokenize
         for run in parts:
             if run in known:
-                continue
-            if direct and run.isascii() and run.isalpha() and run.islower():
+                found[run] = known[run]
+            elif direct and run.isascii() and run.isalpha() and run.islower():
                 ids = [t.id for t in tokenize(run)]
-                known[run] = PACKED[len(ids)](*ids) if len(ids) < len(PACKED) else to_bytes(f"<{len(ids)}I", *ids)
+                found[run] = PACKED[len(ids)](*ids) if len(ids) < len(PACKED) else to_bytes(f"<{len(ids)}I", *ids)
             elif self._plain(run):
-                known[run] = self._word(run)
+                found[run] = self._word(run)
             else:
                 whole.append(run)
         for at in range(0, len(whole), 4096):
             part = whole[at : at + 4096]
             for run, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[run] = to_bytes(f"<{len(got)}I", *got.ids)
+                found[run] = to_bytes(f"<{len(got)}I", *got.ids)
         for run, head, marks in cut:
-            known[run] = known[head] + known[marks]
+            found[run] = found[head] + found[marks]
+        if len(known) + len(found) > CACHED:
+            known.clear()
+        known.update([(r, ids) for r, ids in found.items() if len(r) <= LONG])
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         runs = [self._runs(t) for t in texts]
         found = [None if r is None else list(map(self.known.get, r)) for r in runs]
         new = {w for r, f in zip(runs, found, strict=True) if f is not None and None in f for w, ids in zip(r, f, strict=True) if ids is None}
-        if new:
-            self._learn(new)
-        out, known = [], self.known
+        learned = self._learn(new) if new else {}
+        out = []
         for text, words, ids in zip(texts, runs, found, strict=True):
             if words is None:
                 out.append(self._whole(text))
             else:
-                out.append(b"".join(ids if None not in ids else [known[w] if i is None else i for w, i in zip(words, ids, strict=True)]))
+                out.append(b"".join(ids if None not in ids else [learned[w] if i is None else i for w, i in zip(words, ids, strict=True)]))
         return out
 
 

@@ -6,7 +6,7 @@ many different words hold a character n-gram (at least 1, 2, 3 or 5: one feature
 where the corrected term falls below zero, only it is pushed back up.
 
 Features are counted on executors: n-grams of all confirmed texts with partial sums, those that may tell P from U over
-all documents. Only the order in which n-grams are shortlisted comes from a sample. The classifier is fitted on bounded
+all documents. Only which n-grams are candidates (``n_candidates``) comes from a sample. The classifier is fitted on bounded
 samples of the labelled rows by the hash of their id: at most ``max_positives`` confirmed ones and ``max_unlabelled``
 whose label is not read. The class prior is the share of toxic rows among all labels that may be learned from, that is
 of those that U is drawn from. Only the 0/1 features of sampled rows come to the driver, as bits. Scoring reads every
@@ -14,7 +14,7 @@ whole text.
 
 Defined cases: a null or empty text has no n-grams and scores the bias; an unlabelled id and a label without
 document are skipped; several labels of one document count as toxic if one says so; rows with equal ids are texts of their
-own; without a confirmed toxic text every score is the smoothed prior; an empty table gives no rows.
+own, but one of them stands for the id in a sample; a long text or run is counted in passes over classes of n-grams; without a confirmed toxic text every score is the smoothed prior; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import ahocorasick
@@ -37,12 +37,14 @@ LEVELS = (1, 2, 3, 5)
 HEADS = range(3, 10)
 INNER = (4, 6)
 WORD = re.compile(r"\w+")
-#: Runs whose n-grams a worker remembers.
+#: Runs whose known n-grams a worker remembers, and n-grams that it remembers while all are counted; longer runs than LONG aren't.
 CACHED = 100_000
-#: N-grams of confirmed texts that are counted over all documents; a feature is chosen among these.
-SHORTLIST = 20_000
+KEPT_GRAMS = 300_000
+LONG = 64
 #: N-grams that a task counts before it hands its sums on.
 HELD = 100_000
+#: Characters of different runs whose n-grams are counted at a time; a text with more takes several passes.
+PASS_CHARS = 400_000
 #: Ids of confirmed texts that go to every task; more are joined over a shuffle.
 BROADCAST_IDS = 500_000
 #: Log-likelihood gain that an n-gram must show, so that few positives don't make features of chance.
@@ -115,7 +117,7 @@ class GramCounter:
     def learn(self, run: str) -> tuple[int, ...]:
         words = "  ".join(WORD.findall(run)) or run
         got = tuple(sorted({i for _, i in self.automaton.iter(f" {words} ")})) if self.ids else ()
-        if len(run) <= 64:
+        if len(run) <= LONG:
             if len(self.known) >= CACHED:
                 self.known.clear()
             self.known[run] = got
@@ -151,12 +153,44 @@ COUNTS = [f"n{k}" for k in range(len(LEVELS))]
 GRAM_SCHEMA = "gram string, " + ", ".join(f"{c} long" for c in COUNTS)
 
 
-def count_grams(texts: DataFrame) -> DataFrame:
+class RunGrams:
+    """N-grams of runs; those of short runs are remembered, a bounded number (cleared when full)."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, tuple[str, ...]] = {}
+        self.held = 0
+
+    def of(self, run: str) -> Iterable[str]:
+        got = self.known.get(run)
+        if got is not None:
+            return got
+        if len(run) > LONG:
+            return grams(run)
+        got = self.known[run] = tuple(grams(run))
+        self.held += len(got)
+        if self.held > KEPT_GRAMS:
+            self.known.clear()
+            self.held = 0
+        return got
+
+    def passes(self, text: str | None, most: int) -> Iterator[Counter[str]]:
+        """How many different runs of the text hold each n-gram: one counter, or, for a text with more than ``most``
+        characters of different runs, one for each class of n-grams by hash, so that none grows with the text."""
+        runs = set((text or "").lower().split())
+        classes = 1 + sum(map(len, runs)) // most
+        for c in range(classes):
+            counts: Counter[str] = Counter()
+            for r in runs:
+                counts.update(self.of(r) if classes == 1 else [g for g in self.of(r) if hash(g) % classes == c])
+            yield counts
+
+
+def count_grams(texts: DataFrame, most: int = PASS_CHARS) -> DataFrame:
     """(gram, n0, n1, ...): texts in which at least LEVELS[k] different runs hold each n-gram, of all n-grams of (text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim_cache("grams", dict)
-        known: dict[str, tuple[str, ...]] = {}
+        of_runs = RunGrams()
         sums: list[Counter[str]] = [Counter() for _ in LEVELS]
 
         def hand_on() -> pa.RecordBatch:
@@ -168,21 +202,13 @@ def count_grams(texts: DataFrame) -> DataFrame:
 
         for batch in slices(batches):
             for text in batch.column(0).to_pylist():
-                counts: Counter[str] = Counter()
-                for r in set((text or "").lower().split()):
-                    got = known.get(r)
-                    if got is None:
-                        got = tuple(grams(r))
-                        if len(known) >= CACHED // 4:
-                            known.clear()
-                        known[r] = got
-                    counts.update(got)
-                sums[0].update(counts.keys())
-                several = [(g, n) for g, n in counts.items() if n > 1]
-                for c, level in zip(sums[1:], LEVELS[1:], strict=True):
-                    c.update([g for g, n in several if n >= level])
-                if len(sums[0]) > HELD:
-                    yield hand_on()
+                for counts in of_runs.passes(text, most):
+                    sums[0].update(counts.keys())
+                    several = [(g, n) for g, n in counts.items() if n > 1]
+                    for c, level in zip(sums[1:], LEVELS[1:], strict=True):
+                        c.update([g for g, n in several if n >= level])
+                    if len(sums[0]) > HELD:
+                        yield hand_on()
         yield hand_on()
 
     return texts.select("text").mapInArrow(run, GRAM_SCHEMA).groupBy("gram").agg(*[F.sum(c).alias(c) for c in COUNTS])
@@ -190,7 +216,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
 
 def count_known(texts: DataFrame, names: list[str]) -> np.ndarray:
     """``count_grams`` of the named n-grams alone: a row for each name. Tasks return sums, and these are added before they are collected."""
-    shared = texts.sparkSession.sparkContext.broadcast(GramCounter(names))  # at most SHORTLIST n-grams
+    shared = texts.sparkSession.sparkContext.broadcast(GramCounter(names))  # at most n_candidates n-grams
     size = len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,29 +281,30 @@ def _gain(in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int, prior: float,
 
 
 def shortlist(counted: DataFrame, sample: DataFrame, n_p: int, n_u: int, most: int) -> tuple[list[str], np.ndarray]:
-    """The n-grams whose share in P exceeds that in a sample of U the most, at most about ``most``, with their counts in P."""
+    """The ``most`` n-grams whose share in P exceeds that in a sample of U the most (ties: by their hash), with their counts in P."""
     other = sample.select("gram", *[F.col(c).alias(f"u_{c}") for c in COUNTS])
     both = counted.where("n0 >= 3").join(other, "gram", "left").fillna(0)
     gains = []
     for c in COUNTS:
         a, b = (F.col(c) + 0.5) / (n_p + 1), (F.col(f"u_{c}") + 0.5) / (n_u + 1)
         gains.append(F.when(F.col(c) >= 3, a * F.log(a / b)).otherwise(-1.0))
-    rated = materialize(both.select("gram", *COUNTS, F.greatest(*gains).alias("gain")).where(F.col("gain") > 0), "gram-gains")
-    steps = rated.groupBy(F.floor(F.log2("gain") * 64).cast("int").alias("step")).count().orderBy(F.desc("step")).collect()  # some hundred rows
-    total, least = 0, None
-    for r in steps:
-        total += r["count"]
-        if total > most and least is not None:
-            break
-        least = r["step"]
-    rows = rated.where(F.floor(F.log2("gain") * 64) >= least).collect() if least is not None else []
+    rated = both.select("gram", *COUNTS, F.greatest(*gains).alias("gain")).where(F.col("gain") > 0)
+    rows = rated.orderBy(F.desc("gain"), F.xxhash64("gram"), "gram").limit(most).collect()  # at most ``most`` rows
     rows.sort(key=lambda r: r["gram"])
     return [r["gram"] for r in rows], np.array([[r[c] for c in COUNTS] for r in rows], np.int64).reshape(len(rows), len(LEVELS))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positives: int = 3000, max_unlabelled: int = 6000, n_features: int = 1200, seed: int = 7) -> ToxicityModel:
+def one_each(texts: DataFrame) -> DataFrame:
+    """One row for each id of a sample (the largest text, null least), however many rows carry it."""
+    return texts.groupBy("doc_id").agg(F.max("text").alias("text"))
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positives: int = 3000, max_unlabelled: int = 6000, n_features: int = 1200, seed: int = 7, n_candidates: int = 20_000) -> ToxicityModel:
     """Train on all of ``docs`` and ``labels``; the gradient sees at most ``max_positives`` and ``max_unlabelled`` labelled rows.
 
+    The model has at most ``n_features`` features, chosen by exact counts over all documents among ``n_candidates`` n-grams
+    that all confirmed texts and the sample of labelled rows tell apart best: both bound the model, not the data.
+
     ``labels`` holds only rows that may be learned from.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -294,9 +321,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         few = confirmed.count() <= BROADCAST_IDS
         positive = materialize(slim.join(F.broadcast(confirmed) if few else confirmed, "doc_id", "left_semi"), "confirmed")
         chosen = sample_ids(labelled.select("doc_id"), max_unlabelled, seed)
-        unlabelled = materialize(slim.join(F.broadcast(chosen), "doc_id", "left_semi"), "unlabelled")  # at most max_unlabelled ids
+        unlabelled = materialize(one_each(slim.join(F.broadcast(chosen), "doc_id", "left_semi")), "unlabelled")  # at most max_unlabelled ids
         n_p, n_u, n_s = positive.count(), slim.count(), unlabelled.count()
-        names, in_p = shortlist(count_grams(positive), count_grams(unlabelled), n_p, n_s, SHORTLIST)
+        names, in_p = shortlist(count_grams(positive), count_grams(unlabelled), n_p, n_s, n_candidates)
         if not names:
             return nothing
         gain = _gain(in_p, count_known(slim, names), n_p, n_u, prior, EVIDENCE)
@@ -305,7 +332,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         if not features:
             return nothing
         seen = sample_ids(confirmed, max_positives, seed)
-        x_p = feature_rows(positive.join(F.broadcast(seen), "doc_id", "left_semi"), features)  # at most max_positives ids
+        x_p = feature_rows(one_each(positive.join(F.broadcast(seen), "doc_id", "left_semi")), features)  # at most max_positives ids
         w, bias = nnpu_fit(x_p, feature_rows(unlabelled, features), prior)
     return ToxicityModel({f: float(v) for f, v in zip(features, w, strict=True)}, bias)
 

@@ -621,3 +621,32 @@ def test_hot_lists_give_the_same_classes(spark, monkeypatch, hot):
     want = {i: sum(10 * len(a & b) >= 9 * len(a | b) for j, b in enumerate(sets) if i != j) for i, a in enumerate(sets)}
     got = jaccard_join.jaccard_links(documents(spark, texts).repartition(3), n=3, num=90, den=100).collect()
     assert {r["doc_id"]: r["n_links"] for r in got} == want
+
+
+def test_packing_letters_that_normalize_to_a_combining_mark():
+    import unicodedata
+
+    import public_tokenizers
+    from tallyframe.llm import packing
+
+    encoder = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    letters = [chr(c) for c in range(0x110000) if chr(c).isalpha()]
+    odd = [c for c in letters if len(unicodedata.normalize("NFC", c)) > 1]
+    assert len(odd) >= 59
+    texts = [f"a {c}{m}" for c in odd for m in packing.MARKS] + [f"a {c}{m}" for c in letters[::7] for m in ".)"]
+    want = encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    assert encoder.encode(texts) == [np.array(w.ids, "<u4").tobytes() for w in want]
+    long_run = "漢" * 5000
+    assert encoder.encode([long_run]) and all(len(r) <= packing.LONG for r in encoder.known)
+
+
+def test_toxicity_counts_in_passes_and_shortlists_ties(spark):
+    from tallyframe.llm import toxicity
+
+    texts = [("alpha beta alphabet " + " ".join(f"w{i}x{j}" for j in range(40)),) for i in range(3)] + [("alpha " * 3,), (None,), ("z" * 500,)]
+    docs = spark.createDataFrame(texts, "text string")
+    rows = lambda df: {r["gram"]: tuple(r)[1:] for r in df.collect()}
+    assert rows(toxicity.count_grams(docs)) == rows(toxicity.count_grams(docs, most=50))
+    tied = spark.createDataFrame([(f"g{i:04}", 6, 0, 0, 0) for i in range(500)], toxicity.GRAM_SCHEMA)
+    names, in_p = toxicity.shortlist(tied, tied.limit(0), 6, 10, 20)
+    assert len(names) == 20 and in_p[:, 0].tolist() == [6] * 20
