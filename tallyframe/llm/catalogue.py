@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import ann_bits, bpe_prefix, jaccard_join, line_dedup, media, packing, token_spans, toxicity, url_trees, warc_index
+from tallyframe.llm import ann_bits, bpe_prefix, filter_audit, jaccard_join, line_dedup, media, packing, quality_fm, source_divergence, token_spans, toxicity, url_trees, warc_index
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": packing.op8_packing,
         "op9_url_trees": url_trees.op9_url_trees,
         "op10_warc_index": warc_index.op10_warc_index,
+        "op11_source_divergence": source_divergence.op11_source_divergence,
+        "op12_quality_fm": quality_fm.op12_quality_fm,
+        "op13_filter_audit": filter_audit.op13_filter_audit,
     }
 
 
@@ -28,4 +31,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op7_line_dedup": line_dedup.OP7_SQL,
         "op10_warc_index": warc_index.OP10_SQL,
+        "op11_source_divergence": source_divergence.OP11_SQL,
+        "op13_filter_audit": filter_audit.OP13_SQL,
     }
