@@ -10,12 +10,12 @@ then every vector whose upper bound reaches the worst of these.
 The index is a stored table: rows are dealt evenly to parts, and a part is one row with the ids, vectors, codes and
 scalars of about ``part_rows`` vectors. Queries are dealt to blocks of about ``block_rows``. Every cell of a part and a block is
 a row of one join and a piece of one job: it gives the block's k best in that part, and these are merged by query. Exact
-copies of a vector share one code: of a group of copies only the k + 1 smallest ids can be found, and only these are kept
-in a part.
+copies of a vector share one code: of a group of copies only those with the smallest ids can be found, and only these (2 k at
+most) are kept in a part.
 
 Defined cases: null vectors, zero vectors and vectors with null or non-finite components, or of another dimension
 than most queries have, take no part, neither as query nor as candidate; rows with a query's own id are no candidates
-for it; other repeated ids count as often as they occur; with fewer candidates than k all are returned; ties go to
+for it; query rows with equal ids are one query, the one with the smallest vector that takes part; other repeated ids count as often as they occur; with fewer candidates than k all are returned; ties go to
 the smaller id; an empty table gives no rows.
 """
 
@@ -106,15 +106,26 @@ def _clean(ids: pa.Array, vectors: pa.ListArray, dim: int) -> tuple[np.ndarray,
 
 
 def _first_copies(ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows without those copies of a vector that k + 1 copies with smaller ids leave no place for; rising ids."""
+    """Rows without those copies of a vector that no query can find; rising ids.
+
+    Of copies with one id only k can be found, and of what is left a query passes over at most the k that have its own id, so
+    2 k copies are enough.
+    """
     order = np.argsort(ids, kind="stable")
     ids, vectors = ids[order], vectors[order]
     _, group = np.unique(vectors, axis=0, return_inverse=True)
     group = group.ravel()
-    by_group = np.argsort(group, kind="stable")
-    starts = np.flatnonzero(np.diff(group[by_group], prepend=-1))
-    nth = np.arange(len(group)) - np.repeat(starts, np.diff(np.append(starts, len(group))))
-    kept = np.sort(by_group[nth <= k])
+
+    def place(keys: np.ndarray) -> np.ndarray:
+        """How many rows with equal keys stand before each row."""
+        by_key = np.lexsort((np.arange(len(keys)), *keys.T))
+        starts = np.flatnonzero(np.append(True, (keys[by_key][1:] != keys[by_key][:-1]).any(1)))
+        out = np.empty(len(keys), np.int64)
+        out[by_key] = np.arange(len(keys)) - np.repeat(starts, np.diff(np.append(starts, len(keys))))
+        return out
+
+    kept = np.flatnonzero(place(np.column_stack([group, ids])) < k)
+    kept = kept[place(group[kept][:, None]) < 2 * k]
     return ids[kept], vectors[kept]
 
 
@@ -196,6 +207,8 @@ def search(
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = common["dim"]
     turn, words = rotation(dim), -(-dim // 64)
+    usable = F.expr(f"size(v) = {dim} AND exists(v, x -> x <> 0) AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))")
+    asked = asked.where(usable).groupBy("vec_id").agg(F.min("v").alias("v"))
 
     def pack(block: int, ids: np.ndarray, vectors: np.ndarray) -> dict:
         return {"block": np.int32(block), "query_ids": ids.tobytes(), "queries": vectors.tobytes()}

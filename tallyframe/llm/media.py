@@ -5,15 +5,18 @@ format validator then walks the structure from there (chunk lengths, checksums,
 the exact length or refuses. A declared type counts for nothing: the type is what validates at offset 0.
 
 Defined cases: null text is the empty payload (one block of 64 zero bytes); null media gives a null type and no
-carved parts; bytes that no validator accepts keep the declared type; equal bytes give equal results; other
+carved parts; bytes that no validator accepts keep the declared type;
+long texts are scanned whole, trailers and chains of blocks once for all signatures in them; equal bytes give equal results; other
 columns of the input are never read, so their names can't clash.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -27,6 +30,47 @@ BLOCK = 64
 OCTETS = "application/octet-stream"
 
 
+class Notes:
+    """What validators have learned about one byte string, so that no stretch of it is searched again for each signature in it."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data = data
+        self.places: dict[bytes, list[int]] = {}
+        self.ends: dict[tuple[str, int], int | None] = {}
+
+    def next(self, what: bytes, at: int) -> int:
+        """The first place of ``what`` from ``at`` on, or -1; all places are looked up once."""
+        if what not in self.places:
+            self.places[what] = [m.start() for m in re.finditer(re.escape(what), self.data)]
+        i = bisect_left(self.places[what], at)
+        return self.places[what][i] if i < len(self.places[what]) else -1
+
+    def archive_ends(self) -> dict[int, list[int]]:
+        """Start of an archive -> places of the end records that count back to it."""
+        if self.archives is None:
+            self.archives = {}
+            for m in re.finditer(b"PK\x05\x06", self.data):
+                if m.start() + 22 <= len(self.data):
+                    size, start, _ = struct.unpack_from("<IIH", self.data, m.start() + 12)
+                    self.archives.setdefault(m.start() - start - size, []).append(m.start())
+        return self.archives
+
+    archives: dict[int, list[int]] | None = None
+
+    def walk(self, kind: str, pos: int | None, step: Callable[[int], int | None], last: Callable[[int], bool]) -> int | None:
+        """The first place from ``pos`` on, by ``step``, where ``last`` holds; None if the walk leaves the data. Walks that meet are one."""
+        seen, visited = self.ends, []
+        while pos is not None and pos < len(self.data) and (kind, pos) not in seen:
+            visited.append(pos)
+            if last(pos):
+                break
+            pos = step(pos)
+        end = seen[kind, pos] if (kind, pos) in seen else pos if pos is not None and pos < len(self.data) else None
+        for v in visited:
+            seen[kind, v] = end
+        return end
+
+
 def _riff(data: bytes, at: int, form: bytes) -> int | None:
     if len(data) < at + 12 or data[at + 8 : at + 12] != form:
         return None
@@ -40,19 +84,19 @@ def _riff(data: bytes, at: int, form: bytes) -> int | None:
     return end - at if pos in (end, end + 1) else None
 
 
-def _wav(data: bytes, at: int) -> int | None:
+def _wav(data: bytes, at: int, notes: Notes) -> int | None:
     return _riff(data, at, b"WAVE")
 
 
-def _avi(data: bytes, at: int) -> int | None:
+def _avi(data: bytes, at: int, notes: Notes) -> int | None:
     return _riff(data, at, b"AVI ")
 
 
-def _webp(data: bytes, at: int) -> int | None:
+def _webp(data: bytes, at: int, notes: Notes) -> int | None:
     return _riff(data, at, b"WEBP")
 
 
-def _png(data: bytes, at: int) -> int | None:
+def _png(data: bytes, at: int, notes: Notes) -> int | None:
     pos, first = at + 8, True
     while pos + 12 <= len(data):
         size, kind = struct.unpack_from(">I", data, pos)[0], data[pos + 4 : pos + 8]
@@ -67,13 +111,10 @@ def _png(data: bytes, at: int) -> int | None:
     return None
 
 
-def _gif(data: bytes, at: int) -> int | None:
+def _gif(data: bytes, at: int, notes: Notes) -> int | None:
     def skip_blocks(pos: int) -> int | None:
-        while pos < len(data):
-            if data[pos] == 0:
-                return pos + 1
-            pos += 1 + data[pos]
-        return None
+        end = notes.walk("gif", pos, lambda p: p + 1 + data[p], lambda p: data[p] == 0)
+        return None if end is None else end + 1
 
     if len(data) < at + 13:
         return None
@@ -92,7 +133,7 @@ def _gif(data: bytes, at: int) -> int | None:
     return None
 
 
-def _bmp(data: bytes, at: int) -> int | None:
+def _bmp(data: bytes, at: int, notes: Notes) -> int | None:
     if len(data) < at + 30:
         return None
     size, reserved, offset, header = struct.unpack_from("<IIII", data, at + 2)
@@ -101,7 +142,7 @@ def _bmp(data: bytes, at: int) -> int | None:
     return size if sound and 14 + header <= offset <= size <= len(data) - at else None
 
 
-def _jpeg(data: bytes, at: int) -> int | None:
+def _jpeg(data: bytes, at: int, notes: Notes) -> int | None:
     pos = at + 2
     while pos + 4 <= len(data) and data[pos] == 0xFF:
         marker = data[pos + 1]
@@ -122,7 +163,7 @@ def _jpeg(data: bytes, at: int) -> int | None:
     return pos + 2 - at if data[pos : pos + 2] == b"\xff\xd9" else None
 
 
-def _gzip(data: bytes, at: int) -> int | None:
+def _gzip(data: bytes, at: int, notes: Notes) -> int | None:
     if len(data) < at + 18 or data[at + 3] & 0xE0:
         return None
     inflate, pos = zlib.decompressobj(31), at
@@ -135,26 +176,24 @@ def _gzip(data: bytes, at: int) -> int | None:
     return min(pos, len(data)) - len(inflate.unused_data) - at if inflate.eof else None
 
 
-def _zip(data: bytes, at: int) -> int | None:
-    pos = data.find(b"PK\x05\x06", at)
-    while pos >= 0 and pos + 22 <= len(data):
+def _zip(data: bytes, at: int, notes: Notes) -> int | None:
+    for pos in notes.archive_ends().get(at, []):
         size, start, comment = struct.unpack_from("<IIH", data, pos + 12)
-        if start + size == pos - at and data[at + start : at + start + 4] in (b"PK\x01\x02", b"PK\x05\x06"):
+        if data[at + start : at + start + 4] in (b"PK\x01\x02", b"PK\x05\x06"):
             end = pos + 22 + comment
             return end - at if end <= len(data) else None
-        pos = data.find(b"PK\x05\x06", pos + 4)
     return None
 
 
-def _pdf(data: bytes, at: int) -> int | None:
+def _pdf(data: bytes, at: int, notes: Notes) -> int | None:
     if not data[at + 5 : at + 8].replace(b".", b"", 1).isdigit():
         return None
-    begin = data.find(b"startxref", at)
-    end = data.find(b"%%EOF", begin) if begin >= 0 else -1
+    begin = notes.next(b"startxref", at)
+    end = notes.next(b"%%EOF", begin) if begin >= 0 else -1
     return end + 5 - at if end >= 0 else None
 
 
-def _midi(data: bytes, at: int) -> int | None:
+def _midi(data: bytes, at: int, notes: Notes) -> int | None:
     if len(data) < at + 14 or struct.unpack_from(">I", data, at + 4)[0] != 6:
         return None
     tracks, pos = struct.unpack_from(">H", data, at + 10)[0], at + 14
@@ -165,20 +204,19 @@ def _midi(data: bytes, at: int) -> int | None:
     return pos - at if tracks and pos <= len(data) else None
 
 
-def _ogg(data: bytes, at: int) -> int | None:
-    pos = at
-    while data[pos : pos + 4] == b"OggS" and pos + 27 <= len(data):
-        table = data[pos + 27 : pos + 27 + data[pos + 26]]
-        last = data[pos + 5] & 4
-        pos += 27 + len(table) + sum(table)
-        if pos > len(data):
+def _ogg(data: bytes, at: int, notes: Notes) -> int | None:
+    def after(pos: int) -> int | None:
+        if data[pos : pos + 4] != b"OggS" or pos + 27 > len(data):
             return None
-        if last:
-            return pos - at
-    return None
+        table = data[pos + 27 : pos + 27 + data[pos + 26]]
+        end = pos + 27 + len(table) + sum(table)
+        return end if end <= len(data) else None
+
+    last = notes.walk("ogg", at, after, lambda p: after(p) is not None and bool(data[p + 5] & 4))
+    return None if last is None else after(last) - at
 
 
-def _mp4(data: bytes, at: int) -> int | None:
+def _mp4(data: bytes, at: int, notes: Notes) -> int | None:
     pos, kinds = at, []
     while pos + 8 <= len(data):
         size, kind = struct.unpack_from(">I", data, pos)[0], data[pos + 4 : pos + 8]
@@ -190,7 +228,7 @@ def _mp4(data: bytes, at: int) -> int | None:
 
 
 #: Media type, magic bytes, their place from the start of the file, and the validator.
-FORMATS: list[tuple[str, bytes, int, Callable[[bytes, int], int | None]]] = [
+FORMATS: list[tuple[str, bytes, int, Callable[[bytes, int, Notes], int | None]]] = [
     ("audio/wav", b"RIFF", 0, _wav),
     ("video/x-msvideo", b"RIFF", 0, _avi),
     ("image/webp", b"RIFF", 0, _webp),
@@ -226,12 +264,12 @@ def _automaton() -> ahocorasick.Automaton:
 
 def find_media(data: bytes) -> list[tuple[int, int, str]]:
     """(start, length, type) of every place in ``data`` where a whole, valid file lies, by start; nested ones too."""
-    found = []
+    found, notes = [], Notes(data)
     for last, (size, ids) in _automaton().iter(data.decode("latin-1")):
         for i in ids:
             kind, _, before, validate = FORMATS[i]
             at = last + 1 - size - before
-            if at >= 0 and (length := validate(data, at)):
+            if at >= 0 and (length := validate(data, at, notes)):
                 found.append((at, length, kind))
     return sorted(found)
 
@@ -288,15 +326,27 @@ def sniff(media: bytes | None, declared: str | None) -> tuple[str | None, list[t
     return (outer[2] if outer else declared), [x for x in found if x[0] > 0]
 
 
+def _outermost(parts: list[tuple[int, int, str]]) -> list[tuple[tuple[int, int, str], bool]]:
+    """Each carved file, and whether it reaches beyond all that begin before it; by start, the longest first."""
+    out, end = [], 0
+    for part in sorted(parts, key=lambda x: (x[0], -x[1])):
+        out.append((part, part[0] + part[1] > end))
+        end = max(end, part[0] + part[1])
+    return out
+
+
 def sniff_media(df: DataFrame, id_col: str = "doc_id", media_col: str = "media", declared_col: str = "declared_type") -> DataFrame:
-    """A row for each media value: id, declared_type, media_type, corrected, and the carved files themselves."""
+    """A row for each media value: id, declared_type, media_type, corrected, and the carved files themselves.
+
+    A file that lies within another carved one is stated without its bytes, which are in that one's content.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carved_type = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("media_type", pa.string()), ("content", pa.binary())]))
         for batch in slices(batches, 64):
             media, declared = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             got = [sniff(m, d) for m, d in zip(media, declared, strict=True)]
-            carved = [[{"start": a, "length": n, "media_type": k, "content": m[a : a + n]} for a, n, k in parts] for m, (_, parts) in zip(media, got, strict=True)]
+            carved = [[{"start": a, "length": n, "media_type": k, "content": m[a : a + n] if outermost else None} for (a, n, k), outermost in _outermost(parts)] for m, (_, parts) in zip(media, got, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([k for k, _ in got], pa.string()), pa.array([k is not None and k != d for (k, _), d in zip(got, declared, strict=True)], pa.bool_()), pa.array(carved, carved_type)],
                 ["doc_id", "declared_type", "media_type", "corrected", "carved"],

@@ -650,3 +650,94 @@ def test_toxicity_counts_in_passes_and_shortlists_ties(spark):
     tied = spark.createDataFrame([(f"g{i:04}", 6, 0, 0, 0) for i in range(500)], toxicity.GRAM_SCHEMA)
     names, in_p = toxicity.shortlist(tied, tied.limit(0), 6, 10, 20)
     assert len(names) == 20 and in_p[:, 0].tolist() == [6] * 20
+
+
+def _slow_pdf(data, at):
+    if not data[at + 5 : at + 8].replace(b".", b"", 1).isdigit():
+        return None
+    begin = data.find(b"startxref", at)
+    end = data.find(b"%%EOF", begin) if begin >= 0 else -1
+    return end + 5 - at if end >= 0 else None
+
+
+def _slow_zip(data, at):
+    import struct
+
+    pos = data.find(b"PK\x05\x06", at)
+    while pos >= 0 and pos + 22 <= len(data):
+        size, start, comment = struct.unpack_from("<IIH", data, pos + 12)
+        if start + size == pos - at and data[at + start : at + start + 4] in (b"PK\x01\x02", b"PK\x05\x06"):
+            return pos + 22 + comment - at if pos + 22 + comment <= len(data) else None
+        pos = data.find(b"PK\x05\x06", pos + 4)
+    return None
+
+
+def test_media_scan_is_linear_and_equals_slow_validators():
+    import io
+    import time
+    import zipfile
+
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        z.writestr("a.txt", "x" * 50)
+    whole = held.getvalue()
+    ogg = b"OggS" + bytes([0, 0]) + bytes(20) + bytes([1, 3]) + b"abc"
+    last = b"OggS" + bytes([0, 4]) + bytes(20) + bytes([1, 3]) + b"abc"
+    dice = random.Random(4)
+    pieces = [b"%PDF-1.4 ", b"startxref 1", b"%%EOF", b"%PDF-x", whole, whole[:30], whole[-22:], ogg, last, b"GIF89a", b"PK\x05\x06"]
+    for _ in range(60):
+        data = b"".join(dice.choice(pieces) for _ in range(12))
+        found = set(media.find_media(data))
+        for kind, magic, slow in (("application/pdf", b"%PDF-", _slow_pdf), ("application/zip", b"PK\x03\x04", _slow_zip)):
+            want = {(m.start(), n, kind) for m in re.finditer(re.escape(magic), data) if (n := slow(data, m.start()))}
+            assert {f for f in found if f[2] == kind} == want
+        for m in re.finditer(b"OggS", data):
+            pos, end = m.start(), None
+            while data[pos : pos + 4] == b"OggS" and pos + 31 <= len(data):
+                end, pos = data[pos + 5] & 4, pos + 31
+                if end:
+                    break
+            assert ((m.start(), pos - m.start(), "audio/ogg") in found) == bool(end)
+    for unit in (b"%PDF-1.4 ", b"PK\x03\x04 xxxx", b"GIF89a" + bytes(7) + b",", ogg, b"RIFF    WAVE", b"\xff\xd8\xff", b"BM", b"MThd", b"ftyp"):
+        began = time.time()
+        media.find_media(unit * (2_000_000 // len(unit)) + b"startxref %%EOF")
+        assert time.time() - began < 30, unit
+
+
+def test_neighbours_of_repeated_query_ids(spark):
+    dice = np.random.default_rng(3)
+    base = dice.normal(size=(60, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(base)]
+    rows += [(20, base[20].tolist())] * 30 + [(40, base[3].tolist()), (20, [None] * 8), (20, [0.0] * 8), (21, base[21].tolist())] + [(i, base[7].tolist()) for i in range(100, 140)] * 2
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann_bits.search(table, table.where("vec_id % 20 = 0"), part_rows=40, block_rows=2).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    fine = [(i, np.array(v)) for i, v in rows if None not in v and any(v)]
+    queries = {}
+    for i, v in fine:
+        if i % 20 == 0:
+            queries[i] = min(queries.get(i, v.tolist()), v.tolist())
+    assert set(got) == set(queries)
+    for q, v in queries.items():
+        want = sorted(((-float((w * np.array(v)).sum()), i) for i, w in fine if i != q))[:20]
+        found = sorted(got[q])
+        assert [f[0] for f in found] == list(range(1, 21)) and [(-f[2], f[1]) for f in found] == want
+
+
+def test_recall_on_embeddings(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    some = rows.where("vec_id % 20 = 0")
+    held = [(r["vec_id"], np.array(r["embedding"], np.float64)) for r in rows.where("vec_id IS NOT NULL AND embedding IS NOT NULL").collect() if None not in r["embedding"]]
+    ids, x = np.array([i for i, _ in held]), np.stack([v for _, v in held])
+    got = {}
+    for r in ann_bits.search(rows, some).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = total = 0
+    for q, found in got.items():
+        score = (x * x[ids == q][0]).sum(1)
+        score[ids == q] = -np.inf
+        best = np.lexsort((ids, -score))[:20]
+        hits += len(found & set(ids[best].tolist()))
+        total += len(best)
+    assert len(got) >= 20 and hits >= 0.99 * total
