@@ -38,7 +38,7 @@ HEADS = range(3, 10)
 INNER = (4, 6)
 WORD = re.compile(r"\w+")
 #: Runs whose known n-grams a worker remembers, and n-grams that it remembers while all are counted; longer runs than LONG aren't.
-CACHED = 100_000
+CACHED = 400_000
 KEPT_GRAMS = 300_000
 LONG = 64
 #: N-grams that a task counts before it hands its sums on.
