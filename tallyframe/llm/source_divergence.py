@@ -39,7 +39,9 @@ SKETCH_BYTES = ROWS * WIDTH // 8
 #: Cells of a piece of the sketch, the unit in which it is merged.
 PIECE = 1 << 14
 #: Terms, and bytes of text, that a task sums up before it hands on.
-HELD, HELD_BYTES = 300_000, 48 << 20
+HELD, HELD_BYTES = 800_000, 48 << 20
+#: A document in a sum of occurrences; a task hands on long before it has seen so many occurrences.
+DOC = 1 << 40
 SCALE = 1_000_000_000
 SALTS = 16
 
@@ -75,22 +77,42 @@ def _pieces(sketch: np.ndarray) -> pa.RecordBatch:
 PIECES = "task long, piece int, cells binary"
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[tuple[str, str], tuple[Counter[bytes], Counter[bytes]]]]:
-    """(occurrences, documents) of each term by (lang, source) of (text, lang, source), handed on by number and bytes."""
-    groups: dict[tuple[str, str], tuple[Counter[bytes], Counter[bytes]]] = defaultdict(lambda: (Counter(), Counter()))
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[tuple[str, str], dict[bytes, int]]]:
+    """Occurrences, and documents times DOC, of each term by (lang, source) of (text, lang, source), handed on by number and bytes."""
+    groups: dict[tuple[str, str], dict[bytes, int]] = defaultdict(dict)
     size = 0
     for batch in slices(batches):
         for text, lang, source in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            found = Counter(terms(text))
-            counts, docs = groups[lang, source]
-            counts.update(found)
-            docs.update(found.keys())
+            sums = groups[lang, source]
+            get = sums.get
+            for term, n in Counter(terms(text)).items():
+                sums[term] = get(term, 0) + n + DOC
             size += len(text or "")
             if size > HELD_BYTES:
                 yield groups
                 groups.clear()
                 size = 0
-        if sum(len(c) for c, _ in groups.values()) > HELD:
+        if sum(map(len, groups.values())) > HELD:
+            yield groups
+            groups.clear()
+            size = 0
+    if groups:
+        yield groups
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, Counter[bytes]]]:
+    """Documents of each term by lang of (text, lang), handed on likewise."""
+    groups: dict[str, Counter[bytes]] = defaultdict(Counter)
+    size = 0
+    for batch in slices(batches):
+        for text, lang in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            groups[lang].update(set(terms(text)))
+            size += len(text or "")
+            if size > HELD_BYTES:
+                yield groups
+                groups.clear()
+                size = 0
+        if sum(map(len, groups.values())) > HELD:
             yield groups
             groups.clear()
             size = 0
@@ -104,8 +126,8 @@ def build_sketch(texts: DataFrame, min_docs: int) -> np.ndarray:
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim_cache("divergence", dict)
         sketch = np.zeros(ROWS * WIDTH, np.uint8)
-        for groups in _counted(batches):
-            for (lang, _), (_, docs) in groups.items():
+        for groups in _documents(batches):
+            for lang, docs in groups.items():
                 at, n = cells(lang, list(docs)), np.fromiter(docs.values(), np.int64, len(docs))
                 for row in at:
                     add_capped(sketch, row, n, min_docs)
@@ -120,7 +142,7 @@ def build_sketch(texts: DataFrame, min_docs: int) -> np.ndarray:
         for piece, got in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([piece], pa.int32()), pa.array([got.tobytes()], pa.binary())], ["task", "piece", "cells"])
 
-    tasks = texts.select("text", "lang", F.lit("").alias("source")).mapInArrow(fill, PIECES)
+    tasks = texts.select("text", "lang").mapInArrow(fill, PIECES)
     some = tasks.repartition("piece", (F.col("task") % 64)).mapInArrow(merge, PIECES)  # no task merges all tasks' pieces
     bits = np.zeros(SKETCH_BYTES, np.uint8)
     for r in some.repartition("piece").mapInArrow(merge, PIECES).collect():  # at most ROWS * WIDTH cells
@@ -137,15 +159,15 @@ def count_survivors(texts: DataFrame, sketch: np.ndarray) -> DataFrame:
         claim_cache("divergence", dict)
         bits = shared.value
         for groups in _counted(batches):
-            for (lang, source), (counts, docs) in groups.items():
-                names = list(counts)
+            for (lang, source), sums in groups.items():
+                names = list(sums)
                 may = np.ones(len(names), bool)
                 for row in cells(lang, names):
                     may &= bits[row >> 3] >> (7 - (row & 7)).astype(np.uint8) & 1 == 1
                 kept = [names[i] for i in np.flatnonzero(may)]
                 if kept:
                     columns = [pa.array([lang] * len(kept), pa.string()), pa.array([source] * len(kept), pa.string()), pa.array([k.decode() for k in kept], pa.string())]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array([counts[k] for k in kept], pa.int64()), pa.array([docs[k] for k in kept], pa.int64())], ["lang", "source", "term", "n", "docs"])
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([sums[k] % DOC for k in kept], pa.int64()), pa.array([sums[k] // DOC for k in kept], pa.int64())], ["lang", "source", "term", "n", "docs"])
 
     partial = texts.mapInArrow(run, "lang string, source string, term string, n long, docs long")
     return partial.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
