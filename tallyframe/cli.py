@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.functions import structured
-from tallyframe.operators import artifact, casesets, evaluation, fingerprints, grading, planning
+from tallyframe.operators import artifact, casesets, evaluation, fingerprints, grading, manifest, planning
 from tallyframe.sources import jsonl
 
 
@@ -21,22 +21,47 @@ def _session() -> SparkSession:
     return SparkSession.builder.appName("tallyframe").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
+#: Name of the schema of manifests that this program writes.
+MANIFEST_SCHEMA = "tallyframe-case-set-manifest-v4"
+
+
+def _key(args: argparse.Namespace) -> bytes | None:
+    """The manifest's key, from the environment variable that is named; never an argument itself."""
+    return os.environ[args.hmac_key_env].encode() if getattr(args, "hmac_key_env", None) else None
+
+
+def _canonical(cases):
+    return manifest.canonical_cases(cases.withColumns({"tier": grading.tier(cases), "checks": grading.configured_checks(cases)}))
+
+
+def _without_nulls(rows):
+    for r in rows.toLocalIterator():
+        yield {k: v for k, v in r.asDict().items() if v is not None and k != "case_index"}
+
+
 def validate(args: argparse.Namespace) -> int:
+    """Counts of problems go to the output, the problems themselves to the table named by --problems."""
     spark = _session()
     cases = jsonl.read_cases(spark, args.cases)
     cases = cases.withColumns({"tier": grading.tier(cases), "checks": grading.configured_checks(cases), "fp": fingerprints.content_fingerprint(F.col("task"), F.col("constraints"), F.col("smoke_only"), F.struct(*[c for c in grading.GRADER_COLUMNS if c in cases.columns and c != "smoke_only"]))})
-    problems = [r.asDict() for r in jsonl.case_problems(cases).unionByName(casesets.violations(cases).select(F.col("case_index").alias("line"), F.col("rule").alias("problem"))).orderBy("line").collect()]
+    problems = jsonl.case_problems(cases).unionByName(casesets.violations(cases).select(F.col("case_index").alias("line"), F.col("rule").alias("problem")))
+    if args.problems:
+        problems.write.mode("errorifexists").json(args.problems)
+    kinds = {r["problem"]: r["count"] for r in problems.groupBy("problem").count().collect()}  # a row for each rule
     duplicates = casesets.exact_duplicates(cases.where(~F.col("smoke_only")), "fp").first()
     texts = cases.where(~F.col("smoke_only")).groupBy("task").agg(F.min("case_index").alias("id"))
     near = casesets.near_duplicate_pairs(texts.select("id", structured.words()("task").alias("tokens"))).count()
     stats = casesets.gate_statistics(cases, duplicates["groups"], near)
-    findings = [r.asDict() for r in casesets.gate_findings(stats, args.intended_use, "sha256" if args.manifest else None, bool(args.manifest)).orderBy("severity", "ordinal").collect()]
+    use = {"dev": "development", "public_sample": "public_example"}.get(args.intended_use, args.intended_use)
+    findings = [r.asDict() for r in casesets.gate_findings(stats, use, "sha256" if args.manifest else None, bool(args.manifest)).orderBy("severity", "ordinal").collect()]
     blocked = any(f["severity"] == "blocker" for f in findings) and args.gate
-    if args.manifest and not blocked and not problems:
-        rows = fingerprints.manifest_rows(cases.withColumn("case_json", F.col("raw")))
-        jsonl.write_json(args.manifest, {"algorithm": "sha256", "intendedUse": args.intended_use, "rows": [r.asDict() for r in rows.orderBy("case_index").collect()]}, (args.cases,))
-    print(json.dumps({"cases": cases.count(), "problems": problems, "findings": findings if args.gate else []}))
-    return 2 if blocked or problems else 0
+    if args.manifest and not blocked and not kinds:
+        key, ready = _key(args), _canonical(cases)
+        head = manifest.header(ready, args.intended_use, MANIFEST_SCHEMA, key)
+        open_ = args.labels and key is None
+        jsonl.write_document(args.manifest, head, "rows", _without_nulls(manifest.manifest_rows(ready, open_, open_, key).orderBy("case_index")), (args.cases,))
+    print(json.dumps({"cases": cases.count(), "problems": kinds, "findings": findings if args.gate else []}))
+    return 2 if blocked or kinds else 0
 
 
 def evaluate(args: argparse.Namespace) -> int:
@@ -70,15 +95,26 @@ def plan(args: argparse.Namespace) -> int:
 
 
 def verify(args: argparse.Namespace) -> int:
-    """Manifest rows against the cases."""
+    """A manifest against the cases: its shape, the digest of the whole set, and where rows differ, these."""
     spark = _session()
-    manifest = jsonl.read_manifest(args.manifest)
-    cases = jsonl.read_cases(spark, args.cases)
-    cases = cases.withColumns({"tier": grading.tier(cases), "case_json": F.col("raw")})
-    was = spark.createDataFrame([(r["public_id"], r["row_digest"]) for r in manifest["rows"]], "public_id string, row_digest string")
-    found = [r.asDict() for r in fingerprints.locate_mismatches(was, fingerprints.manifest_rows(cases)).orderBy("public_id").collect()]
-    print(json.dumps({"mismatches": found}))
-    return 2 if found else 0
+    body = jsonl.read_document(spark, args.manifest)
+    key = _key(args)
+    strange = manifest.shape_findings(body.select(F.lit("m").alias("manifest_id"), "body"), key is not None).groupBy("code").count().collect()  # a row for each code
+    found: dict = {"shape": {r["code"]: r["count"] for r in strange}}
+    if not strange:
+        kind = "Sha256" if key is None else "HmacSha256"
+        stated = body.select(F.get_json_object("body", "$.intendedUse").alias("use"), F.get_json_object("body", f"$.fingerprint.canonical{kind}").alias("digest")).first()
+        ready = _canonical(jsonl.read_cases(spark, args.cases))
+        found["digest_matches"] = manifest.set_digest(ready, stated["use"], key) == stated["digest"]
+        if not found["digest_matches"]:
+            was = body.select(F.explode(F.expr(f"try_variant_get(try_parse_json(body), '$.rows', 'array<struct<publicId:string,canonicalRow{kind}:string>>')")).alias("r")).select(F.col("r.publicId").alias("public_id"), F.col(f"r.canonicalRow{kind}").alias("row_digest"))
+            now = manifest.manifest_rows(ready, key=key).select(F.col("publicId").alias("public_id"), F.col(f"canonicalRow{kind}").alias("row_digest"))
+            differing = fingerprints.locate_mismatches(was, now)
+            if args.differences:
+                differing.write.mode("errorifexists").json(args.differences)
+            found["rows"] = {r["difference"]: r["count"] for r in differing.groupBy("difference").count().collect()}  # three kinds at most
+    print(json.dumps(found))
+    return 0 if found.get("digest_matches") else 2
 
 
 def verify_report(args: argparse.Namespace) -> int:
@@ -101,8 +137,11 @@ def main(argv: list[str] | None = None) -> int:
     one = commands.add_parser("validate-cases")
     one.add_argument("cases")
     one.add_argument("--gate", action="store_true")
-    one.add_argument("--intended-use", default="development", choices=["development", "holdout", "public_example"])
+    one.add_argument("--intended-use", default="dev", choices=manifest.USES)
     one.add_argument("--manifest")
+    one.add_argument("--labels", action="store_true", help="show ids and categories in the manifest")
+    one.add_argument("--hmac-key-env", help="environment variable with the key of a keyed manifest")
+    one.add_argument("--problems", help="folder for a table of all problems")
     one.set_defaults(run=validate)
     two = commands.add_parser("plan")
     two.add_argument("cases")
@@ -114,6 +153,8 @@ def main(argv: list[str] | None = None) -> int:
     three = commands.add_parser("verify-manifest")
     three.add_argument("cases")
     three.add_argument("manifest")
+    three.add_argument("--hmac-key-env")
+    three.add_argument("--differences", help="folder for a table of rows that differ")
     three.set_defaults(run=verify)
     four = commands.add_parser("evaluate")
     four.add_argument("cases")

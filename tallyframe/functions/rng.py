@@ -9,6 +9,8 @@ MODULUS = 1 << 32
 #: Multiplier and increment of the 32-bit stream, and the seed of the report's bootstrap.
 MULTIPLIER, INCREMENT = 1664525, 1013904223
 BOOTSTRAP_SEED = 2988610046
+#: Fixed value: seed of the 31-bit stream.
+NET_WIN_SEED = 987654321
 
 
 def fnv1a(text: Column) -> Column:
@@ -55,3 +57,24 @@ def lcg31_list(seed: int, n: int) -> list[int]:
         s = int(float(s) * 1103515245.0 + 12345.0) & 0x7FFFFFFF
         out.append(s)
     return out
+
+
+def lcg31_cycle(seed: int, most: int = 1 << 22) -> tuple[list[int], int]:
+    """All states that the stream from ``seed`` ever takes, in order, and the place at which it comes back to after the last.
+
+    Rounding loses bits, so the stream runs into a cycle soon: from the usual seed after 5,355 of 15,821 different states. A
+    stream of more than ``most`` states is refused.
+    """
+    seen: dict[int, int] = {}
+    s = seed
+    while s not in seen:
+        if len(seen) >= most:
+            raise ValueError("the stream has too many states for a table")
+        seen[s] = len(seen)
+        s = int(float(s) * 1103515245.0 + 12345.0) & 0x7FFFFFFF
+    return list(seen), seen[s]
+
+
+def lcg31_slot(place: Column, states: int, back: int) -> Column:
+    """Where in the table of ``lcg31_cycle`` the state after ``place`` steps stands."""
+    return F.when(place < states, place).otherwise(back + (place - back) % (states - back)).cast("int")

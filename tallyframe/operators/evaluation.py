@@ -33,9 +33,8 @@ def unanswered(cases: DataFrame, responses: DataFrame, configs: DataFrame, trial
 def unexpected(cases: DataFrame, responses: DataFrame, configs: DataFrame, trials: int) -> DataFrame:
     """Responses whose case, configuration or trial the schedule doesn't have; a null in one of them is none of its."""
     in_range = F.coalesce(F.col("trial_index").between(0, trials - 1), F.lit(False))
-    known = responses.join(cases.select("case_index"), "case_index", "left_semi").where(in_range)
-    known = known.join(F.broadcast(configs.select("config_id")), "config_id", "left_semi").select("event_id")
-    return responses.join(known, "event_id", "left_anti")
+    marked = responses.join(cases.select("case_index", F.lit(True).alias("_case")).distinct(), "case_index", "left").join(F.broadcast(configs.select("config_id", F.lit(True).alias("_config"))), "config_id", "left")
+    return marked.where(~in_range | F.col("_case").isNull() | F.col("_config").isNull()).select(responses.columns)
 
 
 def evaluate(cases: DataFrame, responses: DataFrame, configs: DataFrame, trials: int) -> DataFrame:

@@ -23,13 +23,6 @@ def content_fingerprint(task: Column, constraints: Column, smoke_only: Column |
     return F.sha2(F.to_json(F.struct(*parts)), 256)
 
 
-def set_digest(digests: DataFrame, parts: int = 4096) -> str:
-    """One digest of a case set in case order: digests of ranges of cases first, then of these."""
-    ranged = digests.withColumn("part", F.floor(F.col("case_index") / parts)).groupBy("part").agg(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("case_index", "canonical_sha256"))), lambda x: x["canonical_sha256"])), 256).alias("d"))
-    rows = sorted((r["part"], r["d"]) for r in ranged.collect())  # a row for each 4096 cases
-    return hashlib.sha256("".join(d for _, d in rows).encode()).hexdigest()
-
-
 def manifest_rows(cases: DataFrame, key: bytes | None = None, domain: str = "manifest-hmac-v1", labels: bool = False) -> DataFrame:
     """line, public_id and row digest of each case; with a key the digests are HMACs, and labels are refused then."""
     if key is not None and labels:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyframe.functions.rng import BOOTSTRAP_SEED, lcg_index, lcg_state
+from tallyframe.functions.rng import BOOTSTRAP_SEED, NET_WIN_SEED, lcg31_cycle, lcg31_slot, lcg_index, lcg_state
 from tallyframe.operators.metrics import ratio, ratio_or_null, scored
 
 
@@ -111,20 +111,26 @@ def bootstrap_all(attempts: DataFrame, pairs: DataFrame, coverage: DataFrame, ba
     return whole.join(listed, "config_id", "left").select("config_id", *bounds, (F.lit(samples) - defined).cast("long").alias("zero_pass_samples"))
 
 
-def net_win_interval(outcomes: list[int], samples: int = 2000, seed: int = 987654321) -> tuple[float, float]:
-    """Bounds of the net win rate over outcomes of -1, 0 and 1; the 31-bit stream is sequential, so this runs on the driver.
+def net_win_intervals(outcomes: DataFrame, keys: list[str], order_col: str, value_col: str, samples: int = 2000, seed: int = NET_WIN_SEED) -> DataFrame:
+    """keys, tasks, low, high: 95 % bounds of the net win rate of each group of judged tasks, values -1, 0 and 1, in their order.
 
-    ``outcomes`` is one value for each judged task (tens). A draw of exactly 1 takes the last outcome.
+    The 31-bit stream rounds in doubles and so has no closed form, but it soon runs into a cycle: a table of all its states (some
+    thousand rows) makes every draw a function of its place, and all samples are drawn in parallel. Each group starts the
+    stream anew. A draw of exactly 1 takes the last task. Nulls are no outcomes; ties in the order go by value.
     """
-    n, state, nets = len(outcomes), seed, []
-    for _ in range(samples):
-        total = 0
-        for _ in range(n):
-            state = int(float(state) * 1103515245.0 + 12345.0) & 0x7FFFFFFF
-            total += outcomes[min(n - 1, int(state / 0x7FFFFFFF * n))]
-        nets.append(total / n)
-    nets.sort()
-    return nets[int(samples * 0.025)], nets[int(samples * 0.975)]
+    spark = outcomes.sparkSession
+    states, back = lcg31_cycle(seed)
+    table = spark.createDataFrame(list(enumerate(states)), "slot int, state long")
+    at = Window.partitionBy(*keys).orderBy(order_col, value_col)
+    judged = outcomes.where(F.col(value_col).isNotNull()).select(*keys, F.col(value_col).cast("long").alias("value"), (F.row_number().over(at) - 1).alias("ordinal"))
+    sizes = judged.groupBy(*keys).agg(F.count(F.lit(1)).alias("tasks"))
+    drawn = sizes.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).repartition(*keys, "sample").withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), F.col("tasks"))))
+    placed = drawn.withColumn("slot", lcg31_slot(F.col("sample") * F.col("tasks") + F.col("draw"), len(states), back)).join(F.broadcast(table), "slot")  # some thousand states
+    index = F.least(F.col("tasks") - 1, F.floor(F.col("state") / float(0x7FFFFFFF) * F.col("tasks"))).cast("int")
+    times = placed.withColumn("ordinal", index).groupBy(*keys, "tasks", "sample", "ordinal").agg(F.count(F.lit(1)).alias("times"))
+    nets = times.join(judged, [*keys, "ordinal"]).groupBy(*keys, "tasks", "sample").agg(F.sum(F.col("value") * F.col("times")).alias("net"))
+    bounds = nets.groupBy(*keys, "tasks").agg(F.array_sort(F.collect_list(F.col("net") / F.col("tasks"))).alias("v"))
+    return bounds.select(*keys, "tasks", F.get("v", F.lit(int(samples * 0.025))).alias("low"), F.get("v", F.lit(int(samples * 0.975))).alias("high"))
 
 
 def direction(low: Column, high: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,14 +18,27 @@ PRICE = "modelId string, name string, provider string, supportedParameters array
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, raw): 1-based physical line numbers within each file; blank lines are counted and left out.
+    """(file, line, index, raw): 1-based physical line numbers within each file, and the place among all lines that aren't
+    blank, files in order of their paths. Lines end with a line feed; blank ones are counted and left out.
 
-    Spark doesn't number lines; the order within a file is kept by the file's byte order, so a file is read whole
-    by one task (``wholetext``) and split there. Case files are small; a large corpus belongs in Parquet.
+    A file is read by as many tasks as it has splits. The tasks count the lines of their splits first; sums over the splits
+    before give each split's first number, and a line adds its place in the task. Only a row for each split is shuffled.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\r?\n").alias("lines"))
-    lines = whole.select("file", F.posexplode("lines").alias("at", "raw"))
-    return lines.where(F.trim(F.regexp_replace("raw", r"\s", "")) != "").select("file", (F.col("at") + 1).alias("line"), "raw")
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # Spark numbers the rows of a task from 0, in reading order
+    split = ["task", "file", "start"]
+    every = spark.read.text(path, lineSep="\n").select(
+        F.spark_partition_id().alias("task"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), place.alias("at"), F.regexp_replace("value", "\r$", "").alias("raw")
+    )
+    kept = every.where(F.regexp_replace("raw", r"\s", "") != "").withColumn("kept_at", place)
+    counts = every.groupBy(*split).agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    counts = counts.join(kept.groupBy(*split).agg(F.min("kept_at").alias("first_kept"), F.count(F.lit(1)).alias("n_kept")), split, "left").fillna(0)
+    in_file = Window.partitionBy("file").orderBy("start", "task").rowsBetween(Window.unboundedPreceding, -1)
+    in_all = Window.orderBy("file", "start", "task").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split of the input
+    base = counts.select(*split, "first", "first_kept", F.coalesce(F.sum("n").over(in_file), F.lit(0)).alias("lines_before"), F.coalesce(F.sum("n_kept").over(in_all), F.lit(0)).alias("kept_before"))
+    line, index = F.col("at") - F.col("first") + F.col("lines_before") + 1, F.col("kept_at") - F.col("first_kept") + F.col("kept_before")
+    # a split that was dealt to other tasks this time has no numbers: fail rather than lose its lines
+    known = F.when(line.isNull(), F.raise_error(F.lit("the input was split anew between two readings"))).otherwise(line)
+    return kept.join(base, split, "left").select("file", known.cast("int").alias("line"), index.cast("long").alias("index"), "raw")
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
@@ -33,8 +47,7 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
     Lines that are no JSON object stay with null fields; ``case_problems`` names them.
     """
     lines = read_lines(spark, path)
-    parsed = lines.withColumn("c", F.from_json("raw", CASE, {"mode": "PERMISSIVE"}))
-    numbered = parsed.withColumn("case_index", F.row_number().over(Window.orderBy("file", "line")) - 1)
+    numbered = lines.withColumn("c", F.from_json("raw", CASE, {"mode": "PERMISSIVE"})).withColumnRenamed("index", "case_index")
     g = F.col("c.grader")
     return numbered.select(
         "case_index", "line", "raw", "c.id", "c.task", "c.constraints", "c.category", "c.difficulty", F.coalesce("c.smokeOnly", F.lit(False)).alias("smoke_only"),
@@ -56,12 +69,14 @@ def case_problems(cases: DataFrame) -> DataFrame:
 def read_responses(spark: SparkSession, path: str, cases: DataFrame) -> DataFrame:
     """Recorded answers as ``evaluation`` takes them, by the ids of ``cases``; event_id is the order of files and lines.
 
-    Lines are numbered as in case files, one task a file; many answers belong in Parquet with an event_id of their own.
+    An answer to an unknown case stays, with case_index null, so that it is counted as unexpected; of several cases with one
+    id the first takes the answers.
     """
     lines = read_lines(spark, path).withColumn("r", F.from_json("raw", RESPONSE, {"mode": "PERMISSIVE"}))
-    numbered = lines.select("r.*", (F.row_number().over(Window.orderBy("file", "line")) - 1).cast("long").alias("event_id"))
+    numbered = lines.select("r.*", F.col("index").alias("event_id"))
+    known = cases.where("id IS NOT NULL").groupBy("id").agg(F.min("case_index").alias("case_index"))
     micro = F.floor(F.coalesce("costUsd", F.lit(0.0)) * 1_000_000 + 0.5).cast("long")
-    return numbered.join(cases.select("id", "case_index"), "id").select(
+    return numbered.join(known, "id", "left").select(
         "case_index", F.coalesce("trialIndex", F.lit(0)).alias("trial_index"), F.col("configId").alias("config_id"), "event_id", "answer", F.col("failureStatus").alias("failure_status"),
         F.coalesce("degraded", F.lit(False)).alias("degraded"), micro.alias("cost_micro"), F.coalesce("latencyMs", F.lit(0)).alias("latency_ms"),
     )
@@ -91,13 +106,9 @@ def read_tasks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("id string, task string, constraints array<string>").json(path)
 
 
-def read_manifest(path: str) -> dict:
-    """A manifest of known shape, on the driver."""
-    with open(path, encoding="utf-8") as f:
-        manifest = json.load(f)
-    if not isinstance(manifest, dict) or not isinstance(manifest.get("rows"), list) or manifest.get("algorithm") not in ("sha256", "hmac-sha256"):
-        raise ValueError("not a case-set manifest")
-    return manifest
+def read_document(spark: SparkSession, path: str) -> DataFrame:
+    """One JSON document as (body)."""
+    return spark.read.text(path, wholetext=True).select(F.col("value").alias("body"))
 
 
 def same_path(left: str, right: str) -> bool:
@@ -113,3 +124,15 @@ def write_json(path: str, value: object, inputs: tuple[str, ...] = ()) -> None:
     with open(path, "w", encoding="utf-8") as f:
         json.dump(value, f, indent=2, ensure_ascii=False)
         f.write("\n")
+
+
+def write_document(path: str, head: dict, list_key: str, rows: Iterable[dict], inputs: tuple[str, ...] = ()) -> None:
+    """A JSON document with the keys of ``head`` and one long list, written item by item; an input is never written over."""
+    if any(same_path(path, i) for i in inputs):
+        raise ValueError("the output is one of the inputs")
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(json.dumps(head, indent=2, ensure_ascii=False).removesuffix("\n}") + f',\n  "{list_key}": [')
+        for i, row in enumerate(rows):
+            f.write((",\n    " if i else "\n    ") + json.dumps(row, ensure_ascii=False))
+        f.write("\n  ]\n}\n")

@@ -9,7 +9,8 @@ from tallyframe.functions import rng
 from tallyframe.functions import structured as S
 from tallyframe.functions import text as T
 from tallyframe.operators.grading import extract_number
-from tallyframe.operators.resample import lower_quantile, net_win_interval
+from tallyframe.functions.rng import lcg31_cycle, lcg31_list
+from tallyframe.operators.resample import lower_quantile, net_win_intervals
 from tallyframe.sources.generator import number_list
 
 
@@ -123,6 +124,27 @@ def test_lower_quantile_is_the_floor_rule(spark):
     assert one(spark, lower_quantile(F.array(*map(F.lit, values)), 0.975)) == 8
 
 
-def test_net_win_interval_is_inside_the_outcomes():
-    low, high = net_win_interval([1] * 42 + [0] * 1 + [-1] * 5)
-    assert 0.5 < low < 0.79 < high <= 1
+def test_net_win_interval_by_table_equals_the_stream(spark):
+    dice = random.Random(2)
+    groups = {"a": [1] * 42 + [0] + [-1] * 5, "b": [dice.choice((-1, 0, 1)) for _ in range(131)], "c": [1]}
+    rows = [(g, i, v) for g, vs in groups.items() for i, v in enumerate(vs)] + [("a", 100, None)]
+    got = {r["g"]: (r["tasks"], r["low"], r["high"]) for r in net_win_intervals(spark.createDataFrame(rows, "g string, i int, v int"), ["g"], "i", "v", 400).collect()}
+    for g, vs in groups.items():
+        state, nets = 987654321, []
+        for _ in range(400):
+            total = 0
+            for _ in vs:
+                state = int(float(state) * 1103515245.0 + 12345.0) & 0x7FFFFFFF
+                total += vs[min(len(vs) - 1, int(state / 0x7FFFFFFF * len(vs)))]
+            nets.append(total / len(vs))
+        nets.sort()
+        assert got[g] == (len(vs), nets[10], nets[390])
+
+
+def test_stream_runs_into_its_cycle():
+    states, back = lcg31_cycle(987654321)
+    walked = lcg31_list(987654321, 40_000)
+    slot = lambda k: k if k < len(states) else back + (k - back) % (len(states) - back)
+    assert [states[slot(k + 1)] for k in range(40_000)] == walked
+    with pytest.raises(ValueError):
+        lcg31_cycle(987654321, most=100)

@@ -158,8 +158,7 @@ def test_manifest_binding(spark):
     rows = spark.createDataFrame([(0, '{"b":1,"a":2}', False, "mixed", "c")], "case_index long, case_json string, smoke_only boolean, tier string, category string")
     with pytest.raises(ValueError):
         FP.manifest_rows(rows, key=b"k" * 32, labels=True)
-    digest = FP.set_digest(FP.case_digests(rows))
-    same = FP.set_digest(FP.case_digests(rows.withColumn("case_json", F.lit('{"a":2,"b":1}'))))
+    digest, same = (FP.case_digests(r).first()["canonical_sha256"] for r in (rows, rows.withColumn("case_json", F.lit('{"a":2,"b":1}'))))
     assert digest == same
     assert FP.binding({"algorithm": "sha256", "digest": digest}, digest, False) is None
     assert FP.binding({"algorithm": "sha256", "digest": digest, "intendedUse": "holdout"}, digest, False) == "sha256_holdout_rejected"
