@@ -52,24 +52,41 @@ def contains_term(answer: Column, term: Column) -> Column:
     return F.contains(F.lower(answer), F.lower(term))
 
 
-def extract_number(answer: Column, pattern: Column | None = None) -> tuple[Column, Column]:
-    """(value, reason): the first number, or capture 1 of the pattern; the reason is null where a value was found."""
+def number_result(answer: Column, pattern: Column | None = None) -> Column:
+    """A struct of value and reason: the first number, or capture 1 of the pattern; the reason is null where a value was found.
+
+    Each step is a lambda over one element, so that an answer is searched once however often its parts are used.
+    """
     head = F.left(answer, F.lit(MAX_ANSWER))
     found = F.regexp_substr(head, F.lit(NUMBER))
     if pattern is not None:
         found = F.when(pattern.isNull(), found).otherwise(F.regexp_extract(head, pattern, 1) if isinstance(pattern, str) else F.call_function("regexp_extract", head, pattern, F.lit(1)))
-    raw = F.nullif(found, F.lit(""))
-    well = F.regexp_like(raw, F.lit(f"^{NUMBER}$"))
-    value = F.when(well, raw.try_cast("double"))
-    infinite = F.abs(value) == F.lit(float("inf"))
-    reason = F.when(raw.isNull(), "number_not_found").when(~well, "invalid_number_text").when(value.isNull() | infinite, "number_not_finite")
-    return F.when(~infinite, value), reason
-
-
-def choice_checks(answer: Column, expected: Column, allowed: Column) -> list[Column]:
-    given, want = normalize_text(answer), normalize_text(expected)
-    valid = F.array_contains(F.transform(allowed, normalize_text), given)
-    right = given == want
+    raw = F.array(F.nullif(found, F.lit("")))
+    read = F.transform(raw, lambda r: F.struct(r.alias("raw"), F.when(F.regexp_like(r, F.lit(f"^{NUMBER}$")), F.struct(r.try_cast("double").alias("x"))).alias("well")))
+
+    def judge(r: Column) -> Column:
+        value = r["well"]["x"]
+        infinite = F.abs(value) == F.lit(float("inf"))
+        reason = F.when(r["raw"].isNull(), "number_not_found").when(r["well"].isNull(), "invalid_number_text").when(value.isNull() | infinite, "number_not_finite")
+        return F.struct(F.when(~infinite, value).alias("value"), reason.alias("reason"))
+
+    return F.transform(read, judge)[0]
+
+
+def extract_number(answer: Column, pattern: Column | None = None) -> tuple[Column, Column]:
+    """(value, reason) of ``number_result``; where both are used often, make that a column first."""
+    found = number_result(answer, pattern)
+    return found["value"], found["reason"]
+
+
+def choice_result(answer: Column, expected: Column, allowed: Column) -> Column:
+    """A struct of valid and right; every text is normalized once."""
+    texts = F.array(F.struct(normalize_text(answer).alias("given"), normalize_text(expected).alias("want")))
+    return F.transform(texts, lambda t: F.struct(F.array_contains(F.transform(allowed, normalize_text), t["given"]).alias("valid"), (t["given"] == t["want"]).alias("right")))[0]
+
+
+def choice_checks(found: Column) -> list[Column]:
+    valid, right = found["valid"], found["right"]
     return [
         check("choice_valid", valid, F.when(~valid, "choice_not_allowed")),
         check("choice_expected", right, F.when(~right, F.when(valid, "wrong_choice").otherwise("choice_not_allowed"))),
@@ -89,8 +106,10 @@ def grade(rows: DataFrame, answer_col: str = "answer") -> DataFrame:
     none = F.array().cast(f"array<{CHECK_TYPE}>")
     rows = rows.withColumn("_json", F.coalesce(structured.json_checks()(a, c("json_spec")).cast(f"array<{CHECK_TYPE}>"), none) if "json_spec" in given else none)
     rows = rows.withColumn("_cited", F.coalesce(structured.citation_checks()(a, c("citation_spec")).cast(f"array<{CHECK_TYPE}>"), none) if "citation_spec" in given else none)
-    value, reason = extract_number(a, c("number_regex") if "number_regex" in given else None)
     wants_number = c("number_expected").isNotNull() | c("number_min").isNotNull() | c("number_max").isNotNull()
+    rows = rows.withColumn("_number", F.when(wants_number, number_result(a, c("number_regex") if "number_regex" in given else None)))
+    rows = rows.withColumn("_choice", F.when(c("choice_expected").isNotNull(), choice_result(a, c("choice_expected"), c("choice_allowed"))))
+    value, reason = c("_number.value"), c("_number.reason")
     parts = [
         _only(c("exact").isNotNull(), check("exact", a == c("exact"))),
         _only(c("exact_normalized").isNotNull(), check("exact_normalized", normalize_text(a) == normalize_text(c("exact_normalized")))),
@@ -100,7 +119,7 @@ def grade(rows: DataFrame, answer_col: str = "answer") -> DataFrame:
         _each(c("regex"), "regex", lambda p: F.regexp_like(a, F.concat(F.lit("(?iu)"), p))),
         _only(c("min_length").isNotNull(), check("min_length", F.length(a) >= c("min_length"))),
         _only(c("max_length").isNotNull(), check("max_length", F.length(a) <= c("max_length"))),
-        _only(c("choice_expected").isNotNull(), *choice_checks(a, c("choice_expected"), c("choice_allowed"))),
+        _only(c("choice_expected").isNotNull(), *choice_checks(c("_choice"))),
         c("_json"),
         _only(wants_number & reason.isNotNull(), check("number_found", F.lit(False), reason)),
         _only(wants_number & reason.isNull() & c("number_expected").isNotNull(), check("number_expected", F.abs(value - c("number_expected")) <= F.coalesce(c("number_tolerance"), F.lit(0.0)), "absolute_tolerance")),
@@ -115,7 +134,7 @@ def grade(rows: DataFrame, answer_col: str = "answer") -> DataFrame:
         .when(F.size(configured) == 0, F.array(check("grader_configured", F.lit(False), "Case has no deterministic grader; mark smokeOnly for smoke tests.")))
         .otherwise(configured)
     )
-    graded = rows.withColumn("checks", checks).drop("_json", "_cited")
+    graded = rows.withColumn("checks", checks).drop("_json", "_cited", "_number", "_choice")
     return graded.withColumn("passed", F.forall("checks", lambda x: F.coalesce(x["passed"], F.lit(False))))
 
 

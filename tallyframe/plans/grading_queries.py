@@ -63,8 +63,8 @@ def _choice(spark, d):
 
 def _number(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("case_index"), F.concat(F.lit("total="), (F.floor(F.col("o_totalprice"))).cast("string"), F.lit(" USD")).alias("answer"))
-    value, reason = G.extract_number(F.col("answer"))
-    rows = o.select("case_index", value.alias("value"), reason.alias("reason"), (F.abs(value - 150000) <= 50000).alias("expected_ok"), (value >= 1000).alias("min_ok"))
+    value = F.col("n.value")
+    rows = o.withColumn("n", G.number_result(F.col("answer"))).select("case_index", value.alias("value"), F.col("n.reason").alias("reason"), (F.abs(value - 150000) <= 50000).alias("expected_ok"), (value >= 1000).alias("min_ok"))
     return rows
 
 

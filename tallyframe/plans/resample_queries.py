@@ -46,7 +46,7 @@ r AS (SELECT sample, config_id, CAST(sum(net * times) AS BIGINT) / nullif(CAST(s
 b AS (SELECT config_id, {LOW} AS low, {HIGH} AS high FROM r GROUP BY config_id)"""
 
 QUERIES = {
-    "lcg_stream": (lambda s, d: R.stream(s, 5000), f"WITH RECURSIVE {_stream_sql('5000')} SELECT place, state FROM st"),
+    "lcg_stream": (lambda s, d: R.stream(s, P.table(s, d, "part").count()), f"WITH RECURSIVE {_stream_sql('(SELECT count(*) FROM part)')} SELECT place, state FROM st"),
     "fnv_seeds": (
         lambda s, d: P.table(s, d, "part").select("p_partkey", rng.fnv1a(F.col("p_brand")).alias("seed")),
         "SELECT p_partkey, CAST(list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(p_brand, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295) AS BIGINT) AS seed FROM part",
