@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ("metric_queries", "grading_queries", "resample_queries", "pairwise_queries", "caseset_queries", "planning_queries", "disclosure_queries", "record_queries", "report_queries", "evaluation_queries", "artifact_queries", "manifest_queries", "provenance_queries", "admission_queries")
+_MODULES = ("metric_queries", "grading_queries", "resample_queries", "pairwise_queries", "caseset_queries", "planning_queries", "disclosure_queries", "record_queries", "report_queries", "evaluation_queries", "artifact_queries", "manifest_queries", "provenance_queries", "admission_queries", "hygiene_queries")
 
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
