@@ -34,6 +34,16 @@ def _consistency(s, d):
     return D.consistency(published, values(a), ["case_index", "config_id"], ["n", "passes"])
 
 
+KEY = b"0123456789abcdef0123456789abcdef"
+
+
+def _hmac_sql(message: str) -> str:
+    """HMAC-SHA-256 by its definition: two digests over the key, padded and masked, and the message parts, each ended by NUL but the last."""
+    inner, outer = (bytes(k ^ mask for k in KEY.ljust(64, b"\0")).hex() for mask in (0x36, 0x5C))
+    prefix = b"manifest-hmac-v1\0canonical-row\0".hex()
+    return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}{prefix}') || encode({message}))))"
+
+
 QUERIES = {
     "category_breakdown": (
         lambda s, d: D.category_breakdown(P.attempts(s, d), P.cases(s, d)),
@@ -72,7 +82,10 @@ UNION ALL SELECT config_id, NULL, NULL, NULL, NULL, true FROM card""",
         lambda s, d: FP.manifest_rows(_case_json(s, d), labels=True),
         f"WITH {P.CASES_SQL} SELECT case_index, smoke_only, tier, category, 'case_' || lpad(CAST(case_index + 1 AS VARCHAR), 4, '0') AS public_id, sha256({CASE_JSON_SQL}) AS row_digest FROM cases",
     ),
-    "manifest_hmac_rows": (lambda s, d: FP.manifest_rows(_case_json(s, d), key=b"0123456789abcdef0123456789abcdef"), None),
+    "manifest_hmac_rows": (
+        lambda s, d: FP.manifest_rows(_case_json(s, d), key=KEY),
+        f"WITH {P.CASES_SQL} SELECT case_index, smoke_only, tier, 'case_' || lpad(CAST(case_index + 1 AS VARCHAR), 4, '0') AS public_id, {_hmac_sql(CASE_JSON_SQL)} AS row_digest FROM cases",
+    ),
     "manifest_mismatches": (
         lambda s, d: FP.locate_mismatches(FP.manifest_rows(_case_json(s, d)), FP.manifest_rows(_case_json(s, d).where("case_index % 11 <> 0").withColumn("case_json", F.when(F.col("case_index") % 7 == 0, F.lit("{}")).otherwise(F.col("case_json"))))),
         f"WITH {P.CASES_SQL} SELECT 'case_' || lpad(CAST(case_index + 1 AS VARCHAR), 4, '0') AS public_id, CASE WHEN case_index % 11 = 0 THEN 'removed' ELSE 'changed' END AS difference FROM cases WHERE case_index % 11 = 0 OR case_index % 7 = 0",
