@@ -37,6 +37,12 @@ def _complete(s, d):
     return P.configs(s).select("config_id", F.lit(True).alias("complete"))
 
 
+def _first_trials(s, d):
+    """First trials of the cases that have a direct one: direct is complete there, others aren't."""
+    first = P.attempts(s, d).where("trial_index = 0")
+    return first.join(first.where("config_id = 'direct'").select("case_index").distinct(), "case_index", "left_semi")
+
+
 def _delta(s, d):
     return R.bootstrap_pass_delta(_pairs(s, d), P.attempts(s, d), RESAMPLES)
 
@@ -62,8 +68,16 @@ r AS (SELECT sample, config_id, CAST(sum(p * times) AS BIGINT) / nullif(CAST(sum
 SELECT config_id, {LOW} AS low, {HIGH} AS high FROM r GROUP BY config_id""",
     ),
     "boot_pass_rate_gated": (
-        lambda s, d: R.bootstrap_pass_rate(P.attempts(s, d), M.coverage(P.attempts(s, d), P.configs(s)), RESAMPLES),
-        "SELECT config_id, CAST(NULL AS DOUBLE) AS low, CAST(NULL AS DOUBLE) AS high FROM (VALUES ('direct'), ('self_review'), ('repeated'), ('fusion')) t(config_id)",
+        lambda s, d: R.bootstrap_pass_rate(_first_trials(s, d), M.coverage(_first_trials(s, d), P.configs(s)), RESAMPLES),
+        f"""WITH RECURSIVE {P.ATTEMPTS_SQL.replace("attempts AS (", "every AS (")}, attempts AS (SELECT * FROM every WHERE trial_index = 0 AND case_index IN (SELECT case_index FROM every WHERE trial_index = 0 AND config_id = 'direct')), {INDEX_SQL},
+pc AS (SELECT case_index, config_id, count(*) AS n, count(*) FILTER (WHERE passed) AS p FROM attempts WHERE NOT smoke_only GROUP BY ALL),
+t AS (SELECT DISTINCT case_index, trial_index FROM attempts WHERE NOT smoke_only),
+g AS (SELECT k.config_id, t.case_index, t.trial_index, count(a.event_id) AS n FROM t CROSS JOIN (VALUES ('direct'), ('self_review'), ('repeated'), ('fusion')) k(config_id)
+  LEFT JOIN attempts a ON a.case_index = t.case_index AND a.trial_index = t.trial_index AND a.config_id = k.config_id AND NOT a.smoke_only GROUP BY ALL),
+cov AS (SELECT config_id, bool_and(n = 1) AS whole FROM g GROUP BY config_id),
+r AS (SELECT sample, config_id, CAST(sum(p * times) AS BIGINT) / nullif(CAST(sum(n * times) AS BIGINT), 0) AS v FROM ix JOIN sc USING (ordinal) JOIN pc USING (case_index) GROUP BY ALL),
+b AS (SELECT config_id, {LOW} AS low, {HIGH} AS high FROM r GROUP BY config_id)
+SELECT cov.config_id, CASE WHEN whole THEN low END AS low, CASE WHEN whole THEN high END AS high FROM cov LEFT JOIN b ON b.config_id = cov.config_id""",
     ),
     "boot_pass_delta": (_delta, f"{DELTA_SQL} SELECT * FROM b"),
     "boot_cost_per_pass": (
