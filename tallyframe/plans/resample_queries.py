@@ -38,8 +38,8 @@ def _complete(s, d):
 
 
 def _first_trials(s, d):
-    """First trials of the cases that have a direct one: direct is complete there, others aren't."""
-    first = P.attempts(s, d).where("trial_index = 0")
+    """First trials of the cases that have a direct one, without some of fusion: direct is complete there, fusion isn't."""
+    first = P.attempts(s, d).where("trial_index = 0 AND NOT (config_id = 'fusion' AND case_index % 7 = 0)")
     return first.join(first.where("config_id = 'direct'").select("case_index").distinct(), "case_index", "left_semi")
 
 
@@ -69,7 +69,7 @@ SELECT config_id, {LOW} AS low, {HIGH} AS high FROM r GROUP BY config_id""",
     ),
     "boot_pass_rate_gated": (
         lambda s, d: R.bootstrap_pass_rate(_first_trials(s, d), M.coverage(_first_trials(s, d), P.configs(s)), RESAMPLES),
-        f"""WITH RECURSIVE {P.ATTEMPTS_SQL.replace("attempts AS (", "every AS (")}, attempts AS (SELECT * FROM every WHERE trial_index = 0 AND case_index IN (SELECT case_index FROM every WHERE trial_index = 0 AND config_id = 'direct')), {INDEX_SQL},
+        f"""WITH RECURSIVE {P.ATTEMPTS_SQL.replace("attempts AS (", "every AS (")}, attempts AS (SELECT * FROM every WHERE trial_index = 0 AND NOT (config_id = 'fusion' AND case_index % 7 = 0) AND case_index IN (SELECT case_index FROM every WHERE trial_index = 0 AND config_id = 'direct')), {INDEX_SQL},
 pc AS (SELECT case_index, config_id, count(*) AS n, count(*) FILTER (WHERE passed) AS p FROM attempts WHERE NOT smoke_only GROUP BY ALL),
 t AS (SELECT DISTINCT case_index, trial_index FROM attempts WHERE NOT smoke_only),
 g AS (SELECT k.config_id, t.case_index, t.trial_index, count(a.event_id) AS n FROM t CROSS JOIN (VALUES ('direct'), ('self_review'), ('repeated'), ('fusion')) k(config_id)
