@@ -27,7 +27,8 @@ With links counted, no label settles a list or cluster beforehand: every pair of
 return a forest and a sum for each member. A pair is counted in one place only: in its cluster, or else in the first of
 the long lists that it shares, or else, when it shares none, among the pairs of short lists.
 
-Sets are computed once and stored. A list that many sets of a task enter is hot: its entries are dealt by set, too, and
+Sets are made three times, from the texts: for their keys, for their lists, and for those that verification needs. Only the
+last are stored, since all of them take more disk than the texts. A list that many sets of a task enter is hot: its entries are dealt by set, too, and
 a mark goes to the list itself, so that its other members learn of it; hot lists are counted with partial aggregates.
 
 Defined cases: words are runs of anything but ``[\\x20\\x09-\\x0D]``, A-Z lower-cased; with fewer words than n the
@@ -40,7 +41,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, reduce
 from itertools import combinations
 from math import ceil, comb, exp, factorial, sqrt
 
@@ -68,6 +69,8 @@ MIDDLE, MIDDLE_NEED = 64, 3
 BLOCK_BYTES = 2 << 20
 COLUMNS = 8192
 BROADCAST_IDS = 500_000
+#: Pairs are verified in so many passes at most; what is on disk for a pass goes before the next.
+PASSES = 8
 SALTS = 16
 #: A list is hot in a task from HOT entries on; they are counted in COUNTERS places by hash and dealt over HOT_SALTS.
 HOT, COUNTERS, HOT_SALTS = 64, 1 << 18, 1024
@@ -304,50 +307,42 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("raw"))
 
 
-def document_sets(texts: DataFrame, n: int) -> DataFrame:
-    """(row, doc_id, n_shingles, key, shingles) of every row; key is null for an empty set.
+def _keyed(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[int | None]]]:
+    """A few hundred rows of ``_texts`` at a time, their sets, and the sets' keys (None for an empty set)."""
+    claim_cache("shingles", _WORDS.clear)
+    for batch in slices(batches, 256):
+        sets = [shingle_set(r, n) for r in batch.column(1).to_pylist()]
+        yield batch, sets, [set_key(s) if len(s) else None for s in sets]
 
-    Store the result: ``row`` is a number of its own only there. Of equal sets in a task only the first has its shingles.
-    """
+
+def document_sets(texts: DataFrame, n: int) -> DataFrame:
+    """(doc_id, n_shingles, key) of every row; key is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim_cache("shingles", _WORDS.clear)
-        row, seen = TaskContext.get().partitionId() << 40, set()
-        for batch in slices(batches, 256):
-            sets = [shingle_set(r, n) for r in batch.column(1).to_pylist()]
-            keys = [set_key(s) if len(s) else None for s in sets]
-            stored = []
-            for key, s in zip(keys, sets, strict=True):
-                stored.append(None if key is None or key in seen else s.tobytes())
-                seen.add(key)
-            if len(seen) > CACHED:
-                seen.clear()
-            rows = pa.array(np.arange(row, row + len(sets)))
-            row += len(sets)
-            yield pa.RecordBatch.from_arrays([rows, batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(stored, pa.binary())], ["row", "doc_id", "n_shingles", "key", "shingles"])
+        for batch, sets, keys in _keyed(batches, n):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64())], ["doc_id", "n_shingles", "key"])
 
-    return texts.mapInArrow(run, "row long, doc_id long, n_shingles long, key long, shingles binary")
+    return texts.mapInArrow(run, "doc_id long, n_shingles long, key long")
 
 
-def inverted_lists(sets: DataFrame, scheme: Scheme) -> DataFrame:
+def inverted_lists(texts: DataFrame, n: int, scheme: Scheme) -> DataFrame:
     """(list, key, need, low, members): entries of all lists with two different sets or more.
 
     low is the smallest key of the list; need is how many lists two sets of it must share to link.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim_cache("lists", dict)
         seen: set[int] = set()
         counts, total = np.zeros(COUNTERS, np.int64), 0
-        for batch in slices(batches):
+        for _, sets, own_keys in _keyed(batches, n):
             lists, keys, needs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-            for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if key in seen:
+            for key, shingles in zip(own_keys, sets, strict=True):
+                if key is None or key in seen:
                     continue
                 seen.add(key)
                 if len(seen) > CACHED:
                     seen.clear()
-                for need, own in list_keys(np.frombuffer(raw, np.uint64), scheme):
+                for need, own in list_keys(shingles, scheme):
                     lists.append(own)
                     keys.append(np.full(len(own), key, np.int64))
                     needs.append(np.full(len(own), need, np.int32))
@@ -363,7 +358,7 @@ def inverted_lists(sets: DataFrame, scheme: Scheme) -> DataFrame:
             columns += [pa.array(np.concatenate([salt * NEEDS + need, need[marks]]).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, ["list", "key", "salted"])
 
-    entries = sets.select("key", "shingles").mapInArrow(run, "list long, key long, salted int")  # salt and need in one column: this is what is shuffled
+    entries = texts.mapInArrow(run, "list long, key long, salted int")  # salt and need in one column: this is what is shuffled
     whole = Window.partitionBy("list", "salted")
     rated = entries.repartition("list", "salted").dropDuplicates(["list", "salted", "key"]).withColumns({"salt": F.expr(f"salted DIV {NEEDS}"), "need": F.expr(f"salted % {NEEDS}").cast("int")}).withColumns({"low": F.min("key").over(whole), "members": F.count("key").over(whole), "marked": F.count(F.lit(1)).over(whole)})
     rated = rated.withColumn("hot", F.expr("salt > 0 OR marked > members")).where("key IS NOT NULL AND (members > 1 OR hot)")
@@ -382,11 +377,42 @@ def counted_pairs(short: DataFrame) -> DataFrame:
     return met.groupBy("a", "b", "need").count().where("count >= need").select("a", "b").distinct()
 
 
-def wanted_sets(sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, shingles) of the wanted keys, from one stored row each. Few row numbers are broadcast, many are joined."""
-    rows = sets.select("row", "key").join(wanted.select("key").distinct(), "key").groupBy("key").agg(F.min("row").alias("row")).select("row")
-    rows = materialize(rows, "set-rows")
-    return materialize(sets.join(_small(rows), "row", "left_semi").select("key", "shingles"), "sets")
+def wanted_sets(texts: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
+    """(key, shingles) of the wanted keys, one row each. Sets are made again; only those that a table of bits lets pass are stored.
+
+    Neither step shuffles a set: the bits (``BROADCAST_IDS`` words at most) let few unwanted keys pass, and of the rows that
+    are stored, which have numbers of their own, one of each wanted key is marked by a bit.
+    """
+    keys = materialize(wanted.select("key").distinct(), "wanted")
+    size = 64 * max(1, min(BROADCAST_IDS, keys.count() // 4))
+    words = _bit_words(keys.select(F.pmod("key", F.lit(size)).alias("at"))).toArrow()
+    bits = np.zeros(size // 64, np.int64)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, seen = TaskContext.get().partitionId() << 40, set()
+        for _, sets, own_keys in _keyed(batches, n):
+            kept = []
+            for key, shingles in zip(own_keys, sets, strict=True):
+                if key is not None and key not in seen and int(bits[key % size // 64]) >> (key % size % 64) & 1:
+                    seen.add(key)
+                    kept.append((key, shingles.tobytes()))
+            if len(seen) > CACHED:
+                seen.clear()
+            rows = pa.array(np.arange(row, row + len(kept)))
+            row += len(kept)
+            yield pa.RecordBatch.from_arrays([rows, pa.array([k for k, _ in kept], pa.int64()), pa.array([r for _, r in kept], pa.binary())], ["row", "key", "shingles"])
+
+    stored = materialize(texts.mapInArrow(run, "row long, key long, shingles binary"), "sets")
+    first = stored.select("row", "key").join(keys, "key").groupBy("key").agg(F.min("row").alias("at"))
+    marks = materialize(_bit_words(first), "set-rows")
+    marked = stored.withColumn("word", F.expr("row DIV 64")).join(_small(marks), "word")
+    return marked.where(F.expr("getbit(bits, CAST(row % 64 AS INT)) = 1")).select("key", "shingles")
+
+
+def _bit_words(places: DataFrame) -> DataFrame:
+    """(word, bits): bit at % 64 of word at DIV 64 is set for every ``at``."""
+    return places.groupBy(F.expr("at DIV 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(at % 64 AS INT)))").alias("bits"))
 
 
 def _small(rows: DataFrame) -> DataFrame:
@@ -395,8 +421,15 @@ def _small(rows: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
-    """Those of (a, b), a stored table, that link. The sets of a travel to those of b once."""
+    """Those of (a, b), a stored table, that link. The sets of a travel to those of b once; many pairs do so in passes, by a, one after another."""
+    passes = max(1, min(PASSES, pairs.count() // max(1, BROADCAST_IDS)))
+    if passes > 1:
+        parts = [materialize(_verified(materialize(pairs.where(F.pmod("a", F.lit(passes)) == i), "pass"), sets, scheme), "verified") for i in range(passes)]
+        return reduce(DataFrame.unionByName, parts)
+    return _verified(pairs, sets, scheme)
+
 
+def _verified(pairs: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2048):
             left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
@@ -450,13 +483,13 @@ def _block_links(entries: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFra
     return met.join(sets, "key").groupBy("list", "x", "y").applyInArrow(run, "a long, b long")
 
 
-def link_components(stored: DataFrame, scheme: Scheme) -> DataFrame:
-    """(node, label) of the sets that link with another set; ``stored`` are the stored ``document_sets`` that have shingles."""
-    lists = inverted_lists(stored, scheme)
+def link_components(texts: DataFrame, n: int, scheme: Scheme) -> DataFrame:
+    """(node, label) of the sets of ``_texts`` that link with another set."""
+    lists = inverted_lists(texts, n, scheme)
     pairs = materialize(counted_pairs(lists.where(F.col("members") <= SHORT_LIST)), "pairs")
     long = lists.where(F.col("members") > SHORT_LIST)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key"))
-    sets = wanted_sets(stored, ends.unionByName(long.select("key")))
+    sets = wanted_sets(texts, n, ends.unionByName(long.select("key")))
     votes = materialize(long.where("key <> low").groupBy(F.col("key").alias("a"), F.col("low").alias("b")).count(), "votes")
     first = votes.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
     tested = materialize(pairs.unionByName(first).distinct(), "pairs")
@@ -502,15 +535,15 @@ def _block_counts(members: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFr
     return met.join(sets, "key").groupBy("list", "tight", "x", "y").applyInArrow(run, "a long, b long, links long")
 
 
-def link_counts(stored: DataFrame, copies: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
+def link_counts(texts: DataFrame, n: int, copies: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
     """(node, label) as ``link_components`` gives them, and (key, links): the documents with other sets that a set links with.
 
     ``copies`` has (key, copies) of all sets.
     """
-    lists = inverted_lists(stored, scheme)
+    lists = inverted_lists(texts, n, scheme)
     pairs = materialize(counted_pairs(lists.where(F.col("members") <= SHORT_LIST)), "pairs")
     long = lists.where(F.col("members") > SHORT_LIST)
-    sets = wanted_sets(stored, pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(long.select("key")))
+    sets = wanted_sets(texts, n, pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(long.select("key")))
     members = _counted_members(long, copies)
     sure = materialize(verified(pairs, sets, scheme).distinct(), "verified")
     blocks = materialize(_block_counts(members, sets, scheme), "verified")
@@ -537,21 +570,19 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _classed(texts: DataFrame, n: int, scheme: Scheme, counted: bool) -> tuple[DataFrame, DataFrame]:
     """Two stored tables: (doc_id, n_shingles, key) of every row, and (key, class, component_id, n_links) of the sets that link or have copies."""
     with scratch(texts.sparkSession):
-        sets = materialize(document_sets(texts, n), "document-sets")
-        stored = sets.where("shingles IS NOT NULL")
+        sets = materialize(document_sets(texts, n), "document-sets", keep=True)
         nodes = sets.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
         own = F.col("copies") - 1
         if counted:
-            labels, links = link_counts(stored, materialize(nodes.select("key", "copies"), "copies"), scheme)
+            labels, links = link_counts(texts, n, materialize(nodes.select("key", "copies"), "copies"), scheme)
             nodes, own = nodes.join(links, "key", "left"), own + F.coalesce("links", F.lit(0))
         else:
-            labels = link_components(stored, scheme)
+            labels = link_components(texts, n, scheme)
         named = materialize(nodes.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("n_links", own), "nodes")
         lowest = named.where("label IS NOT NULL").groupBy("label").agg(F.min("first").alias("lowest"))
         moved = named.join(lowest, "label", "left").where("label IS NOT NULL OR copies > 1")
         moved = materialize(moved.select("key", F.coalesce("label", "key").alias("class"), F.coalesce("lowest", "first").alias("component_id"), "n_links"), "classes", keep=True)
-        sizes = materialize(sets.select("doc_id", "n_shingles", "key"), "set-sizes", keep=True)
-    return sizes, moved
+    return sets, moved
 
 
 def _classes_of(docs: DataFrame, id_col: str, text_col: str, n: int, scheme: Scheme, counted: bool) -> DataFrame:

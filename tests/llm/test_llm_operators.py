@@ -741,3 +741,20 @@ def test_recall_on_embeddings(spark):
         hits += len(found & set(ids[best].tolist()))
         total += len(best)
     assert len(got) >= 20 and hits >= 0.99 * total
+
+
+def test_near_copies_store_no_set_that_meets_no_other(spark, monkeypatch):
+    stored = []
+
+    def seen(df, label, keep=False):
+        out = materialize(df, label, keep)
+        if "shingles" in out.columns:
+            stored.append(out.where("shingles IS NOT NULL").count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialize", seen)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 40)
+    texts = [" ".join(f"w{i}x{j}" for j in range(100)) for i in range(300)] + [" ".join(f"w7x{j}" for j in range(99))]
+    kept = jaccard_join.keep_one_of_each(documents(spark, texts)).count()
+    assert kept == 300
+    assert stored and max(stored) <= 30, "all sets together take more disk than the texts"
