@@ -260,6 +260,15 @@ def test_a_tournament_larger_than_expected_is_played_out(spark):
     assert [r["winner"] for r in winner.collect()] == [12] and played.count() == 12
 
 
+def test_public_ids_of_five_digits_are_whole_and_malformed(spark):
+    from tallyframe.operators import disclosure as D
+
+    rows = spark.createDataFrame([(9998, 0, "direct", "completed", True, False, None), (9999, 0, "direct", "completed", True, False, None)], "case_index long, trial_index long, config_id string, status string, passed boolean, degraded boolean, failure_status string")
+    outcomes = D.public_outcomes(rows)
+    assert sorted(r["public_id"] for r in outcomes.collect()) == ["case_10000", "case_9999"]
+    assert [(r["public_id"], r["rule"]) for r in D.outcome_violations(outcomes).collect()] == [("case_10000", "malformed_public_id")]
+
+
 def test_latency_ranks(spark):
     rows = spark.createDataFrame([("a", "completed", x) for x in (5, 1, 1, 9, 7)] + [("a", "failed", 99), ("a", "completed", None)], "config_id string, status string, latency_ms long")
     assert [tuple(r) for r in M.latency_ranks(rows).collect()] == [("a", 5, 9)]
