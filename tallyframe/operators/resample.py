@@ -6,6 +6,8 @@ and is shared by all statistics; only per-case sums meet it.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -114,21 +116,36 @@ def bootstrap_all(attempts: DataFrame, pairs: DataFrame, coverage: DataFrame, ba
 def net_win_intervals(outcomes: DataFrame, keys: list[str], order_col: str, value_col: str, samples: int = 2000, seed: int = NET_WIN_SEED) -> DataFrame:
     """keys, tasks, low, high: 95 % bounds of the net win rate of each group of judged tasks, values -1, 0 and 1, in their order.
 
-    The 31-bit stream rounds in doubles and so has no closed form, but it soon runs into a cycle: a table of all its states (some
-    thousand rows) makes every draw a function of its place, and all samples are drawn in parallel. Each group starts the
-    stream anew. A draw of exactly 1 takes the last task. Nulls are no outcomes; ties in the order go by value.
+    The 31-bit stream rounds in doubles and so has no closed form, but it soon runs into a cycle. So a group meets its tasks at
+    the states of that cycle only (some thousand), and running sums of the values there give the sum of any stretch of the
+    stream, whole rounds of the cycle included: a sample is the difference of two of them, and no draw is a row. Each group
+    starts the stream anew. A draw of exactly 1 takes the last task. Nulls are no outcomes; ties in the order go by value.
     """
     spark = outcomes.sparkSession
     states, back = lcg31_cycle(seed)
-    table = spark.createDataFrame(list(enumerate(states)), "slot int, state long")
-    at = Window.partitionBy(*keys).orderBy(order_col, value_col)
-    judged = outcomes.where(F.col(value_col).isNotNull()).select(*keys, F.col(value_col).cast("long").alias("value"), (F.row_number().over(at) - 1).alias("ordinal"))
-    sizes = judged.groupBy(*keys).agg(F.count(F.lit(1)).alias("tasks"))
-    drawn = sizes.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).repartition(*keys, "sample").withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), F.col("tasks"))))
-    placed = drawn.withColumn("slot", lcg31_slot(F.col("sample") * F.col("tasks") + F.col("draw"), len(states), back)).join(F.broadcast(table), "slot")  # some thousand states
+    if back == 0:  # the seed is no draw at first
+        states, back = [*states, states[0]], 1
+    last = len(states) - 1
+    table = spark.createDataFrame(list(enumerate(states)), "slot int, state long").where("slot > 0")
+    # ranks are taken inside ranges of the order and offset by the ranges' counts, so no task gets a whole group
+    parted = outcomes.where(F.col(value_col).isNotNull()).select(*keys, F.floor(F.col(order_col) / 4096).alias("part"), F.col(order_col).alias("place"), F.col(value_col).cast("long").alias("value"))
+    counts = parted.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("part").alias("_part"), (F.sum("n").over(Window.partitionBy(*keys).orderBy("part")) - F.col("n")).alias("base"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "part").orderBy("place", "value")) - 1
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in (*keys, "part")])
+    judged = parted.withColumn("at", inside).join(before, same).select(*keys, "value", (F.col("base") + F.col("at")).cast("int").alias("ordinal"))
+    sizes = counts.groupBy(*keys).agg(F.sum("n").alias("tasks"))
+    drawn = sizes.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).join(F.broadcast(table), F.col("slot") <= F.col("tasks") * samples)  # some thousand states
     index = F.least(F.col("tasks") - 1, F.floor(F.col("state") / float(0x7FFFFFFF) * F.col("tasks"))).cast("int")
-    times = placed.withColumn("ordinal", index).groupBy(*keys, "tasks", "sample", "ordinal").agg(F.count(F.lit(1)).alias("times"))
-    nets = times.join(judged, [*keys, "ordinal"]).groupBy(*keys, "tasks", "sample").agg(F.sum(F.col("value") * F.col("times")).alias("net"))
+    met = drawn.select(*keys, "slot", index.alias("ordinal")).join(judged, [*keys, "ordinal"])
+    sums = met.select(*keys, "slot", F.sum("value").over(Window.partitionBy(*keys).orderBy("slot")).alias("upto"))
+    ends = sizes.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples)))).withColumn("place", F.col("sample") * F.col("tasks"))
+    # the sum up to a place is that up to its slot, and a whole round for each time that the stream has come back before
+    rounds = F.greatest(F.floor((F.col("place") - back) / (last + 1 - back)), F.lit(0))
+    placed = ends.select(*keys, "tasks", "sample", lcg31_slot(F.col("place"), last + 1, back).alias("slot"), rounds.alias("rounds")).join(sums, [*keys, "slot"], "left")
+    whole = sums.groupBy(*keys).agg((F.max(F.when(F.col("slot") == last, F.col("upto"))) - F.coalesce(F.max(F.when(F.col("slot") == back - 1, F.col("upto"))), F.lit(0))).alias("round"))
+    summed = placed.join(whole, keys).select(*keys, "tasks", "sample", (F.coalesce("upto", F.lit(0)) + F.when(F.col("rounds") > 0, F.col("rounds") * F.col("round")).otherwise(0)).alias("upto"))
+    nets = summed.withColumn("net", F.col("upto") - F.lag("upto").over(Window.partitionBy(*keys).orderBy("sample"))).where("sample > 0")
     bounds = nets.groupBy(*keys, "tasks").agg(F.array_sort(F.collect_list(F.col("net") / F.col("tasks"))).alias("v"))
     return bounds.select(*keys, "tasks", F.get("v", F.lit(int(samples * 0.025))).alias("low"), F.get("v", F.lit(int(samples * 0.975))).alias("high"))
 

@@ -141,6 +141,22 @@ def test_net_win_interval_by_table_equals_the_stream(spark):
         assert got[g] == (len(vs), nets[10], nets[390])
 
 
+def test_net_win_draws_are_no_rows(spark):
+    groups = spark.range(3000).select((F.col("id") % 2).alias("g"), F.col("id").alias("i"), (F.col("id") % 3 - 1).alias("v"))
+    bounds = net_win_intervals(groups, ["g"], "i", "v", 2000)
+    assert bounds.count() == 2
+
+    def rows_made(node):
+        made = node.metrics().get("numOutputRows")
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        children += [node.executedPlan()] if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else [node.plan()] if node.getClass().getSimpleName().endswith("QueryStageExec") else []
+        return max([made.get().value() if made.isDefined() else 0, *map(rows_made, children)])
+
+    bounds.collect()
+    plan = bounds._jdf.queryExecution().executedPlan()
+    assert 0 < rows_made(plan) <= 2 * 15_821, "3 million draws for each group"
+
+
 def test_stream_runs_into_its_cycle():
     states, back = lcg31_cycle(987654321)
     walked = lcg31_list(987654321, 40_000)
