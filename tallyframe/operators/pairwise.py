@@ -40,8 +40,9 @@ def round_pairs(pool: DataFrame, group: str, round_index: int) -> DataFrame:
 
     Pool: group, place (from 0), entry.
     """
-    match = F.floor(F.col("place") / 2).cast("int")
-    two = pool.groupBy(group, match.alias("match")).agg(F.min_by("entry", "place").alias("first"), F.max_by("entry", "place").alias("second"), F.count(F.lit(1)).alias("n"))
+    # dealt anew in each round: else all rounds run in one task, each with a sort, and every round is played again for each later one
+    dealt = pool.withColumn("match", F.floor(F.col("place") / 2).cast("int")).repartition(int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions")), group, "match")
+    two = dealt.groupBy(group, "match").agg(F.min_by("entry", "place").alias("first"), F.max_by("entry", "place").alias("second"), F.count(F.lit(1)).alias("n"))
     swap = (F.col("match") + round_index) % 2 == 1
     return two.select(group, "match", F.when(swap & (F.col("n") == 2), F.col("second")).otherwise(F.col("first")).alias("a"), F.when(F.col("n") == 2, F.when(swap, F.col("first")).otherwise(F.col("second"))).alias("b"))
 

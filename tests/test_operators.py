@@ -269,6 +269,15 @@ def test_public_ids_of_five_digits_are_whole_and_malformed(spark):
     assert [(r["public_id"], r["rule"]) for r in D.outcome_violations(outcomes).collect()] == [("case_10000", "malformed_public_id")]
 
 
+def test_rounds_of_a_tournament_are_stages_of_their_own(spark):
+    rows = spark.createDataFrame([(i % 3, i) for i in range(60)], "grp int, id int")
+    played = W.tournament(W.pool_of(rows, "grp", ["id"], ["id"]), "grp", 4, lambda a, b: F.greatest(a, b))[1]
+    assert played.count() == 57
+    plan = played._jdf.queryExecution().executedPlan().toString()
+    # five rounds, each after an exchange of its own; those of earlier rounds are read, not made, by later ones
+    assert all("+- Exchange hashpartitioning(grp#" in part for part in plan.split("SortAggregate")[2::2]), "rounds share a stage"
+
+
 def test_latency_ranks(spark):
     rows = spark.createDataFrame([("a", "completed", x) for x in (5, 1, 1, 9, 7)] + [("a", "failed", 99), ("a", "completed", None)], "config_id string, status string, latency_ms long")
     assert [tuple(r) for r in M.latency_ranks(rows).collect()] == [("a", 5, 9)]
