@@ -5,6 +5,10 @@ Cases: case_index, smoke_only, category, difficulty, tier, and for content: fing
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +18,8 @@ NON_SURFACE = ("structured_or_exact", "mixed")
 #: The gate's minimums and the near-duplicate rule.
 MIN_SCORED, MIN_CATEGORY, MIN_DIFFICULTY, MIN_CELL, MIN_EVIDENCE = 100, 30, 30, 5, 5
 NEAR_NUM, NEAR_DEN, MIN_TOKENS = 9, 10, 12
+#: Places in which tokens are counted for the order of a set; any number gives the same pairs.
+RARITY_SLOTS = 1 << 16
 
 
 def non_surface() -> Column:
@@ -44,21 +50,33 @@ def near_duplicate_pairs(tokens: DataFrame, num: int = NEAR_NUM, den: int = NEAR
     """(a, b, shared, total): pairs of token sets with a Jaccard similarity of num / den or more.
 
     ``tokens``: id and its distinct tokens, one row for each different content. Rare tokens first, each set enters the
-    lists of its first k - ceil(k * num / den) + 1 tokens; sets that meet there and differ little in size are
-    verified. Any total order keeps this lossless; rarity keeps the lists short.
+    lists of its first k - ceil(k * num / den) + 1 tokens; sets that meet there, differ little in size and can still share
+    enough from there on are verified. Any total order keeps this lossless; rarity keeps the lists short, so it need not be
+    exact: it is counted in ``RARITY_SLOTS`` places by hash, and a set finds its own order. Only list entries and sets are shuffled.
     """
-    sized = tokens.select("id", "tokens", F.size("tokens").alias("k")).where(F.col("k") >= min_tokens)
-    each = sized.select("id", "k", F.explode("tokens").alias("token"))
-    rare = each.join(each.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "token")
-    ordered = rare.groupBy("id", "k").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
-    entries = ordered.select("id", "k", F.explode(F.slice("o", F.lit(1), (F.col("k") - F.ceil(F.col("k") * num / den) + 1).cast("int"))).alias("e")).select("id", "k", "e.token")
-    left = entries.select(F.col("id").alias("a"), F.col("k").alias("ka"), "token")
-    right = entries.select(F.col("id").alias("b"), F.col("k").alias("kb"), "token")
+    sized = tokens.select("id", F.size("tokens").alias("k"), F.transform("tokens", lambda t: F.xxhash64(t)).alias("h")).where(F.col("k") >= min_tokens)
+    seen = sized.select(F.explode("h").alias("h")).groupBy(F.pmod("h", F.lit(RARITY_SLOTS)).alias("slot")).count().toArrow()
+    often = np.zeros(RARITY_SLOTS, np.int64)
+    often[seen.column("slot").to_numpy()] = seen.column("count").to_numpy()
+
+    def first_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, h = batch.column("k").to_numpy().astype(np.int64), batch.column("h").flatten().to_numpy()
+            row = np.repeat(np.arange(len(k)), k)
+            order = np.lexsort((h, often[h % RARITY_SLOTS], row))
+            place = np.arange(len(h)) - np.repeat(np.cumsum(k) - k, k)
+            kept = place < (k - -(-k * num // den) + 1)[row]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row[kept])), pa.array(k[row[kept]].astype(np.int32)), pa.array(place[kept].astype(np.int32)), pa.array(h[order][kept])], ["id", "k", "place", "token"])
+
+    kind = tokens.schema["id"].dataType.simpleString()
+    entries = sized.mapInArrow(first_tokens, f"id {kind}, k int, place int, token long")
+    left, right = (entries.select(F.col("id").alias(x), F.col("k").alias(f"k{x}"), F.col("place").alias(f"at{x}"), "token") for x in ("a", "b"))
     near = (F.col("ka") * den >= F.col("kb") * num) & (F.col("kb") * den >= F.col("ka") * num)
+    # what the first token that they share leaves at most, against what they must share
+    most = F.least(F.col("ka") - F.col("ata"), F.col("kb") - F.col("atb"))
+    near &= most * (num + den) >= (F.col("ka") + F.col("kb")) * num
     met = left.join(right, "token").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
-    # from ``ordered`` like the entries: all of them read one shuffle, and the sets are not made again
-    whole = ordered.select("id", F.transform("o", lambda x: x["token"]).alias("t"))
-    ta, tb = whole.select(F.col("id").alias("a"), F.col("t").alias("ta")), whole.select(F.col("id").alias("b"), F.col("t").alias("tb"))
+    ta, tb = (tokens.where(F.size("tokens") >= min_tokens).select(F.col("id").alias(x), F.col("tokens").alias(f"t{x}")) for x in ("a", "b"))
     both = met.join(ta, "a").join(tb, "b")
     shared = F.size(F.array_intersect("ta", "tb"))
     scored = both.select("a", "b", shared.alias("shared"), (F.size("ta") + F.size("tb") - shared).alias("total"))

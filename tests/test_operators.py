@@ -108,6 +108,17 @@ def test_near_duplicates_equal_brute_force(spark):
     assert counts["pairs"] == len(want) and counts["cases"] == len({x for p in want for x in p})
 
 
+def test_near_duplicates_shuffle_no_row_for_each_token(spark, monkeypatch):
+    monkeypatch.setattr(C, "RARITY_SLOTS", 64)
+    sets = [(i, [f"w{(i * 37 + j) % 900}" for j in range(200)]) for i in range(0, 120, 2)]
+    sets += [(i + 1, ts[:-3] + ["x", "y", f"z{i}"]) for i, ts in sets[::3]]
+    pairs = C.near_duplicate_pairs(spark.createDataFrame(sets, "id long, tokens array<string>"))
+    want = {(min(i, j), max(i, j)) for i, a in sets for j, b in sets if i < j and len(set(a) & set(b)) * 10 >= 9 * len(set(a) | set(b))}
+    assert want and {(r["a"], r["b"]) for r in pairs.collect()} == want
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in plan and "collect_list" not in plan
+
+
 def test_gate_passes_a_good_set(spark):
     rows = [(i, False, f"c{i % 4}", C.DIFFICULTIES[i // 4 % 3], "structured_or_exact") for i in range(144)]
     cases = spark.createDataFrame(rows, "case_index long, smoke_only boolean, category string, difficulty string, tier string")
