@@ -133,6 +133,20 @@ def test_shape_walk_of_small_shapes(spark):
     assert S.findings(table.limit(0), shape, "id", "v", "keys").collect() == []
 
 
+def test_shape_walk_makes_no_row_of_a_node(spark):
+    """A document is one row until its findings are known, however deep its shape, so the plan has one Generate."""
+    rule = S.obj("even", n=S.COUNT)
+    shape = S.array(S.obj(x=S.record(S.text("it's", "a\\b")), y=S.array(rule), optional=("y",)), least=1)
+    docs = ['[{"x":{"p":"it\'s","q":"a\\\\b"},"y":[{"n":2},{"n":3}]}]', '[{"x":{"p":"its","z.z":1}},7]', "[]", '[{"x":null,"y":{}}]']
+    table = spark.createDataFrame(list(enumerate(docs)), "id int, body string").withColumn("v", F.parse_json("body")).withColumn("keys", F.when(F.col("id") < 3, F.array(F.lit("p"), F.lit("q"))))
+    found = S.findings(table, shape, "id", "v", "keys", {"even": lambda v: F.try_variant_get(v, "$.n", "int") % 2 == 0})
+    assert sorted(map(tuple, found.collect())) == [
+        (0, "[0].y[1]", "broken_rule"), (1, "[0].x.p", "wrong_value"), (1, "[0].x.q", "missing_key"), (1, "[0].x.z.z", "unknown_key"), (1, "[1]", "wrong_type"),
+        (2, "", "wrong_value"), (3, "[0].x", "wrong_type"), (3, "[0].y", "wrong_type"),
+    ]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate ") == 1
+
+
 def test_command_verifies_a_file(spark, tmp_path, capsys):
     from tallyframe import cli
 
