@@ -27,8 +27,9 @@ With links counted, no label settles a list or cluster beforehand: every pair of
 return a forest and a sum for each member. A pair is counted in one place only: in its cluster, or else in the first of
 the long lists that it shares, or else, when it shares none, among the pairs of short lists.
 
-Sets are made three times, from the texts: for their keys, for their lists, and for those that verification needs. Only the
-last are stored, since all of them take more disk than the texts. A list that many sets of a task enter is hot: its entries are dealt by set, too, and
+Sets are made from the texts again and again: for their keys, for their lists in each of ``LIST_PASSES`` passes, and for those
+that verification needs. Only the last are stored, since all of them take more disk than the texts; entries of all lists take
+more than twice as much, so that a pass shuffles those of its lists only. A list that many sets of a task enter is hot: its entries are dealt by set, too, and
 a mark goes to the list itself, so that its other members learn of it; hot lists are counted with partial aggregates.
 
 Defined cases: words are runs of anything but ``[\\x20\\x09-\\x0D]``, A-Z lower-cased; with fewer words than n the
@@ -72,6 +73,8 @@ BROADCAST_IDS = 500_000
 #: Pairs are verified in so many passes at most; what is on disk for a pass goes before the next.
 PASSES = 8
 SALTS = 16
+#: Entries of lists are shuffled in so many passes, by list; those of a pass go before the next. Each makes all sets again.
+LIST_PASSES = 2
 #: A list is hot in a task from HOT entries on; they are counted in COUNTERS places by hash and dealt over HOT_SALTS.
 HOT, COUNTERS, HOT_SALTS = 64, 1 << 18, 1024
 #: Above the shared lists that any link needs.
@@ -330,6 +333,16 @@ def inverted_lists(texts: DataFrame, n: int, scheme: Scheme) -> DataFrame:
 
     low is the smallest key of the list; need is how many lists two sets of it must share to link.
     """
+    parts = [materialize(_rated_entries(texts, n, scheme, turn), "lists") for turn in range(LIST_PASSES)]
+    stored = reduce(DataFrame.unionByName, parts)
+    hot = materialize(stored.where("hot").select("list", "key", "need").dropDuplicates(["list", "key"]), "hot-entries")
+    sums = materialize(hot.groupBy("list").agg(F.min("key").alias("low"), F.count(F.lit(1)).alias("members")).where("members > 1"), "hot-lists")
+    joined = materialize(hot.join(_small(sums), "list").select("list", "key", "need", "low", "members"), "hot-lists")
+    return stored.where("NOT hot").drop("hot").unionByName(joined)
+
+
+def _rated_entries(texts: DataFrame, n: int, scheme: Scheme, turn: int) -> DataFrame:
+    """(list, key, need, low, members, hot): entries of the lists of one pass that have other members or are hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -347,6 +360,8 @@ def inverted_lists(texts: DataFrame, n: int, scheme: Scheme) -> DataFrame:
                     keys.append(np.full(len(own), key, np.int64))
                     needs.append(np.full(len(own), need, np.int32))
             place, key, need = np.concatenate(lists), np.concatenate(keys), np.concatenate(needs)
+            own = (place >> np.uint64(32)) % np.uint64(LIST_PASSES) == turn
+            place, key, need = place[own], key[own], need[own]
             at = (place % np.uint64(COUNTERS)).astype(np.int64)
             counts += np.bincount(at, minlength=COUNTERS)
             total += len(at)
@@ -362,11 +377,7 @@ def inverted_lists(texts: DataFrame, n: int, scheme: Scheme) -> DataFrame:
     whole = Window.partitionBy("list", "salted")
     rated = entries.repartition("list", "salted").dropDuplicates(["list", "salted", "key"]).withColumns({"salt": F.expr(f"salted DIV {NEEDS}"), "need": F.expr(f"salted % {NEEDS}").cast("int")}).withColumns({"low": F.min("key").over(whole), "members": F.count("key").over(whole), "marked": F.count(F.lit(1)).over(whole)})
     rated = rated.withColumn("hot", F.expr("salt > 0 OR marked > members")).where("key IS NOT NULL AND (members > 1 OR hot)")
-    stored = materialize(rated.select("list", "key", "need", "low", "members", "hot"), "lists")
-    hot = materialize(stored.where("hot").select("list", "key", "need").dropDuplicates(["list", "key"]), "hot-entries")
-    sums = materialize(hot.groupBy("list").agg(F.min("key").alias("low"), F.count(F.lit(1)).alias("members")).where("members > 1"), "hot-lists")
-    joined = materialize(hot.join(_small(sums), "list").select("list", "key", "need", "low", "members"), "hot-lists")
-    return stored.where("NOT hot").drop("hot").unionByName(joined)
+    return rated.select("list", "key", "need", "low", "members", "hot")
 
 
 def counted_pairs(short: DataFrame) -> DataFrame:
@@ -420,9 +431,20 @@ def _small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
 
 
+def _among(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Those of ``sets`` whose key is wanted (distinct keys) and, where these are too many to be broadcast, the few others that a table of bits lets pass."""
+    keys = materialize(wanted, "among")
+    if keys.count() <= BROADCAST_IDS:
+        return sets.join(F.broadcast(keys), "key", "left_semi")
+    place = F.pmod("key", F.lit(64 * max(1, BROADCAST_IDS)))
+    words = materialize(_bit_words(keys.select(place.alias("at"))), "among")
+    marked = sets.withColumn("at", place).withColumn("word", F.expr("at DIV 64")).join(F.broadcast(words), "word")
+    return marked.where(F.expr("getbit(bits, CAST(at % 64 AS INT)) = 1")).select(sets.columns)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
     """Those of (a, b), a stored table, that link. The sets of a travel to those of b once; many pairs do so in passes, by a, one after another."""
-    passes = max(1, min(PASSES, pairs.count() // max(1, BROADCAST_IDS)))
+    passes = max(1, min(PASSES, -(-pairs.count() // max(1, BROADCAST_IDS))))
     if passes > 1:
         parts = [materialize(_verified(materialize(pairs.where(F.pmod("a", F.lit(passes)) == i), "pass"), sets, scheme), "verified") for i in range(passes)]
         return reduce(DataFrame.unionByName, parts)
@@ -436,9 +458,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
             hit = pa.array([links(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), scheme) for x, y in zip(left, right, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(hit), batch.column(1).filter(hit)], ["a", "b"])
 
-    left = sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")).join(_small(pairs), "a")
-    ends = materialize(pairs.select("b").distinct(), "pair-ends")
-    right = sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")).join(_small(ends), "b", "left_semi")
+    heads = sets if pairs.count() <= BROADCAST_IDS else _among(sets, pairs.select(F.col("a").alias("key")).distinct())
+    left = heads.select(F.col("key").alias("a"), F.col("shingles").alias("sa")).join(_small(pairs), "a")
+    right = _among(sets, pairs.select(F.col("b").alias("key")).distinct()).select(F.col("key").alias("b"), F.col("shingles").alias("sb"))
     return left.join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
@@ -479,6 +501,8 @@ def _block_links(entries: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFra
         found = linked_forest([r[0] for r in rows], [np.frombuffer(r[2], np.uint64) for r in rows], [r[1] for r in rows], scheme)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
+    entries = materialize(entries, "open-members")
+    sets = _among(sets, entries.select("key").distinct())
     met = _dealt_blocks(entries, sets, ["list"]).select("list", "x", "y", "key", "label")
     return met.join(sets, "key").groupBy("list", "x", "y").applyInArrow(run, "a long, b long")
 
@@ -520,6 +544,7 @@ def _block_counts(members: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFr
     """(a, b, links) over clusters and lists: links of a forest (links null), and what a key links with (b null)."""
     tight = members.where("tight").select(F.col("cluster").alias("list"), "key", "lists", "copies", "tight")
     entries = tight.unionByName(members.where("NOT tight").select(F.explode("lists").alias("list"), "key", "lists", "copies", "tight"))
+    sets = _among(sets, members.select("key").distinct())
     met = _dealt_blocks(entries, sets, ["list", "tight"]).select("list", "tight", "x", "y", "block", "key", "copies", "lists")
 
     def run(batch: pa.Table) -> pa.Table:

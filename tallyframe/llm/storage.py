@@ -75,6 +75,12 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             drop_path(spark, path)
 
 
+def keep_last(spark: SparkSession) -> None:
+    """Of the tables of the innermost ``scratch`` block, only the one stored last stays. Nothing may read the others any more."""
+    while len(_OPEN[-1]) > 1:
+        drop_path(spark, _OPEN[-1].pop(0))
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a folder that no returned DataFrame reads."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

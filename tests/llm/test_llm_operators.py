@@ -758,3 +758,21 @@ def test_near_copies_store_no_set_that_meets_no_other(spark, monkeypatch):
     kept = jaccard_join.keep_one_of_each(documents(spark, texts)).count()
     assert kept == 300
     assert stored and max(stored) <= 30, "all sets together take more disk than the texts"
+
+
+def test_list_entries_are_shuffled_in_passes(spark, monkeypatch):
+    stored = []
+
+    def seen(df, label, keep=False):
+        out = materialize(df, label, keep)
+        if label == "lists":
+            stored.append({r["list"] for r in out.select("list").collect()})
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialize", seen)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 20)
+    texts = [" ".join(f"w{i // 3}x{j}" for j in range(100 - i % 3)) for i in range(150)]
+    classes = jaccard_join.jaccard_classes(documents(spark, texts)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in classes} == {i: i - i % 3 for i in range(150)}
+    assert len(stored) > 1 and not set.intersection(*stored)
+    assert max(map(len, stored)) < 0.7 * len(set.union(*stored)), "a pass holds its own lists only"

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from tallyframe.llm import catalogue
+from tallyframe.llm import catalogue, storage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -36,6 +36,21 @@ def test_stages_take_effect(spark, tmp_path):
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == {r["doc_id"] for r in one.collect()}
 
 
+def test_a_stage_finds_no_table_but_its_input(spark, tmp_path, monkeypatch):
+    shared, found = tmp_path / "shared", []
+    shared.mkdir()
+    monkeypatch.setattr(storage, "shared_folder", lambda spark: f"file://{shared}")
+    spark.range(5).write.parquet(str(tmp_path / "documents.parquet"))
+
+    def stage(spark, docs, sf_dir):
+        found.append((len(list(shared.iterdir())), docs.count()))
+        return docs
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(f"s{i}", stage) for i in range(4)])
+    corpus_pipeline.run(spark, str(tmp_path))
+    assert found == [(0, 5), (1, 5), (1, 5), (1, 5)]
+
+
 def test_catalogue_is_complete():
     names = list(catalogue.queries())
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
