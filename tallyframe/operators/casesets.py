@@ -20,6 +20,8 @@ MIN_SCORED, MIN_CATEGORY, MIN_DIFFICULTY, MIN_CELL, MIN_EVIDENCE = 100, 30, 30,
 NEAR_NUM, NEAR_DEN, MIN_TOKENS = 9, 10, 12
 #: Places in which tokens are counted for the order of a set; any number gives the same pairs.
 RARITY_SLOTS = 1 << 16
+#: Bits of a set's sketch, and words of 64 bits in the table of ids that are verified; any numbers give the same pairs.
+SKETCH_BITS, WANTED_WORDS = 1024, 500_000
 
 
 def non_surface() -> Column:
@@ -49,37 +51,69 @@ def exact_duplicates(cases: DataFrame, fingerprint: str) -> DataFrame:
 def near_duplicate_pairs(tokens: DataFrame, num: int = NEAR_NUM, den: int = NEAR_DEN, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """(a, b, shared, total): pairs of token sets with a Jaccard similarity of num / den or more.
 
-    ``tokens``: id and its distinct tokens, one row for each different content. Rare tokens first, each set enters the
+    ``tokens``: id and its distinct tokens; rows with one id hold equal ones. Rare tokens first, each set enters the
     lists of its first k - ceil(k * num / den) + 1 tokens; sets that meet there, differ little in size and can still share
     enough from there on are verified. Any total order keeps this lossless; rarity keeps the lists short, so it need not be
-    exact: it is counted in ``RARITY_SLOTS`` places by hash, and a set finds its own order. Only list entries and sets are shuffled.
+    exact: it is counted in ``RARITY_SLOTS`` places by hash, and a set finds its own order. Pairs that met are first compared
+    by sketches: two sets differ in at least as many tokens as their sketches in bits. Tokens are known by 64-bit hashes; list
+    entries, sketches and the sets of pairs that are left are shuffled.
     """
-    sized = tokens.select("id", F.size("tokens").alias("k"), F.transform("tokens", lambda t: F.xxhash64(t)).alias("h")).where(F.col("k") >= min_tokens)
-    seen = sized.select(F.explode("h").alias("h")).groupBy(F.pmod("h", F.lit(RARITY_SLOTS)).alias("slot")).count().toArrow()
+    sized = tokens.select("id", F.size("tokens").alias("k"), F.transform("tokens", lambda t: F.xxhash64(t)).alias("h"))
+
+    def large(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        """Rows of ``min_tokens`` or more, their sizes and hashes. A condition on tokens in the plan would make them twice."""
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                batch = whole.slice(start, 1000)
+                batch = batch.filter(pa.array(batch.column("k").to_numpy() >= min_tokens))
+                yield batch, batch.column("k").to_numpy().astype(np.int64), batch.column("h").flatten().to_numpy()
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(RARITY_SLOTS, np.int64)
+        for _, _, h in large(batches):
+            counts += np.bincount(h % RARITY_SLOTS, minlength=RARITY_SLOTS)
+        held = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts[held])], ["slot", "n"])
+
+    seen = sized.mapInArrow(slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("count")).toArrow()
     often = np.zeros(RARITY_SLOTS, np.int64)
     often[seen.column("slot").to_numpy()] = seen.column("count").to_numpy()
 
     def first_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k, h = batch.column("k").to_numpy().astype(np.int64), batch.column("h").flatten().to_numpy()
+        for batch, k, h in large(batches):
             row = np.repeat(np.arange(len(k)), k)
             order = np.lexsort((h, often[h % RARITY_SLOTS], row))
             place = np.arange(len(h)) - np.repeat(np.cumsum(k) - k, k)
             kept = place < (k - -(-k * num // den) + 1)[row]
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row[kept])), pa.array(k[row[kept]].astype(np.int32)), pa.array(place[kept].astype(np.int32)), pa.array(h[order][kept])], ["id", "k", "place", "token"])
 
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, k, h in large(batches):
+            at = np.repeat(np.arange(len(k)), k) * SKETCH_BITS + h % SKETCH_BITS
+            odd = (np.bincount(at, minlength=len(k) * SKETCH_BITS) & 1).astype(np.uint8)
+            ends = pa.array(np.arange(len(k) + 1, dtype=np.int32) * (SKETCH_BITS // 64))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("k"), pa.ListArray.from_arrays(ends, pa.array(np.packbits(odd).view(np.int64)))], ["id", "k", "sketch"])
+
     kind = tokens.schema["id"].dataType.simpleString()
-    entries = sized.mapInArrow(first_tokens, f"id {kind}, k int, place int, token long")
-    left, right = (entries.select(F.col("id").alias(x), F.col("k").alias(f"k{x}"), F.col("place").alias(f"at{x}"), "token") for x in ("a", "b"))
+    entries = sized.mapInArrow(first_tokens, f"id {kind}, k int, place int, token long").repartition("token")
+    left, right = (entries.select(F.col("id").alias(x), F.col("k").alias(f"k{x}"), F.col("place").alias(f"at{x}"), F.col("token").alias(f"token{x}")) for x in ("a", "b"))
     near = (F.col("ka") * den >= F.col("kb") * num) & (F.col("kb") * den >= F.col("ka") * num)
     # what the first token that they share leaves at most, against what they must share
     most = F.least(F.col("ka") - F.col("ata"), F.col("kb") - F.col("atb"))
     near &= most * (num + den) >= (F.col("ka") + F.col("kb")) * num
-    met = left.join(right, "token").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
-    ta, tb = (tokens.where(F.size("tokens") >= min_tokens).select(F.col("id").alias(x), F.col("tokens").alias(f"t{x}")) for x in ("a", "b"))
-    both = met.join(ta, "a").join(tb, "b")
+    met = left.join(right, F.col("tokena") == F.col("tokenb")).where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    sketched = sized.mapInArrow(sketches, f"id {kind}, k int, sketch array<long>").dropDuplicates(["id"])
+    sa, sb = (sketched.select(F.col("id").alias(x), F.col("k").alias(f"k{x}"), F.col("sketch").alias(f"s{x}")) for x in ("a", "b"))
+    bits = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    likely = met.join(sa, "a").join(sb, "b").where(bits * (num + den) <= (F.col("ka") + F.col("kb")) * (den - num)).select("a", "b").persist()
+    place = F.pmod(F.xxhash64("id"), F.lit(64 * WANTED_WORDS))
+    ends = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id")))
+    wanted = ends.select(place.alias("at")).groupBy(F.expr("at DIV 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(at % 64 AS INT)))").alias("bits"))
+    marked = sized.withColumn("at", place).withColumn("word", F.expr("at DIV 64")).join(F.broadcast(wanted), "word").where(F.expr("getbit(bits, CAST(at % 64 AS INT)) = 1"))
+    sets = marked.select("id", "h").dropDuplicates(["id"])
+    ta, tb = (sets.select(F.col("id").alias(x), F.col("h").alias(f"t{x}")) for x in ("a", "b"))
     shared = F.size(F.array_intersect("ta", "tb"))
-    scored = both.select("a", "b", shared.alias("shared"), (F.size("ta") + F.size("tb") - shared).alias("total"))
+    scored = likely.join(ta, "a").join(tb, "b").select("a", "b", shared.alias("shared"), (F.size("ta") + F.size("tb") - shared).alias("total"))
     return scored.where(F.col("shared") * den >= F.col("total") * num)
 
 

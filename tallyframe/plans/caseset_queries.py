@@ -9,14 +9,13 @@ from tallyframe.operators import casesets as C
 from tallyframe.plans import proxy as P
 
 
-def _contents(spark, d):
-    """One row for each different text: the smallest doc_id and the distinct tokens."""
-    texts = P.table(spark, d, "documents").where("text IS NOT NULL").groupBy(F.sha2("text", 256).alias("fp")).agg(F.min("doc_id").alias("id"), F.min("text").alias("text"))
-    return texts.select("id", S.words()("text").alias("tokens"))
-
-
 def _pairs(spark, d):
-    return C.near_duplicate_pairs(_contents(spark, d))
+    """Pairs of different texts, each known by the smallest doc_id that has it. A 64-bit hash stands for a text, so that no text is shuffled."""
+    texts = P.table(spark, d, "documents").where("text IS NOT NULL").select(F.xxhash64("text").alias("id"), "doc_id", "text")
+    pairs = C.near_duplicate_pairs(texts.select("id", S.words()("text").alias("tokens")))
+    names = texts.groupBy("id").agg(F.min("doc_id").alias("name"))
+    na, nb = (names.select(F.col("id").alias(x), F.col("name").alias(f"n{x}")) for x in ("a", "b"))
+    return pairs.join(na, "a").join(nb, "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"), "shared", "total")
 
 
 def _raw_cases(spark, d):

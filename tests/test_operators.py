@@ -11,6 +11,7 @@ from tallyframe.operators import metrics as M
 from tallyframe.operators import pairwise as W
 from tallyframe.operators import planning as L
 from tallyframe.operators import resample as R
+from tallyframe.plans import caseset_queries
 from tallyframe.plans import grading_queries as GQ
 from tallyframe.plans import proxy as P
 from tallyframe.plans import resample_queries as RQ
@@ -119,6 +120,25 @@ def test_near_duplicates_shuffle_no_row_for_each_token(spark, monkeypatch):
     assert "Generate explode" not in plan and "collect_list" not in plan
 
 
+def test_near_duplicates_shuffle_the_sets_of_likely_pairs_only(spark):
+    shared = [f"s{j}" for j in range(30)]
+    sets = [(i, shared + [f"w{i}x{j}" for j in range(120)]) for i in range(60)]
+    sets += [(100 + i, ts[:-2] + [f"y{i}"]) for i, ts in sets[:3]] + [(0, sets[0][1])]
+    pairs = C.near_duplicate_pairs(spark.createDataFrame(sets, "id long, tokens array<string>"))
+    assert sorted((r["a"], r["b"], r["shared"], r["total"]) for r in pairs.collect()) == [(i, 100 + i, 148, 151) for i in range(3)]
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "getbit(" in plan, "sets are taken by a table of wanted ids before they are shuffled"
+
+
+def test_near_duplicate_pairs_shuffle_no_text(spark, tmp_path):
+    text = " ".join(f"w{j}" for j in range(40))
+    rows = [(5, text), (3, text), (9, text + " x"), (1, text + " x y"), (2, None), (7, "short text")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    pairs = caseset_queries._pairs(spark, str(tmp_path))
+    assert {tuple(r) for r in pairs.collect()} == {(3, 9, 40, 41), (1, 3, 40, 42), (1, 9, 41, 42)}
+    assert "min(text" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_gate_passes_a_good_set(spark):
     rows = [(i, False, f"c{i % 4}", C.DIFFICULTIES[i // 4 % 3], "structured_or_exact") for i in range(144)]
     cases = spark.createDataFrame(rows, "case_index long, smoke_only boolean, category string, difficulty string, tier string")
